@@ -37,28 +37,28 @@ def value_bucket(x) -> Column:
 
 
 def ordered_counts(df: DataFrame, x: str, part: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
-    """Distinct values of ``x`` per group with ``cnt``, ``below`` (weight of smaller values) and ``total``."""
+    """Distinct values of ``x`` per group with ``_cnt``, ``_below`` (weight of smaller values) and ``_total``."""
     part = list(part)
     w = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    distinct = (df.where(c(x).isNotNull()).groupBy(*part, F.col(x)).agg(w.alias("cnt"))
+    distinct = (df.where(c(x).isNotNull()).groupBy(*part, F.col(x)).agg(w.alias("_cnt"))
                   .withColumn("_b", value_bucket(x)))
-    per_bucket = distinct.groupBy(*part, "_b").agg(F.sum("cnt").alias("_n"))
+    per_bucket = distinct.groupBy(*part, "_b").agg(F.sum("_cnt").alias("_n"))
     run = Window.partitionBy(*part).orderBy("_b")
     per_bucket = (per_bucket
                   .withColumn("_off", F.sum("_n").over(run) - F.col("_n"))
-                  .withColumn("total", F.sum("_n").over(Window.partitionBy(*part)))
+                  .withColumn("_total", F.sum("_n").over(Window.partitionBy(*part)))
                   .drop("_n"))
     inside = Window.partitionBy(*part, "_b").orderBy(x)
     return (distinct.join(per_bucket, [*part, "_b"])
-            .withColumn("below", F.col("_off") + F.sum("cnt").over(inside) - F.col("cnt"))
-            .select(*part, x, "cnt", "below", "total", "_b"))
+            .withColumn("_below", F.col("_off") + F.sum("_cnt").over(inside) - F.col("_cnt"))
+            .select(*part, x, "_cnt", "_below", "_total", "_b"))
 
 
 def large_midrank(df: DataFrame, x: str, part: Sequence[str] = (), out: str = "rank") -> DataFrame:
     """Midrank for groups of any size: rank table of distinct values, joined back on the value."""
     part = list(part)
     ranks = (ordered_counts(df, x, part)
-             .withColumn(out, F.col("below") + (F.col("cnt") + 1) / F.lit(2.0))
+             .withColumn(out, F.col("_below") + (F.col("_cnt") + 1) / F.lit(2.0))
              .select(*part, x, out))
     return df.join(ranks, [*part, x], "left")
 
@@ -71,7 +71,7 @@ def bh_adjust(df: DataFrame, p: str = "p", family: Sequence[str] = (), out: str
     """
     family = list(family)
     t = (ordered_counts(df, p, family)
-         .withColumn("_cand", F.col(p) * F.col("total") / (F.col("below") + F.col("cnt"))))
+         .withColumn("_cand", F.col(p) * F.col("_total") / (F.col("_below") + F.col("_cnt"))))
     per_bucket = t.groupBy(*family, "_b").agg(F.min("_cand").alias("_m"))
     later = Window.partitionBy(*family).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
     per_bucket = per_bucket.withColumn("_later", F.min("_m").over(later)).drop("_m")
@@ -89,12 +89,12 @@ def exact_quantiles(df: DataFrame, x: str, qs: Sequence[float], names: Sequence[
     t = ordered_counts(df, x, part)
     picks = []
     for q, name in zip(qs, names):
-        h = (F.col("total") - 1) * F.lit(float(q))
+        h = (F.col("_total") - 1) * F.lit(float(q))
         lo, hi = F.floor(h), F.ceil(h)
         for tag, k in (("lo", lo), ("hi", hi)):
-            hit = (F.col("below") <= k) & (k < F.col("below") + F.col("cnt"))
+            hit = (F.col("_below") <= k) & (k < F.col("_below") + F.col("_cnt"))
             picks.append(F.max(F.when(hit, F.col(x))).alias(f"_{name}_{tag}"))
-    g = t.groupBy(*part).agg(F.max("total").alias("_n"), *picks)
+    g = t.groupBy(*part).agg(F.max("_total").alias("_n"), *picks)
     cols = []
     for q, name in zip(qs, names):
         h = (F.col("_n") - 1) * F.lit(float(q))

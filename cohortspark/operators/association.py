@@ -273,7 +273,7 @@ def empirical_rank(effects: DataFrame, feature: str, effect: str, match: str, to
                  total(wide).alias("n_wide"), total(wide, weaker).alias("k_wide")))
     from cohortspark.functions.ordering import ordered_counts
     overall = ordered_counts(effects.withColumn("_e", F.abs(F.col(effect))), "_e") \
-        .select(F.col("_e").alias("e0"), (F.col("below") / F.col("total")).alias("rank_all"))
+        .select(F.col("_e").alias("e0"), (F.col("_below") / F.col("_total")).alias("rank_all"))
     use_wide = F.col("n_near") < floor
     return (effects.withColumn("e0", F.abs(F.col(effect))).withColumn("m0", F.col(match))
             .join(near, ["m0", "e0"]).join(overall, "e0")

@@ -123,3 +123,11 @@ def candidate_keys(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return (n.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"),
                                          ratio(F.sum("n"), F.count(F.lit(1))).alias("mean_rows"))
             .join(med, "column_name"))
+
+
+def verdict(rules, default: str):
+    """First matching rule names the outcome."""
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    for condition, name in rules:
+        out = out.when(condition, name)
+    return out.otherwise(default)

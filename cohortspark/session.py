@@ -24,6 +24,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "cohor
         b = b.config(k, v)
     return (b.config("spark.sql.shuffle.partitions", str(partitions))
              .config("spark.ui.enabled", "false")
+             .config("spark.ui.showConsoleProgress", "false")
              .config("spark.driver.memory", "12g")
              .getOrCreate())
 
