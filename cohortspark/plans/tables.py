@@ -118,3 +118,19 @@ class Tables:
                 .where((F.col("gene_id") >= lo) & (F.col("gene_id") < hi))
                 .withColumn("cnt", F.floor(F.col("v").cast("double") * SPACE_UNIT).cast("bigint"))
                 .where("cnt > 0").select("section_id", "cell_id", F.col("gene_id").cast("bigint"), "cnt"))
+
+    # ------------------------------------------------------------------ several curves per animal
+    @cached_property
+    def section_curves(self) -> DataFrame:
+        """Weekly curves of users grouped into animals of ten: sections of one animal often share a curve."""
+        return (self.raw("events")
+                .groupBy(F.floor(F.col("user_id") / 10).alias("animal_id"), F.col("user_id").alias("section_id"),
+                         F.floor(F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) / 7)
+                         .cast("int").alias("day"))
+                .agg((F.floor(F.max("value") / 250) * F.lit(0.5)).alias("score")))
+
+    @cached_property
+    def curve_units(self) -> DataFrame:
+        """(animal_id, program, severity) per curve animal."""
+        return (self.raw("events").groupBy(F.col("user_id").alias("animal_id"))
+                .agg(F.avg("value").alias("program"), F.stddev_pop("value").alias("severity")))

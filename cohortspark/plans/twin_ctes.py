@@ -94,3 +94,30 @@ SELECT section_id, src, dst, dist, nn FROM (
          row_number() OVER (PARTITION BY a.section_id, a.cell_id
                             ORDER BY (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y), b.cell_id) AS nn
   FROM space a JOIN space b ON a.section_id = b.section_id AND a.cell_id <> b.cell_id) WHERE nn <= 6"""
+
+CTES["section_curves"] = """
+SELECT floor(user_id / 10)::bigint AS animal_id, user_id AS section_id,
+       floor(date_diff('day', date '2024-01-01', ts::date) / 7)::bigint AS day, floor(max(value) / 250) * 0.5::double AS score
+FROM events GROUP BY 1, 2, 3"""
+
+CTES["curve_units"] = """SELECT user_id AS animal_id, avg(value) AS program, stddev_pop(value) AS severity FROM events GROUP BY 1"""
+
+CTES["curve"] = """
+SELECT c.animal_id, c.day, c.score, e.end_day, false AS imputed FROM curves c JOIN curve_ends e USING (animal_id) WHERE c.day <= e.end_day
+UNION ALL SELECT e.animal_id, e.end_day, e.end_score, e.end_day, true FROM curve_ends e
+WHERE NOT EXISTS (SELECT 1 FROM curves c WHERE c.animal_id = e.animal_id AND c.day = e.end_day)"""
+
+CTES["curve_onset"] = """
+SELECT animal_id, min(day) FILTER (q) AS onset_day, coalesce(arg_min(NOT holds, day) FILTER (q), false) AS onset_censored FROM (
+  SELECT *, score >= 0.5 AND (holds OR day = end_day) AS q FROM (
+    SELECT *, coalesce(lead(day) OVER w = day + 1 AND lead(score) OVER w >= 0.5, false) AS holds FROM curve
+    WINDOW w AS (PARTITION BY animal_id ORDER BY day))) GROUP BY 1"""
+
+CTES["curve_aligned"] = """
+SELECT animal_id, day - onset_day AS t, score FROM curve JOIN curve_onset USING (animal_id) WHERE day >= onset_day"""
+
+CTES["curve_ranked"] = """SELECT *, row_number() OVER (PARTITION BY animal_id ORDER BY day) AS rn FROM curve"""
+
+CTES["curve_history"] = """
+SELECT c.animal_id, tau::bigint AS tau, sum(c.score * exp(-(e.end_day - c.day) / tau::double)) AS ewi
+FROM curves c JOIN curve_ends e USING (animal_id), range(1, 31) r(tau) WHERE c.day <= e.end_day GROUP BY 1, 2"""
