@@ -41,11 +41,14 @@ def finish(df: DataFrame) -> DataFrame:
 def twin(final: str, doubles: str = "") -> str:
     """A full statement: the needed CTEs (found by name, dependencies first), the body, doubles rounded."""
     needed: list[str] = []
+    open_: list[str] = []
 
     def visit(text: str) -> None:
         for name, body in CTES.items():
-            if re.search(rf"\b{name}\b", text) and name not in needed:
+            if re.search(rf"\b{name}\b", text) and name not in needed and name not in open_:
+                open_.append(name)
                 visit(body)
+                open_.remove(name)
                 if name not in needed:
                     needed.append(name)
 

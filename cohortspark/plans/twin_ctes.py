@@ -121,3 +121,56 @@ CTES["curve_ranked"] = """SELECT *, row_number() OVER (PARTITION BY animal_id OR
 CTES["curve_history"] = """
 SELECT c.animal_id, tau::bigint AS tau, sum(c.score * exp(-(e.end_day - c.day) / tau::double)) AS ewi
 FROM curves c JOIN curve_ends e USING (animal_id), range(1, 31) r(tau) WHERE c.day <= e.end_day GROUP BY 1, 2"""
+
+# ---- flagged cells, density clusters, hulls by definition (an ordered pair with every other member on its left)
+CTES["flag_cells"] = "SELECT * FROM space WHERE flagged"
+
+CTES["db_near"] = """
+SELECT a.section_id, a.cell_id AS a, b.cell_id AS b FROM flag_cells a JOIN flag_cells b
+  ON a.section_id = b.section_id AND (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) <= 100"""
+
+CTES["db_core"] = "SELECT section_id, a AS cell_id FROM db_near GROUP BY 1, 2 HAVING count(*) >= 4"
+
+CTES["db_reach"] = """
+SELECT section_id, cell_id, cell_id AS lesion FROM db_core UNION
+SELECT r.section_id, n.b, r.lesion FROM db_reach r JOIN db_near n ON n.section_id = r.section_id AND n.a = r.cell_id
+JOIN db_core c ON c.section_id = n.section_id AND c.cell_id = n.b"""
+
+CTES["db_cells"] = """
+SELECT f.section_id, f.cell_id, c.cell_id IS NOT NULL AS core, CASE WHEN c.cell_id IS NOT NULL THEN k.lesion ELSE
+   (SELECT min(r.lesion) FROM db_near n JOIN db_reach r ON r.section_id = n.section_id AND r.cell_id = n.b WHERE n.section_id = f.section_id AND n.a = f.cell_id) END AS lesion
+FROM flag_cells f LEFT JOIN db_core c ON c.section_id = f.section_id AND c.cell_id = f.cell_id
+LEFT JOIN (SELECT section_id, cell_id, min(lesion) AS lesion FROM db_reach GROUP BY 1, 2) k ON k.section_id = f.section_id AND k.cell_id = f.cell_id"""
+
+CTES["lesion_cells"] = """
+SELECT d.section_id, d.lesion, d.cell_id, s.x, s.y, s.cell_type FROM db_cells d JOIN space s ON s.section_id = d.section_id AND s.cell_id = d.cell_id WHERE lesion IS NOT NULL"""
+
+CTES["lesion_hull"] = """
+SELECT a.section_id, a.lesion, a.x AS ax, a.y AS ay, b.x AS ex, b.y AS ey FROM lesion_cells a JOIN lesion_cells b
+  ON a.section_id = b.section_id AND a.lesion = b.lesion AND a.cell_id <> b.cell_id
+JOIN lesion_cells c ON c.section_id = a.section_id AND c.lesion = a.lesion
+GROUP BY a.section_id, a.lesion, a.cell_id, b.cell_id, a.x, a.y, b.x, b.y
+HAVING min((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)) >= -1e-9 AND count(*) >= 3"""
+
+CTES["lesion_signed"] = """
+SELECT section_id, lesion, cell_id, CASE WHEN bool_and((ex - ax) * (y - ay) - (ey - ay) * (x - ax) >= -1e-9) THEN -1 ELSE 1 END
+  * sqrt(min(pow(x - ax - t * (ex - ax), 2) + pow(y - ay - t * (ey - ay), 2))) AS signed_dist
+FROM (SELECT s.section_id, s.cell_id, h.lesion, s.x, s.y, h.ax, h.ay, h.ex, h.ey,
+             greatest(least(((s.x - h.ax) * (h.ex - h.ax) + (s.y - h.ay) * (h.ey - h.ay)) / (pow(h.ex - h.ax, 2) + pow(h.ey - h.ay, 2) + 1e-12), 1), 0) AS t
+      FROM space s JOIN lesion_hull h ON h.section_id = s.section_id
+      JOIN (SELECT section_id, lesion, min(ax) - 15 AS xl, max(ax) + 15 AS xh, min(ay) - 15 AS yl, max(ay) + 15 AS yh FROM lesion_hull GROUP BY 1, 2) q
+        ON q.section_id = h.section_id AND q.lesion = h.lesion AND s.x BETWEEN xl AND xh AND s.y BETWEEN yl AND yh)
+GROUP BY 1, 2, 3"""
+
+# connected groups of flagged cells in the 6-nearest-neighbour graph
+CTES["fk_edge"] = """
+SELECT DISTINCT section_id, a, b FROM (
+  SELECT k.section_id, src AS a, dst AS b FROM knn6 k JOIN flag_cells f ON f.section_id = k.section_id AND f.cell_id = src JOIN flag_cells g ON g.section_id = k.section_id AND g.cell_id = dst
+  UNION ALL SELECT k.section_id, dst, src FROM knn6 k JOIN flag_cells f ON f.section_id = k.section_id AND f.cell_id = src JOIN flag_cells g ON g.section_id = k.section_id AND g.cell_id = dst)"""
+CTES["fk_reach"] = """
+SELECT section_id, a AS cell_id, a AS lesion FROM fk_edge UNION SELECT r.section_id, e.b, r.lesion FROM fk_reach r JOIN fk_edge e ON e.section_id = r.section_id AND e.a = r.cell_id"""
+CTES["fk_cells"] = """
+SELECT section_id, cell_id, lesion, count(*) OVER (PARTITION BY section_id, lesion) AS size FROM (SELECT section_id, cell_id, min(lesion) AS lesion FROM fk_reach GROUP BY 1, 2)"""
+
+CTES["space_value"] = """
+SELECT section_id, cell_id, gene_id, ln(1 + cnt / (sum(cnt) OVER (PARTITION BY section_id, cell_id))::double * 10000) AS value FROM space_expr"""

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 # AQE picks join sides from measured sizes (no broadcast hint is used anywhere in the library), splits skewed
 # shuffle partitions and merges small ones.
@@ -29,13 +31,31 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "cohor
              .getOrCreate())
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Iterative operators cut lineage with ``checkpoint()``, which must survive executor loss.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder (``spark.checkpoint.dir``); a scratch folder only where none is set."""
+    known = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if known is None:
+        known = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(known)
+    return known
 
-    The cluster names a shared folder in ``spark.checkpoint.dir``; only where nothing is set (tests) a scratch
-    folder is used.
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write a reused or iterated table to the shared folder and read it back.
+
+    This ends the lineage, survives executor loss, and computes the table once (``checkpoint()`` computes it twice
+    unless it is also cached). The folder's owner clears it after the job.
     """
-    if spark.sparkContext.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_with_digest(df: DataFrame, *cols: str) -> tuple[DataFrame, tuple]:
+    """:func:`cut`, with row count and an order-free digest observed while writing, so no second scan is needed."""
+    seen = Observation()
+    h = F.xxhash64(*cols)
+    d = df.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"), F.sum(h % 1000003).alias("s"))
+    out = cut(d)
+    got = seen.get
+    return out, (got["n"], got["x"], got["s"])
