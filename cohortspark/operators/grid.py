@@ -192,6 +192,13 @@ def _paired(left: DataFrame, right: DataFrame, keys: Sequence[str]):
     return left.groupBy(*keys).cogroup(r.groupBy(*[f"{k}_r" for k in keys]))
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition small but compute-heavy groups over all cores; AQE would merge them by their size in bytes."""
+    spark = df.sparkSession
+    n = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)
+
+
 def _unpack(pdf: pd.DataFrame):
     size, k = int(pdf["size"].iloc[0]), int(pdf["k"].iloc[0])
     blocks: dict[int, np.ndarray] = {}
@@ -247,7 +254,7 @@ def leave_out_regression(x: DataFrame, units: DataFrame, s: Settings = Settings(
         return pd.DataFrame([{
             "task": task, "fold": fold, "target": int(lo + j), "pred": pred[:, j].tolist(), "observed": adj[:, 1 + k + j].tolist(),
             "coef": w[:, j].tolist(), "n_nonzero": int((w[:, j] != 0).sum()), "alpha": float(alpha[j])} for j in range(hi - lo)])
-    fitted = cut(prod.groupBy("task", "fold", "batch").applyInPandas(
+    fitted = cut(_spread(prod, "task", "fold", "batch").groupBy("task", "fold", "batch").applyInPandas(
         fit, "task string, fold string, target int, pred array<double>, observed array<double>, coef array<double>, "
              "n_nonzero int, alpha double"))
     preds = (fitted.where("fold <> ''").join(held, ["task", "fold"])
@@ -321,7 +328,7 @@ def leave_out_classification(x: DataFrame, units: DataFrame, components: int = 1
             out.append(pd.DataFrame({"task": key[0], "fold": key[1], "target": j, "unit": pdf["unit"][te].to_numpy(),
                                      "prob": prob, "truth": y[te, j]}))
         return pd.concat(out)
-    return scores.groupBy("task", "fold").applyInPandas(
+    return _spread(scores, "task", "fold").groupBy("task", "fold").applyInPandas(
         classify, f"task string, fold string, target int, unit {unit_type}, prob double, truth double")
 
 
