@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.functions.scalars import c, hash_key, hash_text
+from cohortspark.session import cut
 
 BUCKETS_PER_OCTAVE = 64
 
@@ -67,9 +68,11 @@ def bh_adjust(df: DataFrame, p: str = "p", family: Sequence[str] = (), out: str
     """Benjamini-Hochberg q inside each family, capped at 1; NULL p stays NULL.
 
     Tied p share one candidate ``p * n / (rows <= p)``. The running minimum from the largest p is taken inside value
-    buckets and then against the minimum of all later buckets.
+    buckets and then against the minimum of all later buckets. The input is written once, since ranks are joined back
+    to it and the tests before it are the costly part.
     """
     family = list(family)
+    df = cut(df)
     t = (ordered_counts(df, p, family)
          .withColumn("_cand", F.col(p) * F.col("_total") / (F.col("_below") + F.col("_cnt"))))
     per_bucket = t.groupBy(*family, "_b").agg(F.min("_cand").alias("_m"))

@@ -201,3 +201,54 @@ WITH {PAIRS}
        "day_gap")
 def _(t):
     return R.pick_pairs(R.matched_pairs(t.animals, "animal_id", "score", "day", "n_cells", 0.05))
+
+
+@query("t31_memory_timescale_bootstrap", f"""
+WITH u AS (SELECT animal_id, program, row_number() OVER (ORDER BY animal_id) - 1 AS idx, count(*) OVER () AS n FROM curve_units),
+d AS (SELECT rep, idx AS slot, {H.format("rep || '|' || idx || '|0'")} % n AS pick FROM u, range(0, 10) t(rep)),
+s AS (SELECT d.rep, h.tau, h.ewi, u.program FROM d JOIN u ON u.idx = d.pick JOIN curve_history h USING (animal_id)),
+r AS (SELECT rep, tau, {mr('ewi', 'rep, tau')} AS x, {mr('program', 'rep, tau')} AS y FROM s),
+g AS (SELECT rep, tau, count(*) AS n, corr(x, y) AS rho FROM r GROUP BY 1, 2)
+SELECT rep, arg_max(tau, (round(rho, 9), -tau)) AS tau_star, max(rho) AS rho_at_tau, max(n) AS n, arg_max(tau, (round(rho, 9), -tau)) = max(tau) AS at_scan_limit FROM g GROUP BY 1""",
+       "rho_at_tau")
+def _(t):
+    from cohortspark.operators import curves as V
+    d = R.bootstrap_rows(t.curve_units.select("animal_id", "program"), "animal_id", 10)
+    h = V.weighted_history(t.curves, t.curve_ends, range(1, 31))
+    j = d.join(h, "animal_id").select("rep", "slot", "tau", "ewi", "program")
+    from cohortspark.functions.ordering import midrank
+    r = j.select("rep", "tau", midrank("ewi", ["rep", "tau"]).alias("x"), midrank("program", ["rep", "tau"]).alias("y"))
+    g = r.groupBy("rep", "tau").agg(F.count(F.lit(1)).alias("n"), A.pearson("x", "y").alias("rho")).where("rho is not null")
+    out = g.groupBy("rep").agg(F.max_by("tau", F.struct(F.round("rho", 9), -F.col("tau"))).alias("tau_star"), F.max("rho").alias("rho_at_tau"),
+                               F.max("n").alias("n"), F.max("tau").alias("last"))
+    return out.withColumn("at_scan_limit", F.col("tau_star") == F.col("last")).drop("last")
+
+
+@query("g11_beyond_severity", f"""
+WITH r AS (SELECT s.section_id, s.animal_id, s.region, a.stage, s.n_cells - avg(s.n_cells) OVER () - regr_slope(s.n_cells, a.score) OVER () * (a.score - avg(a.score) OVER ()) AS resid
+           FROM sections s JOIN animals a USING (animal_id)),
+an AS (SELECT animal_id, avg(resid) AS resid, min(stage) AS stage FROM r GROUP BY 1),
+sl AS (SELECT animal_id, regr_slope(resid, {RANK_SQL}) AS slope FROM r GROUP BY 1 HAVING count(DISTINCT region) > 1)
+SELECT (SELECT avg(resid) FILTER (stage = 'PEAK1') - avg(resid) FILTER (stage = 'REMISSION1') FROM an) AS peak_minus_rest, (SELECT avg(slope) FROM sl) AS mean_slope,
+       (SELECT count(*) FROM sl) AS n_animals""", "peak_minus_rest mean_slope")
+def _(t):
+    d = t.sections.join(t.animals.select("animal_id", "stage", "score"), "animal_id").withColumn("n_cells", F.col("n_cells").cast("double"))
+    r = A.residualise(d, "n_cells", "score")
+    an = r.groupBy("animal_id").agg(F.avg("resid").alias("resid"), F.min("stage").alias("stage"))
+    gap = R.mean_gap("resid", "stage", "REMISSION1", "PEAK1")(an, [])
+    sl = (r.withColumn("rk", region_rank()).groupBy("animal_id").agg(F.regr_slope("resid", "rk").alias("slope"), F.count_distinct("region").alias("k"))
+          .where("k > 1"))
+    return sl.agg(F.avg("slope").alias("mean_slope"), F.count(F.lit(1)).alias("n_animals")) \
+        .withColumn("peak_minus_rest", gap.select("stat").scalar())
+
+
+@query("g15_spread_against_day", f"""
+WITH q AS (SELECT animal_id, count(*) AS n, stddev_samp(n_cells) AS sd, quantile_cont(n_cells, 0.75) - quantile_cont(n_cells, 0.25) AS iqr, max(n_cells) - min(n_cells) AS rng FROM sections GROUP BY 1),
+l AS (SELECT 'sd' AS stat, sd AS v, day FROM q JOIN animals USING (animal_id) UNION ALL SELECT 'iqr', iqr, day FROM q JOIN animals USING (animal_id) UNION ALL SELECT 'range', rng, day FROM q JOIN animals USING (animal_id))
+SELECT stat, count(*) AS n, corr(x, y) AS rho FROM (SELECT stat, {mr('v', 'stat')} AS x, {mr('day', 'stat')} AS y FROM l) GROUP BY 1""", "rho")
+def _(t):
+    from cohortspark.operators import counts as C
+    s = C.spread(t.sections, ["animal_id"], "n_cells").join(t.animals.select("animal_id", "day"), "animal_id")
+    rows = F.array(*[F.struct(F.lit(k).alias("stat"), F.col(k).cast("double").alias("v")) for k in ("sd", "iqr", "range")])
+    long = s.select("day", F.explode(rows).alias("_r")).select("day", "_r.*")
+    return A.grouped_spearman(long, "v", "day", ["stat"])
