@@ -288,7 +288,9 @@ def _(t):
     w = w.toDF("section_id", "animal_id", *[f"k{i}" for i in range(5)]).join(t.animals.select("animal_id", "model"), "animal_id")
     w = w.withColumn("label", (F.col("model") == "RR").cast("double"))
     d = VectorAssembler(inputCols=[f"k{i}" for i in range(5)], outputCol="features").transform(w)
-    train, test = d.where("animal_id > 5"), d.where("animal_id <= 5")
+    from cohortspark.functions.ordering import split_units
+    d = d.join(split_units(t.animals, "animal_id", 0.25), "animal_id")   # whole animals go to one side
+    train, test = d.where("split = 'train'"), d.where("split = 'val'")
     m = RandomForestClassifier(numTrees=10, maxDepth=4, seed=0).fit(train)
     return m.transform(test).groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
 
@@ -300,8 +302,11 @@ def _(t):
     w = t.space_expr.groupBy("section_id", "cell_id").pivot("gene_id", list(range(8, 16))).agg(F.sum("cnt")).na.fill(0)
     w = w.toDF("section_id", "cell_id", *[f"g{i}" for i in range(8)])
     d = VectorAssembler(inputCols=[f"g{i}" for i in range(8)], outputCol="raw").transform(w)
-    sc = StandardScaler(inputCol="raw", outputCol="v", withMean=True, withStd=False).fit(d.where("section_id < 7"))
-    m = PCA(k=3, inputCol="v", outputCol="pc").fit(sc.transform(d.where("section_id < 7")))
+    from cohortspark.functions.ordering import split_units
+    d = d.join(split_units(t.space, "section_id", 0.3), "section_id")
+    train = d.where("split = 'train'")
+    sc = StandardScaler(inputCol="raw", outputCol="v", withMean=True, withStd=False).fit(train)
+    m = PCA(k=3, inputCol="v", outputCol="pc").fit(sc.transform(train))
     from pyspark.ml.functions import vector_to_array
     out = m.transform(sc.transform(d)).withColumn("a", vector_to_array("pc"))
     # the sign of a component is arbitrary
