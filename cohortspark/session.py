@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,9 +33,15 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "cohor
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder (``spark.checkpoint.dir``); a scratch folder only where none is set."""
+    """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
+
+    Only a ``local`` master, whose one process sees every file it writes, may go without: it gets a scratch folder of
+    its own. Elsewhere a missing setting is an error, since executors would write to their own disks.
+    """
     known = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if known is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         known = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(known)
     return known
