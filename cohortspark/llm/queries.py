@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import exact, idfiles, langid, packing, sharding
+from cohortspark.llm import exact, forest, idfiles, langid, packing, sharding, simhash
 from cohortspark.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {"op10_content_sort": exact.SQL}
+ORACLE_SQL: dict[str, str] = {"op9_lsh_forest": forest.sql(2), "op10_content_sort": exact.SQL}
 
 
 def tokenizer_path(name: str) -> str:
@@ -38,6 +38,11 @@ def op2_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
+@query
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprint_edits(documents(spark, sf_dir))
+
+
 @query
 def op7_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("word_bpe_49k.json")
@@ -51,6 +56,11 @@ def op8_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.balanced_shards(documents(spark, sf_dir))
 
 
+@query
+def op9_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(documents(spark, sf_dir), width=2)
+
+
 @query
 def op10_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.content_sort(documents(spark, sf_dir))
