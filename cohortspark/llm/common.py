@@ -68,16 +68,16 @@ def uniform(*cols: Column) -> Column:
 
 
 def dense_ranks(df: DataFrame, keys: Sequence[str], order: Sequence[str], rank: str, weight: str | None = None,
-                block_rows: int = 20000) -> DataFrame:
+                block_rows: int = 1000, max_blocks: int = 20000) -> DataFrame:
     """A gapless number from 0 within each key (with ``weight``: the sum of the weights before the row).
 
-    The rows of a key are dealt into hash blocks of about ``block_rows``; a window runs inside a block, and the totals of
-    the blocks are summed up over the short table of blocks. A key that holds a third of all rows thus becomes many
+    The rows of a key are dealt into hash blocks of about ``block_rows`` (larger ones beyond ``max_blocks`` of a key); a
+    window runs inside a block, and the totals of the blocks are summed up over the short table of blocks. A key that holds a third of all rows thus becomes many
     blocks. ``df`` is read twice, so it should be a written table.
     """
     keys, order = list(keys), list(order)
     per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    per_key = per_key.select(*keys, F.ceil(F.col("_rows") / block_rows).cast("int").alias("_blocks"))
+    per_key = per_key.select(*keys, F.least(F.lit(max_blocks), F.ceil(F.col("_rows") / block_rows)).cast("int").alias("_blocks"))
     same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
     cond = same[0]
     for c in same[1:]:
