@@ -15,6 +15,8 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  hot_rows: int = HOT_ROWS) -> DataFrame:
     """Classes of equal texts: (id, keep_id, group_size, kept, text_sha256, carried columns).
 
+    ``carry`` names further columns to take along, the text as it is among them if wanted.
+
     Texts are equal when identical after every run of the six ASCII white-space characters is one space; a null text is
     empty. One row per input row; of a class, the row with the smallest id is kept (a null id comes first, and of
     repeated rows exactly one is kept). An empty table gives an empty result.
@@ -26,10 +28,13 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     most 10,000 texts) is dealt into several runs; the heads of these runs are merged at the end.
     """
     spark = docs.sparkSession
-    raw = docs.select(F.col(f"`{id_col}`").alias("_id"),
-                      F.regexp_replace(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), SPACE, " ").alias("_norm"),
-                      *[F.col(f"`{c}`").alias(f"_c_{i}") for i, c in enumerate(carry)])
-    table = cut(raw.withColumn("_hash", F.xxhash64("_norm")).withColumn("_head", F.substring("_norm", 1, 64)))
+    raw = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_raw"),
+                      *[F.col(f"`{c}`").alias(f"_c_{i}") for i, c in enumerate(carry) if c != text_col])
+    norm = F.regexp_replace(F.coalesce("_raw", F.lit("")), SPACE, " ")
+    table = raw.withColumn("_norm", norm)
+    table = cut(table.withColumn("_hash", F.xxhash64("_norm")).withColumn("_head", F.substring("_norm", 1, 64)).drop("_norm" if text_col in carry else "_raw"))
+    if text_col in carry:      # the texts as they are travel once; their normal form is made again behind the shuffle
+        table = table.withColumnRenamed("_raw", "_text_as_is")
 
     counts = table.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"))
     total = table.agg(F.count(F.lit(1)).alias("_all"))
@@ -43,14 +48,19 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = salted.repartitionByRange(parts, "_head", "_hash", "_salt")
+    if text_col in carry:
+        dealt = dealt.withColumn("_norm", F.regexp_replace(F.coalesce("_text_as_is", F.lit("")), SPACE, " "))
     run = Window.partitionBy("_head", "_hash", "_salt", "_norm")
     first = run.orderBy(F.col("_id").asc_nulls_first())
     whole = first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    carried = [f"_c_{i}" for i in range(len(carry))]
+    carried = ["_text_as_is" if c == text_col else f"_c_{i}" for i, c in enumerate(carry)]
     sorted_ = dealt.select("_id", "_hash", "_salt", *carried, (F.col("_runs").isNotNull()).alias("_split"),
                            F.first("_id").over(whole).alias("_keep"), F.count(F.lit(1)).over(whole).alias("_size"),
                            F.row_number().over(first).alias("_place"), F.sha2("_norm", 256).alias("_sha"),
                            F.when((F.row_number().over(first) == 1) & F.col("_runs").isNotNull(), F.col("_norm")).alias("_text"))
+    if not hot.take(1):
+        return sorted_.select(F.col("_id").alias(id_col), F.col("_keep").alias("keep_id"), F.col("_size").cast("long").alias("group_size"),
+                              (F.col("_place") == 1).alias("kept"), F.col("_sha").alias("text_sha256"), *[F.col(x).alias(c) for x, c in zip(carried, carry)])
     sorted_ = cut(sorted_)
 
     # the runs of a hot text: at most 10,000 texts, each with one head for a run
@@ -63,7 +73,7 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select(F.col("_id").alias(id_col), F.when(split, F.col("_k")).otherwise(F.col("_keep")).alias("keep_id"),
                       F.when(split, F.col("_all")).otherwise(F.col("_size")).cast("long").alias("group_size"),
                       ((F.col("_place") == 1) & (~split | (F.col("_salt") == F.col("_ks")))).alias("kept"),
-                      F.col("_sha").alias("text_sha256"), *[F.col(f"_c_{i}").alias(c) for i, c in enumerate(carry)])
+                      F.col("_sha").alias("text_sha256"), *[F.col(x).alias(c) for x, c in zip(carried, carry)])
 
 
 SQL = r"""
@@ -72,3 +82,11 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
        doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM n
 """
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the row of the smallest id of every class of equal texts, all columns as they are."""
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    d = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in own.items()])
+    kept = content_sort(d, own[id_col], own[text_col], tuple(x for c, x in own.items() if c != id_col)).where("kept")
+    return kept.select(*[F.col(x).alias(c) for c, x in own.items()])

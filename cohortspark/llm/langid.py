@@ -24,6 +24,7 @@ SAMPLE_CHARS = 400          # characters of each
 TOTAL_CHARS = 1 << 20       # characters of all samples together, shared by the languages
 ALPHABET = 96               # letters that the automata tell apart; rarer ones share one class
 STRETCH = 512               # letters parsed as one lane; a longer text is several lanes, which add up
+MIN_SCORE = 0.02            # lead under which a text counts as no language at all
 LANES = 8192                # lanes stepped together
 
 
@@ -152,6 +153,30 @@ class Model:
         return out
 
 
+    def judge(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(language, score, bits) of the rows of a text slice; see :func:`predict`."""
+        lead = (data & 0xC0) != 0x80
+        at = np.concatenate([[0], np.cumsum(lead)])[offsets]
+        codes = self.codes(fold(data))
+        # runs of non-letters count as one space
+        keep = np.ones(len(codes), bool)
+        keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0)
+        bounds, codes = np.concatenate([[0], np.cumsum(keep)])[at], codes[keep]
+        letters = np.concatenate([[0], np.cumsum(codes != 0)])
+        n = letters[bounds[1:]] - letters[bounds[:-1]]
+        if not self.langs:
+            return np.array(["und"] * len(n), object), np.zeros(len(n)), np.zeros(len(n))
+        cost = self.phrases(codes, bounds) * self.bits / np.maximum(1, n)[:, None]
+        order = np.argsort(cost, axis=1, kind="stable")
+        best = np.take_along_axis(cost, order[:, :1], 1)[:, 0]
+        second = np.take_along_axis(cost, order[:, 1:2], 1)[:, 0] if len(self.langs) > 1 else np.full(len(best), np.inf)
+        names = np.array(self.langs, object)[order[:, 0]]
+        score = np.clip(np.where(np.isinf(second), 1.0, 1.0 - best / np.maximum(second, 1e-12)), 0.0, 1.0)
+        none = n == 0
+        names[none], score[none], best[none] = "und", 0.0, 0.0
+        return names, score, best
+
+
 _models: dict[tuple, Model] = {}
 
 
@@ -190,29 +215,32 @@ def predict(docs: DataFrame, samples: tuple[tuple[str, str], ...], id_col: str =
         model = _model(samples)
         for batch in batches:
             for first, end, data, offsets in text_slices(batch, "text", 1 << 20):
-                lead = (data & 0xC0) != 0x80
-                points = fold(data)
-                at = np.concatenate([[0], np.cumsum(lead)])[offsets]
-                codes = model.codes(points)
-                # runs of non-letters count as one space
-                keep = np.ones(len(codes), bool)
-                keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0)
-                kept = np.concatenate([[0], np.cumsum(keep)])
-                bounds, codes = kept[at], codes[keep]
-                letters = np.concatenate([[0], np.cumsum(codes != 0)])
-                n = letters[bounds[1:]] - letters[bounds[:-1]]
-                if model.langs:
-                    cost = model.phrases(codes, bounds) * model.bits / np.maximum(1, n)[:, None]
-                    order = np.argsort(cost, axis=1, kind="stable")
-                    best = np.take_along_axis(cost, order[:, :1], 1)[:, 0]
-                    second = np.take_along_axis(cost, order[:, 1:2], 1)[:, 0] if len(model.langs) > 1 else np.full(len(best), np.inf)
-                    names = np.array(model.langs, object)[order[:, 0]]
-                    score = np.where(np.isinf(second), 1.0, 1.0 - best / np.maximum(second, 1e-12))
-                else:
-                    best, score, names = np.zeros(len(n)), np.zeros(len(n)), np.array(["und"] * len(n), object)
-                none = (n == 0) | (not model.langs)
-                names[none], score[none], best[none] = "und", 0.0, 0.0
+                names, score, best = model.judge(data, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, end - first), pa.array(names, pa.string()),
-                                                  pa.array(np.clip(score, 0.0, 1.0)), pa.array(best)], ["id", "lang_pred", "score", "bits"])
+                                                  pa.array(score), pa.array(best)], ["id", "lang_pred", "score", "bits"])
 
     return src.mapInArrow(run, f"id {kind}, lang_pred string, score double, bits double").withColumnRenamed("id", id_col)
+
+
+def accepted(docs: DataFrame, samples: tuple[tuple[str, str], ...], min_score: float = MIN_SCORE, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text is in a learned language.
+
+    A row is rejected where the prediction is ``und`` (null text, no letter) or no language leads by ``min_score``, that is,
+    where the text is as foreign to one sample as to the next. No shuffle: rows are filtered where they are read. With
+    nothing learned nothing can be told apart, and all rows stay.
+    """
+    if not samples:
+        return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _model(samples)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keep = []
+            for _, _, data, offsets in text_slices(batch, text_col, 1 << 20):
+                names, score, _ = model.judge(data, offsets)
+                keep.append((names != "und") & ((score >= min_score) | (len(model.langs) == 1)))
+            yield batch.filter(pa.array(np.concatenate(keep).astype(bool)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -1,4 +1,59 @@
-"""placeholder"""
+"""A corpus pipeline over the documents table: language ID, exact dedup, near dedup, substring dedup, packing.
+
+Each stage takes ``(spark, docs, sf_dir)`` and works on all rows that the stage before it kept; its result is written as
+Parquet and read again as the next one's ``docs``. All stages but the last return the columns of ``docs`` as they came. Every stage
+takes empty tables (and gives empty ones), null, empty and very long texts, nulls in any column, repeated rows and further
+columns.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cohortspark.llm import exact, forest, langid, packing, passages
+from cohortspark.llm.common import cut, documents
+from cohortspark.llm.queries import tokenizer_path
+
+# No stage but the second can be said in SQL: the run is tested against a brute-force version.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cross-parsing entropy (operator 1): rows whose text is in none of the languages that the labelled rows teach go
+    (null texts, texts without a letter, texts that no language leads on)."""
+    return langid.accepted(docs, langid.fit(docs))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Content sort (operator 10): of equal texts the row with the smallest id stays."""
+    return exact.without_copies(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """LSH forest (operator 9): of documents whose sets of five-word shingles are linked by a similarity of 0.8 or more
+    the one with the smallest id stays."""
+    dropped = forest.near_duplicates(docs).where("NOT kept").select("doc_id")
+    return docs.join(dropped, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Compact windows (operator 4): passages of 50 words or more that near-copy a passage of a document with a smaller id
+    are cut out of the text; no document goes."""
+    return passages.without_passages(docs, passages.repeated_passages(docs))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Minimum bin slack (operator 2): token pieces of all documents in sequences of at most 2048 tokens."""
+    return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"))
+
+
+STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup),
+          ("substring_dedup", substring_dedup), ("best_fit_packing", best_fit_packing)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for _, stage in STAGES:
+        docs = cut(stage(spark, docs, sf_dir))
+    return docs
