@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import exact, forest, idfiles, langid, packing, passages, sharding, simhash
+from cohortspark.llm import chat, exact, forest, idfiles, langid, packing, passages, sentencepieces, sharding, simhash
 from cohortspark.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {"op9_lsh_forest": forest.sql(2), "op10_content_sort": exact.SQL}
+ORACLE_SQL: dict[str, str] = {"op6_tool_calls": chat.SQL, "op9_lsh_forest": forest.sql(2), "op10_content_sort": exact.SQL}
 
 
 def tokenizer_path(name: str) -> str:
@@ -48,6 +48,17 @@ def op4_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(documents(spark, sf_dir))
 
 
+@query
+def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encode(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"), with_ids=False)
+
+
+@query
+def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = chat.calls_of(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return chat.link_calls(calls, results, chat.tool_schemas(spark))
+
+
 @query
 def op7_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("word_bpe_49k.json")

@@ -76,6 +76,9 @@ class Encoder:
         self.size = np.empty(0, np.int64)
         self.ids = np.empty(0, np.uint32)
 
+    def _borders(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        return piece_borders(data, offsets, self.keeps_space)
+
     def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         size = np.fromiter(map(len, got), np.int64, len(got))
@@ -83,7 +86,7 @@ class Encoder:
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, bounds by row)."""
-        borders = piece_borders(data, offsets, self.keeps_space)
+        borders = self._borders(data, offsets)
         starts, ends = borders[:-1], borders[1:]
         if not self.keeps_space:
             solid = ~((ends - starts == 1) & WHITE[data[np.minimum(starts, max(0, len(data) - 1))]]) if len(data) else np.zeros(0, bool)
