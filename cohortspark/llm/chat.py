@@ -22,7 +22,7 @@ def order_labels(calls: DataFrame, edges: DataFrame) -> DataFrame:
     ``calls``: (conv, id, pos), one row for each id; ``edges``: (conv, id, after). A label starts as the position; where a call waits
     for one that is not before it, it takes that label plus one, until nothing changes. The number of rounds is the
     longest run of calls against the order of the conversation, not its length. A label whose lower part passes the
-    number of calls of its conversation is on a cycle or behind one, and becomes null.
+    number of calls of its conversation is on a cycle, and becomes null; calls that wait for one keep their own place.
     """
     size = calls.groupBy("conv").agg(F.count(F.lit(1)).alias("_size"))
     labels = cut(calls.join(size, "conv").select("conv", "id", "_size", F.shiftleft(F.col("pos").cast("long"), _DEPTH_BITS).alias("label")))
