@@ -231,14 +231,23 @@ def slope_interaction(x: DataFrame, units: DataFrame, feature: str, unit: str, s
     return out.withColumn("t", F.col("interaction") / F.col("se"))
 
 
-def within_unit_slopes(long: DataFrame, unit: str, feature: str, x: str, y: str) -> DataFrame:
-    """Slope inside each unit, then a one-sample t across units."""
-    s = (long.groupBy(unit, feature).agg(F.regr_slope(y, x).alias("slope"), F.count(F.lit(1)).alias("k"),
-                                         F.count_distinct(x).alias("levels"))
-         .where("levels > 1"))
-    return (s.groupBy(feature).agg(F.count(F.lit(1)).alias("n"), F.avg("slope").alias("mean_slope"),
-                                   F.stddev_samp("slope").alias("_sd"))
-            .where("n > 1").withColumn("t", ratio("mean_slope", F.col("_sd") / F.sqrt("n"))).drop("_sd"))
+def within_unit_slopes(long: DataFrame, levels: DataFrame, unit: str, feature: str, x: str, y: str) -> DataFrame:
+    """Slope inside each unit over all its levels, then a one-sample t across units.
+
+    ``long`` has the non-zero rows; ``levels`` lists every level ``x`` that a unit has (after any cell floor). Levels
+    without a row are zeros: they add nothing to the cross product and count in the unit's mean and spread of ``x``. A unit in
+    which the feature is zero everywhere has slope 0. Units with one level have no slope.
+    """
+    u = levels.select(unit, x).distinct().groupBy(unit).agg(F.avg(x).alias("_mx"), (F.var_pop(x) * F.count(F.lit(1))).alias("_sx"))
+    u = u.where("_sx > 0")
+    n = u.agg(F.count(F.lit(1))).scalar()
+    cross = (F.col(x) - F.col("_mx")) * F.col(y)
+    s = (long.join(levels.select(unit, x).distinct(), [unit, x], "left_semi").join(u, unit)
+         .groupBy(unit, feature).agg((F.sum(cross) / F.max("_sx")).alias("slope")))
+    g = s.groupBy(feature).agg(F.sum("slope").alias("_s"), F.sum(F.col("slope") * F.col("slope")).alias("_q")).withColumn("n", n)
+    var = F.greatest(F.col("_q") - F.col("_s") * F.col("_s") / F.col("n"), F.lit(0.0)) / (F.col("n") - 1)
+    g = g.where("n > 1").select(feature, "n", (F.col("_s") / F.col("n")).alias("mean_slope"), var.alias("_v"))
+    return g.withColumn("t", ratio("mean_slope", F.sqrt(F.col("_v") / F.col("n")))).drop("_v")
 
 
 def agreement(a: DataFrame, b: DataFrame, feature: str, x: str, q: str | None = None, level: float = 0.05

@@ -119,6 +119,19 @@ def weighted_mean(df: DataFrame, keys: Sequence[str], value, weight, out: str =
     return df.groupBy(*keys).agg(ratio(F.sum(c(value) * c(weight)), F.sum(c(weight))).alias(out))
 
 
+def collapse(values: DataFrame, weights: DataFrame, keys: Sequence[str], parts: Sequence[str], value: str, weight: str,
+             gene: str = "gene_id", out: str = "wmean") -> DataFrame:
+    """Weighted mean over the parts of a key (A8): types collapsed into compartments by their cells.
+
+    ``values`` has the non-zero rows (keys, parts, gene); ``weights`` every part of every key. The divisor is the whole
+    weight of the key, so a part without the gene counts as 0.
+    """
+    total = weights.groupBy(*keys).agg(F.sum(weight).alias("_all"))
+    got = values.join(weights.select(*keys, *parts, weight), [*keys, *parts])
+    return (got.groupBy(*keys, gene).agg(F.sum(c(value) * c(weight)).alias("_s")).join(total, list(keys))
+            .select(*keys, gene, ratio("_s", "_all").alias(out)))
+
+
 def spread(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
     """n, mean, sample sd, min, max, quartiles, IQR, range (A10)."""
     q = exact_quantiles(df, x, (0.25, 0.5, 0.75), ("q25", "median", "q75"), keys).drop("n")

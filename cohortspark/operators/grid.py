@@ -113,9 +113,12 @@ def screen(x: DataFrame, units: DataFrame, folds: DataFrame, s: Settings, keep:
         ranked = ranked.join(keep.select(F.col("feature").cast("string"), F.lit(True).alias("_keep")), "feature", "left")
     else:
         ranked = ranked.withColumn("_keep", F.lit(None).cast("boolean"))
-    w = Window.partitionBy("task", "fold").orderBy(F.coalesce("_keep", F.lit(False)).desc(), F.round("var", 12).desc(), "feature")
-    return (ranked.where("var > 1e-12 or _keep").withColumn("pos", F.row_number().over(w) - 1)
-            .where((F.col("pos") < s.top) | F.col("_keep")).select("task", "fold", "feature", "pos"))
+    # kept features come on top of the ``top`` screened ones and use up none of their places
+    ranked = ranked.where("var > 1e-12 or _keep").withColumn("_keep", F.coalesce("_keep", F.lit(False)))
+    w = Window.partitionBy("task", "fold", "_keep").orderBy(F.round("var", 12).desc(), "feature")
+    ranked = ranked.withColumn("_r", F.row_number().over(w)).where((F.col("_r") <= s.top) | F.col("_keep"))
+    w = Window.partitionBy("task", "fold").orderBy(F.col("_keep").desc(), "_r")
+    return ranked.withColumn("pos", F.row_number().over(w) - 1).select("task", "fold", "feature", "pos")
 
 
 def _width(units: DataFrame, col: str) -> int:
@@ -423,16 +426,18 @@ def learning_curve_units(units: DataFrame, unit: str, fractions: Sequence[float]
         .select("task", "fraction", "draw", "fold", unit).join(units, unit)
 
 
-def score_frozen(x: DataFrame, model: DataFrame, keys: Sequence[str], feature: str = "gene_id", value: str = "value",
+def score_frozen(x: DataFrame, model: DataFrame, units: DataFrame, keys: Sequence[str], feature: str = "gene_id", value: str = "value",
                  intercept: float = 0.0) -> DataFrame:
     """Apply a fitted linear model (feature, beta, mean, sd) to new samples (M6, M24); absent genes are zeros.
 
-    The zeros' part ``-beta mean / sd`` is a constant of the model, so only non-zero rows are joined.
+    The zeros' part ``-beta mean / sd`` is a constant of the model, so only non-zero rows are joined. Every row of ``units``
+    gets a score; without any gene of the model it is that constant.
     """
     base = model.agg(F.sum(-F.col("beta") * F.col("mean") / F.col("sd"))).scalar()
     hit = x.join(model, feature).groupBy(*keys).agg(F.sum(F.col("beta") * F.col(value) / F.col("sd")).alias("_h"),
                                                     F.count(F.lit(1)).alias("n_hits"))
-    return hit.select(*keys, "n_hits", (F.col("_h") + base + F.lit(intercept)).alias("pred"))
+    every = units.select(*keys).distinct().join(hit, list(keys), "left")
+    return every.select(*keys, F.coalesce("n_hits", F.lit(0)).alias("n_hits"), (F.coalesce("_h", F.lit(0.0)) + base + F.lit(intercept)).alias("pred"))
 
 
 def thin_counts(expr: DataFrame, keys: Sequence[str], seed: int = 0, count: str = "cnt") -> DataFrame:
@@ -449,41 +454,85 @@ def thin_counts(expr: DataFrame, keys: Sequence[str], seed: int = 0, count: str
             .withColumn("half_b", F.col(count) - F.col("half_a")))
 
 
-def functional_components(surface: DataFrame, k: int = 3) -> DataFrame:
-    """Leading eigenfunctions of a covariance surface, negative eigenvalues clipped.
+COMPONENT_ROWS = ("component int, t int, phi double, eigenvalue double, share double, chosen boolean, support long, mu double, noise double, "
+                  "clipped double")
 
-    The surface has one row per pair of days (a few dozen days in a study), so it is a small table by construction.
+
+def functional_components(aligned: DataFrame, max_k: int = 3, least_fit: int = 5, share: float = 0.90) -> DataFrame:
+    """Eigenfunctions of the pairwise covariance of curves aligned at onset (M22): one row for each component and day.
+
+    The days run up to the last one with ``least_fit`` curves. Negative eigenvalues are clipped (``clipped``: their part of
+    the absolute sum). ``chosen`` marks the leading components: as many as explain ``share``, ``max_k`` at most. ``noise`` is
+    the variance on the diagonal that the chosen ones leave, 0.001 at least. The surface has a row for each pair of days, a few
+    dozen in a study, so one task solves it.
     """
+    from cohortspark.operators.curves import covariance_surface
+    days = aligned.groupBy("t").agg(F.count("score").alias("support"), F.avg("score").alias("mu"))
+    last = days.where(F.col("support") >= least_fit).agg(F.max("t").alias("_last"))
+    days = days.join(F.broadcast(last), F.col("t") <= F.col("_last")).drop("_last")
+    kept = aligned.join(days.select("t"), "t", "left_semi")
+    surface = covariance_surface(kept).select("t1", "t2", "cov")
+    info = days.select(F.col("t").alias("t1"), F.lit(-1).alias("t2"), F.col("mu").alias("cov"), F.col("support"))
+    rows = surface.select(F.col("t1").cast("int"), F.col("t2").cast("int"), "cov", F.lit(0).cast("long").alias("support")).unionByName(
+        info.select(F.col("t1").cast("int"), "t2", "cov", "support"))
+
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["t1"].unique())
+        about = pdf[pdf["t2"] == -1].sort_values("t1")
+        t = about["t1"].to_numpy()
         at = {v: i for i, v in enumerate(t)}
         m = np.zeros((len(t), len(t)))
-        m[[at[v] for v in pdf["t1"]], [at[v] for v in pdf["t2"]]] = pdf["cov"].fillna(0.0)
+        own = pdf[pdf["t2"] != -1]
+        m[[at[v] for v in own["t1"]], [at[v] for v in own["t2"]]] = own["cov"].fillna(0.0)
         val, vec = np.linalg.eigh((m + m.T) / 2)
-        val, vec = np.clip(val[::-1], 0, None), vec[:, ::-1]
+        val, vec = val[::-1], vec[:, ::-1]
+        clipped = float(np.abs(val[val < 0]).sum() / max(np.abs(val).sum(), 1e-300))
+        val = np.clip(val, 0, None)
+        part = val / max(val.sum(), 1e-300)
+        k = min(max_k, len(t), int(np.searchsorted(np.cumsum(part), share) + 1))
+        left = np.diag(m) - ((vec[:, :k] * val[:k]) @ vec[:, :k].T).diagonal()
+        noise = float(max(left.mean(), 1e-3))
         out = []
-        for j in range(min(k, len(t))):
+        for j in range(min(max_k, len(t))):
             sign = 1.0 if vec[:, j].sum() >= 0 else -1.0
-            out += [(j + 1, int(d), float(sign * vec[i, j]), float(val[j]), float(val[j] / max(val.sum(), 1e-300)))
-                    for i, d in enumerate(t)]
-        return pd.DataFrame(out, columns=["component", "t", "phi", "eigenvalue", "share"])
-    return surface.groupBy(F.lit(0).alias("_one")).applyInPandas(
-        solve, "component int, t int, phi double, eigenvalue double, share double")
-
-
-def functional_scores(aligned: DataFrame, components: DataFrame, unit: str = "animal_id", noise: float = 0.05) -> DataFrame:
-    """Best linear scores of each curve from the days it has (M22): the conditional mean given its own points."""
-    mean = aligned.groupBy("t").agg(F.avg("score").alias("mu"))
-    basis = components.groupBy("t").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("component", "phi"))), lambda e: e["phi"]).alias("phi"),
-        F.transform(F.array_sort(F.collect_list(F.struct("component", "eigenvalue"))), lambda e: e["eigenvalue"]).alias("lam"))
-    d = aligned.join(mean, "t").join(basis, "t").select(unit, "t", (F.col("score") - F.col("mu")).alias("r"), "phi", "lam")
+            out += [(j + 1, int(d), float(sign * vec[i, j]), float(val[j]), float(part[j]), j < k, int(about["support"].iloc[i]),
+                     float(about["cov"].iloc[i]), noise, clipped) for i, d in enumerate(t)]
+        return pd.DataFrame(out, columns=[c.split()[0] for c in COMPONENT_ROWS.split(", ")])
+    return rows.groupBy(F.lit(0).alias("_one")).applyInPandas(solve, COMPONENT_ROWS)
+
+
+def functional_summary(components: DataFrame, least_interpret: int = 15, warn: float = 0.10) -> DataFrame:
+    """Per component: explained share, whether chosen, the loading on days with under ``least_interpret`` curves, noise, and
+    whether the clipped mass asks for another method (M22)."""
+    thin = F.when(F.col("support") < least_interpret, F.col("phi") * F.col("phi")).otherwise(0.0)
+    return components.groupBy("component").agg(F.max("share").alias("share"), F.bool_and("chosen").alias("chosen"), F.sum(thin).alias("tail_mass"),
+                                              F.max("noise").alias("noise"), F.max("clipped").alias("clipped"),
+                                              (F.max("clipped") > warn).alias("fallback"), F.max("t").alias("last_day"))
+
+
+def functional_scores(aligned: DataFrame, components: DataFrame, unit: str = "animal_id") -> DataFrame:
+    """Scores of each curve on the chosen components from the days it has.
+
+    The conditional mean given the points needs only two sums over a curve's days, of phi phi' and of phi r: the scores solve
+    ``(sum phi phi' + noise / eigenvalue) x = sum phi r``, K equations for K components, however long the curve is.
+    """
+    basis = components.where("chosen").groupBy("t").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("component", "phi"))), lambda e: e["phi"]).alias("phi"), F.first("mu").alias("mu"))
+    ridge = components.where("chosen").select("component", (F.col("noise") / F.greatest(F.col("eigenvalue"), F.lit(1e-12))).alias("r")).distinct()
+    ridge = ridge.agg(F.array_sort(F.collect_list(F.struct("component", "r"))).alias("_a")).select(F.transform("_a", lambda e: e["r"]).alias("ridge"))
+    d = aligned.where("score IS NOT NULL").join(basis, "t").select(unit, "phi", (F.col("score") - F.col("mu")).alias("r"))
+    i = d.select(unit, F.posexplode("phi").alias("i", "a"), "phi", "r")
+    sums = i.select(unit, "i", "a", "r", F.posexplode("phi").alias("j", "b")).groupBy(unit, "i", "j").agg(
+        F.sum(F.col("a") * F.col("b")).alias("pp"), F.sum(F.col("a") * F.col("r")).alias("pr"))
+    one = sums.groupBy(unit).agg(F.array_sort(F.collect_list(F.struct("i", "j", "pp", "pr"))).alias("s")).join(F.broadcast(ridge))
     kind = aligned.schema[unit].dataType.simpleString()
 
-    def blup(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        phi = np.array(pdf["phi"].tolist(), float)
-        lam = np.array(pdf["lam"].iloc[0], float)
-        sig = (phi * lam) @ phi.T + noise * np.eye(len(pdf))
-        xi = lam * (phi.T @ np.linalg.solve(sig, pdf["r"].to_numpy(float)))
-        return pd.DataFrame({unit: key[0], "component": np.arange(1, len(xi) + 1), "score": xi})
-    return d.groupBy(unit).applyInPandas(blup, f"{unit} {kind}, component int, score double")
+    def solve(frames):
+        for pdf in frames:
+            out = []
+            for key, s, r in zip(pdf[unit], pdf["s"], pdf["ridge"]):
+                k = len(r)
+                m = np.array([e["pp"] for e in s]).reshape(k, k) + np.diag(r)
+                x = np.linalg.solve(m, np.array([e["pr"] for e in s]).reshape(k, k)[:, 0])
+                out += [(key, c + 1, float(v)) for c, v in enumerate(x)]
+            yield pd.DataFrame(out, columns=[unit, "component", "score"])
+    return one.mapInPandas(solve, f"{unit} {kind}, component int, score double")

@@ -190,14 +190,24 @@ def region_rank():
 
 
 @query("t14_within_animal_slope", f"""
-WITH s AS (SELECT animal_id, region, gene_id, sum(cnt)::bigint AS n FROM expr GROUP BY 1, 2, 3),
-v AS (SELECT animal_id, {RANK_SQL} AS rk, gene_id, ln(1 + n / (sum(n) OVER (PARTITION BY animal_id, region))::double * 10000) AS value FROM s),
+WITH f AS (SELECT animal_id, region FROM cells GROUP BY 1, 2 HAVING count(*) >= 50),
+s AS (SELECT animal_id, region, gene_id, sum(cnt)::bigint AS n FROM expr GROUP BY 1, 2, 3),
+l AS (SELECT animal_id, region, sum(n)::double AS lib FROM s GROUP BY 1, 2),
+v AS (SELECT f.animal_id, {RANK_SQL.replace('region', 'f.region')} AS rk, g.gene_id, ln(1 + coalesce(s.n, 0) / l.lib * 10000) AS value
+      FROM f JOIN l USING (animal_id, region) CROSS JOIN (SELECT DISTINCT gene_id FROM s) g
+      LEFT JOIN s ON s.animal_id = f.animal_id AND s.region = f.region AND s.gene_id = g.gene_id),
 b AS (SELECT animal_id, gene_id, regr_slope(value, rk) AS slope FROM v GROUP BY 1, 2 HAVING count(DISTINCT rk) > 1)
 SELECT gene_id, count(*) AS n, avg(slope) AS mean_slope, avg(slope) / nullif(stddev_samp(slope) / sqrt(count(*)), 0) AS t FROM b
 GROUP BY 1 HAVING count(*) > 1""", "mean_slope t")
 def _(t):
     v = C.pseudobulk(t.expr, ["animal_id", "region"]).withColumn("rk", region_rank())
-    return A.within_unit_slopes(v, "animal_id", "gene_id", "rk", "value")
+    floor = t.cells.groupBy("animal_id", "region").agg(F.count(F.lit(1)).alias("k")).where("k >= 50").withColumn("rk", region_rank())
+    present = v.join(floor, ["animal_id", "region"], "left_semi").select("gene_id").distinct()
+    out = A.within_unit_slopes(v, floor, "animal_id", "gene_id", "rk", "value")
+    # genes that are zero in every kept region have slope 0 in every animal
+    missing = v.select("gene_id").distinct().join(present, "gene_id", "left_anti")
+    n = floor.groupBy("animal_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").agg(F.count(F.lit(1))).scalar()
+    return out.unionByName(missing.select("gene_id", n.alias("n"), F.lit(0.0).alias("mean_slope"), F.lit(None).cast("double").alias("t")).where("n > 1"))
 
 
 @query("t15_point_biserial", "SELECT corr(CASE WHEN model = 'RR' THEN 1.0::double ELSE 0.0 END, day) AS r FROM animals", "r")

@@ -97,14 +97,17 @@ def _(t):
 
 @query("a8_collapse_types", """
 WITH s AS (SELECT niche, cell_type, gene_id, sum(cnt)::bigint AS n FROM expr GROUP BY 1, 2, 3),
-v AS (SELECT s.*, ln(1 + n / (sum(n) OVER (PARTITION BY niche, cell_type))::double * 10000) AS value FROM s),
-k AS (SELECT niche, cell_type, count(*) AS n_cells FROM cells GROUP BY 1, 2)
-SELECT niche, gene_id, sum(value * n_cells) / sum(n_cells) AS wmean FROM v JOIN k USING (niche, cell_type) GROUP BY 1, 2""",
+l AS (SELECT niche, cell_type, sum(n)::double AS lib FROM s GROUP BY 1, 2),
+k AS (SELECT niche, cell_type, count(*) AS n_cells FROM cells GROUP BY 1, 2),
+d AS (SELECT k.niche, k.cell_type, k.n_cells, g.gene_id, ln(1 + coalesce(s.n, 0) / l.lib * 10000) AS value
+      FROM k JOIN l USING (niche, cell_type) JOIN (SELECT DISTINCT niche, gene_id FROM s) g USING (niche)
+      LEFT JOIN s ON s.niche = k.niche AND s.cell_type = k.cell_type AND s.gene_id = g.gene_id)
+SELECT niche, gene_id, sum(value * n_cells) / sum(n_cells) AS wmean FROM d GROUP BY 1, 2""",
        "wmean")
 def _(t):
     pb = C.pseudobulk(t.expr, ["niche", "cell_type"])
     n = t.cells.groupBy("niche", "cell_type").agg(F.count(F.lit(1)).alias("n_cells"))
-    return C.weighted_mean(pb.join(n, ["niche", "cell_type"]), ["niche", "gene_id"], "value", "n_cells")
+    return C.collapse(pb, n, ["niche"], ["cell_type"], "value", "n_cells")
 
 
 @query("a9_weighted_position", """

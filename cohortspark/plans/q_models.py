@@ -90,9 +90,10 @@ v AS (SELECT s.*, ln(1 + n / (sum(n) OVER (PARTITION BY section_id))::double * 1
 
 
 @query("m6_score_frozen_model", f"""
-WITH {SEC_PB} SELECT v.section_id, count(*) AS n_hits, sum(beta * value / sd) + (SELECT sum(-beta * mean / sd) FROM frozen) AS pred FROM v JOIN frozen USING (gene_id) GROUP BY 1""", "pred")
+WITH {SEC_PB}, h AS (SELECT section_id, gene_id, beta * value / sd AS part FROM v JOIN frozen USING (gene_id))
+SELECT section_id, count(part) AS n_hits, coalesce(sum(part), 0) + (SELECT sum(-beta * mean / sd) FROM frozen) AS pred FROM sections LEFT JOIN h USING (section_id) GROUP BY 1""", "pred")
 def _(t):
-    return M.score_frozen(C.pseudobulk(t.expr, ["section_id"]), frozen(t), ["section_id"])
+    return M.score_frozen(C.pseudobulk(t.expr, ["section_id"]), frozen(t), t.sections, ["section_id"])
 
 
 THIN = """
@@ -109,7 +110,7 @@ def _(t):
 @query("m7_measurement_noise", f"""
 WITH {THIN}, a AS (SELECT section_id, gene_id, ln(1 + half_a / (sum(half_a) OVER (PARTITION BY section_id))::double * 10000) AS va,
    ln(1 + (cnt - half_a) / (sum(cnt - half_a) OVER (PARTITION BY section_id))::double * 10000) AS vb FROM th)
-SELECT section_id, abs(sum(beta * va / sd) - sum(beta * vb / sd)) / 2 AS noise FROM a JOIN frozen USING (gene_id) GROUP BY 1""", "noise")
+SELECT section_id, coalesce(abs(sum(d)) / 2, 0) AS noise FROM sections LEFT JOIN (SELECT section_id, beta * (va - vb) / sd AS d FROM a JOIN frozen USING (gene_id)) USING (section_id) GROUP BY 1""", "noise")
 def _(t):
     from cohortspark.functions.scalars import log_cp10k
     s = C.count_sums(t.expr, ["section_id"]).withColumnRenamed("n", "cnt")
@@ -118,7 +119,9 @@ def _(t):
     h = h.select("section_id", "gene_id", log_cp10k("half_a", F.sum("half_a").over(w)).alias("va"), log_cp10k("half_b", F.sum("half_b").over(w)).alias("vb"))
     j = h.join(frozen(t), "gene_id").groupBy("section_id").agg(F.sum(F.col("beta") * F.col("va") / F.col("sd")).alias("a"),
                                                                F.sum(F.col("beta") * F.col("vb") / F.col("sd")).alias("b"))
-    return j.select("section_id", (F.abs(F.col("a") - F.col("b")) / 2).alias("noise"))
+    # a section without a gene of the model scores the same constant in both halves
+    return t.sections.select("section_id").join(j, "section_id", "left").select(
+        "section_id", F.coalesce(F.abs(F.col("a") - F.col("b")) / 2, F.lit(0.0)).alias("noise"))
 
 
 @query("m8_leave_one_run_out")
@@ -299,8 +302,9 @@ def _(t):
 def _(t):
     """Components of cells fitted on training sections, applied to all; centred first since Spark's PCA does not."""
     from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-    w = t.space_expr.groupBy("section_id", "cell_id").pivot("gene_id", list(range(8, 16))).agg(F.sum("cnt")).na.fill(0)
+    w = t.space_expr.groupBy("section_id", "cell_id").pivot("gene_id", list(range(8, 16))).agg(F.sum("cnt"))
     w = w.toDF("section_id", "cell_id", *[f"g{i}" for i in range(8)])
+    w = t.space.select("section_id", "cell_id").join(w, ["section_id", "cell_id"], "left").na.fill(0)   # cells without a marker are zeros
     d = VectorAssembler(inputCols=[f"g{i}" for i in range(8)], outputCol="raw").transform(w)
     from cohortspark.functions.ordering import split_units
     d = d.join(split_units(t.space, "section_id", 0.3), "section_id")
@@ -313,18 +317,36 @@ def _(t):
     return out.select("section_id", "cell_id", *[F.abs(F.col("a")[i]).alias(f"pc{i + 1}_abs") for i in range(3)])
 
 
+def aligned(t):
+    c = V.build_curve(t.curves, t.curve_ends)
+    return V.align_at_onset(c, V.onset(c))
+
+
 @query("m22_functional_components")
 def _(t):
-    c = V.build_curve(t.curves, t.curve_ends)
-    a = V.align_at_onset(c, V.onset(c))
-    return M.functional_components(V.covariance_surface(a))
+    return M.functional_components(aligned(t)).drop("mu", "noise")
+
+
+@query("m22_functional_summary")
+def _(t):
+    """Per component: share, clipped mass of the surface, mass on days with little support, chosen or not, noise."""
+    return M.functional_summary(M.functional_components(aligned(t)))
 
 
 @query("m22_functional_scores")
 def _(t):
-    c = V.build_curve(t.curves, t.curve_ends)
-    a = V.align_at_onset(c, V.onset(c))
-    return M.functional_scores(a, M.functional_components(V.covariance_surface(a)))
+    a = aligned(t)
+    return M.functional_scores(a, M.functional_components(a))
+
+
+@query("m22_correspondence")
+def _(t):
+    """Rank correlation of each component's scores with known curve features: length, mean score, peak."""
+    from cohortspark.operators.association import grouped_spearman
+    a = aligned(t)
+    known = a.groupBy("animal_id").agg(F.max("t").alias("length"), F.avg("score").alias("mean_score"), F.max("score").alias("peak"))
+    long = known.select("animal_id", F.expr("stack(3, 'length', cast(length as double), 'mean_score', mean_score, 'peak', peak) as (known, v)"))
+    return grouped_spearman(M.functional_scores(a, M.functional_components(a)).join(long, "animal_id"), "score", "v", ["component", "known"])
 
 
 @query("m23_covariate_variants")
@@ -340,13 +362,16 @@ def _(t):
 
 
 @query("m24_transfer_scores", f"""
-WITH {SEC_PB}, p AS (SELECT v.section_id, sum(beta * value / sd) AS pred FROM v JOIN frozen USING (gene_id) GROUP BY 1),
+WITH {SEC_PB}, h AS (SELECT section_id, beta * value / sd AS part FROM v JOIN frozen USING (gene_id)),
+p AS (SELECT section_id, round(coalesce(sum(part), 0), 9) AS pred FROM sections LEFT JOIN h USING (section_id) GROUP BY 1),
 r AS (SELECT region, rank() OVER (PARTITION BY region ORDER BY pred) + (count(*) OVER (PARTITION BY region, pred) - 1) / 2.0::double AS x,
       rank() OVER (PARTITION BY region ORDER BY n_cells) + (count(*) OVER (PARTITION BY region, n_cells) - 1) / 2.0::double AS y FROM p JOIN sections USING (section_id))
 SELECT region, count(*) AS n, corr(x, y) AS rho FROM r GROUP BY 1""", "rho")
 def _(t):
     from cohortspark.operators.association import grouped_spearman
-    p = M.score_frozen(C.pseudobulk(t.expr, ["section_id"]), frozen(t), ["section_id"])
+    p = M.score_frozen(C.pseudobulk(t.expr, ["section_id"]), frozen(t), t.sections, ["section_id"])
+    # equal scores of sections without a hit must stay equal whatever the order of the sums
+    p = p.withColumn("pred", F.round("pred", 9))
     return grouped_spearman(p.join(t.sections, "section_id"), "pred", "n_cells", ["region"])
 
 
@@ -355,5 +380,8 @@ def _(t):
     kept = t.genes.where(F.col("program") == "Brand#13").select(F.col("gene_id").alias("feature"))
     _p, coefs = M.leave_out_regression(xs(t), us(t), SMALL, keep=kept)
     c = coefs.join(kept.select(F.col("feature").cast("string"), F.lit(1).alias("k")), "feature", "left")
-    return c.groupBy("fold").agg(F.count(F.lit(1)).alias("n_nonzero"), F.count("k").alias("n_kept_nonzero"),
-                                 (F.sum(F.when(F.col("k") == 1, F.abs("coef")).otherwise(0.0)) / F.sum(F.abs("coef"))).alias("kept_mass"))
+    g = c.groupBy("fold").agg(F.count(F.lit(1)).alias("n_nonzero"), F.count("k").alias("n_kept_nonzero"),
+                              (F.sum(F.when(F.col("k") == 1, F.abs("coef")).otherwise(0.0)) / F.sum(F.abs("coef"))).alias("kept_mass"))
+    # a fold that chose no feature has its row too
+    folds = t.animals.select(F.col("animal_id").cast("string").alias("fold"))
+    return folds.join(g, "fold", "left").na.fill(0, ["n_nonzero", "n_kept_nonzero"])

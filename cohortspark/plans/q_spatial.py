@@ -285,6 +285,9 @@ SELECT s.ligand, s.receptor, s.sender, s.receiver, s.mean_expr, count(*) FILTER
 FROM (SELECT p.*, a.cell_type AS sender, b.cell_type AS receiver, (a.mean + b.mean) / 2 AS mean_expr FROM lr_pairs p JOIN lr_obs a ON a.gene_id = ligand JOIN lr_obs b ON b.gene_id = receptor WHERE a.frac > 0.3 AND b.frac > 0.3) s
 CROSS JOIN range(0, 20) t(rep) LEFT JOIN lr_null l ON l.rep = t.rep AND l.gene_id = s.ligand AND l.cell_type = s.sender
 LEFT JOIN lr_null r ON r.rep = t.rep AND r.gene_id = s.receptor AND r.cell_type = s.receiver GROUP BY 1, 2, 3, 4, 5"""
+CTES["lr_fdr"] = """
+SELECT *, least(1.0, min(p * n / k) OVER (ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS q
+FROM (SELECT *, count(*) OVER () AS n, count(*) OVER (ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM lr_scores)"""
 CTES["lr_obs"] = """
 SELECT cell_type, gene_id, sum(value) / any_value(n) AS mean, count(*) / any_value(n)::double AS frac FROM space_value JOIN space USING (section_id, cell_id)
 JOIN (SELECT cell_type, count(*) AS n FROM space GROUP BY 1) USING (cell_type) GROUP BY 1, 2"""
@@ -295,11 +298,11 @@ JOIN (SELECT cell_type, n, sum(n) OVER (ORDER BY cell_type) AS hi FROM (SELECT c
 JOIN space_value v ON v.section_id = p.section_id AND v.cell_id = p.cell_id GROUP BY 1, 2, 3"""
 
 
-def lr(t):
+def lr(t, fdr=False):
     g = t.space_expr.select("gene_id").distinct()
     pairs = g.select(F.col("gene_id").alias("ligand"), (F.col("gene_id") + 1).alias("receptor")) \
         .join(g.select(F.col("gene_id").alias("receptor")), "receptor", "left_semi").select("ligand", "receptor")
-    return L.ligand_receptor(values(t), t.space, pairs, ["section_id", "cell_id"], "cell_type", 20, min_fraction=0.3)
+    return L.ligand_receptor(values(t), t.space, pairs, ["section_id", "cell_id"], "cell_type", 20, min_fraction=0.3, fdr=fdr)
 
 
 @query("g18_ligand_receptor", "SELECT * FROM lr_scores", "mean_expr p")
@@ -308,10 +311,10 @@ def _(t):
 
 
 @query("j12_wiring", """
-SELECT s.ligand, s.receptor, s.sender, s.receiver, s.mean_expr, s.q, e.z AS adjacency_z FROM (SELECT *, p AS q FROM lr_scores) s JOIN enrich e ON e.sender = s.sender AND e.receiver = s.receiver
+SELECT s.ligand, s.receptor, s.sender, s.receiver, s.mean_expr, s.q, e.z AS adjacency_z FROM lr_fdr s JOIN enrich e ON e.sender = s.sender AND e.receiver = s.receiver
 WHERE q <= 0.2 AND s.sender <> s.receiver AND e.z >= -1""", "mean_expr q adjacency_z")
 def _(t):
-    s = lr(t).withColumnRenamed("p", "q")
+    s = lr(t, fdr=True).drop("p")
     adj = G.neighbourhood_enrichment(G.knn(t.space, 6), t.space).select("sender", "receiver", "z")
     return E.wiring(s, adj, 0.2, -1.0)
 
