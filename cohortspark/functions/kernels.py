@@ -9,6 +9,9 @@ from __future__ import annotations
 import numpy as np
 
 
+SWEEPS = 100_000           # rounds after which a fit counts as failed; a few tens are usual
+
+
 def covariate_basis(cov: np.ndarray, share: float | None) -> np.ndarray:
     """Columns spanning the covariates to adjust for: all of them, or leading components up to a variance share."""
     p = cov.shape[0]
@@ -34,10 +37,14 @@ def enet_fit(gram, cross, pen, ridge, w, tol):
     w = w.copy()
     resid = cross - gram @ w
     limit = tol * max(float(np.abs(cross).max()), 1e-300)
-    for _ in range(300):
+    settled = False
+    for _ in range(SWEEPS):
         wrong = usable & (np.abs(resid) > pen + limit) & (w == 0)
         idx = np.flatnonzero((w != 0) | wrong)
-        if not len(idx):
+        # the optimality gap: active features must sit on their penalty, idle ones inside it
+        gap = np.abs(resid[idx] - ridge * w[idx] - pen * np.where(w[idx] != 0, np.sign(w[idx]), np.sign(resid[idx])))
+        if not len(idx) or gap.max() <= limit:
+            settled = True
             break
         for _ in range(3):
             for j in idx:
@@ -58,7 +65,10 @@ def enet_fit(gram, cross, pen, ridge, w, tol):
             w[act] = direct
             resid = cross - gram[:, act] @ direct
             if not (usable & (np.abs(resid) > pen + limit) & (w == 0)).any():
+                settled = True
                 break
+    if not settled:
+        raise ArithmeticError("an elastic-net fit did not reach its optimality condition")
     return w
 
 
@@ -187,7 +197,7 @@ def leading_scores(blocks, p, k, share, d):
     return t[:, 1:1 + k] @ vec - shift
 
 
-def logistic(x, y, strength=1.0, rounds=100):
+def logistic(x, y, strength=1.0, rounds=1000):
     """L2-penalised logistic regression by Newton steps; intercept first and unpenalised."""
     a = np.c_[np.ones(len(x)), x]
     pen = np.r_[0.0, np.full(x.shape[1], 1.0 / strength)]
@@ -208,6 +218,6 @@ def logistic(x, y, strength=1.0, rounds=100):
         w = w - size * step
         new = loss(w)
         if now - new < 1e-12 * max(1.0, abs(now)):
-            break
+            return w
         now = new
-    return w
+    raise ArithmeticError("a logistic fit did not settle")

@@ -17,6 +17,7 @@ from cohortspark.functions.scalars import c, hash_key, hash_text
 from cohortspark.session import cut
 
 BUCKETS_PER_OCTAVE = 64
+BUCKET_VALUES = 4096       # a bucket with more distinct values is cut further
 
 
 def midrank(x, part: Sequence[str] = ()) -> Column:
@@ -31,18 +32,27 @@ def with_midrank(df: DataFrame, x: str, part: Sequence[str], out: str = "rank")
 
 
 def value_bucket(x) -> Column:
-    """Monotone integer bucket of a double: 64 buckets per power of two on both sides of zero."""
+    """Monotone integer bucket of a double: 64 buckets per power of two on both sides of zero, from the smallest double on."""
     x = c(x).cast("double")
-    return (F.signum(x) * F.floor(F.log2(F.abs(x) * F.lit(1e6) + F.lit(1.0)) * F.lit(float(BUCKETS_PER_OCTAVE)))) \
-        .cast("int")
+    octave = F.floor((F.log2(F.abs(x)) + F.lit(1100.0)) * F.lit(float(BUCKETS_PER_OCTAVE)))
+    return F.when(x == 0, F.lit(0)).otherwise(F.signum(x) * octave).cast("int")
 
 
 def ordered_counts(df: DataFrame, x: str, part: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
-    """Distinct values of ``x`` per group with ``_cnt``, ``_below`` (weight of smaller values) and ``_total``."""
+    """Distinct values of ``x`` per group with ``_cnt``, ``_below`` (weight of smaller values) and ``_total``.
+
+    A bucket with many distinct values (values that differ little) is cut into equal steps between its smallest and largest
+    value, so a task sorts some BUCKET_VALUES of them.
+    """
     part = list(part)
     w = F.count(F.lit(1)) if weight is None else F.sum(weight)
     distinct = (df.where(c(x).isNotNull()).groupBy(*part, F.col(x)).agg(w.alias("_cnt"))
-                  .withColumn("_b", value_bucket(x)))
+                  .withColumn("_o", value_bucket(x)))
+    span = distinct.groupBy(*part, "_o").agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.ceil(F.count(F.lit(1)) / BUCKET_VALUES).alias("_k"))
+    step = F.least(F.floor((F.col(x) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_k")), F.col("_k") - 1)
+    distinct = (distinct.join(span, [*part, "_o"])
+                .withColumn("_b", F.struct(F.col("_o").alias("o"), F.when(F.col("_k") > 1, step).otherwise(0).cast("int").alias("s")))
+                .drop("_o", "_lo", "_hi", "_k"))
     per_bucket = distinct.groupBy(*part, "_b").agg(F.sum("_cnt").alias("_n"))
     run = Window.partitionBy(*part).orderBy("_b")
     per_bucket = (per_bucket

@@ -389,7 +389,8 @@ def matched_sets(means: DataFrame, focus: DataFrame, n_sets: int, n_bins: int =
     """Random gene sets of the size of ``focus``, optionally with its distribution over mean-expression bins.
 
     Bin edges are exact quantiles. A set draws, in every bin, as many non-focus genes as the focus set has there, by
-    hash order.
+    hash order. Where a bin has too few, the set is filled up from the other genes by the same order, so every set has the
+    size of ``focus`` (as far as there are genes).
     """
     from cohortspark.functions.ordering import exact_quantiles
     from cohortspark.functions.scalars import hash_key
@@ -405,7 +406,16 @@ def matched_sets(means: DataFrame, focus: DataFrame, n_sets: int, n_bins: int =
     pool = binned.join(focus.select("gene_id"), "gene_id", "left_anti")
     w = Window.partitionBy("set_no", "bin").orderBy(hash_key("gene_id", "set_no", F.lit(seed)))
     draw = (pool.join(need, "bin").select("gene_id", "bin", "_need", F.explode(F.sequence(F.lit(1), F.lit(n_sets))).alias("set_no"))
-            .withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.col("_need")).select("set_no", "gene_id"))
+            .withColumn("_r", F.row_number().over(w)))
+    short = pool.groupBy("bin").agg(F.count(F.lit(1)).alias("_have")).join(need, "bin", "right").agg(
+        F.sum(F.greatest(F.lit(0), F.col("_need") - F.coalesce("_have", F.lit(0))))).first()[0]
+    chosen = draw.where(F.col("_r") <= F.col("_need")).select("set_no", "gene_id")
+    if short:
+        sets = F.explode(F.sequence(F.lit(1), F.lit(n_sets))).alias("set_no")
+        left = pool.select("gene_id", sets).join(chosen, ["set_no", "gene_id"], "left_anti")
+        v = Window.partitionBy("set_no").orderBy(hash_key("gene_id", "set_no", F.lit(seed)))
+        chosen = chosen.unionByName(left.withColumn("_r", F.row_number().over(v)).where(F.col("_r") <= short).select("set_no", "gene_id"))
+    draw = chosen
     return inside.select(F.lit(0).alias("set_no"), "gene_id").unionByName(draw)
 
 

@@ -52,11 +52,11 @@ def permuted_labels(units: DataFrame, unit: str, label: str, reps: int, seed: in
 def hash_positions(rows: DataFrame, ids: Sequence[str], reps: int, seed: int = 0, by: Sequence[str] = ()) -> DataFrame:
     """0-based position of every row in a hash order, per replicate, for groups of any size.
 
-    The order is cut into 4096 slices by the leading hash digits; positions are counted inside a slice and slice
+    The order is cut into 65,536 slices by the leading hash digits, so a task orders that part of a group; positions are counted inside a slice and slice
     totals are added on, so no task orders a whole group.
     """
     d = rows.select(*by, *ids, _reps(reps)).withColumn("_h", hash_key(*ids, "rep", F.lit(seed)))
-    d = d.withColumn("_s", F.substring("_h", 1, 3))
+    d = d.withColumn("_s", F.substring("_h", 1, 4))
     part = [*by, "rep"]
     tot = d.groupBy(*part, "_s").agg(F.count(F.lit(1)).alias("_k"))
     tot = tot.withColumn("_off", F.sum("_k").over(Window.partitionBy(*part).orderBy("_s")) - F.col("_k")).drop("_k")

@@ -78,11 +78,12 @@ def phase(df: DataFrame, stage: str, sets: dict[str, Sequence[str]], prefixes: d
     return df.withColumn("phase", out.otherwise(rest))
 
 
-def dummies(df: DataFrame, column: str, prefix: str) -> DataFrame:
-    """0/1 columns for the sorted levels, first level dropped (P11). Levels of a design factor are few."""
-    levels = [r[0] for r in df.select(column).distinct().orderBy(column).limit(1000).collect()]
-    if len(levels) == 1000:
-        raise ValueError(f"{column} has too many levels for a design factor")
+def dummies(df: DataFrame, column: str, prefix: str, most: int = 1000) -> DataFrame:
+    """0/1 columns for the sorted levels, first level dropped (P11). More than ``most`` levels are an error: they would be
+    as many columns, and such a column is no design factor."""
+    levels = [r[0] for r in df.select(column).distinct().orderBy(column).limit(most + 1).collect()]
+    if len(levels) > most:
+        raise ValueError(f"{column} has more than {most} levels")
     return df.select("*", *[(F.col(column) == lv).cast("int").alias(f"{prefix}{lv}") for lv in levels[1:]])
 
 

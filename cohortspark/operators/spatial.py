@@ -28,10 +28,23 @@ def dist2(x1, y1, x2, y2) -> Column:
 
 # ------------------------------------------------------------------ k nearest neighbours
 
-def knn(points: DataFrame, k: int, levels: int = 12) -> DataFrame:
+LEVELS = (12, 18, 24, 30)
+
+
+def _depth(points: DataFrame, room: int) -> int:
+    """The least of LEVELS at which no grid cell holds more than ``room`` distinct locations (else the last): a small
+    job that runs while the plan is built, as the depth is part of it."""
+    loc = points.select(SEC, "_gx", "_gy", "x", "y").distinct()
+    lv = loc.withColumn("_lv", F.explode(F.array(*[F.lit(v) for v in LEVELS])))
+    n = lv.groupBy(SEC, "_lv", F.expr(f"shiftright(_gx, {LEVELS[-1]} - _lv)"), F.expr(f"shiftright(_gy, {LEVELS[-1]} - _lv)")).agg(F.count(F.lit(1)).alias("n"))
+    most = {r["_lv"]: r["m"] for r in n.groupBy("_lv").agg(F.max("n").alias("m")).collect()}
+    return next((v for v in LEVELS if most.get(v, 0) <= room), LEVELS[-1])
+
+
+def knn(points: DataFrame, k: int) -> DataFrame:
     """Exact k nearest neighbours inside a section, self excluded, ties by cell id: (section, src, dst, dist, nn).
 
-    Adaptive grid: the bounding square is halved ``levels`` times. A point searches from the deepest grid cell around
+    Adaptive grid: each section's own bounding square is halved as often as its most crowded spot needs (:func:`_depth`). A point searches from the deepest grid cell around
     it that holds more than ``k`` points; those points lie within that cell's diagonal, so only grid cells of the
     same level touching that radius can hold neighbours. Search cells are thus small where points are dense and large
     where they are sparse, and a point is offered to at most a few hundred others per level however uneven the
@@ -39,14 +52,15 @@ def knn(points: DataFrame, k: int, levels: int = 12) -> DataFrame:
     other can be a neighbour). ``row_number <= k`` is limited per task before the final shuffle.
     """
     p = points.select(SEC, CELL, F.col("x").cast("double"), F.col("y").cast("double"))
-    box = p.agg(F.struct(F.min("x").alias("x0"), F.min("y").alias("y0"),
-                         (F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")) * 1.000001 + 1e-9).alias("side"))
-                ).scalar()
-    fine = float(2 ** levels)
-    p = p.withColumn("_b", box)
-    p = p.select(SEC, CELL, "x", "y", F.col("_b.side").alias("_side"), F.col("_b.x0").alias("_x0"), F.col("_b.y0").alias("_y0"),
-                 F.floor((F.col("x") - F.col("_b.x0")) / F.col("_b.side") * fine).alias("_gx"),
-                 F.floor((F.col("y") - F.col("_b.y0")) / F.col("_b.side") * fine).alias("_gy"))
+    box = p.groupBy(SEC).agg(F.min("x").alias("_x0"), F.min("y").alias("_y0"),
+                             (F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")) * 1.000001 + 1e-9).alias("_side"))
+    finest = LEVELS[-1]
+    p = p.join(box, SEC)
+    p = p.withColumns({g: F.least(F.floor((F.col(x) - F.col(o)) / F.col("_side") * float(2 ** finest)), F.lit(2 ** finest - 1))
+                       for g, x, o in (("_gx", "x", "_x0"), ("_gy", "y", "_y0"))})
+    levels = _depth(p, 4 * (k + 1))
+    p = p.select(SEC, CELL, "x", "y", "_side", "_x0", "_y0", F.shiftright("_gx", finest - levels).alias("_gx"),
+                 F.shiftright("_gy", finest - levels).alias("_gy"))
     cand = top_k(p, [F.col(CELL)], k + 1, [SEC, "x", "y"])
 
     def at_level(df):
@@ -287,7 +301,7 @@ def signed_distance(cells: DataFrame, corners: DataFrame, margin: float, bucket:
     """Signed distance of cells to lesion hulls, negative inside, for cells within the padded box.
 
     A hull's padded bounding box is cut into ``bucket`` grid cells for an equality join; plain range predicates would
-    plan as a nested loop.
+    plan as a nested loop. Lesions with fewer than three corners have no inside and get no row.
     """
     key = [SEC, lesion]
     e = hull_edges(corners, key)
@@ -416,7 +430,11 @@ def segment_lesions(cells: DataFrame, side: float, sigma: float, flag: str, tiss
     """
     tissue = cut(density_scores(cells, side, sigma, flag, tissue_floor))
     hot = tissue.where((F.col("z") >= z) & (F.col("pos_fraction") >= bin_fraction))
-    code = (F.col("bin_x") + 1000000) * F.lit(10000000) + F.col("bin_y") + 1000000
+    # one whole number for a bin, in the order of (x, y); a bin outside 32 bits is an error, not another bin
+    edge = 2**31
+    fits = (F.col("bin_x") >= -edge) & (F.col("bin_x") < edge) & (F.col("bin_y") >= -edge) & (F.col("bin_y") < edge)
+    code = F.when(fits, F.col("bin_x") * F.lit(2**32) + F.col("bin_y") + edge).otherwise(
+        F.raise_error(F.lit("a bin lies outside 32-bit indices: use a larger bin side")).cast("bigint"))
     hot = hot.select(SEC, "bin_x", "bin_y", code.alias("node"))
     e = _ring(hot.select(SEC, F.col("bin_x").alias("_gx"), F.col("bin_y").alias("_gy"), F.col("node").alias("a")), 1) \
         .join(hot.select(SEC, F.col("bin_x").alias("_gx"), F.col("bin_y").alias("_gy"), F.col("node").alias("b")), [SEC, "_gx", "_gy"]) \

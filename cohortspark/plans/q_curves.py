@@ -235,7 +235,8 @@ def _(t):
 
 @query("s4_unpivot_day_sheet", "SELECT animal_id, day, score FROM curves", "score")
 def _(t):
-    days = [f"d{i}" for i in range(31)]
+    last = t.curves.agg(F.max("day")).first()[0]        # a sheet has as many columns as the study has days
+    days = [f"d{i}" for i in range((last or 0) + 1)]
     wide = (t.curves.withColumn("_c", F.concat(F.lit("d"), "day")).groupBy("animal_id").pivot("_c", days)
             .agg(F.first("score")))
     return V.unpivot_days(wide, ["animal_id"], days, "score").select("animal_id", "day", "score")

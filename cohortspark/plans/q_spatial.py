@@ -173,7 +173,7 @@ def _(t):
     return G.density_scores(t.space, SIDE, SIGMA, "flagged", TISSUE)
 
 
-CTES["hot_bins"] = "SELECT section_id, bin_x, bin_y, (bin_x + 1000000) * 10000000 + bin_y + 1000000 AS node FROM tissue_bins WHERE z >= 2.5 AND pos_fraction >= 0.15"
+CTES["hot_bins"] = "SELECT section_id, bin_x, bin_y, bin_x * 4294967296 + bin_y + 2147483648 AS node FROM tissue_bins WHERE z >= 2.5 AND pos_fraction >= 0.15"
 CTES["hot_reach"] = """
 SELECT section_id, bin_x, bin_y, node AS lesion FROM hot_bins UNION SELECT h.section_id, h.bin_x, h.bin_y, r.lesion FROM hot_reach r JOIN hot_bins h
 ON h.section_id = r.section_id AND abs(h.bin_x - r.bin_x) <= 1 AND abs(h.bin_y - r.bin_y) <= 1"""
