@@ -221,15 +221,8 @@ def _held_units(blocks: DataFrame) -> DataFrame:
             .agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("chunk") * -1, "unit"))), lambda e: e["unit"]).alias("units")))
 
 
-def leave_out_regression(x: DataFrame, units: DataFrame, s: Settings = Settings(), keep: DataFrame | None = None,
-                         full_fit: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Elastic-net predictions of held-out units and coefficients, for every (task, fold, target).
-
-    ``x`` from :func:`feature_rows`, ``units`` from :func:`unit_table`. With covariates, features and targets are
-    adjusted on the training units; ``observed`` is the held-out target adjusted by the training fit. Returns
-    (predictions: task, fold, target, unit, pred, observed, n_nonzero, alpha) and (coefficients: task, fold, target,
-    feature, coef); ``full_fit`` adds fold '' trained on all units.
-    """
+def _fit_grid(x: DataFrame, units: DataFrame, s: Settings, keep: DataFrame | None, full_fit: bool):
+    """Fits of every (task, fold, target) as one row each, with the held-out units and the feature names of a fold."""
     units = cut(units)
     x = cut(x)
     folds = _folds(units, full_fit)
@@ -254,22 +247,87 @@ def leave_out_regression(x: DataFrame, units: DataFrame, s: Settings = Settings(
         t, w, b0, alpha = NK.enet_cv(blk, p, k, s.l1, s.alphas, s.covariate_share)
         adj = rows @ t
         pred = adj[:, 1:1 + k] @ w + b0
+        # the map is linear in [1, C, X]: the model on the scale of the data is a weight for each feature and one line
+        inverse = t[1 + p + np.arange(k), 1 + np.arange(k)]
+        line = t[:1 + p, 1:1 + k] @ w
+        line[0] += b0
         return pd.DataFrame([{
             "task": task, "fold": fold, "target": int(lo + j), "pred": pred[:, j].tolist(), "observed": adj[:, 1 + k + j].tolist(),
-            "coef": w[:, j].tolist(), "n_nonzero": int((w[:, j] != 0).sum()), "alpha": float(alpha[j])} for j in range(hi - lo)])
+            "coef": w[:, j].tolist(), "n_nonzero": int((w[:, j] != 0).sum()), "alpha": float(alpha[j]), "weight": (w[:, j] * inverse).tolist(),
+            "sd": (1 / inverse).tolist(), "line": line[:, j].tolist(), "target_line": (-t[:1 + p, 1 + k + j]).tolist()} for j in range(hi - lo)])
     fitted = cut(_spread(prod, "task", "fold", "batch").groupBy("task", "fold", "batch").applyInPandas(
         fit, "task string, fold string, target int, pred array<double>, observed array<double>, coef array<double>, "
-             "n_nonzero int, alpha double"))
-    preds = (fitted.where("fold <> ''").join(held, ["task", "fold"])
-             .select("task", "fold", "target", "n_nonzero", "alpha",
-                     F.explode(F.arrays_zip("units", "pred", "observed")).alias("_z"))
-             .select("task", "fold", "target", F.col("_z.units").cast(unit_type).alias("unit"), F.col("_z.pred").alias("pred"),
-                     F.col("_z.observed").alias("observed"), "n_nonzero", "alpha"))
-    coefs = (fitted.where("size(coef) > 0").join(names, ["task", "fold"])
-             .select("task", "fold", "target", F.explode(F.arrays_zip("names", "coef")).alias("_z"))
-             .select("task", "fold", "target", F.col("_z.names").alias("feature"), F.col("_z.coef").alias("coef"))
-             .where("coef <> 0"))
-    return preds, coefs
+             "n_nonzero int, alpha double, weight array<double>, sd array<double>, line array<double>, target_line array<double>"))
+    return fitted, held, names, unit_type
+
+
+def _predictions(fitted: DataFrame, held: DataFrame, unit_type: str) -> DataFrame:
+    return (fitted.where("fold <> ''").join(held, ["task", "fold"])
+            .select("task", "fold", "target", "n_nonzero", "alpha",
+                    F.explode(F.arrays_zip("units", "pred", "observed")).alias("_z"))
+            .select("task", "fold", "target", F.col("_z.units").cast(unit_type).alias("unit"), F.col("_z.pred").alias("pred"),
+                    F.col("_z.observed").alias("observed"), "n_nonzero", "alpha"))
+
+
+def _coefficients(fitted: DataFrame, names: DataFrame) -> DataFrame:
+    return (fitted.where("size(coef) > 0").join(names, ["task", "fold"])
+            .select("task", "fold", "target", F.explode(F.arrays_zip("names", "coef", "weight", "sd")).alias("_z"))
+            .select("task", "fold", "target", F.col("_z.names").alias("feature"), F.col("_z.coef").alias("coef"),
+                    F.col("_z.weight").alias("weight"), F.col("_z.sd").alias("sd"))
+            .where("coef <> 0"))
+
+
+def leave_out_regression(x: DataFrame, units: DataFrame, s: Settings = Settings(), keep: DataFrame | None = None,
+                         full_fit: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Elastic-net predictions of held-out units and coefficients, for every (task, fold, target).
+
+    ``x`` from :func:`feature_rows`, ``units`` from :func:`unit_table`. With covariates, features and targets are
+    adjusted on the training units; ``observed`` is the held-out target adjusted by the training fit. Returns
+    (predictions: task, fold, target, unit, pred, observed, n_nonzero, alpha) and (coefficients: task, fold, target,
+    feature, coef); ``full_fit`` adds fold '' trained on all units.
+    """
+    fitted, held, names, unit_type = _fit_grid(x, units, s, keep, full_fit)
+    return _predictions(fitted, held, unit_type), _coefficients(fitted, names).drop("weight", "sd")
+
+
+@dataclass(frozen=True)
+class Clock:
+    """Fitted clocks of all (task, fold, target), ready to score other samples.
+
+    ``weights``: (task, fold, target, feature, coef, weight, sd) of the chosen features, ``weight`` being the coefficient on the
+    scale of the data. ``lines``: (task, fold, target, line, target_line, n_nonzero, alpha): ``line`` = intercept and one number for
+    each covariate of the prediction, ``target_line`` the same of the target's own covariate fit. Both are plain tables: write
+    them to keep a clock.
+    """
+
+    weights: DataFrame
+    lines: DataFrame
+
+    def score(self, x: DataFrame, samples: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+        """Scores of ``samples`` (task, fold, unit, c): (task, fold, target, unit, n_hits, pred_residual, pred_day).
+
+        ``fold`` names the clock of each sample, such as the one that left out its animal; ``c`` holds the covariates. ``x``
+        has the non-zero rows (unit, feature, value); a sample without any chosen feature gets its line. On the residual
+        scale the prediction is what the covariates do not explain; on the day scale they are added again.
+        """
+        keys = [*extra, "task", "fold", "unit"]
+        hits = (samples.select(*keys).join(x.select(*extra, "unit", "feature", "value"), [*extra, "unit"])
+                .join(self.weights.select("task", "fold", "target", "feature", "weight"), ["task", "fold", "feature"])
+                .groupBy(*keys, "target").agg(F.sum(F.col("weight") * F.col("value")).alias("_h"), F.count(F.lit(1)).alias("n_hits")))
+        d = samples.join(self.lines, ["task", "fold"]).join(hits, [*keys, "target"], "left")
+        covs = F.concat(F.array(F.lit(1.0)), F.col("c").cast("array<double>"))
+        dot = lambda a: F.aggregate(F.zip_with(a, covs, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+        d = d.withColumn("pred_residual", F.coalesce("_h", F.lit(0.0)) + dot(F.col("line")))
+        return d.select(*keys, "target", F.coalesce("n_hits", F.lit(0)).alias("n_hits"), "pred_residual",
+                        (F.col("pred_residual") + dot(F.col("target_line"))).alias("pred_day"))
+
+
+def fit_clock(x: DataFrame, units: DataFrame, s: Settings = Settings(), keep: DataFrame | None = None,
+              full_fit: bool = False) -> tuple[Clock, DataFrame]:
+    """The fitted clocks of :func:`leave_out_regression` and its held-out predictions."""
+    fitted, held, names, unit_type = _fit_grid(x, units, s, keep, full_fit)
+    lines = fitted.select("task", "fold", "target", "line", "target_line", "n_nonzero", "alpha")
+    return Clock(_coefficients(fitted, names), lines), _predictions(fitted, held, unit_type)
 
 
 def leave_out_classification(x: DataFrame, units: DataFrame, components: int = 10, s: Settings = Settings(),

@@ -14,7 +14,7 @@ from cohortspark.plans.q_association import pb
 from cohortspark.plans.registry import query
 from cohortspark.plans.twin_ctes import CTES
 
-S = M.Settings(top=200)
+S = M.Settings()                       # 1000 features, 50 penalties
 SMALL = M.Settings(top=100, alphas=20)
 
 
@@ -75,6 +75,61 @@ def _(t):
     return coefs.select("feature", "coef")
 
 
+@query("m5_fitted_clock")
+def _(t):
+    """The clock of all animals as a table: chosen features on the scale of the data, and the line as rows of their own."""
+    clock, _p = M.fit_clock(xs(t), us(t, fold=None), S, full_fit=True)
+    line = clock.lines.select(F.posexplode("line").alias("i", "weight")).select(
+        F.when(F.col("i") == 0, "(intercept)").otherwise(F.concat(F.lit("(covariate "), F.col("i"), F.lit(")"))).alias("feature"), "weight")
+    return clock.weights.select("feature", "coef", "weight", "sd").unionByName(line, allowMissingColumns=True)
+
+
+def section_rows(t, source=None, value="value"):
+    v = source if source is not None else C.pseudobulk(t.expr, ["section_id"])
+    return v.select(F.col("section_id").alias("unit"), F.col("gene_id").cast("string").alias("feature"), F.col(value).alias("value"))
+
+
+def section_samples(t, fold):
+    a = t.animals.select("animal_id", F.col("score").cast("double").alias("score"))
+    return t.sections.select("section_id", "animal_id").join(a, "animal_id").select(
+        F.lit("all").alias("task"), fold.alias("fold"), F.col("section_id").alias("unit"), F.array("score").alias("c"))
+
+
+@query("m6_fold_clock_sections")
+def _(t):
+    """Sections dated by the clock that never saw their animal, on the residual and on the day scale."""
+    clock, _p = M.fit_clock(xs(t), us(t), S)
+    got = clock.score(section_rows(t), section_samples(t, F.col("animal_id").cast("string")))
+    return got.select(F.col("unit").alias("section_id"), F.col("fold").cast("bigint").alias("animal_id"), "n_hits", "pred_residual", "pred_day")
+
+
+@query("m7_fold_clock_noise")
+def _(t):
+    """Measurement noise of these dates: half the difference between binomial halves of the counts."""
+    from cohortspark.functions.scalars import log_cp10k
+    clock, _p = M.fit_clock(xs(t), us(t), S)
+    h = M.thin_counts(C.count_sums(t.expr, ["section_id"]).withColumnRenamed("n", "cnt"), ["section_id", "gene_id"])
+    w = Window.partitionBy("section_id")
+    h = h.select("section_id", "gene_id", log_cp10k("half_a", F.sum("half_a").over(w)).alias("va"), log_cp10k("half_b", F.sum("half_b").over(w)).alias("vb"))
+    halves = section_rows(t, h, "va").withColumn("half", F.lit("a")).unionByName(section_rows(t, h, "vb").withColumn("half", F.lit("b")))
+    samples = section_samples(t, F.col("animal_id").cast("string")).withColumn("half", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    got = clock.score(halves, samples, extra=["half"])
+    return got.groupBy(F.col("unit").alias("section_id")).agg(
+        (F.abs(F.sum(F.when(F.col("half") == "a", F.col("pred_residual")).otherwise(-F.col("pred_residual")))) / 2).alias("noise"))
+
+
+@query("m24_fitted_transfer")
+def _(t):
+    """A clock of one cohort's animals scores the sections of both: rank correlation with the animal's day."""
+    from cohortspark.operators.association import grouped_spearman
+    own = t.animals.where("model = 'RR'")
+    u = M.unit_table(own, "animal_id", None, ["day"], ["score"])
+    clock, _p = M.fit_clock(xs(t), u, S, full_fit=True)
+    got = clock.score(section_rows(t), section_samples(t, F.lit("")))
+    j = got.withColumnRenamed("unit", "section_id").join(t.sections, "section_id").join(t.animals.select("animal_id", "model", "day"), "animal_id")
+    return grouped_spearman(j.withColumn("pred", F.round("pred_day", 9)), "pred", "day", ["model"])
+
+
 CTES["frozen"] = "SELECT gene_id, (weight - 900) / 1000 AS beta, 1.0::double + gene_size / 50.0::double AS mean, 0.5::double + gene_size / 100.0::double AS sd FROM genes WHERE program IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4')"
 
 

@@ -101,3 +101,38 @@ def test_thinning_adds_up(spark):
     t = M.thin_counts(d, ["k"]).collect()
     assert len(t) == 40 and all(0 <= r.half_a <= r.cnt and r.half_a + r.half_b == r.cnt for r in t)
     assert abs(sum(r.half_a for r in t) / sum(r.cnt for r in t) - 0.5) < 0.05
+
+
+def test_clock_table_gives_the_held_out_predictions(spark):
+    """Scoring the held-out units from the written fit equals the predictions made inside the fit, on both scales."""
+    import numpy as np
+    from cohortspark.operators import grid as M
+    r = np.random.default_rng(11)
+    n, k = 24, 12
+    m = np.where(r.random((n, k)) < 0.3, 0.0, r.gamma(2.0, 1.0, (n, k)))
+    sev = r.normal(size=n)
+    day = m[:, 0] * 2 + sev + r.normal(size=n) * 0.2
+    u = spark.createDataFrame([(int(i), float(day[i]), float(sev[i])) for i in range(n)], "u long, day double, sev double")
+    x = spark.createDataFrame([(int(i), f"g{j}", float(m[i, j])) for i in range(n) for j in range(k) if m[i, j]], "u long, g string, v double")
+    rows, units = M.feature_rows(x, "u", "g", "v"), M.unit_table(u, "u", "u", ["day"], ["sev"])
+    clock, preds = M.fit_clock(rows, units, M.Settings(top=8, alphas=20))
+    samples = u.selectExpr("'all' AS task", "cast(u AS string) AS fold", "u AS unit", "array(sev) AS c")
+    got = {g["unit"]: g for g in clock.score(rows, samples).collect()}
+    for p in preds.collect():
+        assert abs(got[p["unit"]]["pred_residual"] - p["pred"]) < 1e-6
+        # the day scale adds the target's own line, so the residual of the truth is the same on both
+        assert abs((day[p["unit"]] - got[p["unit"]]["pred_day"]) - (p["observed"] - p["pred"])) < 1e-6
+
+
+def test_kept_features_are_extra(spark):
+    import numpy as np
+    from cohortspark.operators import grid as M
+    r = np.random.default_rng(3)
+    x = spark.createDataFrame([(i, f"g{j}", float(r.gamma(2.0) * (j + 1))) for i in range(12) for j in range(10)], "u long, g string, v double")
+    u = spark.createDataFrame([(i, float(r.normal())) for i in range(12)], "u long, day double")
+    keep = spark.createDataFrame([("g0",), ("g1",), ("g2",)], "feature string")
+    units = M.unit_table(u, "u", "u", ["day"])
+    sel = M.screen(M.feature_rows(x, "u", "g", "v"), units, M._folds(units, False), M.Settings(top=3), keep).collect()
+    for f in {s["fold"] for s in sel}:
+        own = {s["feature"]: s["pos"] for s in sel if s["fold"] == f}
+        assert len(own) == 6 and {"g0", "g1", "g2"} <= set(own) and sorted(own.values()) == list(range(6))
