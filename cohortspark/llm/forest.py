@@ -19,8 +19,8 @@ SIMILARITY = 0.8
 MISS = 1e-6                # chance that a pair at the threshold shares no region, and that its sketch looks too different
 DEPTH = 4
 DEEPER = (6, 9)
-CROWD = 64                 # a region with more sets is opened at the next depth, and searched in blocks
-BLOCK = 1024
+CROWD = 64                 # a region with more entries is opened at greater depths
+BLOCK = 1024               # entries of a region that one side of a comparison holds
 
 
 def trees_for(depth: int, similarity: float = SIMILARITY, miss: float = MISS) -> int:
@@ -103,110 +103,134 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return d.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """Of pairs (a, b) those whose full shingle sets have the similarity. ``pairs`` is read three times."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"))
-    # rows that repeat an id were told apart by nothing; any of them stands for the id
-    texts = cut(own.join(ids, "id", "left_semi"))
-    d = (pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
-         .join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb"))
+def full_sets(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, set) of the named documents: the sorted distinct 64-bit shingle hashes of the whole text."""
+    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    # rows that repeat an id repeat its text
+    own = own.join(ids, "id", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in text_slices(batch, "text"):
+                sets, bounds = shingle_sets(data, offsets, width)
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array([sets[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:])], pa.binary())],
+                                                 ["id", "set"])
+
+    return own.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, set binary").dropDuplicates(["id"])
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs (a, b) those whose full sets (id, set) have the similarity."""
+    d = (pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
+         .join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb"))
     parts = round(similarity * 10000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            at = 0
-            sides: list[tuple[int, int, np.ndarray, np.ndarray]] = []
-            for first, end, data, offsets in text_slices(batch, "ta", 1 << 20):
-                sides.append((first, end, *shingle_sets(data, offsets, width)))
-            for first, end, va, ba in sides:
-                part = batch.slice(first, end - first)
-                for f2, e2, data, offsets in text_slices(part, "tb", 1 << 20):
-                    vb, bb = shingle_sets(data, offsets, width)
-                    na, nb = np.diff(ba[f2:e2 + 1]), np.diff(bb)
-                    v = np.concatenate([va[ba[f2]:ba[e2]], vb])
-                    row = np.concatenate([np.repeat(np.arange(e2 - f2), na), np.repeat(np.arange(e2 - f2), nb)])
-                    order = np.lexsort((v, row))
-                    v, row = v[order], row[order]
-                    twice = (v[1:] == v[:-1]) & (row[1:] == row[:-1])
-                    both = np.bincount(row[1:][twice], minlength=e2 - f2)
-                    union = na + nb - both
-                    keep[first + f2:first + e2] = (10000 * both >= parts * union) & (union > 0)
-                at = end
-            assert at == batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
+            keep = []
+            for x, y in zip(batch.column("sa"), batch.column("sb")):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                at = np.searchsorted(x, y)
+                both = int((x[np.minimum(at, len(x) - 1)] == y).sum()) if len(x) else 0
+                keep.append(0 < 10000 * both >= parts * (len(x) + len(y) - both))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return d.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    kind = sets.schema["id"].dataType.simpleString()
+    return d.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _leaders(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of rows (key, id): pairs of every member with the smallest id of its region; and (key, count) of crowded regions."""
-    regions = rows.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("held")).where("held > 1")
-    met = rows.join(regions, "key")
-    return (met.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")),
-            met.where(F.col("held") > CROWD).select("key", "id"))
+def _links_of_cell(left: list[tuple], right: list[tuple], same: bool, similarity: float) -> list[tuple]:
+    """Links between rows (id, comp, n, set) of different components: a forest, so at most one fewer than components.
+
+    Intersection sizes are a product of two 0/1 tables over the shingles that several rows have, a few columns at a time.
+    """
+    rows = left if same else left + right
+    sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+    n = np.array([r[2] for r in rows])
+    comps = np.unique(np.array([r[1] for r in rows]), return_inverse=True)[1]
+    values = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(rows)), [len(x) for x in sets])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    start = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    times = np.diff(np.concatenate([start, [len(values)]]))
+    column = np.repeat(np.where(times > 1, np.cumsum(times > 1) - 1, -1), times)
+    shared = column >= 0
+    column, owner = column[shared], owner[shared]
+    k = len(left)
+    both = np.zeros((k, k if same else len(right)), np.float32)
+    width = 4096
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [lo, lo + width])
+        table = np.zeros((len(rows), width), np.float32)
+        table[owner[a:b], column[a:b] - lo] = 1
+        both += table[:k] @ (table[:k] if same else table[k:]).T
+    both = np.rint(both).astype(np.int64)
+    n1, n2 = n[:k], n[:k] if same else n[k:]
+    c1, c2 = comps[:k], comps[:k] if same else comps[k:]
+    linked = (10000 * both >= round(similarity * 10000) * (n1[:, None] + n2[None, :] - both)) & (c1[:, None] != c2[None, :])
+    parent = list(range(int(comps.max()) + 1))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(linked)):
+        x, y = root(int(c1[i])), root(int(c2[j]))
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((left[i][0], (left if same else right)[j][0]))
+    return out
 
 
-def _blocks(rows: DataFrame, similarity: float, kind: str) -> DataFrame:
-    """Pairs of crowded regions whose components differ and whose sizes and sketches allow a link.
+def _search_regions(rows: DataFrame, similarity: float, kind: str) -> DataFrame:
+    """Links (a, b) between different components inside regions, by comparing full sets block by block.
 
-    ``rows``: (key, id, comp, n, sketch, minor). Rows outside a region's largest component are its minor rows; each block
-    of CROWD of them meets every block of the region (BLOCK rows of the largest component, or CROWD minor rows), so a
-    task holds two blocks and members of one component are never compared.
+    ``rows``: (key, held, id, comp, n, set, minor). A region of at most BLOCK rows is one cell. In a larger one the rows outside
+    its largest component are its minor rows; each block of BLOCK minor rows meets every block of the region, and members of
+    the largest component are never compared with each other. A task holds two blocks, whatever the size of the region.
     """
-    per = rows.groupBy("key").agg(F.ceil(F.sum(F.col("minor").cast("int")) / CROWD).cast("int").alias("m"),
-                                  F.ceil(F.sum((~F.col("minor")).cast("int")) / BLOCK).cast("int").alias("g"))
-    d = rows.join(per, "key").withColumn("own", F.when(F.col("minor"), F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), "m"))
-                                                      ).otherwise(F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), "g"))).cast("int"))
-    # cells (i, j): minor block i against minor block j >= i, or against largest-component block j (numbered from m)
-    minors = d.where("minor AND m > 0").select("*", F.explode(F.expr("""concat(
-        transform(sequence(0, m - 1), x -> named_struct('i', least(own, x), 'j', greatest(own, x), 'side', IF(x < own, 1, 0))),
-        IF(g > 0, transform(sequence(0, greatest(g, 1) - 1), x -> named_struct('i', own, 'j', m + x, 'side', 0)), array()))""")).alias("cell"))
-    mains = d.where("NOT minor AND m > 0").select("*", F.explode(F.expr(
-        "transform(sequence(0, m - 1), x -> named_struct('i', x, 'j', m + own, 'side', 1))")).alias("cell"))
-    cells = minors.unionByName(mains).select("key", "cell.i", "cell.j", "cell.side", "id", "comp", "n", "sketch")
+    per = rows.where(F.col("held") > BLOCK).groupBy("key").agg(F.ceil(F.sum(F.col("minor").cast("int")) / BLOCK).cast("int").alias("m"),
+                                                               F.ceil(F.sum((~F.col("minor")).cast("int")) / BLOCK).cast("int").alias("g"))
+    d = rows.join(per, "key", "left").withColumn("own", F.when(F.col("minor"), F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), "m"))
+                                                              ).otherwise(F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), "g"))).cast("int"))
+    # cells (i, j): minor block i against minor block j >= i, or against block j - m of the largest component
+    cell = F.expr("""CASE WHEN m IS NULL THEN array(named_struct('i', 0, 'j', 0, 'side', 0))
+        WHEN minor THEN concat(transform(sequence(0, m - 1), x -> named_struct('i', least(own, x), 'j', greatest(own, x), 'side', IF(x < own, 1, 0))),
+                               transform(sequence(0, g - 1), x -> named_struct('i', own, 'j', m + x, 'side', 0)))
+        ELSE transform(sequence(0, m - 1), x -> named_struct('i', x, 'j', m + own, 'side', 1)) END""")
+    cells = d.select("key", "id", "comp", "n", "set", F.explode(cell).alias("cell"))
+    cells = cells.select("key", "cell.i", "cell.j", "cell.side", "id", "comp", "n", "set")
     cells = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
 
-    def compare(group: list[tuple]) -> tuple[list, list]:
-        i, j = group[0][1], group[0][2]
-        left = [r for r in group if r[3] == 0]
-        right = left if i == j else [r for r in group if r[3] == 1]
-        if not left or not right:
-            return [], []
-        x, y = (np.frombuffer(b"".join(r[7] for r in rs), np.uint8).reshape(len(rs), -1) for rs in (left, right))
-        n1, n2 = (np.array([r[6] for r in rs]) for rs in (left, right))
-        c1, c2 = (np.array([r[5] for r in rs]) for rs in (left, right))
-        out_a, out_b = [], []
-        for k in range(len(left)):
-            ok = (c2 != c1[k]) & (np.minimum(n2, n1[k]) >= similarity * np.maximum(n2, n1[k]) - 1e-9)
-            ok &= (y == x[k]).mean(axis=1) >= sketch_floor(x.shape[1], similarity)
-            for h in np.flatnonzero(ok):
-                a, b = left[k][4], right[h][4]
-                if a != b:
-                    out_a.append(min(a, b))
-                    out_b.append(max(a, b))
-        return out_a, out_b
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
+        at, sides, type_ = None, ([], []), None
+
+        def links() -> list[tuple]:
+            if at is None or not sides[0]:
+                return []
+            same = at[1] == at[2]
+            return _links_of_cell(sides[0], sides[1], same, similarity) if same or sides[1] else []
+
+        def batch_of(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], type_), pa.array([max(x) for x in found], type_)], ["a", "b"])
+
         for batch in batches:
-            out_a, out_b = [], []
-            for r in zip(*[c.to_pylist() for c in batch.columns]):
-                if group and group[0][:3] != r[:3]:
-                    a, b = compare(group)
-                    out_a += a
-                    out_b += b
-                    group = []
-                group.append(r)
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, batch.column("id").type), pa.array(out_b, batch.column("id").type)], ["a", "b"])
-            last = batch.column("id").type
-        if group:
-            a, b = compare(group)
-            yield pa.RecordBatch.from_arrays([pa.array(a, last), pa.array(b, last)], ["a", "b"])
-
-    return cells.mapInArrow(run, f"a {kind}, b {kind}")
+            type_, found = batch.column("id").type, []
+            for key, i, j, side, *row in zip(*[c.to_pylist() for c in batch.columns]):
+                if at != (key, i, j):
+                    found += links()
+                    at, sides = (key, i, j), ([], [])
+                sides[side].append(row)
+            yield batch_of(found)
+        if at is not None:
+            yield batch_of(links())
+
+    return cells.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, id_col: str = "doc_id",
@@ -225,52 +249,44 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
        million. Members meet the smallest id of their region; a region of over CROWD entries is opened at greater depths,
        so its members also meet those with a longer common prefix. Pairs whose sizes or sketches forbid a link are left
        out, the others are confirmed on full sets and make a first set of components.
-    3. Regions that still hold several components are searched through: all pairs of different components in small
-       regions, block by block in crowded ones. So every pair that shares a region is either in one component already
-       or has been tested; no bucket is capped. Regions with the same members are searched once.
+    3. Regions that still hold several components are searched through on full sets, block by block, for links between
+       components (:func:`_search_regions`). So every pair that shares a region is either in one component already or has
+       been tested; no bucket is capped, and no task lists pairs. Regions with the same members are searched once.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     feats = cut(features(docs, width, similarity, id_col, text_col))
     full = feats.where("n > 0")
-    classes = full.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
-    classes = cut(classes)
+    classes = cut(full.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")))
     sets = cut(full.join(classes.select(F.col("rep").alias("id"), "d1", "d2"), ["id", "d1", "d2"]).dropDuplicates(["id"])
                .select("id", "n", "keys", "deeper", "sketch"))
     rows = sets.select(F.explode("keys").alias("key"), "id")
-    pairs, crowded = _leaders(rows)
+    regions = rows.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("held")).where("held > 1")
+    met = cut(rows.join(regions, "key"))          # entries that share a region with another one
+    pairs = met.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
     # deeper keys of entries that stand in a crowded region
-    crowd = crowded.select("id").distinct()
+    crowd = met.where(F.col("held") > CROWD).select("id").distinct()
     deep = sets.join(crowd, "id", "left_semi").select(F.explode("deeper").alias("key"), "id")
-    pairs = pairs.unionByName(_leaders(deep)[0]).distinct()
-    first = cut(_alike(pairs, sets, similarity))
-    links = cut(confirm(first, docs, width, similarity, id_col, text_col))
+    inner = deep.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("held")).where("held > 1")
+    deeper = deep.join(inner, "key").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    first = _alike(pairs.unionByName(deeper).distinct(), sets, similarity)
+    whole = cut(full_sets(docs, met.select("id").distinct(), width, id_col, text_col))
+    links = cut(confirm(first, whole, similarity))
     comps = cut(connected_components(links))
 
     # regions that hold several components
-    named = rows.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    named = met.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "held", "id", F.coalesce("component", "id").alias("comp"))
     named = cut(named)
-    mixed = (named.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                      F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("lo <> hi"))
-    mixed = mixed.groupBy("x", "y", "held").agg(F.min("key").alias("key"))
-    mixed = cut(mixed.select("key", "held"))
-    met = named.join(mixed, "key")
-    small = met.where(F.col("held") <= CROWD).join(sets.select("id", "n"), "id").select("key", "id", "comp", "n")
-    l, r = small.alias("l"), small.alias("r")
-    near = (F.col("l.key") == F.col("r.key")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.comp") != F.col("r.comp"))
-    near &= F.least("l.n", "r.n") >= similarity * F.greatest("l.n", "r.n") - 1e-9
-    few = l.join(r, near).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
-    second = _alike(few, sets, similarity)
-    large = cut(met.where(F.col("held") > CROWD).select("key", "id", "comp"))
-    if large.take(1):
-        tally = large.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-        main = tally.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
-        big = large.join(main, "key").join(sets.select("id", "n", "sketch"), "id").withColumn("minor", F.col("comp") != F.col("main")).drop("main")
-        second = second.unionByName(_blocks(big, similarity, kind)).distinct()
-    second = cut(second)
-    if second.take(1):
-        more = cut(confirm(second, docs, width, similarity, id_col, text_col))
-        if more.take(1):
-            comps = cut(connected_components(links.unionByName(more)))
+    mixed = (named.groupBy("key", "held").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("x"),
+                                              F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("lo <> hi"))
+    mixed = mixed.groupBy("x", "y", "held").agg(F.min("key").alias("key")).select("key")
+    inside = cut(named.join(mixed, "key"))
+    tally = inside.where(F.col("held") > BLOCK).groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    main = tally.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
+    inside = inside.join(main, "key", "left").withColumn("minor", F.coalesce(F.col("comp") != F.col("main"), F.lit(True)))
+    inside = inside.join(sets.select("id", "n"), "id").join(whole, "id").select("key", "held", "id", "comp", "n", "set", "minor")
+    more = cut(_search_regions(inside, similarity, kind))
+    if more.take(1):
+        comps = cut(connected_components(links.unionByName(more)))
 
     member = feats.select("id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left")
     out = member.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")

@@ -147,41 +147,42 @@ def curve_arrays(curve: DataFrame) -> DataFrame:
     return curve.groupBy(UNIT).agg(F.array_sort(F.collect_list(F.struct("day", "score"))).alias("pts"))
 
 
+def pivots(curve: DataFrame, drop: float, rise: float, hold: int = 1) -> DataFrame:
+    """Turning points of each curve, in turn held falls and held rises: (unit, pivots array<day, kind>).
+
+    A held fall after a point is the first day that closes ``hold`` consecutive calendar days, all at least ``drop`` below the
+    highest score since that point; a held rise is the first that closes ``hold`` such days at least ``rise`` above the lowest.
+    The search begins at the first point, and each pivot is the point from which the next one is looked for. A curve has a
+    few dozen points, which one row holds.
+    """
+    since = "slice(y, a.at, j - a.at + 1)"
+    far = {"fall": f"y[j - 1] <= array_max({since}) - {drop}D", "rise": f"y[j - 1] >= array_min({since}) + {rise}D"}
+
+    def first(kind: str) -> str:
+        held = f"forall(sequence(i - {hold - 1}, i), j -> {far[kind]})"
+        return f"array_min(filter(sequence(a.at + {hold}, m), i -> d[i - 1] - d[i - {hold}] = {hold - 1} and {held}))"
+
+    step = (f"if(a.at is null or a.at + {hold} > m, named_struct('at', cast(null as int), 'found', a.found), "
+            f"transform(array(if(size(a.found) % 2 = 0, {first('fall')}, {first('rise')})), k -> named_struct('at', k, 'found', "
+            "if(k is null, a.found, concat(a.found, array(k)))))[0])")
+    walk = f"aggregate(sequence(1, m), named_struct('at', 1, 'found', cast(array() as array<int>)), (a, x) -> {step}, a -> a.found)"
+    c = curve_arrays(curve).selectExpr(UNIT, "transform(pts, p -> p.score) AS y", "transform(pts, p -> p.day) AS d", "size(pts) AS m")
+    found = c.select(UNIT, "d", F.expr(walk).alias("_i"))
+    return found.selectExpr(UNIT, "transform(_i, (k, n) -> named_struct('day', d[k - 1], 'kind', if(n % 2 = 0, 'fall', 'rise'))) AS pivots")
+
+
+def _rises(found: DataFrame, out: str) -> DataFrame:
+    return found.select(UNIT, F.size(F.filter("pivots", lambda p: p["kind"] == "rise")).alias(out))
+
+
 def relapses(curve: DataFrame, drop: float = 1.0, rise: float = 1.0) -> DataFrame:
-    """Relapse count (W5): a fall of ``drop`` from the running peak, then a rise of ``rise`` from the trough."""
-    fold = f"""aggregate(pts,
-      named_struct('top', -1e18D, 'low', 1e18D, 'down', false, 'n', 0),
-      (s, p) -> if(s.down,
-        if(p.score >= least(s.low, p.score) + {drop}D,
-           named_struct('top', p.score, 'low', least(s.low, p.score), 'down', false, 'n', s.n + 1),
-           named_struct('top', s.top, 'low', least(s.low, p.score), 'down', true, 'n', s.n)),
-        if(p.score <= greatest(s.top, p.score) - {drop}D,
-           named_struct('top', greatest(s.top, p.score), 'low', p.score, 'down', true, 'n', s.n),
-           named_struct('top', greatest(s.top, p.score), 'low', s.low, 'down', false, 'n', s.n))),
-      s -> s.n)""".replace(f"least(s.low, p.score) + {drop}D", f"least(s.low, p.score) + {rise}D")
-    return curve_arrays(curve).select(UNIT, F.expr(fold).alias("n_relapses"))
+    """Relapses (W5): rises after a fall, each of a day."""
+    return _rises(pivots(curve, drop, rise), "n_relapses")
 
 
 def relapses_sustained(curve: DataFrame, drop: float = 0.5, rise: float = 0.5, hold: int = 2) -> DataFrame:
-    """Relapse count with each crossing held on ``hold`` consecutive calendar days; a gap restarts the run."""
-    run = "if(s.prev = p.day - 1, s.run, 0)"
-
-    def st(top, low, down, n, r):
-        return (f"named_struct('top', {top}, 'low', {low}, 'down', {down}, 'n', {n}, 'run', {r}, "
-                f"'prev', cast(p.day as int))")
-    down_next = f"if(p.score <= s.top - {drop}D, {run} + 1, 0)"
-    up_next = f"if(p.score >= s.low + {rise}D, {run} + 1, 0)"
-    fold = f"""aggregate(pts,
-      named_struct('top', -1e18D, 'low', 1e18D, 'down', false, 'n', 0, 'run', 0, 'prev', -1000),
-      (s, p) -> if(not s.down,
-        if(p.score > s.top, {st('p.score', 's.low', 'false', 's.n', '0')},
-          if({down_next} >= {hold}, {st('s.top', 'p.score', 'true', 's.n', '0')},
-             {st('s.top', 's.low', 'false', 's.n', down_next)})),
-        if(p.score < s.low, {st('s.top', 'p.score', 'true', 's.n', '0')},
-          if({up_next} >= {hold}, {st('p.score', 's.low', 'false', 's.n + 1', '0')},
-             {st('s.top', 's.low', 'true', 's.n', up_next)}))),
-      s -> s.n)"""
-    return curve_arrays(curve).select(UNIT, F.expr(fold).alias("n_relapses_held"))
+    """Relapses (W6) whose falls and rises are held on ``hold`` consecutive calendar days."""
+    return _rises(pivots(curve, drop, rise, hold), "n_relapses_held")
 
 
 def last_peak(curve: DataFrame, prominence: float = 0.5) -> DataFrame:

@@ -40,16 +40,23 @@ def _(t):
     return V.trapezoid(c, V.onset(c).where("onset_day is not null").select("animal_id", "onset_day"))
 
 
-R1 = """WITH RECURSIVE s AS (
-  SELECT DISTINCT animal_id, 0::bigint AS rn, -1e18::double AS top, 1e18::double AS low, false AS down, 0 AS n FROM curve_ranked
-  UNION ALL
-  SELECT c.animal_id, c.rn,
-    CASE WHEN s.down THEN CASE WHEN c.score >= least(s.low, c.score) + 1 THEN c.score ELSE s.top END ELSE greatest(s.top, c.score) END,
-    CASE WHEN s.down THEN least(s.low, c.score) WHEN c.score <= greatest(s.top, c.score) - 1 THEN c.score ELSE s.low END,
-    CASE WHEN s.down THEN NOT (c.score >= least(s.low, c.score) + 1) ELSE c.score <= greatest(s.top, c.score) - 1 END,
-    CASE WHEN s.down AND c.score >= least(s.low, c.score) + 1 THEN s.n + 1 ELSE s.n END
-  FROM s JOIN curve_ranked c ON c.animal_id = s.animal_id AND c.rn = s.rn + 1)
-SELECT animal_id, arg_max(n, rn)::bigint AS n_relapses FROM s GROUP BY 1"""
+def turning_points(step: str, held: bool, out: str) -> str:
+    """Relapses from turning points: for every start the extremes up to each later point, the first far point, then a walk
+    from turning point to turning point."""
+    again = " AND lag(ok_{k}) OVER w AND day - lag(day) OVER w = 1" if held else ""
+    return f"""WITH RECURSIVE g AS (
+  SELECT a.animal_id, a.rn AS s, b.rn AS i, b.day, b.score, max(b.score) OVER v AS hi, min(b.score) OVER v AS lo
+  FROM curve_ranked a JOIN curve_ranked b ON a.animal_id = b.animal_id AND b.rn >= a.rn WINDOW v AS (PARTITION BY a.animal_id, a.rn ORDER BY b.rn)),
+o AS (SELECT *, i > s AND score <= hi - {step} AS ok_f, i > s AND score >= lo + {step} AS ok_r FROM g),
+h AS (SELECT animal_id, s, i, ok_f{again.format(k="f")} AS fall, ok_r{again.format(k="r")} AS rise FROM o WINDOW w AS (PARTITION BY animal_id, s ORDER BY i)),
+nx AS (SELECT animal_id, s, min(i) FILTER (fall) AS fall, min(i) FILTER (rise) AS rise FROM h GROUP BY 1, 2),
+p AS (SELECT DISTINCT animal_id, 1::bigint AS at, 0 AS k FROM curve_ranked
+  UNION ALL SELECT p.animal_id, CASE WHEN k % 2 = 0 THEN fall ELSE rise END, k + 1 FROM p JOIN nx ON nx.animal_id = p.animal_id AND nx.s = p.at
+  WHERE CASE WHEN k % 2 = 0 THEN fall ELSE rise END IS NOT NULL)
+SELECT animal_id, (max(k) // 2)::bigint AS {out} FROM p GROUP BY 1"""
+
+
+R1 = turning_points("1", False, "n_relapses")
 
 
 @query("w5_relapse_count", R1)
@@ -57,22 +64,7 @@ def _(t):
     return V.relapses(curve(t))
 
 
-W6 = """WITH RECURSIVE s AS (
-  SELECT DISTINCT animal_id, 0::bigint AS rn, -1e18::double AS top, 1e18::double AS low, false AS down, 0 AS n, 0 AS run, -1000::bigint AS prev FROM curve_ranked
-  UNION ALL
-  SELECT animal_id, rn,
-    CASE WHEN NOT down AND y > top THEN y WHEN down AND y >= low AND up >= 2 THEN y ELSE top END,
-    CASE WHEN NOT down AND y <= top AND dn >= 2 THEN y WHEN down AND y < low THEN y ELSE low END,
-    CASE WHEN NOT down THEN y <= top AND dn >= 2 ELSE NOT (y >= low AND up >= 2) END,
-    CASE WHEN down AND y >= low AND up >= 2 THEN n + 1 ELSE n END,
-    CASE WHEN NOT down AND y > top THEN 0 WHEN NOT down THEN CASE WHEN dn >= 2 THEN 0 ELSE dn END
-         WHEN y < low THEN 0 ELSE CASE WHEN up >= 2 THEN 0 ELSE up END END,
-    day
-  FROM (SELECT c.animal_id, c.rn, c.day, c.score AS y, s.top, s.low, s.down, s.n,
-               CASE WHEN c.score <= s.top - 0.5 THEN (CASE WHEN s.prev = c.day - 1 THEN s.run ELSE 0 END) + 1 ELSE 0 END AS dn,
-               CASE WHEN c.score >= s.low + 0.5 THEN (CASE WHEN s.prev = c.day - 1 THEN s.run ELSE 0 END) + 1 ELSE 0 END AS up
-        FROM s JOIN curve_ranked c ON c.animal_id = s.animal_id AND c.rn = s.rn + 1))
-SELECT animal_id, arg_max(n, rn)::bigint AS n_relapses_held FROM s GROUP BY 1"""
+W6 = turning_points("0.5", True, "n_relapses_held")
 
 
 @query("w6_relapse_count_held", W6)
