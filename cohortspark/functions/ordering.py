@@ -95,6 +95,26 @@ def bh_adjust(df: DataFrame, p: str = "p", family: Sequence[str] = (), out: str
     return df.join(q, [*family, p], "left")
 
 
+def ordinal(df: DataFrame, x: str, tie: str, part: Sequence[str] = (), out: str = "ordinal") -> DataFrame:
+    """1-based place in the order of (x, tie) for groups of any size; only the rows of one value are sorted together."""
+    t = ordered_counts(df, x, part).select(*part, x, "_below")
+    w = Window.partitionBy(*part, x).orderBy(tie)
+    return df.join(t, [*part, x]).withColumn(out, F.col("_below") + F.row_number().over(w)).drop("_below")
+
+
+def hex_ranks(df: DataFrame, h: str, part: Sequence[str] = (), ids: Sequence[str] = (), out: str = "_rn") -> DataFrame:
+    """1-based place in the order of a hexadecimal hash column, for groups of any size.
+
+    The leading four digits cut a group into 65,536 slices; places are counted inside a slice and slice totals added on.
+    """
+    part = list(part)
+    d = df.withColumn("_s", F.substring(h, 1, 4))
+    tot = d.groupBy(*part, "_s").agg(F.count(F.lit(1)).alias("_k"))
+    tot = tot.withColumn("_off", F.sum("_k").over(Window.partitionBy(*part).orderBy("_s")) - F.col("_k")).drop("_k")
+    inside = F.row_number().over(Window.partitionBy(*part, "_s").orderBy(h, *ids))
+    return d.withColumn("_in", inside).join(tot, [*part, "_s"]).withColumn(out, F.col("_in") + F.col("_off")).drop("_in", "_off", "_s")
+
+
 def exact_quantiles(df: DataFrame, x: str, qs: Sequence[float], names: Sequence[str],
                     part: Sequence[str] = ()) -> DataFrame:
     """Linear-interpolation quantiles of groups of any size, one column per requested quantile."""
@@ -145,17 +165,15 @@ def stratified_fraction(df: DataFrame, part: Sequence[str], ids: Sequence[str],
                         seed: int = 0) -> DataFrame:
     """Sampling operator: ``max(1, round(fraction * n))`` rows of every group, by hash order."""
     n = df.groupBy(*part).agg(F.greatest(F.lit(1), F.round(F.count(F.lit(1)) * F.lit(fraction))).alias("_take"))
-    w = Window.partitionBy(*part).orderBy(hash_key(*part, *ids, F.lit(seed)))
-    return (df.join(n, list(part)).withColumn("_rn", F.row_number().over(w))
-            .where(F.col("_rn") <= F.col("_take")).drop("_rn", "_take"))
+    d = hex_ranks(df.withColumn("_h", hash_key(*part, *ids, F.lit(seed))), "_h", part, ids)
+    return d.join(n, list(part)).where(F.col("_rn") <= F.col("_take")).select(*df.columns)
 
 
 def split_units(units: DataFrame, unit: str, fraction: float, seed: int = 0) -> DataFrame:
     """Deterministic train / validation split of units: ``max(1, round(n * fraction))`` go to validation."""
     n = units.select(unit).distinct()
     take = n.agg(F.greatest(F.lit(1), F.round(F.count(F.lit(1)) * F.lit(fraction))).alias("k")).scalar()
-    w = Window.orderBy(F.md5(hash_text(unit, F.lit(seed))))
-    return (n.withColumn("_rn", F.row_number().over(w))
+    return (hex_ranks(n.withColumn("_h", F.md5(hash_text(unit, F.lit(seed)))), "_h")
             .select(unit, F.when(F.col("_rn") <= take, "val").otherwise("train").alias("split")))
 
 

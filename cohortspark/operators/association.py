@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.functions.ordering import bh_adjust, midrank
+from cohortspark.functions.ordering import bh_adjust, large_midrank, midrank
 from cohortspark.functions.scalars import c, clip, ratio
 from cohortspark.functions.special import p_student
 
@@ -181,16 +181,17 @@ def residualise(df: DataFrame, y: str, covar: str, part: Sequence[str] = (), out
 
 def leave_one_out_residual(units: DataFrame, y: str, covar: str, out: str = "resid_loo") -> DataFrame:
     """Leak-free residual: the line is fitted without the row itself, from leave-one-out sums."""
-    w = Window.partitionBy()
-    n = F.count(F.lit(1)).over(w) - 1
-    d = (units.withColumn("_y", F.col(y) - F.avg(y).over(w)).withColumn("_x", F.col(covar) - F.avg(covar).over(w)))
-    sx, sy = F.sum("_x").over(w) - F.col("_x"), F.sum("_y").over(w) - F.col("_y")
-    sxy = F.sum(F.col("_x") * F.col("_y")).over(w) - F.col("_x") * F.col("_y")
-    sxx = F.sum(F.col("_x") * F.col("_x")).over(w) - F.col("_x") * F.col("_x")
+    # sums over all units are one row; the centred sums are n times the (co)variance
+    whole = units.agg(F.count(F.lit(1)).alias("_n"), F.avg(y).alias("_ay"), F.avg(covar).alias("_ax"),
+                      (F.covar_pop(covar, y) * F.count(F.lit(1))).alias("_sxy"), (F.var_pop(covar) * F.count(F.lit(1))).alias("_sxx"))
+    d = units.join(F.broadcast(whole)).withColumn("_y", F.col(y) - F.col("_ay")).withColumn("_x", F.col(covar) - F.col("_ax"))
+    n = F.col("_n") - 1
+    sx, sy = -F.col("_x"), -F.col("_y")
+    sxy, sxx = F.col("_sxy") - F.col("_x") * F.col("_y"), F.col("_sxx") - F.col("_x") * F.col("_x")
     slope = ratio(sxy - sx * sy / n, sxx - sx * sx / n)
     return (d.withColumn("_b", slope).withColumn("_mx", sx / n).withColumn("_my", sy / n)
             .withColumn(out, F.col("_y") - F.col("_my") - F.col("_b") * (F.col("_x") - F.col("_mx")))
-            .drop("_x", "_y", "_b", "_mx", "_my"))
+            .drop("_x", "_y", "_b", "_mx", "_my", "_n", "_ay", "_ax", "_sxy", "_sxx"))
 
 
 def variance_explained(units: DataFrame, y: str, a: str, b: str) -> DataFrame:
@@ -253,12 +254,12 @@ def within_unit_slopes(long: DataFrame, levels: DataFrame, unit: str, feature: s
 def agreement(a: DataFrame, b: DataFrame, feature: str, x: str, q: str | None = None, level: float = 0.05
               ) -> DataFrame:
     """Agreement of two effect tables (T24): rank correlation, share of equal sign, shared hits."""
-    j = a.select(feature, F.col(x).alias("_a"), *([F.col(q).alias("_qa")] if q else [])) \
-        .join(b.select(feature, F.col(x).alias("_b"), *([F.col(q).alias("_qb")] if q else [])), feature)
-    ranks = j.select("*", midrank("_a").alias("_ra"), midrank("_b").alias("_rb"))
+    j = a.select(feature, F.col(x).alias("_x1"), *([F.col(q).alias("_qa")] if q else [])) \
+        .join(b.select(feature, F.col(x).alias("_x2"), *([F.col(q).alias("_qb")] if q else [])), feature)
+    ranks = large_midrank(large_midrank(j, "_x1", out="_ra"), "_x2", out="_rb")
     both = (F.count_if((F.col("_qa") < level) & (F.col("_qb") < level)) if q else F.lit(0)).alias("n_both")
     return ranks.agg(F.count(F.lit(1)).alias("n"), pearson("_ra", "_rb").alias("rho"),
-                     F.avg((F.signum("_a") == F.signum("_b")).cast("double")).alias("same_sign"), both)
+                     F.avg((F.signum("_x1") == F.signum("_x2")).cast("double")).alias("same_sign"), both)
 
 
 def empirical_rank(effects: DataFrame, feature: str, effect: str, match: str, tolerance: float = 0.10,

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.functions.ordering import bh_adjust, midrank, ordered_counts
+from cohortspark.functions.ordering import bh_adjust, large_midrank, midrank, ordered_counts
 from cohortspark.functions.scalars import c, ratio
 from cohortspark.functions.special import p_chi2, p_mann_whitney_exact, p_normal, p_sign, p_student
 
@@ -99,11 +99,14 @@ def mann_whitney(x, units, feature, unit, group, levels: tuple[str, str], value:
 
 def kruskal(df: DataFrame, part: Sequence[str], group: str, x: str, p: bool = False) -> DataFrame:
     """Kruskal-Wallis H with tie correction on dense rows (T12); groups of one row are left out."""
-    size = F.count(F.lit(1)).over(Window.partitionBy(*part, group))
-    d = df.withColumn("_k", size).where("_k >= 2")
-    d = d.withColumn("_r", midrank(x, part)).withColumn("_t", F.count(F.lit(1)).over(Window.partitionBy(*part, x)))
-    g = d.groupBy(*part, group).agg(F.sum("_r").alias("_sr"), F.count(F.lit(1)).alias("_n"),
-                                    F.sum(F.col("_t") * F.col("_t") - 1).alias("_tie"))
+    size = df.groupBy(*part, group).agg(F.count(F.lit(1)).alias("_k")).where("_k >= 2").drop("_k")
+    d = df.where(F.col(x).isNotNull()).join(size, [*part, group])
+    # equal values are merged, so neither a part nor a value is ever sorted or counted row by row
+    per = d.groupBy(*part, group, x).agg(F.count(F.lit(1)).alias("_w"))
+    t = ordered_counts(per, x, part, F.col("_w")).select(*part, x, "_cnt", (F.col("_below") + (F.col("_cnt") + 1) / F.lit(2.0)).alias("_r"))
+    per = per.join(t, [*part, x])
+    g = per.groupBy(*part, group).agg(F.sum(F.col("_r") * F.col("_w")).alias("_sr"), F.sum("_w").alias("_n"),
+                                      F.sum((F.col("_cnt") * F.col("_cnt") - 1) * F.col("_w")).alias("_tie"))
     t = g.groupBy(*part).agg(F.sum(F.col("_sr") * F.col("_sr") / F.col("_n")).alias("_q"), F.sum("_n").alias("n"),
                              F.count(F.lit(1)).alias("k"), F.sum("_tie").alias("_tie"))
     n = F.col("n").cast("double")
@@ -116,7 +119,7 @@ def two_group_effects(df: DataFrame, part: Sequence[str], group: str, levels: tu
                       exact: bool = False) -> DataFrame:
     """Mean gap, Hedges g, U of b over a, rank-biserial on dense rows."""
     a, b = levels
-    d = df.where(F.col(group).isin(a, b)).withColumn("_r", midrank(x, part))
+    d = large_midrank(df.where(F.col(group).isin(a, b)), x, part, "_r")
     ina, inb = F.col(group) == a, F.col(group) == b
     g = d.groupBy(*part).agg(
         F.count_if(ina).alias("na"), F.count_if(inb).alias("nb"), F.avg(F.when(ina, F.col(x))).alias("mean_a"),
@@ -131,14 +134,22 @@ def two_group_effects(df: DataFrame, part: Sequence[str], group: str, levels: tu
     return out.withColumn("p_exact", p_mann_whitney_exact("u", "na", "nb")) if exact else out
 
 
-def signed_rank(df: DataFrame, part: Sequence[str], diff: str) -> DataFrame:
-    """Wilcoxon signed rank of paired differences, zeros dropped."""
+def signed_rank(df: DataFrame, part: Sequence[str], diff: str, p: bool = False) -> DataFrame:
+    """Wilcoxon signed rank of paired differences, zeros dropped (T13, G9); ``p`` adds the two-sided normal p."""
     d = df.where((F.col(diff) != 0) & F.col(diff).isNotNull()).withColumn("_a", F.abs(F.col(diff)))
-    d = d.withColumn("_r", midrank("_a", part))
-    return d.groupBy(*part).agg(F.count(F.lit(1)).alias("n"),
-                                F.sum(F.when(F.col(diff) > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"),
-                                F.sum(F.when(F.col(diff) < 0, F.col("_r")).otherwise(0.0)).alias("w_minus")) \
+    d = large_midrank(d, "_a", part, "_r")
+    ties = d.groupBy(*part, "_a").agg(F.count(F.lit(1)).alias("_t")).groupBy(*part).agg(F.sum(F.col("_t") ** 3 - F.col("_t")).alias("_tie"))
+    g = d.groupBy(*part).agg(F.count(F.lit(1)).alias("n"),
+                             F.sum(F.when(F.col(diff) > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"),
+                             F.sum(F.when(F.col(diff) < 0, F.col("_r")).otherwise(0.0)).alias("w_minus")) \
         .withColumn("w", F.least("w_plus", "w_minus"))
+    if not p:
+        return g
+    # normal form with tie correction
+    g = g.join(ties, list(part)) if part else g.withColumn("_tie", ties.select("_tie").scalar())
+    n = F.col("n").cast("double")
+    sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("_tie") / 48)
+    return g.withColumn("p", p_normal(ratio(F.col("w") - n * (n + 1) / 4, sd))).drop("_tie")
 
 
 def sign_test(df: DataFrame, part: Sequence[str], hit: Column) -> DataFrame:

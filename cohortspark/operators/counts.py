@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.functions.ordering import exact_quantiles, top_k
+from cohortspark.functions.ordering import exact_quantiles, ordered_counts, ordinal, top_k
 from cohortspark.functions.scalars import c, hash_key, log_cp10k, ratio
 
 
@@ -198,7 +198,7 @@ def control_genes(means: DataFrame, markers: DataFrame, n_bins: int = 25, per_ma
     Bins are equal-width on the rank of the mean, right-closed. The draw is by hash order of (marker, gene).
     """
     n = means.agg(F.count(F.lit(1))).scalar()
-    ranked = means.withColumn("_r", F.row_number().over(Window.orderBy(value, gene)))
+    ranked = ordinal(means, value, gene, out="_r")
     width = (F.col("_n") - 1) / F.lit(float(n_bins))
     binned = (ranked.withColumn("_n", n)
               .withColumn("bin", F.greatest(F.ceil((F.col("_r") - 1) / width) - 1, F.lit(0)).cast("int"))
@@ -225,11 +225,10 @@ def marker_minus_control(values: DataFrame, markers: DataFrame, controls: DataFr
 
 def gini(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
     """Gini index of group sizes (A16); NULL for an all-zero group."""
-    w = Window.partitionBy(*keys).orderBy(x)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    t = (2 * F.row_number().over(w) - n - 1) * F.col(x)
-    return (df.withColumn("_t", t).groupBy(*keys)
-            .agg(F.count(F.lit(1)).alias("n"), ratio(F.sum("_t"), F.count(F.lit(1)) * F.sum(x)).alias("gini")))
+    # rows of one value share their mean rank, so merged values give the same sum
+    t = ordered_counts(df, x, keys)
+    part = (2 * F.col("_below") + F.col("_cnt") - F.col("_total")) * F.col("_cnt") * F.col(x)
+    return t.groupBy(*keys).agg(F.max("_total").alias("n"), ratio(F.sum(part), F.max("_total") * F.sum(F.col("_cnt") * F.col(x))).alias("gini"))
 
 
 def gene_set_cell_score(expr: DataFrame, genes: DataFrame, cell: Sequence[str], gene: str = "gene_id") -> DataFrame:

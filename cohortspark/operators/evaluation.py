@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.functions.ordering import large_midrank, top_k
+from cohortspark.functions.ordering import large_midrank, ordinal, top_k
 from cohortspark.functions.scalars import c, ratio, softmax
 
 
@@ -46,8 +46,7 @@ def eta_squared(df: DataFrame, factor: str, x: str) -> DataFrame:
 
 def block_mass(coefs: DataFrame, blocks: DataFrame, gene: str, coef: str, block: str) -> DataFrame:
     """Share of absolute coefficient mass per block, its size, and the rank of its first gene."""
-    r = coefs.where(F.col(coef) != 0).withColumn(
-        "_rank", F.row_number().over(Window.orderBy(F.abs(F.col(coef)).desc(), gene)))
+    r = ordinal(coefs.where(F.col(coef) != 0).withColumn("_size", -F.abs(F.col(coef))), "_size", gene, out="_rank")
     total = r.agg(F.sum(F.abs(F.col(coef)))).scalar()
     return (r.join(blocks.select(gene, block), gene).groupBy(block)
             .agg(F.count(F.lit(1)).alias("n_genes"), (F.sum(F.abs(F.col(coef))) / total).alias("mass"),

@@ -265,8 +265,9 @@ def _(t):
 SELECT animal_id, CASE WHEN r <= 1 / 3.0::double THEN 'low' WHEN r <= 2 / 3.0::double THEN 'mid' ELSE 'high' END AS tertile
 FROM (SELECT animal_id, (rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::double) / count(*) OVER () AS r FROM animals)""")
 def _(t):
-    r = O.midrank("score") / F.count(F.lit(1)).over(Window.partitionBy())
-    return t.animals.select("animal_id", F.when(r <= 1 / 3, "low").when(r <= 2 / 3, "mid").otherwise("high").alias("tertile"))
+    n = t.animals.agg(F.count(F.lit(1))).scalar()
+    r = F.col("rank") / n
+    return O.large_midrank(t.animals, "score").select("animal_id", F.when(r <= 1 / 3, "low").when(r <= 2 / 3, "mid").otherwise("high").alias("tertile"))
 
 
 @query("w14_fixed_bands", """
@@ -285,8 +286,8 @@ def _(t):
 
 @query("w18_leave_one_out_mean", "SELECT animal_id, (sum(day) OVER () - day) / (count(*) OVER () - 1) AS loo_mean FROM animals", "loo_mean")
 def _(t):
-    w = Window.partitionBy()
-    return t.animals.select("animal_id", ((F.sum("day").over(w) - F.col("day")) / (F.count(F.lit(1)).over(w) - 1)).alias("loo_mean"))
+    whole = t.animals.agg(F.sum("day").alias("s"), F.count(F.lit(1)).alias("n"))
+    return t.animals.join(F.broadcast(whole)).select("animal_id", ((F.col("s") - F.col("day")) / (F.col("n") - 1)).alias("loo_mean"))
 
 
 @query("f2_centred_log_ratio", """

@@ -50,10 +50,9 @@ def _(t):
 
 @query("g1_edge_audit", """
 SELECT count(*) AS n_edges, count(*) FILTER (a.section_id <> b.section_id) AS n_cross, avg(CASE WHEN a.section_id <> b.section_id THEN 1.0::double ELSE 0.0 END) AS cross_fraction
-FROM (SELECT src, dst FROM knn6 UNION ALL SELECT vec_id, lead(vec_id) OVER (ORDER BY vec_id) FROM embeddings) e JOIN space a ON a.cell_id = e.src JOIN space b ON b.cell_id = e.dst""", "cross_fraction")
+FROM (SELECT src, dst FROM knn6 UNION ALL SELECT vec_id, vec_id + 1 FROM embeddings) e JOIN space a ON a.cell_id = e.src JOIN space b ON b.cell_id = e.dst""", "cross_fraction")
 def _(t):
-    from pyspark.sql import Window
-    stored = t.raw("embeddings").select(F.col("vec_id").alias("src"), F.lead("vec_id").over(Window.orderBy("vec_id")).alias("dst")).where("dst is not null")
+    stored = t.raw("embeddings").select(F.col("vec_id").alias("src"), (F.col("vec_id") + 1).alias("dst"))
     return G.audit_edges(G.knn(t.space, 6).select("src", "dst").unionByName(stored), t.space)
 
 
