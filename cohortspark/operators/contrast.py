@@ -213,6 +213,17 @@ def trajectory_class(relapse, quiet, cut: float = 0.25) -> Column:
             .when((c(relapse) >= cut) & (c(quiet) >= cut), "shared_up").otherwise("other"))
 
 
+def accrual_class(day="r_day", score="r_score", accrue: float = 0.30, severe: float = 0.30) -> Column:
+    """Accrual against severity from the two partial correlations (P8); accrual wins."""
+    return (F.when(c(day) >= accrue, "accrual_up").when(c(day) <= -accrue, "accrual_down")
+            .when(F.abs(c(score)) >= severe, "severity_oscillating").otherwise("other"))
+
+
+def conserved_class(a, b, cut: float = 0.30) -> Column:
+    """The same direction of trend in two cohorts."""
+    return (F.when((c(a) >= cut) & (c(b) >= cut), "accrue_both").when((c(a) <= -cut) & (c(b) <= -cut), "decline_both").otherwise("other"))
+
+
 def profile_correlation(x, units, feature, unit, group, levels: Sequence[str], reference) -> DataFrame:
     """Correlation of every feature's stage-mean profile with that of a reference feature."""
     g = level_sums(x, units, feature, unit, group, levels)
@@ -255,7 +266,8 @@ def shift_share(fractions: DataFrame, expression: DataFrame, units: DataFrame, u
         (F.sum(F.col("_f") / F.col("_n") * (F.col("_ed") - ebar * F.col("_dp"))) / F.max("_n")).alias("cov_intr"))
     g = g.withColumn("cov_inter", F.col("cov_total") - F.col("cov_comp") - F.col("cov_intr"))
     den = F.when(F.abs("cov_total") >= 1e-9, F.col("cov_total"))
-    return g.select("*", (F.col("cov_comp") / den).alias("comp_share"), (F.col("cov_intr") / den).alias("intr_share"))
+    return g.select("*", (F.col("cov_comp") / den).alias("comp_share"), (F.col("cov_intr") / den).alias("intr_share"),
+                    (F.col("cov_inter") / den).alias("inter_share"))
 
 
 def driver_class(comp="comp_share", intr="intr_share", cut: float = 0.6) -> Column:

@@ -187,8 +187,9 @@ x AS (SELECT d.gene_id, sum(fr * v * d.d) / 25 AS cov_total, sum(fr * ebar * d.d
 
 @query("a18_shift_share", f"""
 WITH {SHIFT} SELECT gene_id, cov_total, cov_comp, cov_intr, cov_total - cov_comp - cov_intr AS cov_inter,
-  cov_comp / CASE WHEN abs(cov_total) >= 1e-9 THEN cov_total END AS comp_share, cov_intr / CASE WHEN abs(cov_total) >= 1e-9 THEN cov_total END AS intr_share FROM x""",
-       "cov_total cov_comp cov_intr cov_inter comp_share intr_share")
+  cov_comp / CASE WHEN abs(cov_total) >= 1e-9 THEN cov_total END AS comp_share, cov_intr / CASE WHEN abs(cov_total) >= 1e-9 THEN cov_total END AS intr_share,
+  (cov_total - cov_comp - cov_intr) / CASE WHEN abs(cov_total) >= 1e-9 THEN cov_total END AS inter_share FROM x""",
+       "cov_total cov_comp cov_intr cov_inter comp_share intr_share inter_share")
 def _(t):
     return _shift(t)
 
@@ -207,6 +208,40 @@ def _(t):
     return _shift(t).where("cov_total > 0.5").groupBy(K.driver_class().alias("driver")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("p8_driver_class_of_accruing_genes", f"""
+WITH {SHIFT}, z AS (SELECT gene_id, cov_comp / cov_total AS c, cov_intr / cov_total AS i FROM x JOIN gene_trend USING (gene_id) WHERE cov_total > 0
+  AND (rho - rho_xs * rho_ys) / sqrt(greatest((1 - rho_xs * rho_xs) * (1 - rho_ys * rho_ys), 1e-12)) >= 0.4)
+SELECT CASE WHEN c >= 0.6 THEN 'compositional' WHEN i >= 0.6 THEN 'intrinsic' ELSE 'mixed' END AS driver, count(*) AS n FROM z GROUP BY 1""")
+def _(t):
+    """Drivers of the genes that rise with the day at equal score."""
+    rising = A.partial_trend(pb(t), t.animals, "gene_id", "animal_id", "day", "score", fdr=False).where("partial >= 0.4").select("gene_id")
+    return (_shift(t).where("cov_total > 0").join(rising, "gene_id").groupBy(K.driver_class().alias("driver")).agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("p8_accrual_class", """
+WITH p AS (SELECT (rho - rho_xs * rho_ys) / sqrt(greatest((1 - rho_xs * rho_xs) * (1 - rho_ys * rho_ys), 1e-12)) AS d,
+                  (rho_xs - rho * rho_ys) / sqrt(greatest((1 - rho * rho) * (1 - rho_ys * rho_ys), 1e-12)) AS s FROM gene_trend)
+SELECT CASE WHEN d >= 0.3 THEN 'accrual_up' WHEN d <= -0.3 THEN 'accrual_down' WHEN abs(s) >= 0.3 THEN 'severity_oscillating' ELSE 'other' END AS class,
+       count(*) AS n FROM p GROUP BY 1""")
+def _(t):
+    p = A.partial_trend(pb(t), t.animals, "gene_id", "animal_id", "day", "score", fdr=False)
+    p = p.withColumn("r_score", A.partial_r("r_given", "r_raw", "r_target_given"))
+    return p.groupBy(K.accrual_class("partial", "r_score").alias("class")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("p8_conserved_class", """
+WITH r AS (SELECT model, gene_id, value, rank() OVER (PARTITION BY model, gene_id ORDER BY value) + (count(*) OVER (PARTITION BY model, gene_id, value) - 1) / 2.0::double AS x,
+                  rank() OVER (PARTITION BY model, gene_id ORDER BY day) + (count(*) OVER (PARTITION BY model, gene_id, day) - 1) / 2.0::double AS y FROM pb_cov),
+c AS (SELECT model, gene_id, corr(x, y) AS rho FROM r GROUP BY 1, 2 HAVING max(value) <> min(value)),
+j AS (SELECT a.rho AS a, b.rho AS b FROM c a JOIN c b ON a.gene_id = b.gene_id AND a.model = 'RR' AND b.model = 'MONO')
+SELECT CASE WHEN a >= 0.3 AND b >= 0.3 THEN 'accrue_both' WHEN a <= -0.3 AND b <= -0.3 THEN 'decline_both' ELSE 'other' END AS conserved, count(*) AS n FROM j GROUP BY 1""")
+def _(t):
+    """Genes whose trend with the day has the same direction in both cohorts."""
+    s = A.spearman_trend(pb(t), t.animals, "gene_id", "animal_id", "day", by=["model"], fdr=False)
+    j = s.where("model = 'RR'").select("gene_id", F.col("rho").alias("a")).join(s.where("model = 'MONO'").select("gene_id", F.col("rho").alias("b")), "gene_id")
+    return j.groupBy(K.conserved_class("a", "b").alias("conserved")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("a22_eta_squared", """
 SELECT count(*) AS n, 1 - sum(pow(day - m, 2)) / sum(pow(day - g, 2)) AS eta2
 FROM (SELECT day, avg(day) OVER (PARTITION BY run_id) AS m, avg(day) OVER () AS g FROM animals)""", "eta2")

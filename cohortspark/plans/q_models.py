@@ -190,7 +190,11 @@ def _(t):
     a = t.animals.withColumn("y", (F.col("model") == "RR").cast("int"))
     u = M.unit_table(a, "animal_id", "animal_id", ["y"], ["score"])
     p = M.leave_out_classification(xs(t), u, 5, SMALL)
-    return E.auc(p.withColumn("pos", F.col("truth") == 1.0), ["task"], "pos", "prob").drop("task")
+    genes = E.auc(p.withColumn("pos", F.col("truth") == 1.0), ["task"], "pos", "prob").drop("task").withColumn("arm", F.lit("components"))
+    # the same folds with severity as the only feature
+    sev = M.feature_rows(t.animals.select("animal_id", F.lit("score").alias("g"), F.col("score").alias("v")), "animal_id", "g", "v")
+    q = M.leave_out_classification(sev, M.unit_table(a, "animal_id", "animal_id", ["y"]), 1, SMALL)
+    return genes.unionByName(E.auc(q.withColumn("pos", F.col("truth") == 1.0), ["task"], "pos", "prob").drop("task").withColumn("arm", F.lit("severity")))
 
 
 def perm_units(t, reps, within=()):
@@ -305,17 +309,25 @@ def _(t):
     preds, _c = M.leave_out_regression(x, u, SMALL)
     sc = M.fold_scores(preds, u, False)
     ci = R.bootstrap_ci(preds.select("task", "unit", "pred", "observed"), "unit", R.rank_corr("pred", "observed"), 100, ["task"]).drop("observed")
-    return sc.join(ci, "task").drop("target").withColumnRenamed("task", "arm")
+    # Fisher z of every arm against the composition arm, on the same number of animals
+    base = sc.where("task = 'composition'").select(F.col("rho").alias("_r0"), F.col("n").alias("_n0"))
+    from cohortspark.functions.scalars import fisher_z
+    z = (fisher_z("rho", 0.999) - fisher_z("_r0", 0.999)) / F.sqrt(1 / (F.col("n") - 3) + 1 / (F.col("_n0") - 3))
+    out = sc.join(ci, "task").join(F.broadcast(base)).withColumn("z_vs_composition", z)
+    return out.drop("target", "_r0", "_n0").withColumnRenamed("task", "arm")
 
 
 @query("m17_learning_curve")
 def _(t):
-    d = M.learning_curve_units(t.animals.select("animal_id", "day", "score"), "animal_id", [0.4, 0.7, 1.0], 1)
+    d = M.learning_curve_units(t.animals.select("animal_id", "day", "score"), "animal_id", [0.4, 0.7, 1.0], 3)
     u = M.unit_table(d, "animal_id", "fold", ["day"], ["score"], "task")
     preds, _c = M.leave_out_regression(xs(t), u, M.Settings(top=60, alphas=15))
-    p = preds.withColumn("fraction", F.split("task", "\\|")[0].cast("double"))
+    part = F.split("task", "\\|")
+    p = preds.withColumn("fraction", part[0].cast("double")).withColumn("draw", part[1].cast("int"))
     from cohortspark.operators.association import grouped_spearman
-    return grouped_spearman(p, "pred", "observed", ["fraction"])
+    each = grouped_spearman(p, "pred", "observed", ["fraction", "draw"])
+    return each.groupBy("fraction").agg(F.count("rho").alias("n_draws"), F.avg("rho").alias("rho_mean"), F.stddev_samp("rho").alias("rho_sd"),
+                                        F.min("rho").alias("rho_min"), F.max("rho").alias("rho_max"))
 
 
 @query("m18_batch_classification")

@@ -223,6 +223,33 @@ def _(t):
                                                       (F.coalesce("_b", F.lit(0)) / F.col("_t")).alias("area_fraction"))
 
 
+def burden(t):
+    bins, _cells = segmented(t)
+    les = bins.groupBy("section_id").agg(F.count_distinct("lesion").alias("n_lesions"), F.count(F.lit(1)).alias("mask"))
+    tis = G.density_scores(t.space, SIDE, SIGMA, "flagged", TISSUE).groupBy("section_id").agg(F.count(F.lit(1)).alias("tissue"))
+    return tis.join(les, "section_id", "left").na.fill(0)
+
+
+# an animal of the spatial tables is four sections; its first one stands in for untreated controls
+UNIT_SQL = "section_id // 4"
+
+
+@query("a37_lesion_burden_by_animal", f"""
+WITH RECURSIVE z AS (SELECT section_id, count(DISTINCT lesion) AS n_lesions, count(*) AS mask FROM mask_bins GROUP BY 1),
+b AS (SELECT section_id, count(*) AS tissue FROM tissue_bins GROUP BY 1),
+s AS (SELECT {UNIT_SQL} AS animal_id, section_id, coalesce(n_lesions, 0) AS n_lesions, coalesce(mask, 0) AS mask, tissue FROM b LEFT JOIN z USING (section_id))
+SELECT animal_id, count(*) AS n_sections, sum(n_lesions)::bigint AS n_lesions, sum(n_lesions) / count(*) AS per_section, sum(mask) / sum(tissue) AS area_fraction,
+       (SELECT sum(n_lesions) / count(*) FROM s WHERE animal_id = (SELECT min(animal_id) FROM s)) AS control_per_section FROM s GROUP BY 1""", "per_section area_fraction control_per_section")
+def _(t):
+    """Lesions per section and share of tissue by animal, beside the rate in control animals (false positives)."""
+    s = burden(t).withColumn("animal_id", F.floor(F.col("section_id") / 4))
+    first = s.agg(F.min("animal_id").alias("_first"))
+    control = s.join(F.broadcast(first), F.col("animal_id") == F.col("_first")).agg((F.sum("n_lesions") / F.count(F.lit(1))).alias("control_per_section"))
+    g = s.groupBy("animal_id").agg(F.count(F.lit(1)).alias("n_sections"), F.sum("n_lesions").alias("n_lesions"), (F.sum("n_lesions") / F.count(F.lit(1))).alias("per_section"),
+                                   (F.sum("mask") / F.sum("tissue")).alias("area_fraction"))
+    return g.join(F.broadcast(control))
+
+
 @query("g14_compartments", f"""
 WITH RECURSIVE d AS (SELECT section_id, cell_id, min(signed_dist) AS d FROM {RS} GROUP BY 1, 2),
 c AS (SELECT section_id, cell_id, 'lesion' AS compartment FROM d WHERE d <= 0 UNION ALL SELECT section_id, cell_id, 'outside' FROM d WHERE d > 0 UNION ALL SELECT section_id, cell_id, 'far' FROM d WHERE d > 5),
