@@ -50,12 +50,33 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write a reused or iterated table to the shared folder and read it back.
 
-    This ends the lineage, survives executor loss, and computes the table once (``checkpoint()`` computes it twice
-    unless it is also cached). The folder's owner clears it after the job.
+    This ends the lineage, survives executor loss, and computes the table once. The table stays until :func:`discard`, or
+    until the folder's owner clears it after the job.
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    _cut_paths.append(path)
+    return out
+
+
+_cut_paths: list[str] = []
+
+
+def cut_paths() -> list[str]:
+    """Paths of the tables that :func:`cut` has written and nobody has discarded, oldest first."""
+    return list(_cut_paths)
+
+
+def discard(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Delete tables of :func:`cut` (or their paths) from the shared folder, once nothing reads them any more."""
+    for t in tables:
+        path = t if isinstance(t, str) else getattr(t, "_cut_path", None)
+        if path in _cut_paths:
+            _cut_paths.remove(path)
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def cut_with_digest(df: DataFrame, *cols: str) -> tuple[DataFrame, tuple]:
