@@ -54,6 +54,13 @@ def missing_genes(panel: DataFrame, present: DataFrame, gene: str = "gene_id") -
     return panel.join(present.select(gene).distinct(), gene, "left_anti")
 
 
+def missing_per_key(panel: DataFrame, counts: DataFrame, keys: Sequence[str], gene: str = "gene_id") -> DataFrame:
+    """How many panel genes each key has no count of (P3); keys without any of them lack the whole panel."""
+    size = panel.select(gene).distinct().agg(F.count(F.lit(1))).scalar()
+    hit = counts.join(panel.select(gene).distinct().withColumn("_in", F.lit(1)), gene, "left")
+    return hit.groupBy(*keys).agg((size - F.count_distinct(F.when(F.col("_in") == 1, F.col(gene)))).alias("n_missing"))
+
+
 def composition(cells: DataFrame, keys: Sequence[str], category: str | Sequence[str]) -> DataFrame:
     """Cells and fraction per category inside each key (A3)."""
     cats = [category] if isinstance(category, str) else list(category)

@@ -320,9 +320,9 @@ def _(t):
 
 
 @query("f6_ordinal_decode", """
-SELECT vec_id, len(list_filter(embedding[1:6], lambda v: v > 0)) AS rank FROM embeddings""")
+SELECT vec_id, len(list_filter(embedding, lambda v: v > 0)) AS rank FROM embeddings""")
 def _(t):
-    return t.raw("embeddings").select("vec_id", S.ordinal_decode(F.slice("embedding", 1, 6)).alias("rank"))
+    return t.raw("embeddings").select("vec_id", S.ordinal_decode("embedding").alias("rank"))
 
 
 @query("f7_softmax_sigmoid", """

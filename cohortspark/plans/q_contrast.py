@@ -202,10 +202,10 @@ def _shift(t):
 
 
 @query("p8_driver_class", f"""
-WITH {SHIFT}, z AS (SELECT cov_comp / cov_total AS c, cov_intr / cov_total AS i FROM x WHERE cov_total > 0.5)
+WITH {SHIFT}, z AS (SELECT cov_comp / cov_total AS c, cov_intr / cov_total AS i FROM x WHERE cov_total > 0)
 SELECT CASE WHEN c >= 0.6 THEN 'compositional' WHEN i >= 0.6 THEN 'intrinsic' ELSE 'mixed' END AS driver, count(*) AS n FROM z GROUP BY 1""")
 def _(t):
-    return _shift(t).where("cov_total > 0.5").groupBy(K.driver_class().alias("driver")).agg(F.count(F.lit(1)).alias("n"))
+    return _shift(t).where("cov_total > 0").groupBy(K.driver_class().alias("driver")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("p8_driver_class_of_accruing_genes", f"""

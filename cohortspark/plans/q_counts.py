@@ -258,11 +258,10 @@ def _(t):
 
 
 @query("p3_missing_genes", f"""
-SELECT gene_id FROM genes WHERE program = '{PROGRAM}' AND gene_id NOT IN
-  (SELECT gene_id FROM expr WHERE region = 'MACHINERY' AND niche = 'P' AND cell_type = '1-URGENT')""")
+WITH p AS (SELECT gene_id FROM genes WHERE program = '{PROGRAM}')
+SELECT section_id, (SELECT count(*) FROM p) - count(DISTINCT p.gene_id) AS n_missing FROM expr LEFT JOIN p USING (gene_id) GROUP BY 1""")
 def _(t):
-    present = t.expr.where("region = 'MACHINERY' AND niche = 'P' AND cell_type = '1-URGENT'")
-    return C.missing_genes(t.genes.where(F.col("program") == PROGRAM).select("gene_id"), present)
+    return C.missing_per_key(t.genes.where(F.col("program") == PROGRAM), t.expr, ["section_id"])
 
 
 @query("s13_profile_columns", """

@@ -369,10 +369,10 @@ def _(t):
 def _(t):
     """Components of cells fitted on training sections, applied to all; centred first since Spark's PCA does not."""
     from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-    w = t.space_expr.groupBy("section_id", "cell_id").pivot("gene_id", list(range(8, 16))).agg(F.sum("cnt"))
-    w = w.toDF("section_id", "cell_id", *[f"g{i}" for i in range(8)])
+    w = t.space_expr.groupBy("section_id", "cell_id").pivot("gene_id", list(range(8, 64))).agg(F.sum("cnt"))
+    w = w.toDF("section_id", "cell_id", *[f"g{i}" for i in range(56)])
     w = t.space.select("section_id", "cell_id").join(w, ["section_id", "cell_id"], "left").na.fill(0)   # cells without a marker are zeros
-    d = VectorAssembler(inputCols=[f"g{i}" for i in range(8)], outputCol="raw").transform(w)
+    d = VectorAssembler(inputCols=[f"g{i}" for i in range(56)], outputCol="raw").transform(w)
     from cohortspark.functions.ordering import split_units
     d = d.join(split_units(t.space, "section_id", 0.3), "section_id")
     train = d.where("split = 'train'")

@@ -305,7 +305,7 @@ def _(t):
     return G.adjacency_lookup(G.neighbourhood_enrichment(G.knn(t.space, 6), t.space), x)
 
 
-CTES["lr_pairs"] = "SELECT DISTINCT a.gene_id AS ligand, b.gene_id AS receptor FROM space_expr a JOIN space_expr b ON b.gene_id = a.gene_id + 1"
+CTES["lr_pairs"] = "SELECT a.gene_id AS ligand, b.gene_id AS receptor FROM (SELECT DISTINCT gene_id FROM space_expr) a JOIN (SELECT DISTINCT gene_id FROM space_expr) b ON b.gene_id = a.gene_id + 1"
 CTES["lr_scores"] = """
 SELECT s.ligand, s.receptor, s.sender, s.receiver, s.mean_expr, count(*) FILTER ((coalesce(l.mean, 0) + coalesce(r.mean, 0)) / 2 >= s.mean_expr - 1e-12) / 20.0::double AS p
 FROM (SELECT p.*, a.cell_type AS sender, b.cell_type AS receiver, (a.mean + b.mean) / 2 AS mean_expr FROM lr_pairs p JOIN lr_obs a ON a.gene_id = ligand JOIN lr_obs b ON b.gene_id = receptor WHERE a.frac > 0.3 AND b.frac > 0.3) s

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 SPACE_UNIT = 100.0        # coordinate units per embedding unit
 SPACE_SIDE = 128.0        # side of the coarsest grid cell
-MARKER_DIMS = (8, 16)     # embedding positions read as marker counts
+MARKER_DIMS = (8, 64)     # embedding positions read as marker counts: all that are no coordinate, type or flag
 
 
 class Tables:

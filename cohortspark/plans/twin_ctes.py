@@ -54,7 +54,7 @@ CTES["space_expr"] = """
 SELECT section_id, cell_id, gene_id, cnt FROM (
   SELECT label::bigint AS section_id, vec_id AS cell_id, (i - 1)::bigint AS gene_id,
          floor(embedding[i]::double * 100.0::double)::bigint AS cnt
-  FROM embeddings, range(9, 17) t(i)) WHERE cnt > 0"""
+  FROM embeddings, range(9, 65) t(i)) WHERE cnt > 0"""
 
 # ---- derived tables used by several statements
 
