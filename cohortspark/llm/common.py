@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cohortspark.session import cut
+from cohortspark.session import cut, discard
 
 SPACE = r"[\x20\x09-\x0D]+"
 SLICE_BYTES = 2 << 20
@@ -97,4 +97,4 @@ def dense_ranks(df: DataFrame, keys: Sequence[str], order: Sequence[str], rank:
             .select(*[F.col(f"a.{c}") for c in df.columns], (F.col("_offset") + F.col("_inside")).alias(rank)))
 
 
-__all__ = ["SPACE", "cut", "dense_ranks", "documents", "only", "ragged", "stable_hash", "text_slices", "uniform"]
+__all__ = ["SPACE", "cut", "dense_ranks", "discard", "documents", "only", "ragged", "stable_hash", "text_slices", "uniform"]

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import cut, text_slices
+from cohortspark.llm.common import cut, discard, text_slices
 from cohortspark.llm.units import LOWER, distinct_sorted, mix, shingle_hashes, span_hashes, words
 from cohortspark.operators.components import connected_components
 
@@ -279,12 +279,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     mixed = (named.groupBy("key", "held").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("x"),
                                               F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("lo <> hi"))
     mixed = mixed.groupBy("x", "y", "held").agg(F.min("key").alias("key")).select("key")
-    inside = cut(named.join(mixed, "key"))
+    inside = region_rows = cut(named.join(mixed, "key"))
     tally = inside.where(F.col("held") > BLOCK).groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     main = tally.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
     inside = inside.join(main, "key", "left").withColumn("minor", F.coalesce(F.col("comp") != F.col("main"), F.lit(True)))
     inside = inside.join(sets.select("id", "n"), "id").join(whole, "id").select("key", "held", "id", "comp", "n", "set", "minor")
     more = cut(_search_regions(inside, similarity, kind))
+    discard(docs.sparkSession, sets, met, whole, named, region_rows)
     if more.take(1):
         comps = cut(connected_components(links.unionByName(more)))
 
