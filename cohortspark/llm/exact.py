@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cohortspark.llm.common import SPACE, cut
+from cohortspark.llm.common import SPACE, cut, discard
 
 HOT_ROWS = 1000
 
@@ -32,9 +32,9 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                       *[F.col(f"`{c}`").alias(f"_c_{i}") for i, c in enumerate(carry) if c != text_col])
     norm = F.regexp_replace(F.coalesce("_raw", F.lit("")), SPACE, " ")
     table = raw.withColumn("_norm", norm)
-    table = cut(table.withColumn("_hash", F.xxhash64("_norm")).withColumn("_head", F.substring("_norm", 1, 64)).drop("_norm" if text_col in carry else "_raw"))
     if text_col in carry:      # the texts as they are travel once; their normal form is made again behind the shuffle
-        table = table.withColumnRenamed("_raw", "_text_as_is")
+        table = table.withColumn("_text_as_is", F.col("_raw"))
+    table = cut(table.withColumn("_hash", F.xxhash64("_norm")).withColumn("_head", F.substring("_norm", 1, 64)).drop("_raw", *(["_norm"] if text_col in carry else [])))
 
     counts = table.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"))
     total = table.agg(F.count(F.lit(1)).alias("_all"))
@@ -62,6 +62,7 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return sorted_.select(F.col("_id").alias(id_col), F.col("_keep").alias("keep_id"), F.col("_size").cast("long").alias("group_size"),
                               (F.col("_place") == 1).alias("kept"), F.col("_sha").alias("text_sha256"), *[F.col(x).alias(c) for x, c in zip(carried, carry)])
     sorted_ = cut(sorted_)
+    discard(spark, table)
 
     # the runs of a hot text: at most 10,000 texts, each with one head for a run
     heads = sorted_.where("_split AND _place = 1")

@@ -24,7 +24,8 @@ SAMPLE_CHARS = 400          # characters of each
 TOTAL_CHARS = 1 << 20       # characters of all samples together, shared by the languages
 ALPHABET = 96               # letters that the automata tell apart; rarer ones share one class
 STRETCH = 512               # letters parsed as one lane; a longer text is several lanes, which add up
-MIN_SCORE = 0.02            # lead under which a text counts as no language at all
+MAX_BITS = 9.0              # cross entropy a letter beyond which a text is in none of the learned languages
+FEW_LETTERS = 20            # with fewer letters that entropy says nothing
 LANES = 8192                # lanes stepped together
 
 
@@ -153,8 +154,8 @@ class Model:
         return out
 
 
-    def judge(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(language, score, bits) of the rows of a text slice; see :func:`predict`."""
+    def judge(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(language, score, bits, letters) of the rows of a text slice; see :func:`predict`."""
         lead = (data & 0xC0) != 0x80
         at = np.concatenate([[0], np.cumsum(lead)])[offsets]
         codes = self.codes(fold(data))
@@ -165,7 +166,7 @@ class Model:
         letters = np.concatenate([[0], np.cumsum(codes != 0)])
         n = letters[bounds[1:]] - letters[bounds[:-1]]
         if not self.langs:
-            return np.array(["und"] * len(n), object), np.zeros(len(n)), np.zeros(len(n))
+            return np.array(["und"] * len(n), object), np.zeros(len(n)), np.zeros(len(n)), n
         cost = self.phrases(codes, bounds) * self.bits / np.maximum(1, n)[:, None]
         order = np.argsort(cost, axis=1, kind="stable")
         best = np.take_along_axis(cost, order[:, :1], 1)[:, 0]
@@ -174,7 +175,7 @@ class Model:
         score = np.clip(np.where(np.isinf(second), 1.0, 1.0 - best / np.maximum(second, 1e-12)), 0.0, 1.0)
         none = n == 0
         names[none], score[none], best[none] = "und", 0.0, 0.0
-        return names, score, best
+        return names, score, best, n
 
 
 _models: dict[tuple, Model] = {}
@@ -215,19 +216,20 @@ def predict(docs: DataFrame, samples: tuple[tuple[str, str], ...], id_col: str =
         model = _model(samples)
         for batch in batches:
             for first, end, data, offsets in text_slices(batch, "text", 1 << 20):
-                names, score, best = model.judge(data, offsets)
+                names, score, best, _ = model.judge(data, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, end - first), pa.array(names, pa.string()),
                                                   pa.array(score), pa.array(best)], ["id", "lang_pred", "score", "bits"])
 
     return src.mapInArrow(run, f"id {kind}, lang_pred string, score double, bits double").withColumnRenamed("id", id_col)
 
 
-def accepted(docs: DataFrame, samples: tuple[tuple[str, str], ...], min_score: float = MIN_SCORE, text_col: str = "text") -> DataFrame:
+def accepted(docs: DataFrame, samples: tuple[tuple[str, str], ...], max_bits: float = MAX_BITS, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text is in a learned language.
 
-    A row is rejected where the prediction is ``und`` (null text, no letter) or no language leads by ``min_score``, that is,
-    where the text is as foreign to one sample as to the next. No shuffle: rows are filtered where they are read. With
-    nothing learned nothing can be told apart, and all rows stay.
+    A row is rejected where the prediction is ``und`` (null text, no letter), or where even the best language needs more than
+    ``max_bits`` a letter over at least FEW_LETTERS letters: a text in letters or letter sequences that no sample has. Texts in
+    several learned languages stay. No shuffle: rows are filtered where they are read. With nothing learned nothing can be
+    told apart, and all rows stay.
     """
     if not samples:
         return docs
@@ -239,8 +241,8 @@ def accepted(docs: DataFrame, samples: tuple[tuple[str, str], ...], min_score: f
                 continue
             keep = []
             for _, _, data, offsets in text_slices(batch, text_col, 1 << 20):
-                names, score, _ = model.judge(data, offsets)
-                keep.append((names != "und") & ((score >= min_score) | (len(model.langs) == 1)))
+                names, _, bits, letters = model.judge(data, offsets)
+                keep.append((names != "und") & ((bits <= max_bits) | (letters < FEW_LETTERS)))
             yield batch.filter(pa.array(np.concatenate(keep).astype(bool)))
 
     return docs.mapInArrow(run, docs.schema)

@@ -60,7 +60,7 @@ def test_lanes_add_up():
     sample = "the cat sat on the mat and the dog ran after the cat " * 3
     model = langid.Model((("en", sample), ("xx", "zzz yyy xxx qqq " * 8)))
     text = ("the dog sat on the cat and ran after the mat " * 40).encode()
-    _, _, bits = model.judge(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    _, _, bits, _ = model.judge(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
     letters = sum(c != 0x20 for c in text)
     plain = phrases(text.decode(), model_text(sample)) * model.bits[0] / letters
     assert abs(bits[0] - plain) <= (len(text) / langid.STRETCH + 2) * model.bits[0] / letters
