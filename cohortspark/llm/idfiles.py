@@ -74,7 +74,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, keeps_spa
     """Encodes whole texts (null: empty), appends ``end_id`` and writes a store in ascending id order.
 
     Texts are dealt into id ranges before they are encoded, so encoding runs once. Null ids come first; rows with equal
-    ids follow each other in the order of their texts. An empty table gives a store without blocks.
+    ids follow each other in the order of a hash of their texts (so one id with very many rows is dealt out too). An empty table gives a store without blocks.
     """
     spark = docs.sparkSession
     dtype = _width(tokenizer)
@@ -84,8 +84,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, keeps_spa
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    src = (src.repartitionByRange(parts, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
-           .withColumn("part", F.spark_partition_id()))
+    order = [F.col("id").asc_nulls_first(), F.col("_h")]
+    src = (src.withColumn("_h", F.xxhash64("text")).repartitionByRange(parts, *order).sortWithinPartitions(*order, "text")
+           .select("id", "text", F.spark_partition_id().alias("part")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, (pack, _) = encoder(tokenizer, keeps_space), _codec(dictionary)
