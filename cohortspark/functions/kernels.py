@@ -118,13 +118,24 @@ def adjusted_products(m, p, basis, centre_c, k):
     width = fitted.shape[1] if q else k
     t[:, cols] -= fitted[:, :width]
     n = m[0, 0]
-    var = np.einsum("ij,ij->j", t[:, 1:1 + k], m @ t[:, 1:1 + k]) / n
+    var = np.diag(mapped(m, t, p))[1:1 + k] / n
     sd = np.sqrt(np.maximum(var, 0))
     sd[sd < 1e-10] = 1.0
     t[:, 1:1 + k] /= sd
     return t, sd
 
 
+def mapped(m, t, p):
+    """``t.T @ m @ t`` for a map whose feature and target part is diagonal: one thin product on each side instead of two
+    of full size."""
+    d = t[1 + p + np.arange(t.shape[1] - 1), 1 + np.arange(t.shape[1] - 1)]
+    u = m[:, :1 + p] @ t[:1 + p]
+    u[:, 1:] += m[:, 1 + p:] * d
+    out = t[:1 + p].T @ u[:1 + p]
+    out[1:] += d[:, None] * u[1 + p:]
+    return out
+
+
 def centred(b, k):
     """Centred X'X and X'Y from products over [1, X, Y]."""
     n = b[0, 0]
@@ -145,7 +156,7 @@ def enet_cv(blocks, p, k, l1, n_alphas, share):
     cov_c = total[1:1 + p, 1:1 + p] / n - np.outer(mean_c, mean_c)
     basis = covariate_basis(cov_c, share)
     t, _ = adjusted_products(total, p, basis, mean_c, k)
-    adj = [t.T @ b @ t for b in blocks]
+    adj = [mapped(b, t, p) for b in blocks]
     whole = sum(adj)
     g, c, _ = centred(whole, k)
     n_t = c.shape[1]

@@ -143,8 +143,7 @@ def _blocks(units: DataFrame, folds: DataFrame, s: Settings) -> DataFrame:
     extra = n - base * k
     cutp = extra * (base + 1)
     block = F.when(i < cutp, F.floor(i / (base + 1))).otherwise(extra + F.floor((i - cutp) / F.greatest(base, F.lit(1))))
-    # at most 64 chunks per fold, so partial products of a fold stay few
-    chunk = F.floor(i / F.greatest(F.lit(s.chunk), F.ceil(n / 64)))
+    chunk = F.floor(i / F.lit(s.chunk))
     return r.select("task", "fset", "fold", "unit", F.when(F.col("_out"), -1).otherwise(block).cast("int").alias("block"),
                     F.when(F.col("_out"), -1 - chunk).otherwise(chunk).cast("int").alias("chunk"), "y", "c")
 
@@ -179,7 +178,8 @@ def cross_products(x: DataFrame, blocks: DataFrame, sel: DataFrame) -> DataFrame
         out = []
         for b in np.unique(us["block"]):
             part = a[(us["block"] == b).to_numpy()]
-            mat = part if b < 0 else part.T @ part
+            # fewer units than columns: the rows themselves are the shorter message, and are multiplied where they arrive
+            mat = part if b < 0 or len(part) < part.shape[1] else part.T @ part
             out.append((key[0], key[1], int(b) if b >= 0 else int(key[2]), k, mat.shape[1], np.ascontiguousarray(mat).tobytes()))
         return pd.DataFrame(out, columns=["task", "fold", "block", "k", "size", "data"])
     keys = ["task", "fold", "chunk"]
@@ -208,6 +208,8 @@ def _unpack(pdf: pd.DataFrame):
     held = []
     for b, d in zip(pdf["block"], pdf["data"]):
         m = np.frombuffer(d).reshape(-1, size)
+        if b >= 0 and len(m) < size:
+            m = m.T @ m
         if b < 0:
             held.append((-b, m))
         else:
