@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from cohortspark.session import cut, discard
 
 SPACE = r"[\x20\x09-\x0D]+"
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,8 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) ->
         end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
         yield first, end, data[offsets[first]:offsets[end]], offsets[first:end + 1] - offsets[first]
         first = end
+    # a worker lives through many tasks: hand back what earlier batches took
+    pa.default_memory_pool().release_unused()
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -141,7 +141,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def _links_of_cell(left: list[tuple], right: list[tuple], same: bool, similarity: float) -> list[tuple]:
-    """Links between rows (id, comp, n, set) of different components: a forest, so at most one fewer than components.
+    """Links between the components of rows (id, comp, n, set): a forest, so at most one fewer than components.
 
     Intersection sizes are a product of two 0/1 tables over the shingles that several rows have, a few columns at a time.
     """
@@ -170,25 +170,27 @@ def _links_of_cell(left: list[tuple], right: list[tuple], same: bool, similarity
     n1, n2 = n[:k], n[:k] if same else n[k:]
     c1, c2 = comps[:k], comps[:k] if same else comps[k:]
     linked = (10000 * both >= round(similarity * 10000) * (n1[:, None] + n2[None, :] - both)) & (c1[:, None] != c2[None, :])
-    parent = list(range(int(comps.max()) + 1))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for i, j in zip(*np.nonzero(linked)):
-        x, y = root(int(c1[i])), root(int(c2[j]))
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            out.append((left[i][0], (left if same else right)[j][0]))
+    # from rows to components, then a spanning forest breadth first: each newly reached component gets one link
+    names = [r[1] for r in rows]
+    first = np.unique(comps, return_index=True)[1]
+    at = np.nonzero(linked)
+    joined = np.zeros((len(first), len(first)), bool)
+    joined[c1[at[0]], c2[at[1]]] = True
+    joined |= joined.T
+    fresh, out = joined.any(axis=1), []
+    while fresh.any():
+        edge = np.flatnonzero(fresh)[:1]
+        fresh[edge] = False
+        while len(edge):
+            reached = np.flatnonzero(joined[edge].any(axis=0) & fresh)
+            out += [(names[first[edge[i]]], names[first[j]]) for i, j in zip(joined[np.ix_(edge, reached)].argmax(axis=0), reached)]
+            fresh[reached] = False
+            edge = reached
     return out
 
 
 def _search_regions(rows: DataFrame, similarity: float, kind: str) -> DataFrame:
-    """Links (a, b) between different components inside regions, by comparing full sets block by block.
+    """Links (a, b) between the names of different components inside regions, by comparing full sets block by block.
 
     ``rows``: (key, held, id, comp, n, set, minor). A region of at most BLOCK rows is one cell. In a larger one the rows outside
     its largest component are its minor rows; each block of BLOCK minor rows meets every block of the region, and members of
@@ -246,8 +248,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     1. Equal sets are one entry (128-bit digest), so copies cost nothing further.
     2. Each entry has a place in each sorted signature order; entries that share the first DEPTH values there are a region.
        The number of orders follows from the depth so that a pair at the threshold misses every shared region once in a
-       million. Members meet the smallest id of their region; a region of over CROWD entries is opened at greater depths,
-       so its members also meet those with a longer common prefix. Pairs whose sizes or sketches forbid a link are left
+       million. Members meet the smallest id of their region. In a region of over CROWD entries, those that are like none
+       of the smallest ids are opened at greater depths, where they meet entries with a longer common prefix. Pairs whose sizes or sketches forbid a link are left
        out, the others are confirmed on full sets and make a first set of components.
     3. Regions that still hold several components are searched through on full sets, block by block, for links between
        components (:func:`_search_regions`). So every pair that shares a region is either in one component already or has
@@ -263,12 +265,14 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     regions = rows.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("held")).where("held > 1")
     met = cut(rows.join(regions, "key"))          # entries that share a region with another one
     pairs = met.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
-    # deeper keys of entries that stand in a crowded region
-    crowd = met.where(F.col("held") > CROWD).select("id").distinct()
+    first = cut(_alike(pairs.distinct(), sets, similarity))
+    # entries of crowded regions that are like none of the smallest ids there look for partners at greater depths
+    settled = first.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    crowd = met.where(F.col("held") > CROWD).select("id").distinct().join(settled, "id", "left_anti")
     deep = sets.join(crowd, "id", "left_semi").select(F.explode("deeper").alias("key"), "id")
     inner = deep.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("held")).where("held > 1")
     deeper = deep.join(inner, "key").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
-    first = _alike(pairs.unionByName(deeper).distinct(), sets, similarity)
+    first = first.unionByName(_alike(deeper.distinct(), sets, similarity)).distinct()
     whole = cut(full_sets(docs, met.select("id").distinct(), width, id_col, text_col))
     links = cut(confirm(first, whole, similarity))
     comps = cut(connected_components(links))

@@ -15,7 +15,7 @@ import numpy as np
 from cohortspark.llm.common import ragged
 from cohortspark.llm.units import WHITE, span_hashes
 
-MEMO_PIECES = 2_000_000
+MEMO_PIECES = 1_000_000
 LONG_PIECE = 512                       # bytes; longer pieces are encoded each time
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1)]] = True
