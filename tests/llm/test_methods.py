@@ -208,6 +208,18 @@ def test_common_passage_in_every_document(spark):
     assert longest["source_id"] == 123 and longest["end_word"] - longest["start_word"] >= 130
 
 
+def test_longer_copies_inside_a_crowded_slice(spark):
+    """Twenty texts of one slice share a passage of 55 words; pairs of them share what stands around it as well."""
+    r = random.Random(5)
+    invent = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    shared = invent(55)
+    around = [(invent(12), invent(12)) for _ in range(10)]
+    rows = [(i, f"{around[i % 10][0]} {shared} {around[i % 10][1]}") for i in range(20)]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    whole = {x["doc_id"]: x["source_id"] for x in got if x["end_word"] - x["start_word"] == 79}
+    assert whole == {i: i - 10 for i in range(10, 20)}
+
+
 def test_op5_equals_the_library(spark, docs):
     rows = QUERIES["op5_sentence_pieces"](spark, SF).collect()
     sp = sentencepieces.piece_encoder(tokenizer_path("piece_bpe_32k.model")).pieces.model
