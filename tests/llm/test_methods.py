@@ -220,6 +220,23 @@ def test_longer_copies_inside_a_crowded_slice(spark):
     assert whole == {i: i - 10 for i in range(10, 20)}
 
 
+def test_stretches_by_their_full_jaccard():
+    """A long insertion on either side, a changed word at an end, a stray shared shingle."""
+    r = np.random.default_rng(2)
+    new = lambda n: r.integers(0, 1 << 62, n).astype(np.uint64)
+    copied, other = new(76), new(13)
+    with_gap = np.concatenate([copied[:36], other, copied[40:]])       # 9 words put in: 13 new shingles for 4
+    for a, b in ((with_gap, copied), (copied, with_gap)):
+        (p, q, c, d, jaccard), = passages._spans(np.concatenate([new(60), a, new(60)]), np.concatenate([new(9), b, new(9)]), 46, 0.8)
+        assert (p, q, c, d) == (60, 60 + len(a), 9, 9 + len(b)) and jaccard == 72 / 89
+    for least_copy in (copied[:45], copied[1:46]):
+        (p, q, _, _, jaccard), = passages._spans(np.concatenate([least_copy, new(9)]), np.concatenate([new(9), least_copy, new(9)]), 46, 0.8)
+        assert (p, q) == (0, 46) and jaccard == 45 / 46
+    stray = np.concatenate([copied, new(12), other[:1], new(40)])
+    (p, q, _, _, _), = passages._spans(stray, np.concatenate([other, new(300), copied]), 46, 0.8)
+    assert (p, q) == (0, 76)
+
+
 def test_op5_equals_the_library(spark, docs):
     rows = QUERIES["op5_sentence_pieces"](spark, SF).collect()
     sp = sentencepieces.piece_encoder(tokenizer_path("piece_bpe_32k.model")).pieces.model
