@@ -237,6 +237,14 @@ def test_stretches_by_their_full_jaccard():
     assert (p, q) == (0, 76)
 
 
+def test_op4_candidates_miss_one_in_a_million(spark):
+    """The functions that op4 uses, counted by its keys, miss a pair at the threshold once in a million at most."""
+    text = " ".join(f"w{i}" for i in range(400))
+    w = passages._windows(spark.createDataFrame([(1, text)], "doc_id long, text string"), 5, 50, 0.8, "doc_id", "text")
+    n = len({r["key"] & passages._FUNCTION for r in w.collect()})
+    assert n == passages.hashes_for(0.8) and 0.2**n + n * 0.8 * 0.2**(n - 1) <= 1e-6
+
+
 def test_op5_equals_the_library(spark, docs):
     rows = QUERIES["op5_sentence_pieces"](spark, SF).collect()
     sp = sentencepieces.piece_encoder(tokenizer_path("piece_bpe_32k.model")).pieces.model
