@@ -24,8 +24,11 @@ SAMPLE_CHARS = 400          # characters of each
 TOTAL_CHARS = 1 << 20       # characters of all samples together, shared by the languages
 ALPHABET = 96               # letters that the automata tell apart; rarer ones share one class
 STRETCH = 512               # letters parsed as one lane; a longer text is several lanes, which add up
-MAX_BITS = 9.0              # cross entropy a letter beyond which a text is in none of the learned languages
-FEW_LETTERS = 20            # with fewer letters that entropy says nothing
+HELD_OUT = 192              # labelled documents of each language outside the sample that set its bound, at most
+QUANTILE = 0.98             # of their bits a letter
+MARGIN = 1.4                # a text in the language stays below this multiple of that quantile
+STRAY_PHRASES = 8           # phrases beyond that (an address, a number) that a text may hold, which tell in short texts only
+FEW_LETTERS = 20            # texts with fewer letters go by their letters: half of them must be in a sample
 LANES = 8192                # lanes stepped together
 
 
@@ -103,6 +106,7 @@ class Model:
         values, counts = np.unique(every[every != 32], return_counts=True)
         known = values[np.argsort(-counts, kind="stable")][:ALPHABET - 2]
         self.known = np.sort(known)
+        self.seen = values                          # also letters beyond the alphabet
         self.width = len(self.known) + 2            # 0: space, 1: another letter
         self.tables = [suffix_automaton(self._squeeze(self.codes(x)).tolist(), self.width) for x in folded]
         self.bits = np.array([math.log2(max(2, len(x))) for x in folded])
@@ -188,18 +192,52 @@ def _model(samples: tuple[tuple[str, str], ...]) -> Model:
     return _models[samples]
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[tuple[str, str], ...]:
-    """Sample text of each language: at most SAMPLE_DOCS documents of it, chosen by a hash of their id, the first
-    SAMPLE_CHARS characters of each, and TOTAL_CHARS in all. Rows without text or label are left out."""
+def _drawn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, list[str]]]:
+    """Of each language the first SAMPLE_CHARS characters of SAMPLE_DOCS + HELD_OUT documents at most, by a hash of their id."""
     d = labelled.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t"), F.col(f"`{lang_col}`").cast("string").alias("l"))
     d = d.where("t IS NOT NULL AND l IS NOT NULL AND l <> 'und'")
     counts = d.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
     chosen = d.join(F.broadcast(counts), "l").where(uniform(F.col("i"), F.lit(11)) < 4.0 * SAMPLE_DOCS / F.col("n"))
     chosen = chosen.select("l", F.xxhash64("i", F.lit(3)).alias("h"), F.substring("t", 1, SAMPLE_CHARS).alias("t"))
-    # the draw leaves about four times the bound; the smallest hashes of each language are kept
-    rows = chosen.groupBy("l").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "t"))), 1, SAMPLE_DOCS).alias("s")).orderBy("l").collect()
-    each = TOTAL_CHARS // max(1, len(rows))
-    return tuple((r["l"], "\n".join(x["t"] for x in r["s"])[:each]) for r in rows)
+    # the draw leaves about four times the sample; the smallest hashes of each language are kept
+    rows = chosen.groupBy("l").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "t"))), 1, SAMPLE_DOCS + HELD_OUT).alias("s")).orderBy("l").collect()
+    return [(r["l"], [x["t"] for x in r["s"]]) for r in rows]
+
+
+def _samples(drawn: list[tuple[str, list[str]]]) -> tuple[tuple[str, str], ...]:
+    each = TOTAL_CHARS // max(1, len(drawn))
+    return tuple((lang, "\n".join(texts[:SAMPLE_DOCS])[:each]) for lang, texts in drawn)
+
+
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[tuple[str, str], ...]:
+    """Sample text of each language: at most SAMPLE_DOCS documents of it, chosen by a hash of their id, the first
+    SAMPLE_CHARS characters of each, and TOTAL_CHARS in all. Rows without text or label are left out."""
+    return _samples(_drawn(labelled, id_col, text_col, lang_col))
+
+
+def fit_bounds(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+               lang_col: str = "lang") -> tuple[tuple[tuple[str, str], ...], dict[str, float]]:
+    """The samples of :func:`fit` and for each language the bits a letter that its texts stay below.
+
+    MARGIN times the QUANTILE of labelled documents outside the sample. A language with few such documents is judged on
+    the second half of its sample by the first half; one with less than two documents has the largest bound of the others.
+    """
+    drawn = _drawn(labelled, id_col, text_col, lang_col)
+    learned, held = [], []
+    for lang, texts in drawn:
+        k = SAMPLE_DOCS if len(texts) >= SAMPLE_DOCS + 16 else len(texts) // 2
+        learned.append((lang, texts[:k] or texts))
+        held.append(texts[k:] if k else [])
+    model, bounds = Model(_samples(learned)), {}
+    for (lang, _), texts in zip(drawn, held):
+        raw = [x.encode() for x in texts]
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+        _, _, bits, letters = model.judge(np.frombuffer(b"".join(raw), np.uint8), offsets)
+        bits = bits[letters >= FEW_LETTERS]
+        if len(bits):
+            bounds[lang] = MARGIN * float(np.quantile(bits, QUANTILE))
+    most = max(bounds.values(), default=math.inf)
+    return _samples(drawn), {lang: bounds.get(lang, most) for lang, _ in drawn}
 
 
 def predict(docs: DataFrame, samples: tuple[tuple[str, str], ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,26 +261,33 @@ def predict(docs: DataFrame, samples: tuple[tuple[str, str], ...], id_col: str =
     return src.mapInArrow(run, f"id {kind}, lang_pred string, score double, bits double").withColumnRenamed("id", id_col)
 
 
-def accepted(docs: DataFrame, samples: tuple[tuple[str, str], ...], max_bits: float = MAX_BITS, text_col: str = "text") -> DataFrame:
+def accepted(docs: DataFrame, samples: tuple[tuple[str, str], ...], bounds: dict[str, float], text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text is in a learned language.
 
-    A row is rejected where the prediction is ``und`` (null text, no letter), or where even the best language needs more than
-    ``max_bits`` a letter over at least FEW_LETTERS letters: a text in letters or letter sequences that no sample has. Texts in
-    several learned languages stay. No shuffle: rows are filtered where they are read. With nothing learned nothing can be
-    told apart, and all rows stay.
+    A row is rejected where the prediction is ``und`` (null text, no letter), where even the best language needs more bits a
+    letter than its texts do (``bounds`` of :func:`fit_bounds`, and STRAY_PHRASES phrases), or, with under FEW_LETTERS letters,
+    where most of them are in no sample. Texts in several learned languages stay. No shuffle: rows are filtered where they
+    are read. With nothing learned nothing can be told apart, and all rows stay.
     """
     if not samples:
         return docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(samples)
+        size = dict(zip(model.langs, model.bits))
         for batch in batches:
             if not batch.num_rows:
                 continue
             keep = []
             for _, _, data, offsets in text_slices(batch, text_col, 1 << 20):
                 names, _, bits, letters = model.judge(data, offsets)
-                keep.append((names != "und") & ((bits <= max_bits) | (letters < FEW_LETTERS)))
+                bound = np.array([bounds.get(x, 0.0) for x in names]) + STRAY_PHRASES * np.array([size.get(x, 0.0) for x in names]) / np.maximum(1, letters)
+                good = (names != "und") & (bits <= bound)
+                for k in np.flatnonzero((names != "und") & (letters < FEW_LETTERS)).tolist():
+                    points = fold(data[offsets[k]:offsets[k + 1]])
+                    points = points[points != 32]
+                    good[k] = 2 * int(np.isin(points, model.seen).sum()) >= len(points)
+                keep.append(good)
             yield batch.filter(pa.array(np.concatenate(keep).astype(bool)))
 
     return docs.mapInArrow(run, docs.schema)

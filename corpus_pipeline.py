@@ -45,8 +45,8 @@ def stage(fn: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[
 @stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cross-parsing entropy (operator 1): rows whose text is in none of the languages that the labelled rows teach go
-    (null texts, texts without a letter, texts that no language leads on)."""
-    return langid.accepted(docs, langid.fit(docs))
+    (null texts, texts without a letter, texts that need more bits a letter than labelled texts of their language do)."""
+    return langid.accepted(docs, *langid.fit_bounds(docs))
 
 
 @stage

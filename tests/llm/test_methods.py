@@ -77,6 +77,18 @@ def test_op1_held_out(spark, docs):
     assert np.mean([r["lang_pred"] == docs[r["doc_id"]]["lang"] for r in held]) >= 0.98
 
 
+def test_language_stage_rejects_languages_that_nobody_taught(spark, docs):
+    frame = spark.read.parquet(f"{SF}/documents.parquet")
+    samples, bounds = langid.fit_bounds(frame)
+    foreign = ["Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, che la diritta via era smarrita. Ahi quanto a dir "
+               "qual era e cosa dura questa selva selvaggia e aspra e forte che nel pensier rinova la paura",
+               "Kaikki ihmiset syntyvat vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu jarki ja omatunto, ja heidan "
+               "on toimittava toisiaan kohtaan veljeyden hengessa", "Butun insanlar hur haysiyet ve haklar bakimindan esit dogarlar. Akil ve "
+               "vicdana sahiptirler ve birbirlerine karsi kardeslik zihniyeti ile hareket etmelidirler", "привет мир"]
+    mixed = frame.select("doc_id", "text").unionByName(spark.createDataFrame([(-1 - i, t) for i, t in enumerate(foreign)], "doc_id long, text string"))
+    assert {r["doc_id"] for r in langid.accepted(mixed, samples, bounds).collect()} == set(docs)
+
+
 def test_op2_pieces_and_places(spark, docs):
     from tokenizers import Tokenizer
     rows = QUERIES["op2_minimum_bin_slack"](spark, SF).collect()
