@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import chat, exact, forest, idfiles, langid, packing, passages, sentencepieces, sharding, simhash
+from cohortspark.llm import bitslices, chat, exact, forest, idfiles, langid, lexical, packing, passages, resampling, sentencepieces, sharding, simhash
 from cohortspark.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {"op6_tool_calls": chat.SQL, "op9_lsh_forest": forest.sql(2), "op10_content_sort": exact.SQL}
+ORACLE_SQL: dict[str, str] = {"op6_tool_calls": chat.SQL, "op9_lsh_forest": forest.sql(2), "op10_content_sort": exact.SQL,
+                              "op11_batch_concatenation": resampling.SQL, "op12_block_max_search": lexical.SQL, "op13_bit_slices": bitslices.SQL}
 
 
 def tokenizer_path(name: str) -> str:
@@ -80,3 +81,18 @@ def op9_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.content_sort(documents(spark, sf_dir))
+
+
+@query
+def op11_batch_concatenation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.importance_draw(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query
+def op12_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query
+def op13_bit_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitslices.top_inner_products(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
