@@ -189,6 +189,205 @@ def enet_cv(blocks, p, k, l1, n_alphas, share):
     return t, w, b0, alphas[best, np.arange(n_t)]
 
 
+# ------------------------------------------------------------------ few rows: the dual of the elastic net
+
+ROWS = 200                 # training rows up to which a fold is solved in as many unknowns as it has rows
+STEPS = 500                # Newton steps after which a fit counts as failed; three or four are usual
+
+
+class Columns:
+    """Centred features of one problem shared by many targets (r, k), or one matrix for each target (B, r, k)."""
+
+    def __init__(self, x: np.ndarray):
+        self.x, self.shared = x, x.ndim == 2
+        r = x.shape[-2]
+        if self.shared:
+            self.upper = np.triu_indices(r)
+            # single precision is enough for a step's direction; what is solved for is checked in double precision
+            self.pairs = np.ascontiguousarray((x[self.upper[0]] * x[self.upper[1]]).T, np.float32)
+        self.eye = np.eye(r)
+
+    def cross(self, theta, at):
+        return theta @ self.x if self.shared else np.matmul(theta[:, None, :], self.x[at])[:, 0]
+
+    def back(self, w, at):
+        return w @ self.x.T if self.shared else np.matmul(self.x[at], w[:, :, None])[:, :, 0]
+
+    def gram(self, on, at):
+        """Products of the rows over the active features of each target."""
+        if not self.shared:
+            x = self.x[at]
+            return np.matmul(x * on[:, None, :], x.transpose(0, 2, 1))
+        used = np.flatnonzero(on.any(axis=0))
+        flat = on[:, used].astype(np.float32) @ self.pairs[used]
+        out = np.empty((len(on), *self.eye.shape))
+        out[:, self.upper[0], self.upper[1]] = flat
+        out[:, self.upper[1], self.upper[0]] = flat
+        return out
+
+
+def _soft(z, pen):
+    return z - np.clip(z, -pen, pen)
+
+
+def dual_fit(cols, y, pen, ridge, theta, tol=1e-10):
+    """Elastic-net solutions of a batch of targets from warm starts: (residuals (B, r), coefficients (B, k)).
+
+    With a ridge part the coefficients follow from the residual ``t = y - Xw`` alone, ``w = soft(X't, pen) / ridge``, so the unknowns
+    are as many as rows. The residual minimises a convex function whose gradient is piecewise linear: Newton steps with a halving line
+    search, all targets of the batch side by side, end at the exact solution once the active features stand still.
+    """
+    theta = theta.copy()
+    w = np.zeros((len(y), cols.x.shape[-1]))
+    scale = tol * np.maximum(np.abs(y).max(axis=1), 1e-300)
+    live = np.arange(len(y))
+    p, q, t, target = pen[:, None], ridge[:, None], theta, y
+    z = cols.cross(t, live)
+    s = _soft(z, p)
+    now = _dual_value(t, s, target, q)
+    for _ in range(STEPS):
+        f = t - target + cols.back(s, live) / q
+        open_ = np.abs(f).max(axis=1) > scale[live]
+        if not open_.all():
+            theta[live[~open_]], w[live[~open_]] = t[~open_], (s[~open_] / q[~open_])
+            if not open_.any():
+                return theta, w
+            live, z, s, f, p, q, t, target, now = (v[open_] for v in (live, z, s, f, p, q, t, target, now))
+        step = -np.linalg.solve(cols.gram(s != 0, live) / q[:, :, None] + cols.eye, f[:, :, None])[:, :, 0]
+        along = cols.cross(step, live)
+        slope = np.einsum("ij,ij->i", f, step)
+        tt, zz = t + step, z + along
+        ss = _soft(zz, p)
+        new = _dual_value(tt, ss, target, q)
+        size = 1.0
+        bad = np.flatnonzero(new > now + 1e-4 * slope + 1e-12 * np.abs(now))
+        while len(bad) and size > 1e-18:
+            size /= 2
+            tt[bad], zz[bad] = t[bad] + size * step[bad], z[bad] + size * along[bad]
+            ss[bad] = _soft(zz[bad], p[bad])
+            new[bad] = _dual_value(tt[bad], ss[bad], target[bad], q[bad])
+            bad = bad[new[bad] > now[bad] + 1e-4 * size * slope[bad] + 1e-12 * np.abs(now[bad])]
+        t, z, s, now = tt, zz, ss, new
+    raise ArithmeticError("an elastic-net fit did not settle")
+
+
+def _dual_value(t, s, target, ridge):
+    return np.einsum("ij,ij->i", t, t / 2 - target) + np.einsum("ij,ij->i", s, s) / (2 * ridge[:, 0])
+
+
+def dual_path(cols, y, n, alphas, l1):
+    """Coefficients (B, k) for each row of ``alphas`` (A, B), falling; ``y`` (B, r) centred.
+
+    Residuals follow the penalty in straight pieces, so a fit starts where the line through the two before it leads.
+    """
+    seen = []
+    for a in alphas:
+        start = seen[-1][1] if seen else y
+        if len(seen) == 2:
+            (a0, t0), (a1, t1) = seen
+            start = t1 + ((a - a1) / np.minimum(a1 - a0, -1e-300))[:, None] * (t1 - t0)
+        theta, w = dual_fit(cols, y, n * a * l1, n * a * (1 - l1), start)
+        seen = [*seen[-1:], (a, theta)]
+        yield w
+
+
+def row_map(parts, p, k, share):
+    """The map T of :func:`adjusted_products` from the training rows themselves, over [1, C, X, Y]."""
+    rows = np.concatenate(parts)
+    n, size = rows.shape
+    c = rows[:, 1:1 + p]
+    mean_c = c.mean(axis=0)
+    basis = covariate_basis(c.T @ c / n - np.outer(mean_c, mean_c), share)
+    q = basis.shape[1]
+    z = np.zeros((1 + p, 1 + q))
+    z[0, 0] = 1.0
+    if q:
+        z[1:, 1:] = basis
+        z[0, 1:] = -mean_c @ basis
+    seen = rows[:, :1 + p] @ z
+    m = size - 1 - p if q else k                       # without covariates only the features are centred
+    fitted = z @ np.linalg.solve(seen.T @ seen, seen.T @ rows[:, 1 + p:1 + p + m])
+    t = np.zeros((size, size - p))
+    t[0, 0] = 1.0
+    t[1 + p:, 1:] = np.eye(size - 1 - p)
+    t[:1 + p, 1:1 + m] -= fitted
+    x = rows[:, 1 + p:1 + p + k] + rows[:, :1 + p] @ t[:1 + p, 1:1 + k]
+    sd = np.sqrt(np.maximum((x * x).mean(axis=0), 0))
+    sd[sd < 1e-10] = 1.0
+    t[:, 1:1 + k] /= sd
+    return t
+
+
+def by_rows(t, part, p, k):
+    """(features, targets) of rows over [1, C, X, Y] under a map of :func:`row_map`."""
+    m = part[:, 1 + p:] * t[1 + p + np.arange(t.shape[0] - 1 - p), 1 + np.arange(t.shape[0] - 1 - p)] + part[:, :1 + p] @ t[:1 + p, 1:]
+    return m[:, :k], m[:, k:]
+
+
+def _choose(columns, targets, sizes, n_alphas, l1):
+    """Penalty by inner block CV and refit on all rows for a batch: (coefficients (B, k), intercepts, penalties).
+
+    ``columns`` picks training or held-out rows of the features: called with (rows, centre) it gives the features of these rows less
+    ``centre``, (r, k) or (B, r, k); with no centre it uses the rows' own mean and gives (features, mean).
+    """
+    n, b = targets.shape
+    x, mean = columns(np.arange(n), None)
+    k = x.shape[-1]
+    if k == 0:
+        return np.zeros((b, 0)), targets.mean(axis=0), np.zeros(b)
+    y = (targets - targets.mean(axis=0)).T
+    top = np.abs((y @ x) if x.ndim == 2 else np.matmul(y[:, None, :], x)[:, 0]).max(axis=1) / (n * l1)
+    alphas = np.maximum(top, np.finfo(float).resolution)[None, :] * np.geomspace(1.0, 1e-3, n_alphas)[:, None]
+    mse, used, end = np.zeros((n_alphas, b)), 0, 0
+    for size in sizes:
+        held = np.arange(end, end + size)
+        end += size
+        if not size or n - size < 2:
+            continue
+        used += 1
+        rest = np.setdiff1d(np.arange(n), held)
+        xi, mi = columns(rest, None)
+        xo, _ = columns(held, mi)
+        my = targets[rest].mean(axis=0)
+        yi = (targets[rest] - my).T
+        truth = (targets[held] - my).T
+        for a, w in enumerate(dual_path(Columns(xi), yi, len(rest), alphas, l1)):
+            got = w @ xo.T if xo.ndim == 2 else np.matmul(xo, w[:, :, None])[:, :, 0]
+            mse[a] += ((truth - got) ** 2).mean(axis=1)
+    best = mse.argmin(axis=0) if used else np.zeros(b, int)
+    out = np.zeros((b, k))
+    for a, w in enumerate(dual_path(Columns(x), y, n, alphas[:best.max() + 1], l1)):
+        out[best == a] = w[best == a]
+    centre = (mean * out).sum(axis=-1) if mean.ndim == 2 else out @ mean
+    return out, targets.mean(axis=0) - centre, alphas[best, np.arange(b)]
+
+
+def enet_cv_rows(parts, p, k, l1, n_alphas, share):
+    """:func:`enet_cv` from the rows of the inner blocks, all targets solved together: (T, coefficients (K, P), intercepts, penalties)."""
+    t = row_map(parts, p, k, share)
+    x, y = by_rows(t, np.concatenate(parts), p, k)
+
+    def columns(rows, centre):
+        own = x[rows]
+        mean = own.mean(axis=0) if centre is None else centre
+        return own - mean, mean
+    w, b0, alpha = _choose(columns, y, [len(b) for b in parts], n_alphas, l1)
+    return t, w.T, b0, alpha
+
+
+def enet_cv_sets(parts, p, k, sets, l1, n_alphas, share):
+    """One fit for each feature set (rows of ``sets``: positions among the k features) of the first target, as a batch."""
+    t = row_map(parts, p, k, share)
+    x, y = by_rows(t, np.concatenate(parts), p, k)
+
+    def columns(rows, centre):
+        own = x[rows][:, sets].transpose(1, 0, 2)
+        mean = own.mean(axis=1) if centre is None else centre
+        return own - mean[:, None, :], mean
+    w, b0, alpha = _choose(columns, np.repeat(y[:, :1], len(sets), axis=1), [len(b) for b in parts], n_alphas, l1)
+    return t, w, b0, alpha
+
+
 def leading_scores(blocks, p, k, share, d):
     """Map from [1, C, X] to the ``d`` leading components of adjusted, standardised X."""
     total = sum(blocks)

@@ -33,7 +33,8 @@ class Settings:
     inner: int = 5              # inner CV blocks, contiguous in unit order
     covariate_share: float | None = None   # None: all covariates; else leading components up to this variance share
     chunk: int = 256            # units per cross-product task
-    batch: int = 25             # targets solved together
+    batch: int = 250            # targets (or feature sets) solved together
+    keep_coef: int | None = None    # leading targets whose coefficients are kept; permuted targets need none
 
 
 def unit_table(units: DataFrame, unit: str, fold: str | None, targets: Sequence[str], covariates: Sequence[str] = (),
@@ -108,7 +109,16 @@ def screen(x: DataFrame, units: DataFrame, folds: DataFrame, s: Settings, keep:
                     proj = sx[rows] @ basis
                     v[rows] -= np.einsum("ij,ij->i", proj, np.linalg.solve(inner, proj.T).T) if basis.shape[1] else 0
             yield pd.DataFrame({"task": d["task"], "fold": d["fold"], "feature": d["feature"], "var": np.maximum(v, 0) / n})
-    ranked = tr.mapInPandas(variance, "task string, fold string, feature string, var double")
+    if p <= 1:
+        # one covariate or none: the adjusted variance is a column expression
+        raw = F.col("s2") - F.col("s1") * F.col("s1") / F.col("u_n")
+        if p:
+            both = F.col("sc0") - F.col("u_m0") * F.col("s1") / F.col("u_n")
+            own = F.col("u_cc0_0") - F.col("u_m0") * F.col("u_m0") / F.col("u_n")
+            raw = raw - F.when(own > 0, both * both / own).otherwise(0.0)
+        ranked = tr.select("task", "fold", "feature", (F.greatest(raw, F.lit(0.0)) / F.col("u_n")).alias("var"))
+    else:
+        ranked = tr.mapInPandas(variance, "task string, fold string, feature string, var double")
     if keep is not None:
         ranked = ranked.join(keep.select(F.col("feature").cast("string"), F.lit(True).alias("_keep")), "feature", "left")
     else:
@@ -202,20 +212,26 @@ def _spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
-def _unpack(pdf: pd.DataFrame):
+def _unpack(pdf: pd.DataFrame, l1: float = 1.0):
+    """(inner blocks, rows of held-out units, features, whether the blocks are rows).
+
+    A fold of few training units whose blocks all came as rows stays that way, for the solvers that work in as many unknowns as rows;
+    otherwise every block is its cross-products. Both give the same fit.
+    """
     size, k = int(pdf["size"].iloc[0]), int(pdf["k"].iloc[0])
-    blocks: dict[int, np.ndarray] = {}
+    parts: dict[int, list[np.ndarray]] = {}
     held = []
     for b, d in zip(pdf["block"], pdf["data"]):
         m = np.frombuffer(d).reshape(-1, size)
-        if b >= 0 and len(m) < size:
-            m = m.T @ m
         if b < 0:
             held.append((-b, m))
         else:
-            blocks[b] = blocks[b] + m if b in blocks else m
-    return [blocks[b] for b in sorted(blocks)], (
-        np.concatenate([m for _, m in sorted(held, key=lambda e: e[0])]) if held else np.zeros((0, size))), k
+            parts.setdefault(b, []).append(m)
+    mats = [m for ms in parts.values() for m in ms]
+    by_rows = l1 < 1 and all(len(m) < size for m in mats) and sum(map(len, mats)) <= NK.ROWS
+    join = np.concatenate if by_rows else (lambda ms: sum(m.T @ m if len(m) < size else m for m in ms))
+    return [join(parts[b]) for b in sorted(parts)], (
+        np.concatenate([m for _, m in sorted(held, key=lambda e: e[0])]) if held else np.zeros((0, size))), k, by_rows
 
 
 def _held_units(blocks: DataFrame) -> DataFrame:
@@ -241,22 +257,24 @@ def _fit_grid(x: DataFrame, units: DataFrame, s: Settings, keep: DataFrame | Non
 
     def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
         task, fold, batch = key
-        blk, rows, k = _unpack(pdf)
+        blk, rows, k, by_rows = _unpack(pdf, s.l1)
         lo, hi = batch * s.batch, min((batch + 1) * s.batch, n_t)
         cols = np.r_[0:1 + p + k, 1 + p + k + lo:1 + p + k + hi]
-        blk = [b[np.ix_(cols, cols)] for b in blk]
+        blk = [b[:, cols] if by_rows else b[np.ix_(cols, cols)] for b in blk]
         rows = rows[:, cols]
-        t, w, b0, alpha = NK.enet_cv(blk, p, k, s.l1, s.alphas, s.covariate_share)
+        solve = NK.enet_cv_rows if by_rows else NK.enet_cv
+        t, w, b0, alpha = solve(blk, p, k, s.l1, s.alphas, s.covariate_share)
         adj = rows @ t
         pred = adj[:, 1:1 + k] @ w + b0
         # the map is linear in [1, C, X]: the model on the scale of the data is a weight for each feature and one line
         inverse = t[1 + p + np.arange(k), 1 + np.arange(k)]
         line = t[:1 + p, 1:1 + k] @ w
         line[0] += b0
+        full = lambda j, v: v.tolist() if s.keep_coef is None or lo + j < s.keep_coef else []
         return pd.DataFrame([{
             "task": task, "fold": fold, "target": int(lo + j), "pred": pred[:, j].tolist(), "observed": adj[:, 1 + k + j].tolist(),
-            "coef": w[:, j].tolist(), "n_nonzero": int((w[:, j] != 0).sum()), "alpha": float(alpha[j]), "weight": (w[:, j] * inverse).tolist(),
-            "sd": (1 / inverse).tolist(), "line": line[:, j].tolist(), "target_line": (-t[:1 + p, 1 + k + j]).tolist()} for j in range(hi - lo)])
+            "coef": full(j, w[:, j]), "n_nonzero": int((w[:, j] != 0).sum()), "alpha": float(alpha[j]), "weight": full(j, w[:, j] * inverse),
+            "sd": full(j, 1 / inverse), "line": line[:, j].tolist(), "target_line": (-t[:1 + p, 1 + k + j]).tolist()} for j in range(hi - lo)])
     fitted = cut(_spread(prod, "task", "fold", "batch").groupBy("task", "fold", "batch").applyInPandas(
         fit, "task string, fold string, target int, pred array<double>, observed array<double>, coef array<double>, "
              "n_nonzero int, alpha double, weight array<double>, sd array<double>, line array<double>, target_line array<double>"))
@@ -292,6 +310,62 @@ def leave_out_regression(x: DataFrame, units: DataFrame, s: Settings = Settings(
     return _predictions(fitted, held, unit_type), _coefficients(fitted, names).drop("weight", "sd")
 
 
+def leave_out_sets(x: DataFrame, units: DataFrame, sets: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """Held-out predictions of one clock for each feature set (M13): (task = set_no, fold, target, unit, pred, observed, n_nonzero, alpha).
+
+    ``sets`` has (set_no, feature); ``units`` one task with one target. The rows of a fold are built once over the union of all sets'
+    features; a set is a list of positions in it. The sets of one size are fitted as a batch. Sets are taken whole, nothing is screened.
+    """
+    units, x = cut(units), cut(x)
+    folds = _folds(units, False)
+    p = _width(units, "c")
+    sets = sets.select("set_no", F.col("feature").cast("string"))
+    # a gene panel's numbering; the panel fits a window partition as elsewhere
+    place = cut(sets.select("feature").distinct().withColumn("pos", F.row_number().over(Window.orderBy("feature")) - 1))
+    n_batches = max(1, -(-sets.select("set_no").distinct().count() // s.batch))
+    lists = sets.join(place, "feature").groupBy("set_no").agg(F.array_sort(F.collect_list("pos")).alias("at"))
+    lists = lists.withColumn("batch", F.pmod(F.xxhash64("set_no"), F.lit(n_batches)).cast("int"))
+    blocks = cut(_blocks(units, folds, s))
+    prod = cross_products(x.join(place.select("feature"), "feature", "left_semi"), blocks, folds.crossJoin(place))
+    batches = lambda df: df.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(n_batches - 1))))
+    prod = batches(prod)
+    held = _held_units(blocks)
+    lists = folds.crossJoin(lists)
+    kind = sets.schema["set_no"].dataType.simpleString()
+
+    def fit(key, pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(pdf) and len(own):
+            blk, rows, k, by_rows = _unpack(pdf, s.l1)
+            at = [np.asarray(v, int) for v in own["at"]]
+            for size in sorted({len(v) for v in at}):
+                of_size = [i for i, v in enumerate(at) if len(v) == size]
+                pos = np.stack([at[i] for i in of_size])
+                if by_rows:
+                    t, w, b0, alpha = NK.enet_cv_sets(blk, p, k, pos, s.l1, s.alphas, s.covariate_share)
+                    adj = rows @ t
+                    pred = np.einsum("usm,sm->su", adj[:, 1:1 + k][:, pos], w) + b0[:, None]
+                    observed = [adj[:, 1 + k]] * len(pos)
+                else:
+                    fits = []
+                    for one in pos:
+                        cols = np.r_[0:1 + p, 1 + p + one, 1 + p + k]
+                        t, w1, b1, a1 = NK.enet_cv([b[np.ix_(cols, cols)] for b in blk], p, size, s.l1, s.alphas, s.covariate_share)
+                        adj = rows[:, cols] @ t
+                        fits.append((w1[:, 0], a1[0], adj[:, 1:1 + size] @ w1[:, 0] + b1[0], adj[:, 1 + size]))
+                    w, alpha, pred, observed = (list(v) for v in zip(*fits))
+                out += [{"set_no": own["set_no"].iloc[i], "task": key[0], "fold": key[1], "target": 0, "pred": list(pred[j]), "observed": list(observed[j]),
+                         "n_nonzero": int((w[j] != 0).sum()), "alpha": float(alpha[j])} for j, i in enumerate(of_size)]
+        return pd.DataFrame(out, columns=["set_no", "task", "fold", "target", "pred", "observed", "n_nonzero", "alpha"])
+    keys = ["task", "fold", "batch"]
+    fitted = cut(_paired(_spread(prod, *keys), lists, keys).applyInPandas(
+        fit, f"set_no {kind}, task string, fold string, target int, pred array<double>, observed array<double>, n_nonzero int, alpha double"))
+    z = F.explode(F.arrays_zip("units", "pred", "observed")).alias("_z")
+    got = fitted.join(held, ["task", "fold"]).select("set_no", "fold", "target", "n_nonzero", "alpha", z)
+    return got.select(F.col("set_no").cast("string").alias("task"), "fold", "target", F.col("_z.units").cast(units.schema["unit"].dataType.simpleString()).alias("unit"),
+                      F.col("_z.pred").alias("pred"), F.col("_z.observed").alias("observed"), "n_nonzero", "alpha")
+
+
 @dataclass(frozen=True)
 class Clock:
     """Fitted clocks of all (task, fold, target), ready to score other samples.
@@ -347,7 +421,7 @@ def leave_out_classification(x: DataFrame, units: DataFrame, components: int = 1
     p, n_t = _width(units, "c"), _width(units, "y")
 
     def axes(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        blk, _, k = _unpack(pdf)
+        blk, _, k, _ = _unpack(pdf)
         cols = slice(0, 1 + p + k)
         t = NK.leading_scores([b[cols, cols] for b in blk], p, k, s.covariate_share, components)
         return pd.DataFrame([(key[0], key[1], k, t.shape[1], np.ascontiguousarray(t).tobytes())],
@@ -444,23 +518,41 @@ def null_of_first(scores: DataFrame) -> DataFrame:
         ((F.count_if(F.col("rho") >= F.col("observed") - 1e-9) + 1) / (F.count("rho") + 1)).alias("p"))
 
 
+def joint_bins(genes: DataFrame, n_mean: int = 10, n_detected: int = 5) -> DataFrame:
+    """``genes`` (gene_id, mean, detected) with ``bin``: equal-sized bins of mean expression crossed with bins of detection.
+
+    Means fall between exact quantiles; detection, a share with many ties, is cut by its rank with ties by gene.
+    """
+    from cohortspark.functions.ordering import exact_quantiles
+    names = [f"e{i}" for i in range(1, n_mean)]
+    edges = exact_quantiles(genes, "mean", [i / n_mean for i in range(1, n_mean)], names).select(F.array(*names)).scalar()
+    r = F.row_number().over(Window.orderBy("detected", "gene_id")) - 1                  # a gene panel fits a window partition
+    n = genes.agg(F.count(F.lit(1))).scalar()
+    d = genes.withColumn("_e", edges).withColumn("_r", r)
+    return d.select(*genes.columns, (F.size(F.expr("filter(_e, v -> v < mean)")) * n_detected
+                                     + F.floor(F.col("_r") * n_detected / n)).cast("int").alias("bin"))
+
+
 def matched_sets(means: DataFrame, focus: DataFrame, n_sets: int, n_bins: int = 10, seed: int = 0, matched: bool = True
                  ) -> DataFrame:
-    """Random gene sets of the size of ``focus``, optionally with its distribution over mean-expression bins.
+    """Random gene sets of the size of ``focus``, optionally with its distribution over bins.
 
-    Bin edges are exact quantiles. A set draws, in every bin, as many non-focus genes as the focus set has there, by
-    hash order. Where a bin has too few, the set is filled up from the other genes by the same order, so every set has the
-    size of ``focus`` (as far as there are genes).
+    The bins are a column ``bin`` of ``means`` if it has one (:func:`joint_bins`), else exact quantiles of the mean. A set draws, in every
+    bin, as many non-focus genes as the focus set has there, by hash order. Where a bin has too few, the set is filled up from the other
+    genes by the same order, so every set has the size of ``focus`` (as far as there are genes). ``matched=False`` draws from all genes.
     """
     from cohortspark.functions.ordering import exact_quantiles
     from cohortspark.functions.scalars import hash_key
-    if matched:
+    if not matched:
+        binned = means.withColumn("bin", F.lit(0))
+    elif "bin" in means.columns:
+        binned = means
+    else:
         qs = [i / n_bins for i in range(1, n_bins)]
         names = [f"e{i}" for i in range(1, n_bins)]
         e = exact_quantiles(means, "mean", qs, names).select(F.array(*names)).scalar()
         binned = means.withColumn("_e", e).withColumn("bin", F.size(F.expr("filter(_e, v -> v < mean)"))).drop("_e")
-    else:
-        binned = means.withColumn("bin", F.lit(0))
+    binned = cut(binned)
     inside = binned.join(focus.select("gene_id"), "gene_id", "left_semi")
     need = inside.groupBy("bin").agg(F.count(F.lit(1)).alias("_need"))
     pool = binned.join(focus.select("gene_id"), "gene_id", "left_anti")
@@ -475,8 +567,20 @@ def matched_sets(means: DataFrame, focus: DataFrame, n_sets: int, n_bins: int =
         left = pool.select("gene_id", sets).join(chosen, ["set_no", "gene_id"], "left_anti")
         v = Window.partitionBy("set_no").orderBy(hash_key("gene_id", "set_no", F.lit(seed)))
         chosen = chosen.unionByName(left.withColumn("_r", F.row_number().over(v)).where(F.col("_r") <= short).select("set_no", "gene_id"))
-    draw = chosen
-    return inside.select(F.lit(0).alias("set_no"), "gene_id").unionByName(draw)
+    return inside.select(F.lit(0).alias("set_no"), "gene_id").unionByName(chosen)
+
+
+def set_null(scores: DataFrame) -> DataFrame:
+    """Focus set (task '0') against the drawn sets (M13): where its rho lies, with the folds that chose no feature."""
+    seen = scores.where("task = '0'").select(F.col("rho").alias("observed"), F.col("zero_feature_folds").alias("observed_zero_folds"))
+    # one row with the observed value beside every drawn set
+    null = scores.where("task <> '0'").crossJoin(seen)
+    q = lambda v: F.percentile("rho", F.lit(v))
+    over = F.count_if(F.col("rho") >= F.col("observed") - 1e-9)
+    return null.groupBy("observed", "observed_zero_folds").agg(
+        F.count("rho").alias("n_sets"), F.avg("rho").alias("null_mean"), F.stddev_pop("rho").alias("null_sd"), q(0.05).alias("q05"), q(0.5).alias("q50"),
+        q(0.95).alias("q95"), (F.count_if(F.col("rho") < F.col("observed") - 1e-9) / F.count("rho")).alias("below_share"), ((over + 1) / (F.count("rho") + 1)).alias("p"),
+        F.count_if(F.col("zero_feature_folds") > 0).alias("sets_with_zero_fold"))
 
 
 def learning_curve_units(units: DataFrame, unit: str, fractions: Sequence[float], draws: int, seed: int = 0) -> DataFrame:

@@ -15,8 +15,7 @@ from cohortspark.plans.registry import query
 from cohortspark.plans.twin_ctes import CTES
 
 S = M.Settings()                       # 1000 features, 50 penalties
-MID = M.Settings(top=200)              # the same clock on fewer features, for the queries that fit every fold again
-SMALL = M.Settings(top=100, alphas=20)
+NULL = M.Settings(keep_coef=1)         # the same for permuted targets
 
 
 def xs(t, keys=("animal_id",), feature_set=None, source=None):
@@ -40,21 +39,21 @@ def _(t):
 
 @query("m1_clock_without_covariate")
 def _(t):
-    preds, _c = M.leave_out_regression(xs(t), us(t, cov=()), MID)
+    preds, _c = M.leave_out_regression(xs(t), us(t, cov=()), S)
     return named(preds).drop("task", "target")
 
 
 @query("m2_clock_with_kept_columns")
 def _(t):
     kept = t.genes.where(F.col("program") == "Brand#13").select(F.col("gene_id").alias("feature"))
-    preds, _c = M.leave_out_regression(xs(t), us(t), SMALL, keep=kept)
+    preds, _c = M.leave_out_regression(xs(t), us(t), S, keep=kept)
     return named(preds).drop("task", "target")
 
 
 @query("m3_clock_audit")
 def _(t):
     u = us(t)
-    preds, _c = M.leave_out_regression(xs(t), u, MID)
+    preds, _c = M.leave_out_regression(xs(t), u, S)
     return M.fold_scores(preds, u, True)
 
 
@@ -66,7 +65,7 @@ def _(t):
     names = [f"k{i}" for i in range(5)]
     u = t.animals.join(w.toDF("animal_id", *names), "animal_id")
     grid = M.unit_table(u, "animal_id", "animal_id", ["day"], names)
-    preds, _c = M.leave_out_regression(xs(t), grid, M.Settings(top=100, alphas=20, covariate_share=0.8))
+    preds, _c = M.leave_out_regression(xs(t), grid, M.Settings(covariate_share=0.8))
     return named(preds).drop("task", "target")
 
 
@@ -99,7 +98,7 @@ def section_samples(t, fold):
 @query("m6_fold_clock_sections")
 def _(t):
     """Sections dated by the clock that never saw their animal, on the residual and on the day scale."""
-    clock, _p = M.fit_clock(xs(t), us(t), MID)
+    clock, _p = M.fit_clock(xs(t), us(t), S)
     got = clock.score(section_rows(t), section_samples(t, F.col("animal_id").cast("string")))
     return got.select(F.col("unit").alias("section_id"), F.col("fold").cast("bigint").alias("animal_id"), "n_hits", "pred_residual", "pred_day")
 
@@ -108,7 +107,7 @@ def _(t):
 def _(t):
     """Measurement noise of these dates: half the difference between binomial halves of the counts."""
     from cohortspark.functions.scalars import log_cp10k
-    clock, _p = M.fit_clock(xs(t), us(t), MID)
+    clock, _p = M.fit_clock(xs(t), us(t), S)
     h = M.thin_counts(C.count_sums(t.expr, ["section_id"]).withColumnRenamed("n", "cnt"), ["section_id", "gene_id"])
     w = Window.partitionBy("section_id")
     h = h.select("section_id", "gene_id", log_cp10k("half_a", F.sum("half_a").over(w)).alias("va"), log_cp10k("half_b", F.sum("half_b").over(w)).alias("vb"))
@@ -190,11 +189,11 @@ def _(t):
 def _(t):
     a = t.animals.withColumn("y", (F.col("model") == "RR").cast("int"))
     u = M.unit_table(a, "animal_id", "animal_id", ["y"], ["score"])
-    p = M.leave_out_classification(xs(t), u, 5, SMALL)
+    p = M.leave_out_classification(xs(t), u, 5, S)
     genes = E.auc(p.withColumn("pos", F.col("truth") == 1.0), ["task"], "pos", "prob").drop("task").withColumn("arm", F.lit("components"))
     # the same folds with severity as the only feature
     sev = M.feature_rows(t.animals.select("animal_id", F.lit("score").alias("g"), F.col("score").alias("v")), "animal_id", "g", "v")
-    q = M.leave_out_classification(sev, M.unit_table(a, "animal_id", "animal_id", ["y"]), 1, SMALL)
+    q = M.leave_out_classification(sev, M.unit_table(a, "animal_id", "animal_id", ["y"]), 1, S)
     return genes.unionByName(E.auc(q.withColumn("pos", F.col("truth") == 1.0), ["task"], "pos", "prob").drop("task").withColumn("arm", F.lit("severity")))
 
 
@@ -206,8 +205,8 @@ def perm_units(t, reps, within=()):
 
 @query("m10_clock_permutation_null")
 def _(t):
-    u = perm_units(t, 24)
-    preds, _c = M.leave_out_regression(xs(t), u, SMALL)
+    u = perm_units(t, 1000)
+    preds, _c = M.leave_out_regression(xs(t), u, NULL)
     return M.null_of_first(M.fold_scores(preds, u, True)).drop("task")
 
 
@@ -222,8 +221,8 @@ def by_type(t):
 def _(t):
     x, kinds = by_type(t)
     k = kinds.agg(F.collect_list("k")).scalar()   # the types of a study
-    u = perm_units(t, 9).withColumn("fset", F.explode(k)).withColumn("task", F.col("fset"))
-    preds, _c = M.leave_out_regression(x, u, M.Settings(top=60, alphas=15))
+    u = perm_units(t, 200).withColumn("fset", F.explode(k)).withColumn("task", F.col("fset"))
+    preds, _c = M.leave_out_regression(x, u, NULL)
     return M.max_null(M.fold_scores(preds, u, True))
 
 
@@ -236,7 +235,7 @@ def sweep_units(t, kinds, fold="animal_id"):
 def _(t):
     x, kinds = by_type(t)
     u = sweep_units(t, kinds)
-    preds, _c = M.leave_out_regression(x, u, SMALL)
+    preds, _c = M.leave_out_regression(x, u, S)
     return M.fold_scores(preds, u, True).withColumnRenamed("task", "compartment").drop("target")
 
 
@@ -251,29 +250,56 @@ def _(t):
     from cohortspark.functions.scalars import hash_u32
     inner = inner.withColumn("g", hash_u32("animal_id", "outer") % 5)
     u = M.unit_table(inner, "animal_id", "g", ["day"], ["score"], "task", "k")
-    s = M.Settings(top=40, alphas=10)
-    preds, _c = M.leave_out_regression(x, u, s)
+    preds, _c = M.leave_out_regression(x, u, S)
     sc = M.fold_scores(preds, u, True).withColumn("outer", F.split("task", "\\|")[0].cast("bigint")).withColumn("k", F.split("task", "\\|")[1])
     pick = sc.groupBy("outer").agg(F.max_by("k", F.struct(F.coalesce("rho", F.lit(-2.0)), "k")).alias("chosen"), F.max("rho").alias("inner_rho"))
     outer = sweep_units(t, kinds)
-    op, _c = M.leave_out_regression(x, outer, s)
+    op, _c = M.leave_out_regression(x, outer, S)
     return (op.withColumnRenamed("task", "chosen").join(pick.withColumnRenamed("outer", "unit"), ["unit", "chosen"])
             .select(F.col("unit").alias("animal_id"), "chosen", "inner_rho", "pred", "observed"))
 
 
-@query("m13_gene_set_null")
-def _(t):
+def gene_pool(t):
+    """(gene_id, mean, detected): mean value over animals and the share of cells with a count."""
     v = pb(t)
     n = t.animals.agg(F.count(F.lit(1))).scalar()
-    means = v.groupBy("gene_id").agg((F.sum("value") / n).alias("mean"))
-    sets = M.matched_sets(means, t.genes.where(F.col("program") == "Brand#13"), 15)
-    x = M.feature_rows(v.join(sets, "gene_id"), "animal_id", "gene_id", "value", "set_no")
-    ids = sets.select("set_no").distinct().agg(F.collect_list(F.col("set_no").cast("string"))).scalar()
-    u = us(t).withColumn("fset", F.explode(ids)).withColumn("task", F.col("fset"))
-    preds, _c = M.leave_out_regression(x, u, SMALL)
-    sc = M.fold_scores(preds, u, True)
-    obs = sc.where("task = '0'").select(F.col("rho").alias("stat"))
-    return R.null_summary(sc.where("task <> '0'").select(F.col("rho").alias("stat")), obs)
+    cells = t.cells.agg(F.count(F.lit(1))).scalar()
+    seen = t.expr.groupBy("gene_id").agg((F.count_distinct("cell_id") / cells).alias("detected"))
+    return v.groupBy("gene_id").agg((F.sum("value") / n).alias("mean")).join(seen, "gene_id")
+
+
+@query("m13_gene_set_null")
+def _(t):
+    """500 sets drawn from all genes and 500 matched on expression and detection against one program, on the clock's own folds."""
+    focus = t.genes.where(F.col("program") == "Brand#13")
+    pool = gene_pool(t)
+    out = None
+    for arm in ("random", "matched"):
+        sets = M.matched_sets(M.joint_bins(pool), focus, 500, matched=arm == "matched")
+        preds = M.leave_out_sets(xs(t), us(t), sets.withColumnRenamed("gene_id", "feature"), S)
+        u = us(t).withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(500)))).withColumn("task", F.col("task").cast("string"))
+        got = M.set_null(M.fold_scores(preds, u, True)).withColumn("arm", F.lit(arm))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@query("m13_joint_sets", """
+WITH m AS (SELECT gene_id, sum(value) / 25 AS mean FROM pb_dense GROUP BY 1 HAVING sum(value) > 0),
+dt AS (SELECT gene_id, count(DISTINCT cell_id) AS c FROM expr GROUP BY 1),
+e AS (SELECT quantile_cont(mean, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM m),
+b AS (SELECT gene_id, program = 'Brand#13' AS f, len(list_filter(e.e, lambda v: v < mean)) * 5
+        + ((row_number() OVER (ORDER BY c, gene_id) - 1) * 5) // count(*) OVER () AS bin FROM m JOIN dt USING (gene_id) JOIN genes USING (gene_id), e),
+need AS (SELECT bin, count(*) AS need FROM b WHERE f GROUP BY 1),
+have AS (SELECT bin, count(*) AS have FROM b WHERE NOT f GROUP BY 1),
+short AS (SELECT sum(greatest(0, need - coalesce(have, 0))) AS short FROM need LEFT JOIN have USING (bin)),
+d AS (SELECT s AS set_no, gene_id, bin, row_number() OVER (PARTITION BY s, bin ORDER BY md5(gene_id || '|' || s || '|0')) AS r FROM b, range(1, 6) t(s) WHERE NOT f),
+c AS (SELECT set_no, gene_id FROM d JOIN need USING (bin) WHERE r <= need),
+l AS (SELECT s AS set_no, gene_id, row_number() OVER (PARTITION BY s ORDER BY md5(gene_id || '|' || s || '|0')) AS r
+      FROM b, range(1, 6) t(s) WHERE NOT f AND NOT EXISTS (SELECT 1 FROM c WHERE c.set_no = s AND c.gene_id = b.gene_id))
+SELECT 0::bigint AS set_no, gene_id FROM b WHERE f UNION ALL SELECT set_no, gene_id FROM c
+UNION ALL SELECT set_no, gene_id FROM l, short WHERE r <= short""")
+def _(t):
+    return M.matched_sets(M.joint_bins(gene_pool(t)), t.genes.where(F.col("program") == "Brand#13"), 5)
 
 
 @query("m13_matched_sets", """
@@ -295,7 +321,7 @@ def _(t):
                                              F.when(F.col("module") == "ECONOMY", F.lit("only_economy")))))
     x = M.feature_rows(v.withColumn("condition", cond), "animal_id", "gene_id", "value", "condition")
     u = us(t).withColumn("fset", F.explode(F.array(F.lit("all"), F.lit("without_economy"), F.lit("only_economy")))).withColumn("task", F.col("fset"))
-    preds, _c = M.leave_out_regression(x, u, SMALL)
+    preds, _c = M.leave_out_regression(x, u, S)
     return M.fold_scores(preds, u, True).withColumnRenamed("task", "condition").drop("target")
 
 
@@ -307,7 +333,7 @@ def _(t):
     full = pb(t).select("animal_id", F.col("gene_id").cast("string"), "value", F.lit("pseudobulk").alias("arm"))
     x = M.feature_rows(sev.unionByName(comp).unionByName(full), "animal_id", "gene_id", "value", "arm")
     u = us(t, cov=()).withColumn("fset", F.explode(F.array(*[F.lit(a) for a in ("severity", "composition", "pseudobulk")]))).withColumn("task", F.col("fset"))
-    preds, _c = M.leave_out_regression(x, u, SMALL)
+    preds, _c = M.leave_out_regression(x, u, S)
     sc = M.fold_scores(preds, u, False)
     ci = R.bootstrap_ci(preds.select("task", "unit", "pred", "observed"), "unit", R.rank_corr("pred", "observed"), 100, ["task"]).drop("observed")
     # Fisher z of every arm against the composition arm, on the same number of animals
@@ -322,7 +348,7 @@ def _(t):
 def _(t):
     d = M.learning_curve_units(t.animals.select("animal_id", "day", "score"), "animal_id", [0.4, 0.7, 1.0], 3)
     u = M.unit_table(d, "animal_id", "fold", ["day"], ["score"], "task")
-    preds, _c = M.leave_out_regression(xs(t), u, M.Settings(top=60, alphas=15))
+    preds, _c = M.leave_out_regression(xs(t), u, S)
     part = F.split("task", "\\|")
     p = preds.withColumn("fraction", part[0].cast("double")).withColumn("draw", part[1].cast("int"))
     from cohortspark.operators.association import grouped_spearman
@@ -344,7 +370,7 @@ def _(t):
         b = b.withColumn(f"y{i}", (F.col("run_id") == r).cast("int"))
     b = b.withColumn("g", hash_u32("animal_id", F.lit("fold")) % 5)
     u = M.unit_table(b, "bag", "g", [f"y{i}" for i in range(len(runs))])
-    p = M.leave_out_classification(x, u, 8, SMALL)
+    p = M.leave_out_classification(x, u, 8, S)
     best = p.groupBy("unit").agg(F.max_by("target", F.struct("prob", "target")).cast("int").alias("pred"), F.max_by("target", "truth").cast("int").alias("truth"))
     return E.class_scores(best, [], "truth", "pred").drop("mae")
 
@@ -423,7 +449,7 @@ def _(t):
     out = None
     for name, cov in (("none", ()), ("terminal", ("score",)), ("cumulative", ("score", "n_cells"))):
         u = us(t, cov=cov)
-        preds, _c = M.leave_out_regression(xs(t), u, SMALL)
+        preds, _c = M.leave_out_regression(xs(t), u, S)
         s = M.fold_scores(preds, u, bool(cov)).withColumn("variant", F.lit(name)).drop("task", "target")
         out = s if out is None else out.unionByName(s)
     return out
@@ -446,7 +472,7 @@ def _(t):
 @query("m25_coefficient_check")
 def _(t):
     kept = t.genes.where(F.col("program") == "Brand#13").select(F.col("gene_id").alias("feature"))
-    _p, coefs = M.leave_out_regression(xs(t), us(t), SMALL, keep=kept)
+    _p, coefs = M.leave_out_regression(xs(t), us(t), S, keep=kept)
     c = coefs.join(kept.select(F.col("feature").cast("string"), F.lit(1).alias("k")), "feature", "left")
     g = c.groupBy("fold").agg(F.count(F.lit(1)).alias("n_nonzero"), F.count("k").alias("n_kept_nonzero"),
                               (F.sum(F.when(F.col("k") == 1, F.abs("coef")).otherwise(0.0)) / F.sum(F.abs("coef"))).alias("kept_mass"))

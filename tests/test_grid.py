@@ -136,3 +136,67 @@ def test_kept_features_are_extra(spark):
     for f in {s["fold"] for s in sel}:
         own = {s["feature"]: s["pos"] for s in sel if s["fold"] == f}
         assert len(own) == 6 and {"g0", "g1", "g2"} <= set(own) and sorted(own.values()) == list(range(6))
+
+
+def problem(n=22, k=60, targets=25, seed=4):
+    rng = np.random.default_rng(seed)
+    x = np.where(rng.random((n, k)) < 0.3, 0, np.abs(rng.normal(1, 1, (n, k))))
+    c = rng.normal(size=(n, 2))
+    y = rng.normal(size=(n, targets)) + x[:, :1] + c[:, :1]
+    return [np.concatenate([np.ones((n, 1)), c, x, y], 1)[b] for b in np.array_split(np.arange(n), 5)]
+
+
+@pytest.mark.parametrize("share", [None, 0.6])
+def test_batch_of_targets_equals_single_fits(share):
+    """All targets solved together in the space of the rows against 25 fits one by one from cross-products."""
+    parts = problem()
+    t, w, b0, alpha = NK.enet_cv_rows(parts, 2, 60, 0.5, 30, share)
+    for j in range(25):
+        cols = np.r_[0:63, 63 + j]
+        t1, w1, b1, a1 = NK.enet_cv([b[:, cols].T @ b[:, cols] for b in parts], 2, 60, 0.5, 30, share)
+        assert np.abs(w[:, j] - w1[:, 0]).max() < 1e-6 and abs(b0[j] - b1[0]) < 1e-6 and alpha[j] == pytest.approx(a1[0], rel=1e-9)
+        assert np.allclose(t[:, 1:61][:63], t1[:, 1:61][:63], atol=1e-9)
+
+
+def test_batch_of_sets_equals_single_fits():
+    parts = problem(targets=1)
+    rng = np.random.default_rng(0)
+    sets = np.array([np.sort(rng.choice(60, 9, replace=False)) for _ in range(12)])
+    _, w, b0, alpha = NK.enet_cv_sets(parts, 2, 60, sets, 0.5, 30, None)
+    for i, one in enumerate(sets):
+        cols = np.r_[0:3, 3 + one, 63]
+        _, w1, b1, a1 = NK.enet_cv([b[:, cols].T @ b[:, cols] for b in parts], 2, 9, 0.5, 30, None)
+        assert np.abs(w[i] - w1[:, 0]).max() < 1e-6 and abs(b0[i] - b1[0]) < 1e-6 and alpha[i] == pytest.approx(a1[0], rel=1e-9)
+
+
+@pytest.mark.parametrize("l1", [0.5, 1.0])
+def test_sets_on_the_grid_equal_their_own_grid(spark, l1):
+    """Both solvers: rows, and cross-products (a fit without a ridge part has no dual)."""
+    x, y, sev = data(8)
+    xr, u = frames(spark, x, y, sev)
+    sets = spark.createDataFrame([(s, f"f{j:02d}") for s, own in enumerate([(0, 1, 5, 9), (2, 3, 4, 7), (11, 12, 20)]) for j in own], "set_no int, feature string")
+    s = M.Settings(alphas=8, l1=l1)
+    got = {(r.task, r.unit): (r.pred, r.n_nonzero) for r in M.leave_out_sets(xr, u, sets, s).collect()}
+    assert len(got) == 3 * N
+    one = sets.where("set_no = 1").select("feature")
+    for r in M.leave_out_regression(xr.join(one, "feature", "left_semi"), u, s)[0].collect():
+        assert got["1", r.unit][0] == pytest.approx(r.pred, abs=1e-6)
+
+
+def test_matched_sets_keep_bins_and_fill_up(spark):
+    genes = spark.createDataFrame([(i, float(i % 7) + i / 100, (i % 3) / 3) for i in range(60)], "gene_id long, mean double, detected double")
+    focus = spark.createDataFrame([(i,) for i in (0, 1, 2, 10, 20, 30)], "gene_id long")
+    binned = M.joint_bins(genes, 3, 2)
+    bins = {r.gene_id: r.bin for r in binned.collect()}
+    assert set(bins.values()) <= set(range(6)) and len(bins) == 60
+    import collections
+    sets = collections.defaultdict(list)
+    for r in M.matched_sets(binned, focus, 20).collect():
+        sets[r.set_no].append(r.gene_id)
+    need = collections.Counter(bins[g] for g in sets[0])
+    assert all(len(v) == len(set(v)) == 6 for v in sets.values()) and len(sets) == 21
+    assert all(collections.Counter(bins[g] for g in v) == need and not set(v) & set(sets[0]) for k, v in sets.items() if k)
+    # bins of one gene each cannot be matched: the sets still have their size
+    alone = genes.withColumn("bin", __import__("pyspark.sql.functions", fromlist=["col"]).col("gene_id").cast("int"))
+    filled = M.matched_sets(alone, focus, 3).groupBy("set_no").count().collect()
+    assert {r["count"] for r in filled} == {6}
