@@ -7,35 +7,44 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from cohortspark.llm.common import cut, dense_ranks, uniform
+from cohortspark.llm.common import cut, dense_ranks, discard, uniform
 
-ROUNDS = 8
+STILL = 2                  # rounds without a move after which the labels have settled
 LARGE_SHARE = 200          # a row of over 1/200 of a shard's bytes is placed on its own
 OVERHEAD = 16
 
 
-def _propagate(linked: DataFrame, loads: DataFrame, cap: float, seed: int) -> DataFrame:
-    """One round over (_row, _size, _group, _shard); ``loads`` has the bytes that each shard holds."""
+def _propagate(linked: DataFrame, loads: dict[int, int], cap: float, seed: int) -> DataFrame:
+    """One round over (_row, _size, _group, _shard): the same rows with their new shards and ``_go`` on those that moved."""
+    spark = linked.sparkSession
+    table = spark.createDataFrame(sorted(loads.items()), "_shard int, _load long")
     votes = linked.groupBy("_group", "_shard").agg(F.sum("_size").alias("_bytes"))
-    votes = votes.join(F.broadcast(loads), "_shard")
-    room = F.greatest(F.lit(0.0), F.lit(cap) - F.col("_load"))
-    # a group's goal is the shard with room where most of its bytes are; ties go to the smaller shard
-    goal = votes.groupBy("_group").agg(
-        F.max(F.when(room > 0, F.struct(F.col("_bytes").alias("b"), (-F.col("_shard")).alias("s"), room.alias("r")))).alias("_g"),
-        F.sum("_bytes").alias("_all"))
-    goal = goal.where("_g IS NOT NULL").select("_group", (-F.col("_g.s")).alias("_to"), F.col("_g.b").alias("_there"),
-                                              (F.col("_all") - F.col("_g.b")).alias("_away"), F.col("_g.r").alias("_room"))
-    # quota: the bytes that want to enter a shard share its room; a group is let in as a whole by a fixed draw, and a
-    # group with more than a twentieth of the cap row by row, so the sum of what enters keeps near its mean
+    every = votes.groupBy("_group").agg(F.sum("_bytes").alias("_all"), F.count(F.lit(1)).alias("_spread")).where("_spread > 1")
+    split = cut(votes.join(every, "_group").join(F.broadcast(table), "_shard").drop("_load", "_spread").withColumn("_room", F.greatest(F.lit(0.0), F.lit(cap) - F.element_at(
+        F.create_map(*[F.lit(x) for kv in sorted(loads.items()) for x in kv]), F.col("_shard")))))
+    # a large group (over a twentieth of the cap) moves row by row, a smaller one as a whole
+    large = F.col("_all") > cap / 20
+    fits = F.when(large, F.col("_room") > 0).otherwise(F.col("_room") >= F.col("_all") - F.col("_bytes"))
+    # the goal is the shard with most of the group's bytes among those that hold what must move; a fixed draw breaks ties
+    own = F.max(F.when(fits, F.struct(F.col("_bytes").alias("b"), uniform(F.col("_group"), F.col("_shard"), F.lit(seed)).alias("u"), F.col("_shard").alias("s"), F.col("_room").alias("r"))))
+    goal = split.groupBy("_group", "_all").agg(own.alias("_g"))
+    # a small group that none of its own shards can hold goes to any shard that has room for all of it
+    rooms = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(max(0.0, cap - b)).alias("r")) for s, b in sorted(loads.items())])
+    wide = F.filter(rooms, lambda e: e["r"] >= F.col("_all"))
+    other = F.when(~large & (F.size(wide) > 0), F.get(wide, F.floor(uniform(F.col("_group"), F.lit(seed + 1)) * F.size(wide)).cast("int")))
+    goal = goal.withColumn("_o", other).where("_g IS NOT NULL OR _o IS NOT NULL").select(
+        "_group", F.coalesce("_g.s", "_o.s").alias("_to"), F.coalesce("_g.r", "_o.r").alias("_room"), F.coalesce("_g.b", F.lit(0)).alias("_there"),
+        (F.col("_all") - F.coalesce("_g.b", F.lit(0))).alias("_away"), large.alias("_large"))
+    # quota: the bytes that want to enter a shard share its room by a fixed draw, so what enters keeps near its mean; what leaves is room
+    # of the next round
     wanted = goal.groupBy("_to").agg(F.sum("_away").alias("_want"))
-    goal = goal.join(F.broadcast(wanted), "_to").withColumn("_p", F.least(F.lit(1.0), 0.8 * F.col("_room") / F.greatest(F.lit(1), F.col("_want"))))
-    moved = linked.join(goal.select("_group", "_to", "_p", "_away", "_there"), "_group", "left")
-    mine = votes.select("_group", "_shard", F.col("_bytes").alias("_here"))
-    moved = moved.join(mine, ["_group", "_shard"])
-    big = F.col("_away") > cap / 20
-    draw = F.when(big, uniform(F.col("_row"), F.lit(seed))).otherwise(uniform(F.col("_group"), F.lit(seed)))
-    go = F.col("_to").isNotNull() & (F.col("_to") != F.col("_shard")) & (F.col("_there") >= F.col("_here")) & (draw < F.col("_p"))
-    return moved.select("_row", "_size", "_group", F.when(go, F.col("_to")).otherwise(F.col("_shard")).alias("_shard"))
+    goal = goal.join(F.broadcast(wanted), "_to").withColumn("_p", F.least(F.lit(1.0), 0.8 * F.col("_room") / F.greatest(F.lit(1), F.col("_want")))).drop("_want", "_room")
+    mine = split.select("_group", "_shard", F.col("_bytes").alias("_here"))
+    moved = linked.join(goal, "_group", "left").join(mine, ["_group", "_shard"], "left")
+    draw = F.when(F.col("_large"), uniform(F.col("_row"), F.lit(seed))).otherwise(uniform(F.col("_group"), F.lit(seed)))
+    go = F.col("_to").isNotNull() & (F.col("_to") != F.col("_shard")) & (~F.col("_large") | (F.col("_there") >= F.col("_here"))) & (draw < F.col("_p"))
+    go = F.coalesce(go, F.lit(False))
+    return moved.select("_row", "_size", "_group", F.when(go, F.col("_to")).otherwise(F.col("_shard")).alias("_shard"), go.alias("_go"))
 
 
 def _loads(df: DataFrame, shards: int) -> dict[int, int]:
@@ -44,18 +53,18 @@ def _loads(df: DataFrame, shards: int) -> dict[int, int]:
     return {s: int(got.get(s, 0)) for s in range(shards)}
 
 
-def balanced_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text",
-                    rounds: int = ROUNDS) -> DataFrame:
+def balanced_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) under the law ``bytes``: sizes of shards are near equal.
 
     Size is the UTF-8 bytes of the text (null: none) plus 16. Rows with equal texts are linked; a null text equals the
     empty text. Ids may be null or repeated; each row gets its own slot. An empty table gives an empty result.
 
-    1. Rows with a link start in a shard by hash. In each round a group votes by bytes, its goal is the fullest of its
-       shards that has room, and its other rows move there under a quota, so a group that fits ends in one shard and a
-       larger one fills few. Rounds are joins of short rows (id, size, group, shard), written to the shared folder.
-    2. Linked rows may fill each shard at most half-way between the linked mean and the whole mean. If a round overshot,
-       the surplus share of that shard's rows is released by a fixed draw.
+    1. Rows with a link start in a shard by hash. In each round a split group votes by bytes: its goal is the shard with most of its
+       bytes among those with room for the rest (a small group without one goes to any shard with room for all of it), and its
+       other rows move there under a quota. Rounds go on until nothing moves any more, so a group that fits ends in one shard and
+       a larger one fills few. Rounds are joins of short rows (id, size, group, shard), written to the shared folder.
+    2. Linked rows may fill each shard up to the mean. If a round overshot, the surplus share of that shard's rows is released by
+       a fixed draw.
     3. Rows without a link (and released ones) fill up. Those of over 1/200 of a shard are at most 200 for each shard and
        go one by one, largest first, to the emptiest shard; the others are laid end to end in hash order, and each shard
        takes the stretch that it lacks, so it ends within 1/100 of the mean.
@@ -74,15 +83,19 @@ def balanced_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     sums = base.agg(F.sum("_size").alias("a"), F.sum(F.when(F.col("_linked"), F.col("_size"))).alias("l")).first()
     total, in_links = int(sums["a"] or 0), int(sums["l"] or 0)
     mean = total / shards
-    cap = (in_links / shards + mean) / 2
+    cap = mean
 
     linked = cut(base.where("_linked").select("_row", "_size", "_group")
                  .withColumn("_shard", F.floor(uniform(F.col("_row"), F.lit(99)) * shards).cast("int")))
-    schema = T.StructType([T.StructField("_shard", T.IntegerType()), T.StructField("_load", T.LongType())])
-    for i in range(rounds if in_links else 0):
-        loads = spark.createDataFrame(sorted(_loads(linked, shards).items()), schema)
-        linked = cut(_propagate(linked, loads, cap, i))
     held = _loads(linked, shards) if in_links else dict.fromkeys(range(shards), 0)
+    still = seed = 0
+    while in_links and still < STILL:
+        before, linked = linked, cut(_propagate(linked, held, cap, 2 * seed))
+        discard(spark, before)
+        seed += 1
+        still = 0 if linked.where("_go").limit(1).count() else still + 1
+        held = _loads(linked, shards)
+    linked = linked.drop("_go") if in_links else linked
     for i in range(20):
         over = {s: (b - mean) / b for s, b in held.items() if b > mean}
         if not over:

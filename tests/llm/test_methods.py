@@ -424,3 +424,20 @@ def test_whole_copies_keep_the_smallest(spark, docs):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
     assert sorted(tuple(r) for r in rows) == sorted(con.sql(exact.SQL).fetchall())
+
+
+def test_op8_pairs_that_hold_most_bytes(spark):
+    """Nine tenths of all bytes in pairs: nearly every pair ends in one shard, and the shards stay even."""
+    from cohortspark.llm import sharding
+    r = random.Random(8)
+    pairs = ["p" * r.randint(200, 400) + str(i) for i in range(600)]
+    rows = [(2 * i + j, t) for i, t in enumerate(pairs) for j in range(2)]
+    rows += [(5000 + i, "s" * r.randint(200, 400) + str(i)) for i in range(130)]
+    got = sharding.balanced_shards(spark.createDataFrame(rows, "doc_id long, text string"), 10).collect()
+    size = collections.Counter()
+    places = collections.defaultdict(set)
+    for x in got:
+        size[x["shard"]] += x["size"]
+        places[x["doc_id"] // 2].add(x["shard"])
+    assert len(got) == len(rows) and max(size.values()) <= 1.03 * sum(size.values()) / 10
+    assert sum(len(places[i]) == 1 for i in range(600)) >= 0.95 * 600
