@@ -406,12 +406,11 @@ def fit_clock(x: DataFrame, units: DataFrame, s: Settings = Settings(), keep: Da
     return Clock(_coefficients(fitted, names), lines), _predictions(fitted, held, unit_type)
 
 
-def leave_out_classification(x: DataFrame, units: DataFrame, components: int = 10, s: Settings = Settings(),
-                             strength: float = 1.0) -> DataFrame:
-    """Held-out class probabilities from logistic regression on in-fold components (M9, M18 logistic arm).
+def component_scores(x: DataFrame, units: DataFrame, components: int, s: Settings = Settings()) -> DataFrame:
+    """(task, fold, unit, block, y, score): every unit of every fold on the leading components of that fold's training units.
 
-    Targets are 0/1 columns (one per class for several classes). Components come from the cross-products; a second
-    pass projects the chunks, so the regression sees ``components`` numbers per unit.
+    Held-out units have a negative block. Components come from the cross-products; a second pass projects the chunks, so what follows sees
+    ``components`` numbers per unit.
     """
     units = cut(units)
     x = cut(x)
@@ -421,9 +420,10 @@ def leave_out_classification(x: DataFrame, units: DataFrame, components: int = 1
     p, n_t = _width(units, "c"), _width(units, "y")
 
     def axes(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        blk, _, k, _ = _unpack(pdf)
+        blk, _, k, by_rows = _unpack(pdf, s.l1)
         cols = slice(0, 1 + p + k)
-        t = NK.leading_scores([b[cols, cols] for b in blk], p, k, s.covariate_share, components)
+        lead = NK.leading_scores_rows if by_rows else NK.leading_scores
+        t = lead([b[:, cols] if by_rows else b[cols, cols] for b in blk], p, k, s.covariate_share, components)
         return pd.DataFrame([(key[0], key[1], k, t.shape[1], np.ascontiguousarray(t).tobytes())],
                             columns=["task", "fold", "k", "d", "axes"])
     proj = cut(cross_products(x, blocks, sel).groupBy("task", "fold")
@@ -450,23 +450,19 @@ def leave_out_classification(x: DataFrame, units: DataFrame, components: int = 1
     scores = _paired(rows, base, keys).applyInPandas(
         score, f"task string, fold string, unit {unit_type}, block int, y array<double>, score array<double>")
 
-    def classify(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        z = np.array(pdf["score"].tolist(), float)
-        y = np.array(pdf["y"].tolist(), float)
-        tr = (pdf["block"] >= 0).to_numpy()
-        te = ~tr
-        out = []
-        for j in range(n_t):
-            if len(np.unique(y[tr, j])) < 2:
-                prob = np.full(te.sum(), y[tr, j].mean() if tr.any() else np.nan)
-            else:
-                w = NK.logistic(z[tr], y[tr, j], strength)
-                prob = 1 / (1 + np.exp(-(w[0] + z[te] @ w[1:])))
-            out.append(pd.DataFrame({"task": key[0], "fold": key[1], "target": j, "unit": pdf["unit"][te].to_numpy(),
-                                     "prob": prob, "truth": y[te, j]}))
-        return pd.concat(out)
-    return _spread(scores, "task", "fold").groupBy("task", "fold").applyInPandas(
-        classify, f"task string, fold string, target int, unit {unit_type}, prob double, truth double")
+    return scores
+
+
+def leave_out_classification(x: DataFrame, units: DataFrame, components: int = 10, s: Settings = Settings(),
+                             strength: float = 1.0) -> DataFrame:
+    """Held-out class probabilities from logistic regression on in-fold components (M9, M18): (task, fold, target, unit, prob, truth).
+
+    Targets are 0/1 columns (one per class for several classes, or one per label draw), all fitted from the same sums.
+    """
+    from cohortspark.operators.classify import held_out_probabilities, logistic_fits
+    scores = cut(component_scores(x, units, components, s))
+    n_t = _width(units, "y")
+    return held_out_probabilities(scores, logistic_fits(scores, n_t, strength), n_t)
 
 
 # ------------------------------------------------------------------ designs on the grid

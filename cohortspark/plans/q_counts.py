@@ -245,16 +245,18 @@ def _(t):
 WITH panel AS (SELECT gene_id, row_number() OVER (ORDER BY gene_id) - 1 AS pos FROM genes WHERE program IN ('{PROGRAM}', '{SECOND}')),
 s AS (SELECT section_id, gene_id, sum(cnt)::bigint AS n FROM expr GROUP BY 1, 2),
 v AS (SELECT s.*, ln(1 + n / (sum(n) OVER (PARTITION BY section_id))::double * 10000) AS value FROM s),
-hit AS (SELECT DISTINCT section_id FROM v JOIN panel USING (gene_id))
-SELECT h.section_id, p.pos, coalesce(v.value, 0) AS value FROM hit h CROSS JOIN panel p
-LEFT JOIN v ON v.section_id = h.section_id AND v.gene_id = p.gene_id""", "value")
+hit AS (SELECT section_id, list(pos ORDER BY pos) AS places, list(round(value * 1000000)::bigint ORDER BY pos) AS seen FROM v JOIN panel USING (gene_id) GROUP BY 1)
+SELECT section_id, len(places) AS n_present, array_to_string(list_transform(range((SELECT count(*) FROM panel)), lambda i: coalesce(seen[list_position(places, i)], 0)), ',') AS vector
+FROM hit""")
 def _(t):
+    """One dense vector a section in panel order, as a list of millionths."""
     from pyspark.sql import Window
     genes = t.genes.where(F.col("program").isin(PROGRAM, SECOND))
     panel = genes.select("gene_id", (F.row_number().over(Window.orderBy("gene_id")) - 1).alias("pos"))
     size = genes.count()   # one number; the panel of a fitted model is a fixed list
     v = C.panel_vectors(C.pseudobulk(t.expr, ["section_id"]), panel, ["section_id"], size)
-    return v.select("section_id", F.posexplode("vector").alias("pos", "value"))
+    return v.select("section_id", F.size(F.filter("vector", lambda x: x > 0)).alias("n_present"),
+                    F.array_join(F.transform("vector", lambda x: F.round(x * 1000000).cast("bigint").cast("string")), ",").alias("vector"))
 
 
 @query("p3_missing_genes", f"""

@@ -197,6 +197,18 @@ def _(t):
     return genes.unionByName(E.auc(q.withColumn("pos", F.col("truth") == 1.0), ["task"], "pos", "prob").drop("task").withColumn("arm", F.lit("severity")))
 
 
+@query("m9_auc_permutation_null")
+def _(t):
+    """The AUC of the components arm against 200 permutations of the label over animals, all of them columns of one fit."""
+    from cohortspark.operators import classify as K
+    a = t.animals.select("animal_id", "score", (F.col("model") == "RR").cast("double").alias("y"))
+    u = M.permuted_targets(a, "animal_id", "y", 200).select(F.lit("all").alias("task"), F.lit("all").alias("fset"), F.col("animal_id").alias("unit"),
+                                                           F.col("animal_id").cast("string").alias("fold"), "y", F.array("score").alias("c"))
+    p = M.leave_out_classification(xs(t), u, 5, S)
+    got = E.auc(p.withColumn("pos", F.col("truth") == 1.0), ["task", "target"], "pos", "prob").withColumnRenamed("target", "rep")
+    return K.draw_null(got, "auc").drop("task")
+
+
 def perm_units(t, reps, within=()):
     p = M.permuted_targets(t.animals.select("animal_id", "day", "score", "run_id"), "animal_id", "day", reps, within=within)
     return p.select(F.lit("all").alias("task"), F.lit("all").alias("fset"), F.col("animal_id").alias("unit"),
@@ -357,39 +369,79 @@ def _(t):
                                         F.min("rho").alias("rho_min"), F.max("rho").alias("rho_max"))
 
 
-@query("m18_batch_classification")
-def _(t):
-    """Which run a section comes from, held out by animal: balanced accuracy of the most probable class."""
-    runs = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+REGIONS = 5                            # bags of an animal: its sections pooled by region
+
+
+def batch_bags(t):
+    """Bags (animal, region) with the codes of two labels, and their non-zero rows."""
     v = C.pseudobulk(t.expr, ["animal_id", "region"]).withColumn("bag", F.concat_ws(":", "animal_id", "region"))
-    x = M.feature_rows(v, "bag", "gene_id", "value")
-    b = t.sections.groupBy("animal_id", "region").agg(F.count(F.lit(1)).alias("k")).join(t.animals.select("animal_id", "run_id"), "animal_id")
-    b = b.withColumn("bag", F.concat_ws(":", "animal_id", "region"))
+    b = t.sections.select("animal_id", "region").distinct().join(t.animals.select("animal_id", "run_id", "model"), "animal_id")
+    runs = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+    run = F.array_position(F.array(*[F.lit(r) for r in runs]), F.col("run_id")).cast("int") - 1
+    b = b.select(F.concat_ws(":", "animal_id", "region").alias("bag"), "animal_id", "region", "model", run.alias("run_code"), (F.col("model") == "RR").cast("int").alias("model_code"))
+    return v, b
+
+
+def batch_units(t, bags, reps, classes=5):
+    """Strata x labels as tasks: observed codes and ``reps`` exchanges of whole animals, folds by animal."""
     from cohortspark.functions.scalars import hash_u32
-    for i, r in enumerate(runs):
-        b = b.withColumn(f"y{i}", (F.col("run_id") == r).cast("int"))
-    b = b.withColumn("g", hash_u32("animal_id", F.lit("fold")) % 5)
-    u = M.unit_table(b, "bag", "g", [f"y{i}" for i in range(len(runs))])
-    p = M.leave_out_classification(x, u, 8, S)
-    best = p.groupBy("unit").agg(F.max_by("target", F.struct("prob", "target")).cast("int").alias("pred"), F.max_by("target", "truth").cast("int").alias("truth"))
-    return E.class_scores(best, [], "truth", "pred").drop("mae")
-
-
-@query("m18_batch_forest")
-def _(t):
-    """Tree arm: a random forest per run label on section composition, as the reference's boosted trees have no Spark twin."""
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-    kinds = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-    w = t.cells.groupBy("section_id", "animal_id").pivot("cell_type", kinds).count().na.fill(0)
-    w = w.toDF("section_id", "animal_id", *[f"k{i}" for i in range(5)]).join(t.animals.select("animal_id", "model"), "animal_id")
-    w = w.withColumn("label", (F.col("model") == "RR").cast("double"))
-    d = VectorAssembler(inputCols=[f"k{i}" for i in range(5)], outputCol="features").transform(w)
-    from cohortspark.functions.ordering import split_units
-    d = d.join(split_units(t.animals, "animal_id", 0.25), "animal_id")   # whole animals go to one side
-    train, test = d.where("split = 'train'"), d.where("split = 'val'")
-    m = RandomForestClassifier(numTrees=10, maxDepth=4, seed=0).fit(train)
-    return m.transform(test).groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
+    from cohortspark.operators import classify as K
+    strata = [("all", F.lit(True), ("run_code", "model_code")), ("RR", F.col("model") == "RR", ("run_code",)), ("MONO", F.col("model") == "MONO", ("run_code",)),
+              ("building", F.col("region") == "BUILDING", ("model_code",))]
+    out = None
+    for name, which, labels in strata:
+        own = bags.where(which)
+        for label in labels:
+            code = F.array(F.col(label))
+            d = own.withColumn("code", code)
+            if reps:
+                null = R.block_permuted_labels(own, "animal_id", "bag", label, reps).groupBy("bag").agg(
+                    F.transform(F.array_sort(F.collect_list(F.struct("rep", label))), lambda e: e[label]).alias("_null"))
+                d = own.join(null, "bag").withColumn("code", F.concat(code, "_null"))
+            d = K.class_targets(d, classes).select(F.lit(f"{name}|{label}").alias("task"), F.lit("all").alias("fset"), F.col("bag").alias("unit"),
+                                                   (hash_u32("animal_id", F.lit("fold")) % 5).cast("string").alias("fold"), "y", F.array().cast("array<double>").alias("c"))
+            out = d if out is None else out.unionByName(d)
+    return out
+
+
+@query("m18_batch_classification")
+def _(t):
+    """Which run or model a bag comes from, by stratum, held out by animal: balanced accuracy of the logistic arm against 200 exchanges
+    of whole animals."""
+    from cohortspark.operators import classify as K
+    v, bags = batch_bags(t)
+    units = batch_units(t, bags, 200)
+    p = M.leave_out_classification(M.feature_rows(v, "bag", "gene_id", "value"), units, 10, S, strength=0.1)
+    sc = K.balanced_accuracy(p, 5)
+    first = sc.where("rep = 0").select("task", "n", "classes")
+    part = F.split("task", "\\|")
+    return K.draw_null(sc, "balanced_accuracy").join(first, "task").withColumn("stratum", part[0]).withColumn("label", part[1]).drop("task")
+
+
+@query("m18_batch_trees")
+def _(t):
+    """Tree arm of the same strata and folds: boosted trees on the components, observed labels."""
+    from cohortspark.operators import classify as K
+    v, bags = batch_bags(t)
+    scores = M.component_scores(M.feature_rows(v, "bag", "gene_id", "value"), batch_units(t, bags, 0), 10, S)
+    part = F.split("task", "\\|")
+    return K.balanced_accuracy(K.boosted_trees(scores, 5), 5).withColumn("stratum", part[0]).withColumn("label", part[1]).drop("task", "rep")
+
+
+@query("m18_exchanged_labels", """
+WITH b AS (SELECT DISTINCT animal_id, region FROM sections),
+l AS (SELECT animal_id || ':' || region AS bag, animal_id, run_id FROM b JOIN animals USING (animal_id)),
+z AS (SELECT animal_id AS u, count(*) AS size FROM l GROUP BY 1),
+i AS (SELECT *, row_number() OVER (PARTITION BY size ORDER BY u) AS idx FROM z),
+d AS (SELECT size, rep, u, row_number() OVER (PARTITION BY size, rep ORDER BY md5(u || '|' || rep || '|0'), u) AS idx FROM i, range(0, 200) r(rep)),
+m AS (SELECT d.rep, d.u, i.u AS src FROM d JOIN i ON i.size = d.size AND i.idx = d.idx),
+j AS (SELECT animal_id, bag, run_id, row_number() OVER (PARTITION BY animal_id ORDER BY bag) AS j FROM l)
+SELECT m.rep, a.animal_id, a.bag, x.run_id FROM m JOIN j a ON a.animal_id = m.u JOIN j x ON x.animal_id = m.src AND x.j = a.j""")
+def _(t):
+    """The label design of the null: whole animals change places inside a class of equally many bags."""
+    b = t.sections.select("animal_id", "region").distinct().join(t.animals.select("animal_id", "run_id"), "animal_id")
+    b = b.select("animal_id", F.concat_ws(":", "animal_id", "region").alias("bag"), "run_id")
+    return R.block_permuted_labels(b, "animal_id", "bag", "run_id", 200)
 
 
 @query("m21_cell_components")
