@@ -444,3 +444,22 @@ def logistic(x, y, strength=1.0, rounds=1000):
             return w
         now = new
     raise ArithmeticError("a logistic fit did not settle")
+
+
+def prefix_below(rank, weight, end, under):
+    """For each ask the weight of the first ``end`` entries whose ``rank`` is below ``under``: one pass for each bit of the ranks, entries
+    parted stably by the bit, the asks following their range."""
+    lo, hi = np.zeros(len(end), np.int64), np.asarray(end, np.int64)
+    total = np.zeros(len(end), np.int64)
+    bits = int(max(rank.max() if len(rank) else 0, under.max() if len(under) else 0)).bit_length()
+    rank, weight = np.asarray(rank, np.int64), np.asarray(weight, np.int64)
+    for bit in reversed(range(bits)):
+        zero = (rank >> bit & 1) == 0
+        n = np.concatenate([[0], np.cumsum(zero)])
+        w = np.concatenate([[0], np.cumsum(np.where(zero, weight, 0))])
+        one = (under >> bit & 1) == 1
+        total += np.where(one, w[hi] - w[lo], 0)
+        lo, hi = np.where(one, n[-1] + lo - n[lo], n[lo]), np.where(one, n[-1] + hi - n[hi], n[hi])
+        order = np.concatenate([np.flatnonzero(zero), np.flatnonzero(~zero)])
+        rank, weight = rank[order], weight[order]
+    return total

@@ -9,12 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortspark.functions import kernels as NK
 from cohortspark.functions.ordering import bh_adjust, large_midrank, midrank
 from cohortspark.functions.scalars import c, clip, ratio
 from cohortspark.functions.special import p_student
+from cohortspark.session import cut
 
 
 def unit_frame(units: DataFrame, unit: str, covs: Sequence[str], by: Sequence[str] = (), ranked: bool = True
@@ -262,31 +266,86 @@ def agreement(a: DataFrame, b: DataFrame, feature: str, x: str, q: str | None =
                      F.avg((F.signum("_x1") == F.signum("_x2")).cast("double")).alias("same_sign"), both)
 
 
+def dominance_counts(points: DataFrame, asks: DataFrame, strip: int | None = None) -> DataFrame:
+    """``asks`` (ask, qx, after, qy) with ``below``: the weight of ``points`` (x, y, w) with x < qx (x <= qx if ``after``) and y < qy.
+
+    Points and asks are range-partitioned twice, by (x, y) and by y, into as many strips as the square root of their number. An ask is
+    answered by three sums: over whole x-strips and whole y-strips before it, from prefix sums of the table of strip pairs; inside its
+    x-strip; and inside its y-strip over the x-strips before. Ties of x are ordered by y, so a value that a third of the points share is
+    many strips. No pair of points is formed, and a task holds one strip.
+    """
+    spark = points.sparkSession
+    inf = F.lit(float("inf"))
+    rows = points.select(F.lit(None).cast("long").alias("ask"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"),
+                         F.col("w").cast("long").alias("w"), F.lit(0).alias("kind"), F.lit(None).cast("double").alias("qy"))
+    rows = rows.unionByName(asks.select(F.col("ask").cast("long").alias("ask"), F.col("qx").cast("double").alias("x"), F.when(F.col("after"), inf).otherwise(-inf).alias("y"),
+                                        F.lit(0).cast("long").alias("w"), F.when(F.col("after"), 1).otherwise(-1).alias("kind"), F.col("qy").cast("double").alias("qy")))
+    rows = cut(rows)
+    n = rows.count()
+    strips = max(1, -(-n // strip)) if strip else max(1, int(n ** 0.5) // 16)
+    by_x = cut(rows.repartitionByRange(strips, "x", "y", "kind", "ask").withColumn("bx", F.spark_partition_id()))
+    # second order: an ask stands before the points that equal its qy
+    turned = by_x.select("ask", "bx", "w", F.coalesce("qy", "y").alias("y"), F.col("ask").isNull().cast("int").alias("kind"))
+    by_y = cut(turned.repartitionByRange(strips, "y", "kind", "bx", "ask").withColumn("by", F.spark_partition_id()))
+
+    def inside_x(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["x", "y", "kind"], kind="stable")
+        return _answers(pdf, pdf["y"].to_numpy(float), pdf["qy"].to_numpy(float), np.arange(len(pdf)))
+
+    def inside_y(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["y", "kind"], kind="stable")
+        b = pdf["bx"].to_numpy(float)
+        return _answers(pdf, b, b, np.arange(len(pdf)))
+    kind = "ask long, part long"
+    one = by_x.groupBy("bx").applyInPandas(inside_x, kind)
+    two = by_y.groupBy("by").applyInPandas(inside_y, kind)
+    # whole strips on both sides: prefix sums over the table of strip pairs, about as many cells as points at most
+    grid = by_y.groupBy("by", "bx").agg(F.sum("w").alias("w"))
+    every = spark.range(strips).select(F.col("id").cast("int").alias("by")).crossJoin(spark.range(strips).select(F.col("id").cast("int").alias("bx")))
+    grid = every.join(grid, ["by", "bx"], "left").withColumn("w", F.coalesce("w", F.lit(0)))
+    grid = grid.withColumn("w", F.sum("w").over(Window.partitionBy("by").orderBy("bx")))
+    grid = grid.withColumn("w", F.sum("w").over(Window.partitionBy("bx").orderBy("by")))
+    three = by_y.where("ask IS NOT NULL AND by > 0 AND bx > 0").select("ask", (F.col("by") - 1).alias("by"), (F.col("bx") - 1).alias("bx")).join(grid, ["by", "bx"]).select("ask", F.col("w").alias("part"))
+    below = one.unionByName(two).unionByName(three).groupBy("ask").agg(F.sum("part").alias("below"))
+    return asks.join(below, "ask")
+
+
+def _answers(pdf: pd.DataFrame, value: np.ndarray, under: np.ndarray, place: np.ndarray) -> pd.DataFrame:
+    """For the asks of a strip in order: the weight of the points before them with a value under theirs."""
+    ask = pdf["ask"].notna().to_numpy()
+    point = ~ask
+    before = np.cumsum(point)[ask]
+    distinct = np.unique(value[point])
+    got = NK.prefix_below(np.searchsorted(distinct, value[point]), pdf["w"].to_numpy(np.int64)[point], before, np.searchsorted(distinct, under[ask], "left"))
+    return pd.DataFrame({"ask": pdf["ask"].to_numpy()[ask].astype(np.int64), "part": got})
+
+
 def empirical_rank(effects: DataFrame, feature: str, effect: str, match: str, tolerance: float = 0.10,
                    wide: float = 0.15, floor: int = 100) -> DataFrame:
     """Share of features with a weaker effect, among all and among those matched on ``match``.
 
-    Matching is a band self-join on buckets of width ``wide`` (own and both neighbours), counted, never listed: each
-    bucket pair is joined on the bucket only after features were merged to distinct (match, effect) values.
+    The band around a feature is the difference of two dominance counts (:func:`dominance_counts`), so a band may hold all features. The
+    wide band is used where the narrow one has fewer than ``floor`` features.
     """
-    base = (effects.groupBy(F.col(match).alias("m"), F.abs(F.col(effect)).alias("e"))
-            .agg(F.count(F.lit(1)).alias("w")).withColumn("b", F.floor(F.col("m") / wide)))
-    probe = base.select(F.col("m").alias("m0"), F.col("e").alias("e0"),
-                        F.explode(F.sequence(F.col("b") - 1, F.col("b") + 1)).alias("b"))
-    d = F.abs(F.col("m") - F.col("m0"))
-
-    def total(width, extra=F.lit(True)):
-        return F.sum(F.when((d <= width) & extra, F.col("w")).otherwise(0))
-    weaker = F.col("e") < F.col("e0")
-    near = (probe.join(base, "b").groupBy("m0", "e0")
-            .agg(total(tolerance).alias("n_near"), total(tolerance, weaker).alias("k_near"),
-                 total(wide).alias("n_wide"), total(wide, weaker).alias("k_wide")))
     from cohortspark.functions.ordering import ordered_counts
-    overall = ordered_counts(effects.withColumn("_e", F.abs(F.col(effect))), "_e") \
-        .select(F.col("_e").alias("e0"), (F.col("_below") / F.col("_total")).alias("rank_all"))
+    base = cut(effects.select(F.col(feature).alias(feature), F.col(match).cast("double").alias("m0"), F.abs(F.col(effect)).cast("double").alias("e0")))
+    merged = cut(base.groupBy("m0", "e0").agg(F.count(F.lit(1)).alias("w")))
+    inf = float("inf")
+    bounds = [(0, tolerance, True, False), (1, -tolerance, False, False), (2, wide, True, False), (3, -wide, False, False),
+              (4, tolerance, True, True), (5, -tolerance, False, True), (6, wide, True, True), (7, -wide, False, True)]
+    # eight asks for each distinct (match, effect): both ends of both bands, for all and for weaker effects; half a billionth of slack
+    # on either side keeps a feature at exactly the tolerance inside
+    ends = F.array(*[F.struct(F.lit(k).alias("k"), (F.col("m0") + F.lit(d + (5e-10 if a else -5e-10))).alias("qx"), F.lit(a).alias("after"),
+                              (F.col("e0") if weak else F.lit(inf)).alias("qy")) for k, d, a, weak in bounds])
+    numbered = cut(merged.select("m0", "e0", F.monotonically_increasing_id().alias("_no")))
+    asks = numbered.withColumn("_e", F.explode(ends)).select((F.col("_no") * 8 + F.col("_e.k")).alias("ask"), "_e.qx", "_e.after", "_e.qy")
+    got = dominance_counts(merged.select(F.col("m0").alias("x"), F.col("e0").alias("y"), "w"), asks)
+    at = lambda k: F.max(F.when(F.pmod("ask", F.lit(8)) == k, F.col("below")))
+    near = got.groupBy(F.floor(F.col("ask") / 8).cast("long").alias("_no")).agg(
+        (at(0) - at(1)).alias("n_near"), (at(4) - at(5)).alias("k_near"), (at(2) - at(3)).alias("n_wide"), (at(6) - at(7)).alias("k_wide"))
+    near = numbered.join(near, "_no").drop("_no")
+    overall = ordered_counts(base, "e0").select(F.col("e0"), (F.col("_below") / F.col("_total")).alias("rank_all"))
     use_wide = F.col("n_near") < floor
-    return (effects.withColumn("e0", F.abs(F.col(effect))).withColumn("m0", F.col(match))
-            .join(near, ["m0", "e0"]).join(overall, "e0")
+    return (base.join(near, ["m0", "e0"]).join(overall, "e0")
             .select(feature, "rank_all", F.when(use_wide, F.col("n_wide")).otherwise(F.col("n_near")).alias("n_matched"),
-                    F.when(use_wide, ratio("k_wide", "n_wide")).otherwise(ratio("k_near", "n_near"))
-                    .alias("rank_matched")))
+                    F.when(use_wide, ratio("k_wide", "n_wide")).otherwise(ratio("k_near", "n_near")).alias("rank_matched")))

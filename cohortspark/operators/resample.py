@@ -219,3 +219,71 @@ def pick_pairs(pairs: DataFrame) -> DataFrame:
     ct = (pairs.where(F.abs("day_gap") >= 10).orderBy(rise.desc(), "unit_a", "unit_b").limit(1)
           .withColumn("role", F.lit("counterexample")))
     return ex.unionByName(ct).select("role", "unit_a", "unit_b", "day_gap", "x_gap")
+
+
+# ------------------------------------------------------------------ batteries of metrics
+
+def adjusted_residuals(rows: DataFrame, metric: str, value: str, designs: dict[str, Sequence[str]]) -> DataFrame:
+    """Residuals of each metric on one or two covariates for every named design: the rows with ``resid_on`` and ``resid``.
+
+    The fits are sums over the rows of a metric, joined back; a covariate without spread of its own takes no part.
+    """
+    out = None
+    for name, covs in designs.items():
+        a = F.col(covs[0])
+        b = F.col(covs[1]) if len(covs) > 1 else F.lit(0.0)
+        y = F.col(value)
+        m = rows.groupBy(metric).agg(F.avg(y).alias("_y"), F.avg(a).alias("_a"), F.avg(b).alias("_b"), F.var_pop(a).alias("_aa"), F.var_pop(b).alias("_bb"),
+                                     F.covar_pop(a, b).alias("_ab"), F.covar_pop(a, y).alias("_ay"), F.covar_pop(b, y).alias("_by"))
+        det = F.col("_aa") * F.col("_bb") - F.col("_ab") * F.col("_ab")
+        two = det > 1e-12 * F.col("_aa") * F.col("_bb")
+        m = m.withColumn("_sa", F.when(two, (F.col("_ay") * F.col("_bb") - F.col("_by") * F.col("_ab")) / det).otherwise(F.coalesce(ratio("_ay", "_aa"), F.lit(0.0))))
+        m = m.withColumn("_sb", F.when(two, (F.col("_by") * F.col("_aa") - F.col("_ay") * F.col("_ab")) / det).otherwise(F.lit(0.0)))
+        d = rows.join(m.select(metric, "_y", "_a", "_b", "_sa", "_sb"), metric)
+        d = d.withColumn("resid", y - F.col("_y") - F.col("_sa") * (a - F.col("_a")) - F.col("_sb") * (b - F.col("_b"))).withColumn("resid_on", F.lit(name))
+        d = d.drop("_y", "_a", "_b", "_sa", "_sb")
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+def severity_battery(rows: DataFrame, metric: str, value: str, unit: str, phase: str, level: str, designs: dict[str, Sequence[str]],
+                     phases: tuple[str, str], reps: int, seed: int = 0) -> DataFrame:
+    """Tests of many metrics beyond severity (G11): (family, metric, resid_on, n, observed, p, q).
+
+    Residuals of section rows are averaged to units. ``phase_gap``: mean of the second phase minus the first, against labels re-dealt among
+    units. ``level_trend``: mean slope of a unit's residuals over its levels, against random signs of the slopes. One deal and one set of
+    signs serve all metrics, so a replicate is one more key; p is two-sided, q by Benjamini-Hochberg inside a family.
+    """
+    by = [metric, "resid_on"]
+    r = adjusted_residuals(rows, metric, value, designs)
+    per_unit = r.groupBy(*by, unit).agg(F.avg("resid").alias("resid"), F.min(phase).alias(phase)).where(F.col(phase).isin(*phases))
+    gap = mean_gap("resid", phase, *phases)
+    deal = permuted_labels(rows.select(unit, phase).where(F.col(phase).isin(*phases)).distinct(), unit, phase, reps, seed)
+    null = gap(deal.join(per_unit.drop(phase), unit), [*by, "rep"]).where("stat IS NOT NULL")
+    sizes = per_unit.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    first = null_summary(null, gap(per_unit, by), by, two_sided=True).join(sizes, by).withColumn("family", F.lit("phase_gap"))
+    slopes = r.groupBy(*by, unit).agg(F.regr_slope("resid", level).alias("slope"), F.count_distinct(level).alias("_k")).where("_k > 1")
+    counts = slopes.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    second = sign_flip_test(slopes, unit, "slope", reps, seed, by).join(counts, by).withColumn("family", F.lit("level_trend"))
+    keep = ["family", *by, "n", "observed", "p"]
+    both = first.select(*keep).unionByName(second.select(*keep))
+    from cohortspark.functions.ordering import bh_adjust
+    return bh_adjust(both, "p", ["family"])
+
+
+def adjusted_gap(y: str, group: str, a: str, b: str, covar: str) -> Callable[[DataFrame, Sequence[str]], DataFrame]:
+    """Difference of group ``b`` from ``a`` in ``y`` at equal ``covar``: the group term of a line with both."""
+    def stat(d: DataFrame, part: Sequence[str]) -> DataFrame:
+        g = F.when(F.col(group) == b, 1.0).when(F.col(group) == a, 0.0)
+        m = d.withColumn("_g", g).where("_g IS NOT NULL").groupBy(*part).agg(
+            F.var_pop("_g").alias("_gg"), F.var_pop(covar).alias("_cc"), F.covar_pop("_g", covar).alias("_gc"), F.covar_pop("_g", y).alias("_gy"), F.covar_pop(covar, y).alias("_cy"))
+        det = F.col("_gg") * F.col("_cc") - F.col("_gc") * F.col("_gc")
+        return m.select(*part, F.when(det > 1e-9 * F.col("_gg") * F.col("_cc"), (F.col("_gy") * F.col("_cc") - F.col("_cy") * F.col("_gc")) / det).alias("stat"))
+    return stat
+
+
+def block_permutation_test(rows: DataFrame, unit: str, member: str, label: str, stat, x: Sequence[str], reps: int, seed: int = 0) -> DataFrame:
+    """A statistic of the rows against labels whose whole blocks change places between units of one size (T21), two-sided p."""
+    deal = block_permuted_labels(rows, unit, member, label, reps, seed)
+    null = stat(deal.join(rows.select(unit, member, *x), [unit, member]), ["rep"]).where("stat IS NOT NULL")
+    return null_summary(null, stat(rows, []), two_sided=True)

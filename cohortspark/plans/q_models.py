@@ -69,6 +69,28 @@ def _(t):
     return named(preds).drop("task", "target")
 
 
+@query("m4_position_inside_the_fold")
+def _(t):
+    """The clock adjusted for severity and for a position that each fold reads off one gene family on its training animals."""
+    family = pb(t).join(t.genes.where(F.col("program") == "Brand#13").select("gene_id"), "gene_id", "left_semi")
+    rows = M.feature_rows(family, "animal_id", "gene_id", "value")
+    anchor = t.genes.where(F.col("program") == "Brand#13").agg(F.min("gene_id").cast("string")).first()[0]
+    axis = M.in_fold_axis(rows, us(t, cov=()), anchor, S)
+    preds, _c = M.leave_out_regression(xs(t), M.with_in_fold_covariate(us(t), axis), S)
+    return named(preds).drop("task", "target")
+
+
+@query("m4_several_scores_as_covariates")
+def _(t):
+    """Severity and three program scores of the animal together as covariates."""
+    programs = ["Brand#11", "Brand#12", "Brand#13"]
+    v = pb(t).join(t.genes.select("gene_id", "program"), "gene_id").where(F.col("program").isin(programs))
+    w = v.groupBy("animal_id").pivot("program", programs).agg(F.sum("value")).na.fill(0.0).toDF("animal_id", "s0", "s1", "s2")
+    grid = M.unit_table(t.animals.join(w, "animal_id"), "animal_id", "animal_id", ["day"], ["score", "s0", "s1", "s2"])
+    preds, _c = M.leave_out_regression(xs(t), grid, S)
+    return named(preds).drop("task", "target")
+
+
 @query("m5_full_fit_coefficients")
 def _(t):
     _p, coefs = M.leave_out_regression(xs(t), us(t, fold=None), S, full_fit=True)

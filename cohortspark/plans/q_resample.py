@@ -252,3 +252,56 @@ def _(t):
     rows = F.array(*[F.struct(F.lit(k).alias("stat"), F.col(k).cast("double").alias("v")) for k in ("sd", "iqr", "range")])
     long = s.select("day", F.explode(rows).alias("_r")).select("day", "_r.*")
     return A.grouped_spearman(long, "v", "day", ["stat"])
+
+
+@query("g15_cohort_spread_adjusted", f"""
+WITH q AS (SELECT animal_id, stddev_samp(n_cells) AS sd FROM sections GROUP BY 1 HAVING count(*) > 1),
+i AS (SELECT q.animal_id, sd, day, CASE model WHEN 'RR' THEN 1.0::double WHEN 'MONO' THEN 0.0 END AS g, row_number() OVER (ORDER BY q.animal_id) - 1 AS idx, count(*) OVER () AS n FROM q JOIN animals USING (animal_id)),
+dr AS (SELECT rep, idx AS slot, {H.format("rep || '|' || idx || '|0'")} % n AS pick FROM i, range(0, 2000) r(rep)),
+m AS (SELECT rep, var_pop(g) AS gg, var_pop(day) AS cc, covar_pop(g, day) AS gc, covar_pop(g, sd) AS gy, covar_pop(day, sd) AS cy FROM dr JOIN i ON i.idx = dr.pick GROUP BY 1),
+b AS (SELECT (gy * cc - cy * gc) / (gg * cc - gc * gc) AS stat FROM m WHERE gg * cc - gc * gc > 1e-9 * gg * cc),
+o AS (SELECT var_pop(g) AS gg, var_pop(day) AS cc, covar_pop(g, day) AS gc, covar_pop(g, sd) AS gy, covar_pop(day, sd) AS cy FROM i)
+SELECT (SELECT (gy * cc - cy * gc) / (gg * cc - gc * gc) FROM o) AS observed, count(*) AS n_reps, quantile_cont(stat, 0.025) AS ci_lo, quantile_cont(stat, 0.975) AS ci_hi, stddev_pop(stat) AS se FROM b""",
+       "observed ci_lo ci_hi se")
+def _(t):
+    """Spread inside animals, one cohort against the other at equal day; animals are drawn with replacement."""
+    from cohortspark.operators import counts as C
+    s = C.spread(t.sections, ["animal_id"], "n_cells").where("sd IS NOT NULL").select("animal_id", "sd").join(t.animals.select("animal_id", "day", "model"), "animal_id")
+    return R.bootstrap_ci(s, "animal_id", R.adjusted_gap("sd", "model", "MONO", "RR", "day"), 2000)
+
+
+@query("g15_within_animal_rank", f"""
+WITH s AS (SELECT section_id, animal_id, model, truth AS size, pred AS age FROM bag_preds JOIN animals USING (animal_id)),
+a AS (SELECT model, animal_id, corr(x, y) AS rho FROM (SELECT *, {mr('size', 'animal_id')} AS x, {mr('age', 'animal_id')} AS y FROM s) GROUP BY 1, 2 HAVING count(*) >= 4),
+c AS (SELECT model, round(size - avg(size) OVER (PARTITION BY animal_id), 9) AS size, round(age - avg(age) OVER (PARTITION BY animal_id), 9) AS age FROM s),
+p AS (SELECT model, corr(x, y) AS pooled FROM (SELECT model, {mr('size', 'model')} AS x, {mr('age', 'model')} AS y FROM c) GROUP BY 1)
+SELECT model, count(rho) AS n_animals, median(rho) AS median_rho, avg(CASE WHEN rho > 0 THEN 1.0::double ELSE 0.0 END) FILTER (rho IS NOT NULL) AS positive_share, any_value(pooled) AS pooled_rho
+FROM a JOIN p USING (model) GROUP BY 1""", "median_rho positive_share pooled_rho")
+def _(t):
+    """Size against date inside animals: median of the animals' rank correlations, and the pooled one of animal-centred values."""
+    d = preds(t).join(t.animals.select("animal_id", "model"), "animal_id")
+    own = A.grouped_spearman(d, "truth", "pred", ["model", "animal_id"]).where("n >= 4 AND rho IS NOT NULL")
+    g = own.groupBy("model").agg(F.count(F.lit(1)).alias("n_animals"), F.percentile("rho", F.lit(0.5)).alias("median_rho"),
+                                 F.avg((F.col("rho") > 0).cast("double")).alias("positive_share"))
+    mean = d.groupBy("animal_id").agg(F.avg("truth").alias("_t"), F.avg("pred").alias("_p"))
+    c = d.join(mean, "animal_id").withColumn("_t", F.round(F.col("truth") - F.col("_t"), 9)).withColumn("_p", F.round(F.col("pred") - F.col("_p"), 9))
+    # whole cohorts are ranked from merged values
+    ranked = A.large_midrank(A.large_midrank(c, "_t", ["model"], "_rt"), "_p", ["model"], "_rp")
+    return g.join(ranked.groupBy("model").agg(A.pearson("_rt", "_rp").alias("pooled_rho")), "model")
+
+
+@query("t21_block_test", f"""
+WITH l AS (SELECT animal_id || ':' || region AS bag, animal_id, any_value(model) AS model, avg(cell_day) AS v FROM cells JOIN animals USING (animal_id) GROUP BY region, animal_id),
+z AS (SELECT animal_id AS u, count(*) AS size FROM l GROUP BY 1),
+i AS (SELECT *, row_number() OVER (PARTITION BY size ORDER BY u) AS idx FROM z),
+d AS (SELECT size, rep, u, row_number() OVER (PARTITION BY size, rep ORDER BY md5(u || '|' || rep || '|0'), u) AS idx FROM i, range(0, 300) r(rep)),
+m AS (SELECT d.rep, d.u, i.u AS src FROM d JOIN i ON i.size = d.size AND i.idx = d.idx),
+j AS (SELECT *, row_number() OVER (PARTITION BY animal_id ORDER BY bag) AS j FROM l),
+n AS (SELECT m.rep, avg(a.v) FILTER (x.model = 'RR') - avg(a.v) FILTER (x.model = 'MONO') AS stat FROM m JOIN j a ON a.animal_id = m.u JOIN j x ON x.animal_id = m.src AND x.j = a.j GROUP BY 1),
+o AS (SELECT avg(v) FILTER (model = 'RR') - avg(v) FILTER (model = 'MONO') AS observed FROM l)
+SELECT any_value(observed) AS observed, count(stat) AS n_reps, (count(*) FILTER (abs(stat) >= abs(observed) - 1e-9) + 1) / (count(stat) + 1)::double AS p FROM n, o WHERE stat IS NOT NULL""", "observed p")
+def _(t):
+    """Gap between two labels over bags (animal, region), labels exchanged by whole animals."""
+    b = t.cells.groupBy("animal_id", "region").agg(F.avg("cell_day").alias("v")).join(t.animals.select("animal_id", "model"), "animal_id")
+    b = b.withColumn("bag", F.concat_ws(":", "animal_id", "region"))
+    return R.block_permutation_test(b, "animal_id", "bag", "model", R.mean_gap("v", "model", "MONO", "RR"), ["v"], 300).select("observed", "n_reps", "p")

@@ -359,3 +359,49 @@ SELECT s.section_id, any_value(b.cell_id) AS centre_cell, any_value(b.n_near) AS
 WHERE s.x BETWEEN greatest(b.x - 10, x0) AND least(b.x + 10, x1) AND s.y BETWEEN greatest(b.y - 10, y0) AND least(b.y + 10, y1) GROUP BY 1""", "flag_fraction")
 def _(t):
     return G.densest_windows(t.space, "flagged", 12.0, 10.0)
+
+
+METRICS = ["lesion_count", "burden", "mean_size", "max_size", "largest_fraction", "gini", "fragmentation"]
+# sections of the spatial tables as pairs of one animal: first and second level; every other animal is at its peak
+_LONG = " UNION ALL ".join(f"SELECT section_id, '{m}' AS metric, {m}::double AS v FROM g10" for m in METRICS)
+_RESID = """SELECT metric, '{name}' AS resid_on, animal_id, phase, lvl, v - y0 - sa * (score - a0) - sb * (flagged - b0) AS resid FROM l JOIN (
+  SELECT metric, avg(v) AS y0, avg(score) AS a0, avg(flagged) AS b0, {sa} AS sa, {sb} AS sb FROM l GROUP BY 1) USING (metric)"""
+_DET = "(var_pop(score) * var_pop(flagged) - covar_pop(score, flagged) * covar_pop(score, flagged))"
+
+
+@query("g11_lesion_battery", f"""
+WITH RECURSIVE g10 AS (SELECT section_id, coalesce(k, 0) AS lesion_count, coalesce(c / n_cells::double, 0) AS burden, coalesce(mean_size, 0) AS mean_size, coalesce(max_size, 0) AS max_size,
+  coalesce(max_size / c::double, 0) AS largest_fraction, coalesce(gs / (k * c)::double, 0) AS gini, coalesce(k / c::double, 0) AS fragmentation
+  FROM (SELECT section_id, count(*) AS n_cells FROM space GROUP BY 1) LEFT JOIN (
+    SELECT section_id, count(*) AS k, sum(size)::bigint AS c, avg(size) AS mean_size, max(size) AS max_size, sum((2 * rn - m - 1) * size) AS gs FROM (
+      SELECT *, row_number() OVER (PARTITION BY section_id ORDER BY size) AS rn, count(*) OVER (PARTITION BY section_id) AS m FROM lesion_sizes) GROUP BY 1) USING (section_id)),
+sv AS (SELECT section_id // 2 AS animal_id, avg(program) AS score FROM space GROUP BY 1),
+l AS (SELECT metric, v, section_id // 2 AS animal_id, CASE WHEN (section_id // 2) % 2 = 0 THEN 'PEAK' ELSE 'REM' END AS phase, section_id % 2 AS lvl, score, flagged
+      FROM ({_LONG}) JOIN (SELECT section_id, avg(flagged::int) AS flagged FROM space GROUP BY 1) USING (section_id) JOIN sv ON sv.animal_id = section_id // 2),
+r AS ({_RESID.format(name='severity', sa='covar_pop(score, v) / var_pop(score)', sb='0.0::double')} UNION ALL
+      {_RESID.format(name='severity+burden', sa=f'(covar_pop(score, v) * var_pop(flagged) - covar_pop(flagged, v) * covar_pop(score, flagged)) / {_DET}',
+                     sb=f'(covar_pop(flagged, v) * var_pop(score) - covar_pop(score, v) * covar_pop(score, flagged)) / {_DET}')}),
+an AS (SELECT metric, resid_on, animal_id, avg(resid) AS resid, min(phase) AS phase FROM r GROUP BY 1, 2, 3),
+u AS (SELECT DISTINCT animal_id, phase FROM an),
+i AS (SELECT *, row_number() OVER (ORDER BY animal_id) AS idx FROM u),
+d AS (SELECT rep, animal_id, row_number() OVER (PARTITION BY rep ORDER BY md5(animal_id || '|' || rep || '|0'), animal_id) AS idx FROM u, range(0, 2000) t(rep)),
+dl AS (SELECT d.rep, d.animal_id, i.phase FROM d JOIN i USING (idx)),
+n1 AS (SELECT metric, resid_on, rep, avg(resid) FILTER (dl.phase = 'PEAK') - avg(resid) FILTER (dl.phase = 'REM') AS stat FROM an JOIN dl USING (animal_id) GROUP BY 1, 2, 3),
+o1 AS (SELECT metric, resid_on, count(*) AS n, avg(resid) FILTER (phase = 'PEAK') - avg(resid) FILTER (phase = 'REM') AS observed FROM an GROUP BY 1, 2),
+sl AS (SELECT metric, resid_on, animal_id, regr_slope(resid, lvl) AS slope FROM r GROUP BY 1, 2, 3 HAVING count(DISTINCT lvl) > 1),
+n2 AS (SELECT metric, resid_on, rep, avg(slope * CASE WHEN ('0x' || substr(md5(animal_id || '|' || rep || '|0'), 1, 8))::bigint % 2 = 0 THEN 1.0::double ELSE -1.0 END) AS stat FROM sl, range(0, 2000) t(rep) GROUP BY 1, 2, 3),
+o2 AS (SELECT metric, resid_on, count(*) AS n, avg(slope) AS observed FROM sl GROUP BY 1, 2),
+b AS (SELECT 'phase_gap' AS family, * FROM o1 JOIN n1 USING (metric, resid_on) UNION ALL SELECT 'level_trend', * FROM o2 JOIN n2 USING (metric, resid_on)),
+p AS (SELECT family, metric, resid_on, n, observed, (count(*) FILTER (abs(stat) >= abs(observed) - 1e-9) + 1) / (count(*) + 1)::double AS p FROM b GROUP BY ALL),
+k AS (SELECT *, p * count(*) OVER (PARTITION BY family) / count(*) OVER (PARTITION BY family ORDER BY p) AS cand FROM p)
+SELECT family, metric, resid_on, n, observed, p, least(1.0::double, min(cand) OVER (PARTITION BY family ORDER BY p DESC RANGE UNBOUNDED PRECEDING)) AS q FROM k""", "observed p q")
+def _(t):
+    """Every lesion metric beyond severity, and beyond severity and inflamed share: phase gap and trend over levels, p and q."""
+    from cohortspark.operators import resample as R
+    les = G.graph_lesions(G.knn(t.space, 6), t.space.where("flagged"), 5).select("section_id", "lesion", "size").distinct()
+    n = t.space.groupBy("section_id").agg(F.count(F.lit(1)).alias("n_cells"), F.avg(F.col("flagged").cast("int")).alias("flagged"))
+    s = G.section_summary(n.drop("flagged"), les).join(n.select("section_id", "flagged"), "section_id").withColumn("animal_id", F.floor(F.col("section_id") / 2))
+    score = t.space.groupBy(F.floor(F.col("section_id") / 2).alias("animal_id")).agg(F.avg("program").alias("score"))
+    long = s.join(score, "animal_id").unpivot(["section_id", "animal_id", "score", "flagged"], [F.col(m).cast("double").alias(m) for m in METRICS], "metric", "v")
+    long = long.withColumn("phase", F.when(F.col("animal_id") % 2 == 0, "PEAK").otherwise("REM")).withColumn("lvl", F.col("section_id") % 2)
+    return R.severity_battery(long, "metric", "v", "animal_id", "phase", "lvl", {"severity": ["score"], "severity+burden": ["score", "flagged"]}, ("REM", "PEAK"), 2000)

@@ -200,3 +200,29 @@ def test_matched_sets_keep_bins_and_fill_up(spark):
     alone = genes.withColumn("bin", __import__("pyspark.sql.functions", fromlist=["col"]).col("gene_id").cast("int"))
     filled = M.matched_sets(alone, focus, 3).groupBy("set_no").count().collect()
     assert {r["count"] for r in filled} == {6}
+
+
+def test_in_fold_axis_does_not_see_the_held_out_unit(spark):
+    x, y, sev = data(6)
+    _, u = frames(spark, x, y, sev)
+    u = u.withColumn("c", __import__("pyspark.sql.functions", fromlist=["x"]).expr("cast(array() as array<double>)"))
+
+    def axis(m):
+        d = spark.createDataFrame([(i, f"f{j}", float(m[i, j])) for i in range(N) for j in range(5) if m[i, j]], "u int, f string, v double")
+        return {(r.fold, r.unit): (r.axis, r.held) for r in M.in_fold_axis(M.feature_rows(d, "u", "f", "v"), u, "f0", S).collect()}
+    base = axis(x)
+    assert len(base) == N * N and all(held == (f == str(i)) for (f, i), (_, held) in base.items())
+    x2 = x.copy()
+    x2[5, :5] += 50
+    again = axis(x2)
+    for i in range(N):
+        if i != 5:
+            assert again["5", i][0] == pytest.approx(base["5", i][0], abs=1e-9)      # fold 5 was fitted without unit 5
+    assert abs(again["3", 0][0] - base["3", 0][0]) > 1e-3
+    for f in range(N):
+        tr = [i for i in range(N) if i != f]
+        z = (x[:, :5] - x[tr, :5].mean(0)) / x[tr, :5].std(0)
+        vec = np.linalg.svd(z[tr], full_matrices=False)[2][0]
+        want = z @ vec / (z[tr] @ vec).std()
+        want *= np.sign(np.cov(want[tr], x[tr, 0])[0, 1])
+        assert np.allclose([base[str(f), i][0] for i in range(N)], want, atol=1e-8)

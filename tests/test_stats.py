@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cohortspark.functions import ordering as O
@@ -112,3 +113,51 @@ def test_permutation_keeps_labels(spark):
 def test_hash_positions_are_a_permutation(spark):
     d = R.hash_positions(spark.range(1000), ["id"], 2)
     assert [r.pos for r in d.where("rep = 1").orderBy("pos").collect()] == list(range(1000))
+
+
+def test_dominance_counts_equal_brute_force(spark):
+    """Ties in both coordinates, one value of x that a third of the points share, several strip sizes."""
+    import numpy as np
+    from cohortspark.operators import association as A
+    r = np.random.default_rng(3)
+    n = 400
+    x = np.where(r.random(n) < 0.33, 0.5, np.round(r.normal(size=n), 1))
+    y = np.round(r.normal(size=n), 1)
+    w = r.integers(1, 4, n)
+    asks = [(i, float(r.choice(x)), bool(r.random() < 0.5), float(r.choice(y)) if i % 7 else float("inf")) for i in range(300)]
+    p = spark.createDataFrame([(float(a), float(b), int(c)) for a, b, c in zip(x, y, w)], "x double, y double, w long")
+    q = spark.createDataFrame(asks, "ask long, qx double, after boolean, qy double")
+    want = {i: int(w[((x <= qx) if after else (x < qx)) & (y < qy)].sum()) for i, qx, after, qy in asks}
+    for strip in (None, 40, 10**6):
+        assert {g.ask: g.below for g in A.dominance_counts(p, q, strip).collect()} == want
+
+
+def test_prefix_below():
+    import numpy as np
+    from cohortspark.functions import kernels as NK
+    r = np.random.default_rng(0)
+    rank, weight = r.integers(0, 9, 50), r.integers(0, 5, 50)
+    end, under = r.integers(0, 51, 80), r.integers(0, 10, 80)
+    assert (NK.prefix_below(rank, weight, end, under) == [weight[:e][rank[:e] < u].sum() for e, u in zip(end, under)]).all()
+    assert (NK.prefix_below(rank[:0], weight[:0], np.zeros(3, int), np.zeros(3, int)) == 0).all()
+
+
+def test_battery_finds_what_severity_does_not_explain(spark):
+    import numpy as np
+    from cohortspark.operators import resample as R
+    r = np.random.default_rng(2)
+    rows = []
+    for a in range(24):
+        sev, phase = float(r.normal()), "PEAK" if a % 2 else "REM"
+        for lvl in range(3):
+            burden = float(r.normal())
+            rows += [("only_severity", a, phase, lvl, sev, burden, 2 * sev + 0.1 * float(r.normal())),
+                     ("phase", a, phase, lvl, sev, burden, sev + burden + (3.0 if phase == "PEAK" else 0.0) + 0.1 * float(r.normal())),
+                     ("level", a, phase, lvl, sev, burden, sev + 2.0 * lvl + 0.1 * float(r.normal()))]
+    d = spark.createDataFrame(rows, "metric string, animal int, phase string, lvl int, score double, burden double, v double")
+    got = {(g.family, g.metric, g.resid_on): g for g in R.severity_battery(
+        d, "metric", "v", "animal", "phase", "lvl", {"s": ["score"], "sb": ["score", "burden"]}, ("REM", "PEAK"), 200).collect()}
+    assert len(got) == 12 and all(g.n == 24 for g in got.values())
+    assert got["phase_gap", "phase", "sb"].q < 0.05 and got["phase_gap", "phase", "sb"].observed == pytest.approx(3, abs=0.6)
+    assert got["level_trend", "level", "s"].q < 0.05 and got["level_trend", "level", "s"].observed == pytest.approx(2, abs=0.1)
+    assert got["phase_gap", "only_severity", "s"].p > 0.05 and all(g.q >= g.p - 1e-12 for g in got.values())
