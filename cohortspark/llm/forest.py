@@ -20,6 +20,7 @@ MISS = 1e-6                # chance that a pair at the threshold shares no regio
 DEPTH = 4
 DEEPER = (6, 9)
 CROWD = 64                 # a region with more entries is opened at greater depths
+FIRST_ORDERS = 3           # orders whose regions are searched before those of all others
 BLOCK = 1024               # entries of a region that one side of a comparison holds
 
 
@@ -252,7 +253,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
        of the smallest ids are opened at greater depths, where they meet entries with a longer common prefix. Pairs whose sizes or sketches forbid a link are left
        out, the others are confirmed on full sets and make a first set of components.
     3. Regions that still hold several components are searched through on full sets, block by block, for links between
-       components (:func:`_search_regions`). So every pair that shares a region is either in one component already or has
+       components (:func:`_search_regions`), the regions of a few orders first, then those of the others that are still mixed. So every pair that shares a region is either in one component already or has
        been tested; no bucket is capped, and no task lists pairs. Regions with the same members are searched once.
     """
     kind = docs.schema[id_col].dataType.simpleString()
@@ -261,9 +262,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     classes = cut(full.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")))
     sets = cut(full.join(classes.select(F.col("rep").alias("id"), "d1", "d2"), ["id", "d1", "d2"]).dropDuplicates(["id"])
                .select("id", "n", "keys", "deeper", "sketch"))
-    rows = sets.select(F.explode("keys").alias("key"), "id")
-    regions = rows.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("held")).where("held > 1")
-    met = cut(rows.join(regions, "key"))          # entries that share a region with another one
+    rows = sets.select(F.posexplode("keys").alias("turn", "key"), "id")
+    regions = rows.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("held"), F.min("turn").alias("turn")).where("held > 1")
+    met = cut(rows.drop("turn").join(regions, "key"))          # entries that share a region with another one
     pairs = met.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
     first = cut(_alike(pairs.distinct(), sets, similarity))
     # entries of crowded regions that are like none of the smallest ids there look for partners at greater depths
@@ -277,21 +278,25 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     links = cut(confirm(first, whole, similarity))
     comps = cut(connected_components(links))
 
-    # regions that hold several components
-    named = met.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "held", "id", F.coalesce("component", "id").alias("comp"))
-    named = cut(named)
-    mixed = (named.groupBy("key", "held").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("x"),
-                                              F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("lo <> hi"))
-    mixed = mixed.groupBy("x", "y", "held").agg(F.min("key").alias("key")).select("key")
-    inside = region_rows = cut(named.join(mixed, "key"))
-    tally = inside.where(F.col("held") > BLOCK).groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    main = tally.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
-    inside = inside.join(main, "key", "left").withColumn("minor", F.coalesce(F.col("comp") != F.col("main"), F.lit(True)))
-    inside = inside.join(sets.select("id", "n"), "id").join(whole, "id").select("key", "held", "id", "comp", "n", "set", "minor")
-    more = cut(_search_regions(inside, similarity, kind))
-    discard(docs.sparkSession, sets, met, whole, named, region_rows)
-    if more.take(1):
-        comps = cut(connected_components(links.unionByName(more)))
+    # regions that hold several components: those of the first orders alone, then of all others, so that what the first ones have joined
+    # is not read again for every order
+    for turns in (F.col("turn") < FIRST_ORDERS, F.col("turn") >= FIRST_ORDERS):
+        named = cut(met.where(turns).join(comps.select(F.col("node").alias("id"), "component"), "id", "left")
+                    .select("key", "held", "id", F.coalesce("component", "id").alias("comp")))
+        mixed = (named.groupBy("key", "held").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("x"),
+                                                  F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("lo <> hi"))
+        mixed = mixed.groupBy("x", "y", "held").agg(F.min("key").alias("key")).select("key")
+        inside = region_rows = cut(named.join(mixed, "key"))
+        tally = inside.where(F.col("held") > BLOCK).groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+        main = tally.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
+        inside = inside.join(main, "key", "left").withColumn("minor", F.coalesce(F.col("comp") != F.col("main"), F.lit(True)))
+        inside = inside.join(sets.select("id", "n"), "id").join(whole, "id").select("key", "held", "id", "comp", "n", "set", "minor")
+        more = cut(_search_regions(inside, similarity, kind))
+        discard(docs.sparkSession, named, region_rows)
+        if more.take(1):
+            links = cut(links.unionByName(more))
+            comps = cut(connected_components(links))
+    discard(docs.sparkSession, sets, met, whole)
 
     member = feats.select("id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left")
     out = member.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
