@@ -9,13 +9,13 @@ from pyspark.sql.window import Window
 
 from cohortspark.llm.common import cut, dense_ranks, discard, uniform
 
-STILL = 2                  # rounds without a move after which the labels have settled
+STILL = 2                  # rounds in which no small group moves, after which the labels have settled
 LARGE_SHARE = 200          # a row of over 1/200 of a shard's bytes is placed on its own
 OVERHEAD = 16
 
 
 def _propagate(linked: DataFrame, loads: dict[int, int], cap: float, seed: int) -> DataFrame:
-    """One round over (_row, _size, _group, _shard): the same rows with their new shards and ``_go`` on those that moved."""
+    """One round over (_row, _size, _group, _shard): the same rows with their new shards, ``_go`` on those of small groups that moved."""
     spark = linked.sparkSession
     table = spark.createDataFrame(sorted(loads.items()), "_shard int, _load long")
     votes = linked.groupBy("_group", "_shard").agg(F.sum("_size").alias("_bytes"))
@@ -24,7 +24,7 @@ def _propagate(linked: DataFrame, loads: dict[int, int], cap: float, seed: int)
         F.create_map(*[F.lit(x) for kv in sorted(loads.items()) for x in kv]), F.col("_shard")))))
     # a large group (over a twentieth of the cap) moves row by row, a smaller one as a whole
     large = F.col("_all") > cap / 20
-    fits = F.when(large, F.col("_room") > 0).otherwise(F.col("_room") >= F.col("_all") - F.col("_bytes"))
+    fits = F.when(large, F.col("_room") > cap / 20).otherwise(F.col("_room") >= F.col("_all") - F.col("_bytes"))
     # the goal is the shard with most of the group's bytes among those that hold what must move; a fixed draw breaks ties
     own = F.max(F.when(fits, F.struct(F.col("_bytes").alias("b"), uniform(F.col("_group"), F.col("_shard"), F.lit(seed)).alias("u"), F.col("_shard").alias("s"), F.col("_room").alias("r"))))
     goal = split.groupBy("_group", "_all").agg(own.alias("_g"))
@@ -44,7 +44,7 @@ def _propagate(linked: DataFrame, loads: dict[int, int], cap: float, seed: int)
     draw = F.when(F.col("_large"), uniform(F.col("_row"), F.lit(seed))).otherwise(uniform(F.col("_group"), F.lit(seed)))
     go = F.col("_to").isNotNull() & (F.col("_to") != F.col("_shard")) & (~F.col("_large") | (F.col("_there") >= F.col("_here"))) & (draw < F.col("_p"))
     go = F.coalesce(go, F.lit(False))
-    return moved.select("_row", "_size", "_group", F.when(go, F.col("_to")).otherwise(F.col("_shard")).alias("_shard"), go.alias("_go"))
+    return moved.select("_row", "_size", "_group", F.when(go, F.col("_to")).otherwise(F.col("_shard")).alias("_shard"), (go & ~F.col("_large")).alias("_go"))
 
 
 def _loads(df: DataFrame, shards: int) -> dict[int, int]:
@@ -61,8 +61,8 @@ def balanced_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
 
     1. Rows with a link start in a shard by hash. In each round a split group votes by bytes: its goal is the shard with most of its
        bytes among those with room for the rest (a small group without one goes to any shard with room for all of it), and its
-       other rows move there under a quota. Rounds go on until nothing moves any more, so a group that fits ends in one shard and
-       a larger one fills few. Rounds are joins of short rows (id, size, group, shard), written to the shared folder.
+       other rows move there under a quota. Rounds go on until no group that can be whole moves any more; groups of over a
+       twentieth of a shard gather row by row meanwhile, in shards with that much room. Rounds are joins of short rows (id, size, group, shard), written to the shared folder.
     2. Linked rows may fill each shard up to the mean. If a round overshot, the surplus share of that shard's rows is released by
        a fixed draw.
     3. Rows without a link (and released ones) fill up. Those of over 1/200 of a shard are at most 200 for each shard and
