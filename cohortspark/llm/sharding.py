@@ -62,7 +62,8 @@ def balanced_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     1. Rows with a link start in a shard by hash. In each round a split group votes by bytes: its goal is the shard with most of its
        bytes among those with room for the rest (a small group without one goes to any shard with room for all of it), and its
        other rows move there under a quota. Rounds go on until no group that can be whole moves any more; groups of over a
-       twentieth of a shard gather row by row meanwhile, in shards with that much room. Rounds are joins of short rows (id, size, group, shard), written to the shared folder.
+       twentieth of a shard gather row by row meanwhile, in shards with that much room. Rounds are joins of short rows (id, size,
+       group, shard), written to the shared folder.
     2. Linked rows may fill each shard up to the mean. If a round overshot, the surplus share of that shard's rows is released by
        a fixed draw.
     3. Rows without a link (and released ones) fill up. Those of over 1/200 of a shard are at most 200 for each shard and
