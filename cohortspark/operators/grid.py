@@ -667,26 +667,25 @@ def functional_components(aligned: DataFrame, max_k: int = 3, least_fit: int = 5
         info.select(F.col("t1").cast("int"), "t2", "cov", "support"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        about = pdf[pdf["t2"] == -1].sort_values("t1")
-        t = about["t1"].to_numpy()
-        at = {v: i for i, v in enumerate(t)}
-        m = np.zeros((len(t), len(t)))
-        own = pdf[pdf["t2"] != -1]
-        m[[at[v] for v in own["t1"]], [at[v] for v in own["t2"]]] = own["cov"].fillna(0.0)
-        val, vec = np.linalg.eigh((m + m.T) / 2)
-        val, vec = val[::-1], vec[:, ::-1]
-        clipped = float(np.abs(val[val < 0]).sum() / max(np.abs(val).sum(), 1e-300))
-        val = np.clip(val, 0, None)
-        part = val / max(val.sum(), 1e-300)
-        k = min(max_k, len(t), int(np.searchsorted(np.cumsum(part), share) + 1))
-        left = np.diag(m) - ((vec[:, :k] * val[:k]) @ vec[:, :k].T).diagonal()
-        noise = float(max(left.mean(), 1e-3))
-        out = []
-        for j in range(min(max_k, len(t))):
-            sign = 1.0 if vec[:, j].sum() >= 0 else -1.0
-            out += [(j + 1, int(d), float(sign * vec[i, j]), float(val[j]), float(part[j]), j < k, int(about["support"].iloc[i]),
-                     float(about["cov"].iloc[i]), noise, clipped) for i, d in enumerate(t)]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in COMPONENT_ROWS.split(", ")])
+        by_day = pdf[pdf["t2"] == -1].set_index("t1").sort_index()
+        n = len(by_day)
+        table = pdf[pdf["t2"] != -1].pivot(index="t1", columns="t2", values="cov").reindex(index=by_day.index, columns=by_day.index).fillna(0.0).to_numpy()
+        surface = (table + table.T) / 2
+        roots, axes = np.linalg.eigh(surface)
+        positive, axes = np.maximum(roots[::-1], 0.0), axes[:, ::-1]
+        # the trace is the sum of all roots, so the negative ones weigh what the positive ones have too much
+        trace, gross = float(np.trace(surface)), max(float(positive.sum()), 1e-300)
+        clipped = (gross - trace) / (2 * gross - trace)
+        # enough components: the first number of them that leaves at most 1 - share of the positive part
+        left = gross - np.cumsum(positive)
+        enough = min(max_k, n, 1 + int((left > (1 - share) * gross).sum()))
+        # axes have length one, so what they take from the diagonal is their roots
+        noise = max((trace - float(positive[:enough].sum())) / n, 0.001)
+        axes = axes * np.where(axes.sum(axis=0) < 0, -1.0, 1.0)
+        made = [pd.DataFrame({"component": c + 1, "t": by_day.index, "phi": axes[:, c], "eigenvalue": positive[c], "share": positive[c] / gross,
+                              "chosen": c < enough, "support": by_day["support"].to_numpy(), "mu": by_day["cov"].to_numpy(), "noise": noise,
+                              "clipped": max(clipped, 0.0)}) for c in range(min(max_k, n))]
+        return pd.concat(made) if made else pd.DataFrame(columns=[c.split()[0] for c in COMPONENT_ROWS.split(", ")])
     return rows.groupBy(F.lit(0).alias("_one")).applyInPandas(solve, COMPONENT_ROWS)
 
 
