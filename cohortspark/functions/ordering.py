@@ -18,6 +18,7 @@ from cohortspark.session import cut
 
 BUCKETS_PER_OCTAVE = 64
 BUCKET_VALUES = 4096       # a bucket with more distinct values is cut further
+CODE_RUN = 4096            # codes of one run when reweighted rows are ranked
 
 
 def midrank(x, part: Sequence[str] = ()) -> Column:
@@ -74,6 +75,46 @@ def large_midrank(df: DataFrame, x: str, part: Sequence[str] = (), out: str = "r
     return df.join(ranks, [*part, x], "left")
 
 
+def rank_codes(df: DataFrame, x: str, part: Sequence[str] = (), out: str = "_code") -> DataFrame:
+    """The rows with an integer that orders like ``x`` inside each group (equal values, equal codes); a null has none.
+
+    Codes are taken once from the rows, so that any number of reweighted replicates can be ranked without sorting values again.
+    """
+    part = list(part)
+    codes = ordered_counts(df, x, part).select(*part, x, F.col("_below").alias(out))
+    return df.join(codes, [*part, x], "left")
+
+
+def weighted_midrank(df: DataFrame, code: str, part: Sequence[str], weight: str, extra: Sequence[Column] = ()) -> DataFrame:
+    """Midranks of codes when row i stands for ``weight`` equal rows: (part, code, _cnt, _rank, _total, extra aggregates).
+
+    Rows of one code are combined first. Codes are cut into runs of CODE_RUN, so a window holds at most that many rows; run totals are added on.
+    """
+    part = list(part)
+    v = df.where(c(code).isNotNull()).groupBy(*part, code).agg(F.sum(weight).alias("_cnt"), *extra).withColumn("_run", F.floor(c(code) / CODE_RUN))
+    runs = v.groupBy(*part, "_run").agg(F.sum("_cnt").alias("_k"))
+    runs = (runs.withColumn("_off", F.sum("_k").over(Window.partitionBy(*part).orderBy("_run")) - F.col("_k"))
+            .withColumn("_total", F.sum("_k").over(Window.partitionBy(*part))).drop("_k"))
+    below = F.sum("_cnt").over(Window.partitionBy(*part, "_run").orderBy(code)) - F.col("_cnt")
+    return (v.withColumn("_in", below).join(runs, [*part, "_run"])
+            .withColumn("_rank", F.col("_off") + F.col("_in") + (F.col("_cnt") + 1) / F.lit(2.0)).drop("_in", "_off", "_run"))
+
+
+def range_index(df: DataFrame, order: str, part: Sequence[str] = (), out: str = "_idx", size: str = "_n") -> DataFrame:
+    """0-based place of each row in the order of ``order`` inside its group, and the group's size, for groups of any size and any type.
+
+    Rows are range-partitioned, counted inside a range, and the totals of ranges are added on. The ranges are written once, as their sampled
+    borders differ from job to job.
+    """
+    part = list(part)
+    d = cut(df.repartitionByRange(*part, order).withColumn("_p", F.spark_partition_id()))
+    tot = d.groupBy(*part, "_p").agg(F.count(F.lit(1)).alias("_k"))
+    tot = (tot.withColumn("_off", F.sum("_k").over(Window.partitionBy(*part).orderBy("_p")) - F.col("_k"))
+           .withColumn(size, F.sum("_k").over(Window.partitionBy(*part))).drop("_k"))
+    inside = F.row_number().over(Window.partitionBy(*part, "_p").orderBy(order)) - 1
+    return d.withColumn("_in", inside).join(tot, [*part, "_p"]).withColumn(out, F.col("_in") + F.col("_off")).drop("_in", "_off", "_p")
+
+
 def bh_adjust(df: DataFrame, p: str = "p", family: Sequence[str] = (), out: str = "q") -> DataFrame:
     """Benjamini-Hochberg q inside each family, capped at 1; NULL p stays NULL.
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.functions import kernels as NK
-from cohortspark.functions.ordering import bh_adjust, large_midrank, midrank
+from cohortspark.functions.ordering import bh_adjust, large_midrank, midrank, weighted_midrank
 from cohortspark.functions.scalars import c, clip, ratio
 from cohortspark.functions.special import p_student
 from cohortspark.session import cut
@@ -162,6 +162,23 @@ def pearson(x, y) -> Column:
     return ratio(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
 
 
+def weighted_rank_corr(d: DataFrame, x: str, y: str, part: Sequence[str], weight: str) -> DataFrame:
+    """Rank correlation of two code columns where a row stands for ``weight`` equal rows: (part, n, rho).
+
+    Ranks of distinct codes are joined back; rows with a null code take no part.
+    """
+    part = list(part)
+    d = d.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*part, x, y, weight)
+    for v, out in ((x, "_x"), (y, "_y")):
+        # measured from the middle rank, which is the mean
+        ranks = weighted_midrank(d, v, part, weight).select(*part, v, (F.col("_rank") - (F.col("_total") + 1) / 2.0).alias(out))
+        d = d.join(ranks, [*part, v])
+    w = F.col(weight)
+    g = d.groupBy(*part).agg(F.sum(w).alias("n"), F.sum(w * F.col("_x") * F.col("_y")).alias("_xy"),
+                             F.sum(w * F.col("_x") * F.col("_x")).alias("_xx"), F.sum(w * F.col("_y") * F.col("_y")).alias("_yy"))
+    return g.select(*part, "n", ratio("_xy", F.sqrt("_xx") * F.sqrt("_yy")).alias("rho"))
+
+
 def feature_correlations(long: DataFrame, unit: str, feature: str, value: str) -> DataFrame:
     """Spearman matrix of features, pairwise complete (T5): equal units are joined, ranks taken per pair.
 

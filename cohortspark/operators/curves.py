@@ -11,9 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.functions.ordering import midrank
+from cohortspark.functions.ordering import midrank, rank_codes
 from cohortspark.functions.scalars import hash_u32, ratio, sign_label
-from cohortspark.operators.association import partial_r, pearson
+from cohortspark.operators.association import partial_r, pearson, weighted_rank_corr
+from cohortspark.session import cut
 
 UNIT = "animal_id"
 
@@ -291,11 +292,21 @@ def shape_contrast(profile: DataFrame, kind: str = "raw", long_from: int = 7, sh
         .withColumn("contrast", F.col("long_mean") - F.col("short_mean"))
 
 
-def memory_timescale(history: DataFrame, units: DataFrame, program: str, part: Sequence[str] = ()) -> DataFrame:
-    """Time constant with the strongest rank correlation to a program (T31), smallest on ties."""
-    d = history.join(units.select(UNIT, program), UNIT)
-    r = d.select(*part, "tau", midrank("ewi", [*part, "tau"]).alias("_x"), midrank(program, [*part, "tau"]).alias("_y"))
-    g = r.groupBy(*part, "tau").agg(F.count(F.lit(1)).alias("n"), pearson("_x", "_y").alias("rho"))
+def memory_timescale(history: DataFrame, units: DataFrame, program: str, weights: DataFrame | None = None) -> DataFrame:
+    """Time constant with the strongest rank correlation to a program (T31), smallest on ties.
+
+    ``weights`` (rep, unit, _w) of resampled units give one row for each replicate: values are coded once for each time constant, and a
+    replicate only ranks codes by weight.
+    """
+    d = history.join(units.select(UNIT, program), UNIT).where(F.col(program).isNotNull() & F.col("ewi").isNotNull())
+    part = []
+    d = rank_codes(rank_codes(d, "ewi", ["tau"], "_code_ewi"), program, ["tau"], "_code_program").select(UNIT, "tau", "_code_ewi", "_code_program")
+    if weights is None:
+        d = d.withColumn("_w", F.lit(1))
+    else:
+        part = ["rep"]
+        d = cut(d).join(weights.select(UNIT, "rep", "_w"), UNIT)
+    g = weighted_rank_corr(d, "_code_ewi", "_code_program", [*part, "tau"], "_w")
     best = F.struct(F.round("rho", 9), -F.col("tau"))
     return (g.where("rho is not null").groupBy(*part)
             .agg(F.max_by("tau", best).alias("tau_star"), F.max("rho").alias("rho_at_tau"), F.max("tau").alias("_last"),

@@ -12,9 +12,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.functions.ordering import midrank
+from cohortspark.functions.ordering import midrank, range_index, rank_codes, weighted_midrank
 from cohortspark.functions.scalars import c, fisher_z, hash_key, hash_sign, hash_u32, ratio
-from cohortspark.operators.association import pearson
+from cohortspark.operators.association import pearson, weighted_rank_corr
+from cohortspark.session import cut
 
 
 def _reps(n: int) -> Column:
@@ -23,18 +24,20 @@ def _reps(n: int) -> Column:
 
 def index_units(units: DataFrame, unit: str, by: Sequence[str] = ()) -> DataFrame:
     """Distinct units with a 0-based index and the number of units per group."""
-    w = Window.partitionBy(*by).orderBy(unit)
-    return (units.select(*by, unit).distinct().withColumn("_idx", F.row_number().over(w) - 1)
-            .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by))))
+    return range_index(units.select(*by, unit).distinct(), unit, by)
 
 
-def bootstrap_rows(rows: DataFrame, unit: str, reps: int, seed: int = 0, by: Sequence[str] = ()) -> DataFrame:
-    """Rows of ``reps`` resamples of units with replacement; a unit drawn twice brings all its rows twice."""
+def bootstrap_weights(rows: DataFrame, unit: str, reps: int, seed: int = 0, by: Sequence[str] = ()) -> DataFrame:
+    """How often each unit is drawn in each of ``reps`` resamples with replacement: (by, rep, unit, _w), units drawn at least once.
+
+    A group of n units draws n slots; the unit of a slot comes from a hash of (group, replicate, slot).
+    """
+    by = list(by)
     idx = index_units(rows, unit, by)
-    draw = (idx.select(*by, "_n", F.col("_idx").alias("slot"), _reps(reps))
-            .withColumn("_idx", hash_u32(*by, "rep", "slot", F.lit(seed)) % F.col("_n")))
-    drawn = draw.join(idx.select(*by, unit, "_idx"), [*by, "_idx"]).select(*by, "rep", "slot", unit)
-    return drawn.join(rows, [*by, unit])
+    draw = idx.select(*by, "_n", F.col("_idx").alias("slot"), _reps(reps)).select(
+        *by, "rep", (hash_u32(*by, "rep", "slot", F.lit(seed)) % F.col("_n")).alias("_idx"))
+    times = draw.groupBy(*by, "rep", "_idx").agg(F.count(F.lit(1)).alias("_w"))
+    return cut(times.join(idx.select(*by, unit, "_idx"), [*by, "_idx"]).select(*by, "rep", unit, "_w"))
 
 
 def permuted_labels(units: DataFrame, unit: str, label: str, reps: int, seed: int = 0, by: Sequence[str] = (),
@@ -79,45 +82,97 @@ def block_permuted_labels(rows: DataFrame, unit: str, member: str, label: str, r
 
 # ------------------------------------------------------------------ statistics per replicate
 
-def rank_corr(x: str, y: str) -> Callable[[DataFrame, Sequence[str]], DataFrame]:
-    def stat(d: DataFrame, part: Sequence[str]) -> DataFrame:
+# A statistic is called with rows and grouping columns. With ``weight`` each row stands for that many equal rows; values named in
+# ``stat.ranked`` then come as codes (:func:`coded`), so no replicate copies rows or sorts values.
+
+def coded(rows: DataFrame, stat, by: Sequence[str] = ()) -> DataFrame:
+    """The rows with a rank code for each value that the statistic ranks."""
+    for x in getattr(stat, "ranked", ()):
+        rows = rank_codes(rows, x, by, f"_code_{x}")
+    return rows
+
+
+def _weighted(weight: str | None):
+    """Aggregates (mean, covariance) of rows, or of rows with whole-number weights; rows with a null do not count."""
+    if weight is None:
+        return F.avg, lambda x, y: F.covar_pop(x, y)
+
+    def total(ok, v):
+        return F.sum(F.when(ok, F.col(weight) * v))
+
+    def mean(x):
+        return ratio(total(c(x).isNotNull(), c(x)), total(c(x).isNotNull(), F.lit(1)))
+
+    def covar(x, y):
+        ok = c(x).isNotNull() & c(y).isNotNull()
+        n = total(ok, F.lit(1))
+        return ratio(total(ok, c(x) * c(y)) - ratio(total(ok, c(x)) * total(ok, c(y)), n), n)
+    return mean, covar
+
+
+def rank_corr(x: str, y: str) -> Callable[..., DataFrame]:
+    def stat(d: DataFrame, part: Sequence[str], weight: str | None = None) -> DataFrame:
+        if weight is not None:
+            return weighted_rank_corr(d, f"_code_{x}", f"_code_{y}", part, weight).withColumnRenamed("rho", "stat").drop("n")
         r = d.select(*part, midrank(x, part).alias("_x"), midrank(y, part).alias("_y"))
         return r.groupBy(*part).agg(pearson("_x", "_y").alias("stat"))
+    stat.ranked = (x, y)
     return stat
 
 
-def mean_gap(x: str, group: str, a: str, b: str) -> Callable[[DataFrame, Sequence[str]], DataFrame]:
-    def stat(d: DataFrame, part: Sequence[str]) -> DataFrame:
-        return d.groupBy(*part).agg((F.avg(F.when(F.col(group) == b, F.col(x)))
-                                     - F.avg(F.when(F.col(group) == a, F.col(x)))).alias("stat"))
+def mean_gap(x: str, group: str, a: str, b: str) -> Callable[..., DataFrame]:
+    def stat(d: DataFrame, part: Sequence[str], weight: str | None = None) -> DataFrame:
+        mean = _weighted(weight)[0]
+        return d.groupBy(*part).agg((mean(F.when(F.col(group) == b, F.col(x))) - mean(F.when(F.col(group) == a, F.col(x)))).alias("stat"))
     return stat
 
 
-def ols_slope(x: str, y: str) -> Callable[[DataFrame, Sequence[str]], DataFrame]:
-    def stat(d: DataFrame, part: Sequence[str]) -> DataFrame:
-        return d.groupBy(*part).agg(ratio(F.covar_pop(x, y), F.var_pop(x)).alias("stat"))
+def ols_slope(x: str, y: str) -> Callable[..., DataFrame]:
+    def stat(d: DataFrame, part: Sequence[str], weight: str | None = None) -> DataFrame:
+        covar = _weighted(weight)[1]
+        d = d.where(F.col(x).isNotNull() & F.col(y).isNotNull()) if weight else d
+        return d.groupBy(*part).agg(ratio(covar(x, y), covar(x, x)).alias("stat"))
     return stat
 
 
-def auc_stat(positive: str, score: str) -> Callable[[DataFrame, Sequence[str]], DataFrame]:
-    def stat(d: DataFrame, part: Sequence[str]) -> DataFrame:
-        r = d.withColumn("_r", midrank(score, part)).withColumn("_p", F.col(positive).cast("int"))
-        g = r.groupBy(*part).agg(F.sum("_p").alias("_a"), F.count(F.lit(1)).alias("_n"),
-                                 F.sum(F.col("_p") * F.col("_r")).alias("_s"))
+def auc_stat(positive: str, score: str) -> Callable[..., DataFrame]:
+    def stat(d: DataFrame, part: Sequence[str], weight: str | None = None) -> DataFrame:
+        if weight is None:
+            r = d.withColumn("_r", midrank(score, part)).withColumn("_p", F.col(positive).cast("int"))
+            g = r.groupBy(*part).agg(F.sum("_p").alias("_a"), F.count(F.lit(1)).alias("_n"), F.sum(F.col("_p") * F.col("_r")).alias("_s"))
+        else:   # values with their positives are enough
+            v = weighted_midrank(d, f"_code_{score}", part, weight, [F.sum(F.col(positive).cast("int") * F.col(weight)).alias("_pos")])
+            g = v.groupBy(*part).agg(F.sum("_pos").alias("_a"), F.sum("_cnt").alias("_n"), F.sum(F.col("_pos") * F.col("_rank")).alias("_s"))
         b = F.col("_n") - F.col("_a")
         return g.select(*part, ratio(F.col("_s") - F.col("_a") * (F.col("_a") + 1) / 2.0, F.col("_a") * b).alias("stat"))
+    stat.ranked = (score,)
     return stat
 
 
+def _resampled(rows: DataFrame, unit: str, stats: Sequence, reps: int, seed: int, by: Sequence[str]) -> list[tuple[DataFrame, DataFrame]]:
+    """For each statistic its observed value and its values on the same resamples of units."""
+    weights = bootstrap_weights(rows, unit, reps, seed, by)
+    out = []
+    for stat in stats:
+        d = coded(rows, stat, by)
+        d = cut(d) if getattr(stat, "ranked", ()) else d
+        out.append((stat(d.withColumn("_w", F.lit(1)), by, "_w"), stat(weights.join(d, [*by, unit]), [*by, "rep"], "_w")))
+    return out
+
+
 def bootstrap_ci(rows: DataFrame, unit: str, stat, reps: int, by: Sequence[str] = (), seed: int = 0,
                  level: float = 0.95) -> DataFrame:
-    """Observed statistic, percentile interval and spread over resamples; degenerate resamples drop out."""
+    """Observed statistic, percentile interval and spread over resamples; degenerate resamples drop out.
+
+    Units are drawn with replacement and enter as weights, so a resample costs one short row for each unit it holds and copies no row of it.
+    """
     by = list(by)
-    boot = stat(bootstrap_rows(rows, unit, reps, seed, by), [*by, "rep"]).where("stat is not null")
+    obs, boot = _resampled(rows, unit, [stat], reps, seed, by)[0]
     lo, hi = (1 - level) / 2, (1 + level) / 2
-    ci = boot.groupBy(*by).agg(F.count(F.lit(1)).alias("n_reps"), F.percentile("stat", F.lit(lo)).alias("ci_lo"),
-                               F.percentile("stat", F.lit(hi)).alias("ci_hi"), F.stddev_pop("stat").alias("se"))
-    obs = stat(rows, by).withColumnRenamed("stat", "observed")
+    ci = boot.where("stat is not null").groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_reps"), F.percentile("stat", F.lit(lo)).alias("ci_lo"),
+        F.percentile("stat", F.lit(hi)).alias("ci_hi"), F.stddev_pop("stat").alias("se"))
+    obs = obs.withColumnRenamed("stat", "observed")
     if by:
         return obs.join(ci, by)
     return obs.withColumn("_ci", ci.select(F.struct("*")).scalar()).select("observed", "_ci.*")
@@ -126,15 +181,14 @@ def bootstrap_ci(rows: DataFrame, unit: str, stat, reps: int, by: Sequence[str]
 def paired_bootstrap(rows: DataFrame, unit: str, stat_a, stat_b, reps: int, seed: int = 0, level: float = 0.95
                      ) -> DataFrame:
     """Difference of two statistics on the same resamples."""
-    d = bootstrap_rows(rows, unit, reps, seed)
-    both = (stat_a(d, ["rep"]).withColumnRenamed("stat", "_a").join(stat_b(d, ["rep"]).withColumnRenamed("stat", "_b"), "rep")
+    (obs_a, boot_a), (obs_b, boot_b) = _resampled(rows, unit, [stat_a, stat_b], reps, seed, [])
+    both = (boot_a.withColumnRenamed("stat", "_a").join(boot_b.withColumnRenamed("stat", "_b"), "rep")
             .withColumn("_d", F.col("_a") - F.col("_b")).where("_d is not null"))
     g = both.agg(F.count(F.lit(1)).alias("n_reps"), F.avg("_d").alias("diff_mean"),
                  F.percentile("_d", F.lit((1 - level) / 2)).alias("ci_lo"),
                  F.percentile("_d", F.lit((1 + level) / 2)).alias("ci_hi"),
                  F.avg((F.col("_d") <= 0).cast("double")).alias("frac_le_0"))
-    one = lambda s, name: s(rows, []).select(F.col("stat")).scalar().alias(name)
-    return g.select("*", one(stat_a, "stat_a"), one(stat_b, "stat_b"))
+    return g.select("*", obs_a.select("stat").scalar().alias("stat_a"), obs_b.select("stat").scalar().alias("stat_b"))
 
 
 def null_summary(null: DataFrame, observed: DataFrame, by: Sequence[str] = (), add_one: bool = True,
@@ -271,12 +325,13 @@ def severity_battery(rows: DataFrame, metric: str, value: str, unit: str, phase:
     return bh_adjust(both, "p", ["family"])
 
 
-def adjusted_gap(y: str, group: str, a: str, b: str, covar: str) -> Callable[[DataFrame, Sequence[str]], DataFrame]:
-    """Difference of group ``b`` from ``a`` in ``y`` at equal ``covar``: the group term of a line with both."""
-    def stat(d: DataFrame, part: Sequence[str]) -> DataFrame:
+def adjusted_gap(y: str, group: str, a: str, b: str, at: str) -> Callable[[DataFrame, Sequence[str]], DataFrame]:
+    """Difference of group ``b`` from ``a`` in ``y`` at equal ``at``: the group term of a line with both."""
+    def stat(d: DataFrame, part: Sequence[str], weight: str | None = None) -> DataFrame:
+        covar = _weighted(weight)[1]
         g = F.when(F.col(group) == b, 1.0).when(F.col(group) == a, 0.0)
         m = d.withColumn("_g", g).where("_g IS NOT NULL").groupBy(*part).agg(
-            F.var_pop("_g").alias("_gg"), F.var_pop(covar).alias("_cc"), F.covar_pop("_g", covar).alias("_gc"), F.covar_pop("_g", y).alias("_gy"), F.covar_pop(covar, y).alias("_cy"))
+            covar("_g", "_g").alias("_gg"), covar(at, at).alias("_cc"), covar("_g", at).alias("_gc"), covar("_g", y).alias("_gy"), covar(at, y).alias("_cy"))
         det = F.col("_gg") * F.col("_cc") - F.col("_gc") * F.col("_gc")
         return m.select(*part, F.when(det > 1e-9 * F.col("_gg") * F.col("_cc"), (F.col("_gy") * F.col("_cc") - F.col("_cy") * F.col("_gc")) / det).alias("stat"))
     return stat

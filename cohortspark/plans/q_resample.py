@@ -42,7 +42,7 @@ def _(t):
 
 ABOOT = f"""
 i AS (SELECT *, row_number() OVER (ORDER BY animal_id) - 1 AS idx, count(*) OVER () AS n FROM animals),
-dr AS (SELECT rep, idx AS slot, {H.format("rep || '|' || idx || '|0'")} % n AS pick FROM i, range(0, 200) r(rep)),
+dr AS (SELECT rep, idx AS slot, {H.format("rep || '|' || idx || '|0'")} % n AS pick FROM i, range(0, 2000) r(rep)),
 s AS (SELECT d.rep, i.* EXCLUDE (idx, n) FROM dr d JOIN i ON i.idx = d.pick)"""
 
 
@@ -52,7 +52,7 @@ SELECT (SELECT avg(day) FILTER (model = 'MONO') - avg(day) FILTER (model = 'RR')
        quantile_cont(stat, 0.025) AS ci_lo, quantile_cont(stat, 0.975) AS ci_hi, stddev_pop(stat) AS se FROM b WHERE stat IS NOT NULL""",
        "observed ci_lo ci_hi se")
 def _(t):
-    return R.bootstrap_ci(t.animals, "animal_id", R.mean_gap("day", "model", "RR", "MONO"), 200)
+    return R.bootstrap_ci(t.animals, "animal_id", R.mean_gap("day", "model", "RR", "MONO"), 2000)
 
 
 @query("t17_clustered_auc", f"""
@@ -66,7 +66,7 @@ SELECT (SELECT observed FROM ob) AS observed, count(stat) AS n_reps, quantile_co
        "observed ci_lo ci_hi se")
 def _(t):
     p = preds(t).withColumn("pos", (F.col("region") == "BUILDING").cast("int"))
-    return R.bootstrap_ci(p, "animal_id", R.auc_stat("pos", "truth"), 200)
+    return R.bootstrap_ci(p, "animal_id", R.auc_stat("pos", "truth"), 2000)
 
 
 @query("t18_paired_bootstrap", f"""
@@ -79,7 +79,7 @@ SELECT count(d) AS n_reps, avg(d) AS diff_mean, quantile_cont(d, 0.025) AS ci_lo
        avg(CASE WHEN d <= 0 THEN 1.0::double ELSE 0.0 END) AS frac_le_0, (SELECT a FROM ob) AS stat_a, (SELECT b FROM ob) AS stat_b FROM b""",
        "diff_mean ci_lo ci_hi frac_le_0 stat_a stat_b")
 def _(t):
-    return R.paired_bootstrap(t.animals, "animal_id", R.rank_corr("day", "n_cells"), R.rank_corr("score", "n_cells"), 200)
+    return R.paired_bootstrap(t.animals, "animal_id", R.rank_corr("day", "n_cells"), R.rank_corr("score", "n_cells"), 2000)
 
 
 def null_sql(stat_from, two=False):
@@ -205,7 +205,7 @@ def _(t):
 
 @query("t31_memory_timescale_bootstrap", f"""
 WITH u AS (SELECT animal_id, program, row_number() OVER (ORDER BY animal_id) - 1 AS idx, count(*) OVER () AS n FROM curve_units),
-d AS (SELECT rep, idx AS slot, {H.format("rep || '|' || idx || '|0'")} % n AS pick FROM u, range(0, 10) t(rep)),
+d AS (SELECT rep, idx AS slot, {H.format("rep || '|' || idx || '|0'")} % n AS pick FROM u, range(0, 2000) t(rep)),
 s AS (SELECT d.rep, h.tau, h.ewi, u.program FROM d JOIN u ON u.idx = d.pick JOIN curve_history h USING (animal_id)),
 r AS (SELECT rep, tau, {mr('ewi', 'rep, tau')} AS x, {mr('program', 'rep, tau')} AS y FROM s),
 g AS (SELECT rep, tau, count(*) AS n, corr(x, y) AS rho FROM r GROUP BY 1, 2)
@@ -213,15 +213,8 @@ SELECT rep, arg_max(tau, (round(rho, 9), -tau)) AS tau_star, max(rho) AS rho_at_
        "rho_at_tau")
 def _(t):
     from cohortspark.operators import curves as V
-    d = R.bootstrap_rows(t.curve_units.select("animal_id", "program"), "animal_id", 10)
-    h = V.weighted_history(t.curves, t.curve_ends, range(1, 31))
-    j = d.join(h, "animal_id").select("rep", "slot", "tau", "ewi", "program")
-    from cohortspark.functions.ordering import midrank
-    r = j.select("rep", "tau", midrank("ewi", ["rep", "tau"]).alias("x"), midrank("program", ["rep", "tau"]).alias("y"))
-    g = r.groupBy("rep", "tau").agg(F.count(F.lit(1)).alias("n"), A.pearson("x", "y").alias("rho")).where("rho is not null")
-    out = g.groupBy("rep").agg(F.max_by("tau", F.struct(F.round("rho", 9), -F.col("tau"))).alias("tau_star"), F.max("rho").alias("rho_at_tau"),
-                               F.max("n").alias("n"), F.max("tau").alias("last"))
-    return out.withColumn("at_scan_limit", F.col("tau_star") == F.col("last")).drop("last")
+    w = R.bootstrap_weights(t.curve_units.select("animal_id"), "animal_id", 2000)
+    return V.memory_timescale(V.weighted_history(t.curves, t.curve_ends, range(1, 31)), t.curve_units, "program", w)
 
 
 @query("g11_beyond_severity", f"""

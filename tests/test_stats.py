@@ -161,3 +161,42 @@ def test_battery_finds_what_severity_does_not_explain(spark):
     assert got["phase_gap", "phase", "sb"].q < 0.05 and got["phase_gap", "phase", "sb"].observed == pytest.approx(3, abs=0.6)
     assert got["level_trend", "level", "s"].q < 0.05 and got["level_trend", "level", "s"].observed == pytest.approx(2, abs=0.1)
     assert got["phase_gap", "only_severity", "s"].p > 0.05 and all(g.q >= g.p - 1e-12 for g in got.values())
+
+
+@pytest.mark.parametrize("run", [1, 3, 4096])
+def test_weighted_resamples_equal_copied_rows(spark, monkeypatch, run):
+    """Every statistic on weights equals the same statistic on rows that are brought as often as they are drawn, for runs of any length."""
+    monkeypatch.setattr(O, "CODE_RUN", run)
+    rng = np.random.default_rng(3)
+    rows = [("ab"[i % 2], f"u{i:02d}", float(rng.integers(0, 6)), float(rng.normal()), int(rng.integers(0, 2)), float(i % 5)) for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, u string, x double, y double, pos int, z double")
+    w = R.bootstrap_weights(df, "u", 6, 7, ["k"])
+    copies = w.join(df, ["k", "u"]).withColumn("slot", F.explode(F.sequence(F.lit(1), F.col("_w").cast("int"))))
+    assert w.agg(F.sum("_w")).first()[0] == copies.count() == 240
+    part = ["k", "rep"]
+    two = df.withColumn("g", F.when(F.col("pos") == 1, "q").otherwise("p"))
+    for stat in (R.rank_corr("x", "y"), R.auc_stat("pos", "x"), R.mean_gap("y", "g", "p", "q"), R.ols_slope("x", "y"), R.adjusted_gap("y", "g", "p", "q", "z")):
+        a = {(r.k, r.rep): r.stat for r in stat(w.join(R.coded(two, stat, ["k"]), ["k", "u"]), part, "_w").collect()}
+        b = {(r.k, r.rep): r.stat for r in stat(copies.join(two.select("k", "u", "g"), ["k", "u"]), part).collect()}
+        assert a.keys() == b.keys() and len(a) == 12
+        assert all(math.isclose(a[k], b[k], abs_tol=1e-9) for k in a)
+
+
+def test_weighted_ranks_with_nulls_and_ties(spark):
+    df = spark.createDataFrame([(1, None, 2.0, 5), (2, 1.0, 3.0, 2), (3, 1.0, 4.0, 1), (4, 2.0, None, 9), (5, 3.0, 1.0, 3)], "u int, x double, y double, w int")
+    d = O.rank_codes(O.rank_codes(df, "x", (), "cx"), "y", (), "cy")
+    got = A.weighted_rank_corr(d, "cx", "cy", [], "w").first()
+    x, y = np.array([2.0, 2, 2, 5, 5, 5]), np.array([4.5, 4.5, 6, 2, 2, 2])
+    assert got.n == 6 and math.isclose(got.rho, np.corrcoef(x, y)[0, 1], rel_tol=1e-12)
+    flat = A.weighted_rank_corr(d.withColumn("cx", F.lit(1)), "cx", "cy", [], "w").first()
+    assert flat.rho is None
+    assert R.bootstrap_ci(df.limit(0), "u", R.mean_gap("x", "u", 1, 2), 5).first().observed is None
+
+
+def test_range_index_counts_every_row(spark):
+    df = spark.range(0, 5000, 1, 7).select(F.concat(F.lit("u"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("u"), (F.col("id") % 2).alias("g"))
+    got = O.range_index(df, "u", ["g"]).collect()
+    for g in (0, 1):
+        mine = sorted((r.u, r._idx) for r in got if r.g == g)
+        assert [i for _, i in mine] == list(range(2500))
+    assert {r._n for r in got} == {2500}
