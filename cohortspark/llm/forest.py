@@ -287,7 +287,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     tally = inside.where(F.col("held") > BLOCK).groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     main = tally.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
     inside = inside.join(main, "key", "left").withColumn("minor", F.coalesce(F.col("comp") != F.col("main"), F.lit(True)))
-    inside = inside.join(sets.select("id", "n"), "id").join(whole, "id").select("key", "held", "id", "comp", "n", "set", "minor")
+    # an entry meets its set once, with the list of its regions (one for each order at most), and only then goes to each of them
+    listed = inside.groupBy("id", "comp").agg(F.collect_list(F.struct("key", "held", "minor")).alias("at"))
+    listed = listed.join(sets.select("id", "n"), "id").join(whole, "id")
+    inside = listed.select("id", "comp", "n", "set", F.explode("at").alias("at")).select("at.key", "at.held", "id", "comp", "n", "set", "at.minor")
     more = cut(_search_regions(inside, similarity, kind))
     discard(docs.sparkSession, sets, met, whole, named, region_rows)
     if more.take(1):
