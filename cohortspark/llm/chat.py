@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cohortspark.llm.common import cut
-
-_DEPTH_BITS = 20
+from cohortspark.llm.common import cut, discard
 
 
 def canonical(json: Column) -> Column:
@@ -17,29 +15,30 @@ def canonical(json: Column) -> Column:
 
 
 def order_labels(calls: DataFrame, edges: DataFrame) -> DataFrame:
-    """Topological labels: (conv, id, label) so that a call's label is greater than those of the calls it waits for.
+    """Topological labels: (conv, id, label), ``label`` being (wave, depth) and greater than those of the calls it waits for.
 
-    ``calls``: (conv, id, pos), one row for each id; ``edges``: (conv, id, after). A label starts as the position; where a call waits
-    for one that is not before it, it takes that label plus one, until nothing changes. The number of rounds is the
-    longest run of calls against the order of the conversation, not its length. A label whose lower part passes the
-    number of calls of its conversation is on a cycle, and becomes null; calls that wait for one keep their own place.
+    ``calls``: (conv, id, pos), one row for each id; ``edges``: (conv, id, after). A label starts as (position, 0); where a call waits
+    for one that is not before it, it takes that one's wave and a depth greater by one, until nothing changes. The number of rounds is the
+    longest run of calls against the order of the conversation, not its length. A depth that passes the number of calls of the
+    conversation is on a cycle, and its label becomes null; calls that wait for one keep their own place. A cycle of n calls takes n rounds.
+    Only calls raised in the round before can raise others, so a round reads the edges from those alone.
     """
+    spark = calls.sparkSession
     size = calls.groupBy("conv").agg(F.count(F.lit(1)).alias("_size"))
-    labels = cut(calls.join(size, "conv").select("conv", "id", "_size", F.shiftleft(F.col("pos").cast("long"), _DEPTH_BITS).alias("label")))
+    start = F.struct(F.col("pos").cast("long").alias("wave"), F.lit(0).cast("long").alias("depth"))
+    labels = cut(calls.join(size, "conv").select("conv", "id", "_size", start.alias("label"), F.lit(True).alias("_up")))
     edges = cut(edges.join(calls.select("conv", F.col("id").alias("after")), ["conv", "after"], "left_semi").distinct())
-    low = F.lit((1 << _DEPTH_BITS) - 1)
-    if not edges.take(1):
-        return labels.drop("_size")
-    while True:
-        after = labels.select("conv", F.col("id").alias("after"), F.col("label").alias("before"))
-        want = edges.join(after, ["conv", "after"]).groupBy("conv", "id").agg((F.max("before") + 1).alias("want"))
-        raised = labels.join(want, ["conv", "id"], "left")
-        up = F.coalesce(F.col("want") > F.col("label"), F.lit(False)) & (F.col("label").bitwiseAND(low) <= F.col("_size"))
-        raised = cut(raised.select("conv", "id", "_size", F.when(up, F.col("want")).otherwise(F.col("label")).alias("label"), up.alias("_up")))
-        labels = raised.drop("_up")
-        if not raised.where("_up").take(1):
-            break
-    return labels.select("conv", "id", F.when(F.col("label").bitwiseAND(low) <= F.col("_size"), F.col("label")).alias("label"))
+    known = bool(edges.take(1))
+    while known:
+        after = labels.where("_up").select("conv", F.col("id").alias("after"), F.struct(F.col("label.wave"), (F.col("label.depth") + 1).alias("depth")).alias("next"))
+        want = edges.join(after, ["conv", "after"]).groupBy("conv", "id").agg(F.max("next").alias("want"))
+        up = F.coalesce(F.col("want") > F.col("label"), F.lit(False)) & (F.col("label.depth") <= F.col("_size"))
+        raised = cut(labels.drop("_up").join(want, ["conv", "id"], "left")
+                     .select("conv", "id", "_size", F.when(up, F.col("want")).otherwise(F.col("label")).alias("label"), up.alias("_up")))
+        discard(spark, labels)
+        labels = raised
+        known = bool(labels.where("_up").take(1))
+    return labels.select("conv", "id", F.when(F.col("label.depth") <= F.col("_size"), F.col("label")).alias("label"))
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -56,8 +55,13 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Data
 
     Calls and results are joined by hash on (conv, id). A call id that comes several times in a conversation is the call
     with the smallest position (then name, then arguments); of several results the smallest content counts; ids that a
-    call waits for but that nothing defines are left out. Calls with a null conv or id are dropped: nothing can name them.
+    call waits for but that nothing defines are left out. Calls with a null conv or id are dropped: nothing can name them. Further
+    columns of the three tables are left out, whatever their names. Arguments and contents may be of any length; empty ones are no JSON and
+    an empty result. Equal rows count once. Without calls the result is empty; without schemas every call has ``no tool``.
     """
+    calls = calls.select("conv", "id", "pos", "name", "arguments", "after")
+    results = results.select("conv", "id", "content")
+    schemas = schemas.select("tool", "argument", "kind", "required")
     named = calls.where("conv IS NOT NULL AND id IS NOT NULL")
     w = Window.partitionBy("conv", "id").orderBy("pos", "name", "arguments")
     one = cut(named.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n"))
@@ -91,8 +95,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Data
     # members in the order of their keys; the arguments are put in as the canonical text they are
     text = F.concat(F.lit('{"arguments":'), F.to_json("_v"), F.lit(',"call":'), _quoted(F.col("id").cast("string")),
                     F.lit(',"name":'), _quoted(F.col("name")), F.lit(',"result":'), F.coalesce(_quoted(F.col("result")), F.lit("null")), F.lit("}"))
-    return d.select("conv", "id", "name", F.shiftright("label", _DEPTH_BITS).alias("wave"),
-                    F.col("label").bitwiseAND(F.lit((1 << _DEPTH_BITS) - 1)).alias("depth"), status.alias("status"), "result",
+    return d.select("conv", "id", "name", F.col("label.wave").alias("wave"), F.col("label.depth").alias("depth"), status.alias("status"), "result",
                     F.when(F.col("_args").isNotNull(), text).alias("canonical"))
 
 

@@ -12,6 +12,8 @@ import pytest
 import xxhash
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from cohortspark.llm import chat, exact, forest, idfiles, langid, packing, passages, sentencepieces, simhash
 from cohortspark.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path
 from helpers import SF, components, shingles, words
@@ -287,6 +289,26 @@ def test_best_scores_win_in_a_unigram_model():
             assert "".join(got) == t and abs(sum(p.score[x] for x in got) - best(t)) < 1e-9
 
 
+def test_op6_further_columns_long_texts_and_cycles(spark):
+    """Columns named like the operator's own are left out; a cycle is named next to calls in reverse order; long arguments stay whole."""
+    long = "x" * 300_000
+    rows = [("c", f"k{i}", i, "search", '{"text": "%s", "limit": 1}' % (long if i == 0 else "t"), [f"k{i + 1}"] if i < 5 else None) for i in range(6)]
+    rows += [("d", f"k{i}", i, "search", '{"text": "t", "limit": 1}', [f"k{(i + 1) % 7}"]) for i in range(7)] + [("d", "free", 9, "search", "", None)] * 2
+    calls = spark.createDataFrame(rows, "conv string, id string, pos int, name string, arguments string, after array<string>")
+    results = spark.createDataFrame([("c", "k0", ""), ("c", "k1", long)], "conv string, id string, content string")
+    plain = chat.link_calls(calls, results, chat.tool_schemas(spark))
+    clash = ["result", "label", "_spec", "_answers", "tool", "kind", "_v", "_up", "_size", "wave", "want"]
+    wide = [t.select("*", *[F.lit(n).alias(n) for n in clash if n not in t.columns]) for t in (calls, results, chat.tool_schemas(spark))]
+    order = lambda d: sorted(d.collect(), key=lambda r: (r["conv"], r["id"]))
+    got = order(plain)
+    assert order(chat.link_calls(*wide)) == got and len(got) == 14
+    by = {(r["conv"], r["id"]): r for r in got}
+    assert [(by["c", f"k{i}"]["wave"], by["c", f"k{i}"]["depth"]) for i in range(6)] == [(5, 5 - i) for i in range(6)]
+    assert all(by["d", f"k{i}"]["status"] == "cycle" and by["d", f"k{i}"]["wave"] is None for i in range(7))
+    assert (by["d", "free"]["wave"], by["d", "free"]["status"], by["d", "free"]["canonical"]) == (9, "not json", None)
+    assert by["c", "k0"]["result"] == "" and by["c", "k0"]["status"] == "ok" and long in by["c", "k0"]["canonical"] and by["c", "k1"]["result"] == long
+
+
 def test_op6_cases(spark):
     calls = spark.createDataFrame([
         (1, "a", 1, "search", '{"limit": 3, "text":"x"}', ["b"]), (1, "b", 2, "search", '{"text":"y","limit":"3"}', None),
