@@ -162,21 +162,28 @@ def pearson(x, y) -> Column:
     return ratio(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
 
 
-def weighted_rank_corr(d: DataFrame, x: str, y: str, part: Sequence[str], weight: str) -> DataFrame:
-    """Rank correlation of two code columns where a row stands for ``weight`` equal rows: (part, n, rho).
+def weighted_rank_matrix(d: DataFrame, codes: Sequence[str], part: Sequence[str], weight: str) -> DataFrame:
+    """Rank correlations of code columns where a row stands for ``weight`` equal rows: (part, n, r_i_j for columns i < j).
 
-    Ranks of distinct codes are joined back; rows with a null code take no part.
+    Ranks of distinct codes are joined back; rows with a null code take no part, and a constant column gives nulls.
     """
-    part = list(part)
-    d = d.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*part, x, y, weight)
-    for v, out in ((x, "_x"), (y, "_y")):
-        # measured from the middle rank, which is the mean
-        ranks = weighted_midrank(d, v, part, weight).select(*part, v, (F.col("_rank") - (F.col("_total") + 1) / 2.0).alias(out))
-        d = d.join(ranks, [*part, v])
-    w = F.col(weight)
-    g = d.groupBy(*part).agg(F.sum(w).alias("n"), F.sum(w * F.col("_x") * F.col("_y")).alias("_xy"),
-                             F.sum(w * F.col("_x") * F.col("_x")).alias("_xx"), F.sum(w * F.col("_y") * F.col("_y")).alias("_yy"))
-    return g.select(*part, "n", ratio("_xy", F.sqrt("_xx") * F.sqrt("_yy")).alias("rho"))
+    part, k = list(part), len(codes)
+    for x in codes:
+        d = d.where(F.col(x).isNotNull())
+    d = base = d.select(*part, *codes, weight)
+    for i, x in enumerate(codes):
+        # measured from the middle rank, which is the mean; always from the base rows, so that the plan grows by one branch a column
+        ranks = weighted_midrank(base, x, part, weight).select(*part, x, (F.col("_rank") - (F.col("_total") + 1) / 2.0).alias(f"_x{i}"))
+        d = d.join(ranks, [*part, x])
+    sums = [F.sum(F.col(weight) * F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"_s{i}_{j}") for i in range(k) for j in range(i, k)]
+    g = d.groupBy(*part).agg(F.sum(weight).alias("n"), *sums)
+    return g.select(*part, "n", *[ratio(f"_s{i}_{j}", F.sqrt(f"_s{i}_{i}") * F.sqrt(f"_s{j}_{j}")).alias(f"r_{i}_{j}")
+                                  for i in range(k) for j in range(i + 1, k)])
+
+
+def weighted_rank_corr(d: DataFrame, x: str, y: str, part: Sequence[str], weight: str) -> DataFrame:
+    """Rank correlation of two code columns under weights: (part, n, rho)."""
+    return weighted_rank_matrix(d, [x, y], part, weight).withColumnRenamed("r_0_1", "rho")
 
 
 def feature_correlations(long: DataFrame, unit: str, feature: str, value: str) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.functions.ordering import midrank, rank_codes
+from cohortspark.functions.ordering import large_midrank, midrank, rank_codes
 from cohortspark.functions.scalars import hash_u32, ratio, sign_label
 from cohortspark.operators.association import partial_r, pearson, weighted_rank_corr
 from cohortspark.session import cut
@@ -299,14 +299,14 @@ def memory_timescale(history: DataFrame, units: DataFrame, program: str, weights
     replicate only ranks codes by weight.
     """
     d = history.join(units.select(UNIT, program), UNIT).where(F.col(program).isNotNull() & F.col("ewi").isNotNull())
-    part = []
-    d = rank_codes(rank_codes(d, "ewi", ["tau"], "_code_ewi"), program, ["tau"], "_code_program").select(UNIT, "tau", "_code_ewi", "_code_program")
     if weights is None:
-        d = d.withColumn("_w", F.lit(1))
+        part = []
+        r = large_midrank(large_midrank(d.select("tau", "ewi", program), "ewi", ["tau"], "_x"), program, ["tau"], "_y")
+        g = r.groupBy("tau").agg(F.count(F.lit(1)).alias("n"), pearson("_x", "_y").alias("rho"))
     else:
         part = ["rep"]
-        d = cut(d).join(weights.select(UNIT, "rep", "_w"), UNIT)
-    g = weighted_rank_corr(d, "_code_ewi", "_code_program", [*part, "tau"], "_w")
+        d = rank_codes(rank_codes(d, "ewi", ["tau"], "_code_ewi"), program, ["tau"], "_code_program").select(UNIT, "tau", "_code_ewi", "_code_program")
+        g = weighted_rank_corr(cut(d).join(weights.select(UNIT, "rep", "_w"), UNIT), "_code_ewi", "_code_program", ["rep", "tau"], "_w")
     best = F.struct(F.round("rho", 9), -F.col("tau"))
     return (g.where("rho is not null").groupBy(*part)
             .agg(F.max_by("tau", best).alias("tau_star"), F.max("rho").alias("rho_at_tau"), F.max("tau").alias("_last"),

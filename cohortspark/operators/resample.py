@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.functions.ordering import midrank, range_index, rank_codes, weighted_midrank
 from cohortspark.functions.scalars import c, fisher_z, hash_key, hash_sign, hash_u32, ratio
-from cohortspark.operators.association import pearson, weighted_rank_corr
+from cohortspark.operators.association import partial_r, pearson, weighted_rank_corr, weighted_rank_matrix
 from cohortspark.session import cut
 
 
@@ -87,8 +87,10 @@ def block_permuted_labels(rows: DataFrame, unit: str, member: str, label: str, r
 
 def coded(rows: DataFrame, stat, by: Sequence[str] = ()) -> DataFrame:
     """The rows with a rank code for each value that the statistic ranks."""
+    base = rows
     for x in getattr(stat, "ranked", ()):
-        rows = rank_codes(rows, x, by, f"_code_{x}")
+        codes = rank_codes(base, x, by, f"_code_{x}").select(*by, x, f"_code_{x}").distinct()
+        rows = rows.join(codes, [*by, x], "left")
     return rows
 
 
@@ -120,6 +122,24 @@ def rank_corr(x: str, y: str) -> Callable[..., DataFrame]:
     return stat
 
 
+def partial_rank_corr(x: str, y: str, given: Sequence[str]) -> Callable[..., DataFrame]:
+    """Rank correlation of two values at equal ranks of one or two others."""
+    names = [x, y, *given]
+
+    def stat(d: DataFrame, part: Sequence[str], weight: str | None = None) -> DataFrame:
+        if weight is None:
+            d, weight = coded(d, stat, part).withColumn("_w", F.lit(1)), "_w"
+        r = weighted_rank_matrix(d, [f"_code_{v}" for v in names], part, weight)
+        out = partial_r("r_0_1", "r_0_2", "r_1_2")
+        if len(names) == 4:
+            out = partial_r(out, partial_r("r_0_3", "r_0_2", "r_2_3"), partial_r("r_1_3", "r_1_2", "r_2_3"))
+        return r.select(*part, out.alias("stat"))
+    if len(names) not in (3, 4):
+        raise ValueError("one or two covariates")
+    stat.ranked = tuple(names)
+    return stat
+
+
 def mean_gap(x: str, group: str, a: str, b: str) -> Callable[..., DataFrame]:
     def stat(d: DataFrame, part: Sequence[str], weight: str | None = None) -> DataFrame:
         mean = _weighted(weight)[0]
@@ -178,6 +198,26 @@ def bootstrap_ci(rows: DataFrame, unit: str, stat, reps: int, by: Sequence[str]
     return obs.withColumn("_ci", ci.select(F.struct("*")).scalar()).select("observed", "_ci.*")
 
 
+def intervals(rows: DataFrame, unit: str, stats: dict[str, Callable[..., DataFrame]], reps: int, by: Sequence[str] = (), seed: int = 0,
+              level: float = 0.95, floor: int = 5) -> DataFrame:
+    """Several statistics on the same resamples: (by, statistic, n, observed, n_reps, ci_lo, ci_hi).
+
+    ``n`` counts the units that contribute to a group; with fewer than ``floor`` of them observed value and interval are null.
+    """
+    by = list(by)
+    lo, hi = F.lit((1 - level) / 2), F.lit((1 + level) / 2)
+    out = None
+    for name, (obs, boot) in zip(stats, _resampled(rows, unit, list(stats.values()), reps, seed, by)):
+        obs = obs.select(*by, F.lit(name).alias("statistic"), F.col("stat").alias("observed"))
+        boot = boot.where("stat IS NOT NULL").groupBy(*by).agg(F.count("stat").alias("n_reps"), F.percentile("stat", lo).alias("ci_lo"), F.percentile("stat", hi).alias("ci_hi"))
+        both = obs.join(boot, by, "left") if by else obs.crossJoin(boot)   # one row each without groups
+        out = both if out is None else out.unionByName(both)
+    n = rows.groupBy(*by).agg(F.count_distinct(unit).alias("n"))
+    out = out.join(n, by) if by else out.crossJoin(n)
+    solid = F.col("n") >= floor
+    return out.select(*by, "statistic", "n", *[F.when(solid, F.col(v)).alias(v) for v in ("observed", "n_reps", "ci_lo", "ci_hi")])
+
+
 def paired_bootstrap(rows: DataFrame, unit: str, stat_a, stat_b, reps: int, seed: int = 0, level: float = 0.95
                      ) -> DataFrame:
     """Difference of two statistics on the same resamples."""

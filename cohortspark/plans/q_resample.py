@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortspark.operators import association as A
+from cohortspark.operators import curves as V
 from cohortspark.operators import resample as R
 from cohortspark.plans.q_association import RANK_SQL, region_rank
+from cohortspark.plans.q_curves import LAG, LAGS, curve
 from cohortspark.plans.registry import query
 from cohortspark.plans.twin_ctes import CTES
 
@@ -212,7 +214,6 @@ g AS (SELECT rep, tau, count(*) AS n, corr(x, y) AS rho FROM r GROUP BY 1, 2)
 SELECT rep, arg_max(tau, (round(rho, 9), -tau)) AS tau_star, max(rho) AS rho_at_tau, max(n) AS n, arg_max(tau, (round(rho, 9), -tau)) = max(tau) AS at_scan_limit FROM g GROUP BY 1""",
        "rho_at_tau")
 def _(t):
-    from cohortspark.operators import curves as V
     w = R.bootstrap_weights(t.curve_units.select("animal_id"), "animal_id", 2000)
     return V.memory_timescale(V.weighted_history(t.curves, t.curve_ends, range(1, 31)), t.curve_units, "program", w)
 
@@ -298,3 +299,62 @@ def _(t):
     b = t.cells.groupBy("animal_id", "region").agg(F.avg("cell_day").alias("v")).join(t.animals.select("animal_id", "model"), "animal_id")
     b = b.withColumn("bag", F.concat_ws(":", "animal_id", "region"))
     return R.block_permutation_test(b, "animal_id", "bag", "model", R.mean_gap("v", "model", "MONO", "RR"), ["v"], 300).select("observed", "n_reps", "p")
+
+
+def _drawn(units, by, reps):
+    """Units of a group drawn with replacement: one row for each draw, all columns of the unit."""
+    part, on = (f"PARTITION BY {by} ", f"AND i.{by} = d.{by}") if by else ("", "")
+    key, text = (f"{by}, ", f"{by} || '|' || ") if by else ("", "")
+    draw = H.format(text + "rep || '|' || idx || '|0'")
+    return f"""
+i AS (SELECT *, row_number() OVER ({part}ORDER BY animal_id) - 1 AS idx, count(*) OVER ({part.strip()}) AS n FROM {units}),
+d AS (SELECT {key}rep, {draw} % n AS pick FROM i, range(0, {reps}) r(rep)),
+s AS (SELECT d.rep, i.* EXCLUDE (idx, n) FROM d JOIN i ON i.idx = d.pick {on} UNION ALL SELECT -1, * EXCLUDE (idx, n) FROM i)"""
+
+
+def _partial(xy, xz, yz):
+    return f"(({xy}) - ({xz}) * ({yz})) / sqrt(greatest((1 - ({xz}) * ({xz})) * (1 - ({yz}) * ({yz})), 1e-12))"
+
+
+def _spread(by):
+    """Replicate -1 holds the units as they are."""
+    key = f"{by}, " if by else ""
+    return f"""SELECT {key}statistic, max(n) AS n, max(stat) FILTER (rep < 0) AS observed, count(stat) FILTER (rep >= 0) AS n_reps,
+  quantile_cont(stat, 0.025) FILTER (rep >= 0) AS ci_lo, quantile_cont(stat, 0.975) FILTER (rep >= 0) AS ci_hi FROM st WHERE isfinite(stat) GROUP BY {key}statistic"""
+
+
+@query("t30_lag_intervals", f"""
+WITH {LAG}, u AS (SELECT lag, animal_id, score, program, severity FROM l JOIN curve_units USING (animal_id)), {_drawn("u", "lag", 1000)},
+rk AS (SELECT rep, lag, {mr('score', 'lag, rep')} AS x, {mr('program', 'lag, rep')} AS y, {mr('severity', 'lag, rep')} AS z FROM s),
+g AS (SELECT lag, rep, corr(x, y) AS xy, corr(x, z) AS xz, corr(y, z) AS yz FROM rk GROUP BY 1, 2),
+k AS (SELECT lag, count(*) AS n FROM u GROUP BY 1 HAVING count(*) >= 5),
+st AS (SELECT lag, rep, n, 'raw' AS statistic, xy AS stat FROM g JOIN k USING (lag) UNION ALL SELECT lag, rep, n, 'partial', {_partial('xy', 'xz', 'yz')} FROM g JOIN k USING (lag))
+{_spread('lag')}""", "observed ci_lo ci_hi")
+def _(t):
+    c = curve(t)
+    rows = V.score_at_lags(c, V.onset(c), LAGS).join(t.curve_units, "animal_id").select("lag", "animal_id", "score", "program", "severity")
+    stats = {"raw": R.rank_corr("score", "program"), "partial": R.partial_rank_corr("score", "program", ["severity"])}
+    return R.intervals(rows, "animal_id", stats, 1000, ["lag"]).where("observed IS NOT NULL")
+
+
+_XY_A, _XB_A, _YB_A = _partial('xy', 'xa', 'ya'), _partial('xb', 'xa', 'ab'), _partial('yb', 'ya', 'ab')
+
+
+@query("t26_gate_intervals", f"""
+WITH u AS (SELECT c.animal_id, c.program, c.severity, e.end_day, e.days FROM curve_units c JOIN (SELECT animal_id, max(end_day) AS end_day, sum(score) AS days FROM curve GROUP BY 1) e USING (animal_id)),
+{_drawn("u", "", 1000)},
+rk AS (SELECT rep, {mr('program', 'rep')} AS x, {mr('end_day', 'rep')} AS y, {mr('severity', 'rep')} AS a, {mr('days', 'rep')} AS b FROM s),
+g AS (SELECT rep, corr(x, y) AS xy, corr(x, a) AS xa, corr(y, a) AS ya, corr(x, b) AS xb, corr(y, b) AS yb, corr(a, b) AS ab FROM rk GROUP BY 1),
+k AS (SELECT count(*) AS n FROM u),
+st AS (SELECT rep, n, 'day' AS statistic, xy AS stat FROM g, k UNION ALL SELECT rep, n, 'day_given_severity', {_XY_A} FROM g, k
+  UNION ALL SELECT rep, n, 'severity_given_day', {_partial('xa', 'xy', 'ya')} FROM g, k
+  UNION ALL SELECT rep, n, 'day_given_severity_and_depth', {_partial(_XY_A, _XB_A, _YB_A)} FROM g, k)
+{_spread('')}""", "observed ci_lo ci_hi")
+def _(t):
+    # the sum of a curve's scores stands for the depth
+    ends = curve(t).groupBy("animal_id").agg(F.max("end_day").alias("end_day"), F.sum("score").alias("days"))
+    rows = t.curve_units.select("animal_id", "program", "severity").join(ends, "animal_id")
+    stats = {"day": R.rank_corr("program", "end_day"), "day_given_severity": R.partial_rank_corr("program", "end_day", ["severity"]),
+             "severity_given_day": R.partial_rank_corr("program", "severity", ["end_day"]),
+             "day_given_severity_and_depth": R.partial_rank_corr("program", "end_day", ["severity", "days"])}
+    return R.intervals(rows, "animal_id", stats, 1000)

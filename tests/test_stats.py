@@ -200,3 +200,27 @@ def test_range_index_counts_every_row(spark):
         mine = sorted((r.u, r._idx) for r in got if r.g == g)
         assert [i for _, i in mine] == list(range(2500))
     assert {r._n for r in got} == {2500}
+
+
+def test_partial_rank_corr_on_weights_equals_least_squares_on_ranks(spark):
+    rng = np.random.default_rng(5)
+    v = np.round(rng.normal(size=(30, 4)), 1)
+    w = rng.integers(1, 4, 30)
+    df = spark.createDataFrame([(i, *map(float, r), int(k)) for i, (r, k) in enumerate(zip(v, w))], "u int, x double, y double, a double, b double, _w int")
+    full = np.repeat(v, w, axis=0)
+    ranks = np.stack([(np.searchsorted(np.sort(c), c) + np.searchsorted(np.sort(c), c, "right") + 1) / 2 for c in full.T], 1)
+    for given in (["a"], ["a", "b"]):
+        z = np.column_stack([np.ones(len(full)), ranks[:, 2:2 + len(given)]])
+        left = [r - z @ np.linalg.lstsq(z, r, rcond=None)[0] for r in ranks[:, :2].T]
+        stat = R.partial_rank_corr("x", "y", given)
+        got = stat(R.coded(df, stat), [], "_w").first().stat
+        assert math.isclose(got, np.corrcoef(*left)[0, 1], abs_tol=1e-9)
+
+
+def test_intervals_with_few_units_are_null(spark):
+    rows = [("few", i, float(i), float(-i)) for i in range(4)] + [("many", i, float(i), float(i * i)) for i in range(8)] + [("flat", i, 1.0, float(i)) for i in range(6)]
+    df = spark.createDataFrame(rows, "k string, u int, x double, y double")
+    got = {r.k: r for r in R.intervals(df, "u", {"raw": R.rank_corr("x", "y")}, 20, ["k"]).collect()}
+    assert got["few"].observed is None and got["few"].n == 4 and got["few"].ci_lo is None
+    assert got["many"].observed == 1 and got["many"].n_reps == 20 and math.isclose(got["many"].ci_lo, 1)
+    assert got["flat"].observed is None and got["flat"].n == 6
