@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-# AQE picks join sides from measured sizes (no broadcast hint is used anywhere in the library), splits skewed
+# AQE picks join sides from measured sizes (hints stand only on sides of bounded size), splits skewed
 # shuffle partitions and merges small ones.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
