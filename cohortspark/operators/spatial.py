@@ -296,15 +296,83 @@ def nearest_lesion(shapes: DataFrame, lesion: str = "lesion") -> DataFrame:
     return shapes.join(nn, [SEC, lesion], "left")
 
 
+FAN = 32   # edges, or chords over runs of edges, that a cell meets at once
+
+
+def _segment_d2(x, y, ax, ay, bx, by) -> Column:
+    """Squared distance of a point to a segment."""
+    vx, vy, wx, wy = bx - ax, by - ay, x - ax, y - ay
+    t = F.greatest(F.least((wx * vx + wy * vy) / (vx * vx + vy * vy + 1e-12), F.lit(1.0)), F.lit(0.0))
+    px, py = wx - t * vx, wy - t * vy
+    return px * px + py * py
+
+
+def hull_chords(corners: DataFrame, key: Sequence[str], size: int) -> DataFrame:
+    """Chords over runs of ``size`` edges: (key, block, ax, ay, bx, by, sag), ``sag`` being how far the run leaves its chord."""
+    key = list(key)
+    block = F.floor(F.col("seq") / size)
+    c = hull_edges(corners.where(F.col("seq") % size == 0), key).withColumn("block", block).drop("seq")
+    run = corners.select(*key, block.alias("block"), "x", "y").join(c, [*key, "block"])
+    off = F.sqrt(_segment_d2(*(F.col(n) for n in ("x", "y", "ax", "ay", "bx", "by"))))
+    return run.groupBy(*key, "block", "ax", "ay", "bx", "by").agg(F.max(off).alias("sag"))
+
+
+def near_edges(cand: DataFrame, corners: DataFrame, lesion: str = "lesion") -> DataFrame:
+    """Candidate cells with the edges of their hull that can be nearest: ``cand`` and ax, ay, bx, by.
+
+    ``cand`` has (section, lesion, cell, x, y). A run of edges lies within its sag of its chord, so the distance to the run is that to
+    the chord, more or less the sag. A cell starts with at most FAN chords over the whole hull, keeps the runs that can
+    hold the nearest edge and goes down into them; sags shrink with the square of the length, so a few runs stay at every level, however
+    many corners there are. The slack covers the guard against edges without length. Hulls of up to FAN corners are read directly.
+    """
+    key = [SEC, lesion]
+    counts = corners.groupBy(*key).agg(F.count(F.lit(1)).alias("_k"))
+    most, depth = counts.agg(F.max("_k")).first()[0] or 0, 1
+    while FAN ** depth < most:
+        depth += 1
+    top = F.lit(depth)
+    for level in range(depth - 1, 0, -1):
+        top = F.when(F.col("_k") <= FAN ** level, level).otherwise(top)
+    tops = counts.select(*key, top.alias("_top"))
+    slack = 1e-6
+
+    def bounds(c):
+        d = F.sqrt(_segment_d2(F.col("x"), F.col("y"), c["ax"], c["ay"], c["bx"], c["by"]))
+        return F.struct(c["block"].alias("block"), (d - c["sag"]).alias("lo"), (d + c["sag"]).alias("hi"))
+
+    def starts(level):
+        return cand.join(tops.where(F.col("_top") == level).drop("_top"), key).withColumn("_block", F.lit(0).cast("long"))
+
+    below = None
+    for level in range(depth, 1, -1):
+        kids = (hull_chords(corners, key, FAN ** (level - 1)).groupBy(*key, F.floor(F.col("block") / FAN).alias("_block"))
+                .agg(F.collect_list(F.struct("block", "ax", "ay", "bx", "by", "sag")).alias("_kids")))
+
+        def met(rows):
+            return (rows.join(kids, [*key, "_block"]).withColumn("_runs", F.transform("_kids", bounds)).drop("_kids", "_block")
+                    .withColumn("_hi", F.array_min(F.transform("_runs", lambda c: c["hi"]))))
+        runs = met(starts(level))      # one row a cell: its bound is its own
+        if below is not None:
+            w = Window.partitionBy(*key, CELL)
+            runs = runs.unionByName(met(below).withColumn("_hi", F.min("_hi").over(w)))
+        below = (runs.withColumn("_run", F.explode(F.filter("_runs", lambda c: c["lo"] <= F.col("_hi") * (1 + 1e-9) + slack)))
+                 .withColumn("_block", F.col("_run.block")).drop("_runs", "_hi", "_run"))
+    last = starts(1) if below is None else starts(1).unionByName(below)
+    e = hull_edges(corners, key).withColumn("_block", F.floor(F.col("seq") / FAN)).drop("seq")
+    return last.join(e, [*key, "_block"]).drop("_block")
+
+
 def signed_distance(cells: DataFrame, corners: DataFrame, margin: float, bucket: float, lesion: str = "lesion"
                     ) -> DataFrame:
     """Signed distance of cells to lesion hulls, negative inside, for cells within the padded box.
 
     A hull's padded bounding box is cut into ``bucket`` grid cells for an equality join; plain range predicates would
-    plan as a nested loop. Lesions with fewer than three corners have no inside and get no row.
+    plan as a nested loop. A cell then meets only edges that can be nearest (``near_edges``). It is inside if it is on the
+    inner side of those: a cell outside of a convex hull is on the outer side of a nearest edge.
+    Lesions with fewer than three corners have no inside and get no row.
     """
     key = [SEC, lesion]
-    e = hull_edges(corners, key)
+    corners = cut(corners)
     box = corners.groupBy(*key).agg((F.min("x") - margin).alias("xl"), (F.max("x") + margin).alias("xh"),
                                     (F.min("y") - margin).alias("yl"), (F.max("y") + margin).alias("yh"),
                                     F.count(F.lit(1)).alias("_k")).where("_k >= 3")
@@ -313,14 +381,10 @@ def signed_distance(cells: DataFrame, corners: DataFrame, margin: float, bucket:
         return F.sequence(F.floor(F.col(lo) / bucket), F.floor(F.col(hi) / bucket))
     tiles = box.withColumn("_gx", F.explode(span("xl", "xh"))).withColumn("_gy", F.explode(span("yl", "yh")))
     c = _grid(cells, bucket)
-    cand = c.join(tiles, [SEC, "_gx", "_gy"]).where("x >= xl and x <= xh and y >= yl and y <= yh") \
-        .drop("xl", "xh", "yl", "yh", "_k", "_gx", "_gy")
-    j = cand.select(SEC, lesion, CELL, "x", "y").join(e, key)
-    vx, vy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
-    wx, wy = F.col("x") - F.col("ax"), F.col("y") - F.col("ay")
-    t = F.greatest(F.least((wx * vx + wy * vy) / (vx * vx + vy * vy + 1e-12), F.lit(1.0)), F.lit(0.0))
-    px, py = wx - t * vx, wy - t * vy
-    g = (j.withColumn("_d2", px * px + py * py).withColumn("_in", vx * wy - vy * wx >= 0)
+    cand = c.join(tiles, [SEC, "_gx", "_gy"]).where("x >= xl and x <= xh and y >= yl and y <= yh").select(SEC, lesion, CELL, "x", "y")
+    x, y, ax, ay, bx, by = (F.col(n) for n in ("x", "y", "ax", "ay", "bx", "by"))
+    g = (near_edges(cand, corners, lesion).withColumn("_d2", _segment_d2(x, y, ax, ay, bx, by))
+         .withColumn("_in", (bx - ax) * (y - ay) - (by - ay) * (x - ax) >= 0)
          .groupBy(SEC, lesion, CELL).agg(F.sqrt(F.min("_d2")).alias("_d"), F.bool_and("_in").alias("_in")))
     return g.select(SEC, lesion, CELL, F.when(F.col("_in"), -F.col("_d")).otherwise(F.col("_d")).alias("signed_dist"))
 

@@ -87,6 +87,37 @@ def test_unit_square(spark):
     assert math.isclose(d[10], -0.5) and abs(d[11]) < 1e-12 and math.isclose(d[12], 1.0)
 
 
+def test_hull_of_many_corners(spark):
+    """A hull of 1e5 corners beside hulls of 40, 3 and 2: as against every edge, with few edges a cell."""
+    rng = np.random.default_rng(11)
+    big, n = 1e6, 100_000
+    a = 2 * np.pi * np.arange(n) / n
+    b = 2 * np.pi * np.arange(40) / 40
+    ring = {1: np.c_[big * np.cos(a), 0.6 * big * np.sin(a)], 2: np.c_[5e5 + 3e5 * np.cos(b), 3e5 * np.sin(b)],
+            3: np.array([[0.0, 0.0], [1e5, 0.0], [0.0, 2e5]]), 4: np.array([[0.0, 0.0], [1e5, 0.0]])}
+    rows = [(0, les, i, float(x), float(y)) for les, p in ring.items() for i, (x, y) in enumerate(p)]
+    corners = spark.createDataFrame(rows, "section_id int, lesion int, seq int, x double, y double")
+    probe = np.r_[rng.uniform(-1.2e6, 1.2e6, (120, 2)), ring[1][::9973], ring[1][::8123] * 0.9999, [[0.0, 0.0], [1.0, 0.0]], ring[2][:3]]
+    cells = points(spark, [(0, i, x, y) for i, (x, y) in enumerate(probe)])
+    margin = 2e5
+    got = {(r.lesion, r.cell_id): r.signed_dist for r in G.signed_distance(cells, corners, margin, 2.5e5).collect()}
+    want = {}
+    for les in (1, 2, 3):
+        p = ring[les]
+        q, lo, hi = np.roll(p, -1, 0), p.min(0) - margin, p.max(0) + margin
+        for i, z in enumerate(probe):
+            if (z >= lo).all() and (z <= hi).all():
+                v, w = q - p, z - p
+                t = np.clip((v * w).sum(1) / (v * v).sum(1), 0, 1)
+                d = np.sqrt((((w - t[:, None] * v) ** 2).sum(1)).min())
+                want[(les, i)] = -d if (v[:, 0] * w[:, 1] - v[:, 1] * w[:, 0] >= 0).all() else d
+    assert set(got) == set(want)
+    assert max(abs(abs(got[k]) - abs(want[k])) for k in want) < 1e-3
+    assert all(got[k] * want[k] > 0 for k in want if abs(want[k]) > 1e-3)
+    inner = cells.where("cell_id < 120").selectExpr("section_id", "1 AS lesion", "cell_id", "x", "y")
+    assert G.near_edges(inner, corners).count() < 120 * 10 * G.FAN
+
+
 def test_enrichment_moments_match_relabelling(spark):
     rng = np.random.default_rng(4)
     n = 9
