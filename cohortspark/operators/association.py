@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.functions import kernels as NK
-from cohortspark.functions.ordering import bh_adjust, large_midrank, midrank, weighted_midrank
+from cohortspark.functions.ordering import bh_adjust, large_midrank, midrank, top_k, weighted_midrank
 from cohortspark.functions.scalars import c, clip, ratio
 from cohortspark.functions.special import p_student
 from cohortspark.session import cut
@@ -281,13 +281,27 @@ def within_unit_slopes(long: DataFrame, levels: DataFrame, unit: str, feature: s
 
 def agreement(a: DataFrame, b: DataFrame, feature: str, x: str, q: str | None = None, level: float = 0.05
               ) -> DataFrame:
-    """Agreement of two effect tables (T24): rank correlation, share of equal sign, shared hits."""
+    """Agreement of two effect tables (T24): rank correlation with its t probability, share of equal sign and, given ``q``, shared hits."""
     j = a.select(feature, F.col(x).alias("_x1"), *([F.col(q).alias("_qa")] if q else [])) \
         .join(b.select(feature, F.col(x).alias("_x2"), *([F.col(q).alias("_qb")] if q else [])), feature)
     ranks = large_midrank(large_midrank(j, "_x1", out="_ra"), "_x2", out="_rb")
-    both = (F.count_if((F.col("_qa") < level) & (F.col("_qb") < level)) if q else F.lit(0)).alias("n_both")
-    return ranks.agg(F.count(F.lit(1)).alias("n"), pearson("_ra", "_rb").alias("rho"),
-                     F.avg((F.signum("_x1") == F.signum("_x2")).cast("double")).alias("same_sign"), both)
+    both = [F.count_if((F.col("_qa") < level) & (F.col("_qb") < level)).alias("n_both")] if q else []
+    out = ranks.agg(F.count(F.lit(1)).alias("n"), pearson("_ra", "_rb").alias("rho"),
+                    F.avg((F.signum("_x1") == F.signum("_x2")).cast("double")).alias("same_sign"), *both)
+    return out.withColumn("p", p_student(t_of_r("rho", F.col("n") - 2), F.col("n") - 2))
+
+
+def conserved_lists(a: DataFrame, b: DataFrame, feature: str, x: str, k: int) -> DataFrame:
+    """The ``k`` features that rise most, and fall most, in both effect tables (T24): direction, place, feature, a, b.
+
+    Only features whose effects have one sign in both count; they are ordered by the sum of the two, ties by feature.
+    """
+    j = a.select(feature, F.col(x).alias("a")).join(b.select(feature, F.col(x).alias("b")), feature)
+    side = F.when((F.col("a") > 0) & (F.col("b") > 0), "up").when((F.col("a") < 0) & (F.col("b") < 0), "down")
+    j = j.withColumn("direction", side).where("direction IS NOT NULL").withColumn("_s", F.round(F.abs(F.col("a") + F.col("b")), 9))
+    best = top_k(j, [F.col("_s").desc(), F.col(feature)], k, ["direction"])
+    w = Window.partitionBy("direction").orderBy(F.col("_s").desc(), feature)   # 2 k rows
+    return best.select("direction", F.row_number().over(w).alias("place"), feature, "a", "b")
 
 
 def dominance_counts(points: DataFrame, asks: DataFrame, strip: int | None = None) -> DataFrame:

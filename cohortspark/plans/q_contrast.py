@@ -10,7 +10,7 @@ from cohortspark.operators import contrast as K
 from cohortspark.operators import counts as C
 from cohortspark.operators import evaluation as E
 from cohortspark.operators import selection as P
-from cohortspark.plans.q_association import RANK_SQL, pb, region_rank
+from cohortspark.plans.q_association import RANK_SQL, gauss_tail, pb, region_rank
 from cohortspark.plans.registry import query
 
 
@@ -109,6 +109,20 @@ def _(t):
     return K.signed_rank(d, ["region"], "d")
 
 
+@query("t13_signed_rank_p", f"""
+WITH d AS (SELECT animal_id, region, round(avg(cell_day) FILTER (niche = 'F') - avg(cell_day) FILTER (niche = 'O'), 9) AS d FROM cells GROUP BY 1, 2),
+r AS (SELECT region, d, rank() OVER (PARTITION BY region ORDER BY abs(d)) + (count(*) OVER (PARTITION BY region, abs(d)) - 1) / 2.0::double AS r FROM d WHERE d <> 0),
+z AS (SELECT region, count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0) AS w_plus, coalesce(sum(r) FILTER (d < 0), 0) AS w_minus FROM r GROUP BY 1),
+e AS (SELECT region, sum(t * t * t - t) AS tie FROM (SELECT region, abs(d) AS a, count(*) AS t FROM r GROUP BY 1, 2) GROUP BY 1),
+f AS (SELECT *, least(w_plus, w_minus) AS w FROM z JOIN e USING (region)),
+h AS (SELECT *, (w - n * (n + 1) / 4.0::double) / nullif(sqrt(n * (n + 1) * (2 * n + 1) / 24.0::double - tie / 48.0::double), 0) AS zz FROM f)
+SELECT region, n, w_plus, w_minus, w, CASE WHEN zz IS NOT NULL THEN {gauss_tail('zz')} END AS p FROM h""", "w_plus w_minus w p")
+def _(t):
+    d = t.cells.groupBy("animal_id", "region").agg(
+        F.round(F.avg(F.when(F.col("niche") == "F", F.col("cell_day"))) - F.avg(F.when(F.col("niche") == "O", F.col("cell_day"))), 9).alias("d"))
+    return K.signed_rank(d, ["region"], "d", p=True)
+
+
 @query("t15_sign_test", """
 SELECT region, count(*) FILTER (n_cells > 10) AS k, count(*) AS n, count(*) FILTER (n_cells > 10) / count(*)::double AS fraction FROM sections GROUP BY 1""",
        "fraction")

@@ -11,7 +11,7 @@ from cohortspark.operators import counts as C
 from cohortspark.operators import evaluation as E
 from cohortspark.operators import signaling as L
 from cohortspark.operators import spatial as G
-from cohortspark.plans.q_association import pb
+from cohortspark.plans.q_association import gauss_tail, pb
 from cohortspark.plans.registry import query
 from cohortspark.plans.twin_ctes import CTES
 
@@ -133,6 +133,22 @@ def _(t):
     return K.signed_rank(m, [], "d")
 
 
+@query("g9_radial_position_p", f"""
+WITH RECURSIVE z AS (SELECT section_id, cell_type, avg(d) AS m FROM (SELECT section_id, cell_id, min(signed_dist) AS d FROM {RS} GROUP BY 1, 2) JOIN space USING (section_id, cell_id) GROUP BY 1, 2),
+p AS (SELECT section_id, round(max(m) FILTER (cell_type = 'T11') - max(m) FILTER (cell_type = 'T00'), 9) AS d FROM z GROUP BY 1),
+r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0::double AS r FROM p WHERE d <> 0),
+y AS (SELECT count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0) AS w_plus, coalesce(sum(r) FILTER (d < 0), 0) AS w_minus FROM r),
+e AS (SELECT sum(t * t * t - t) AS tie FROM (SELECT abs(d) AS a, count(*) AS t FROM r GROUP BY 1)),
+f AS (SELECT *, least(w_plus, w_minus) AS w FROM y, e),
+h AS (SELECT *, (w - n * (n + 1) / 4.0::double) / nullif(sqrt(n * (n + 1) * (2 * n + 1) / 24.0::double - tie / 48.0::double), 0) AS zz FROM f)
+SELECT n, w_plus, w_minus, w, CASE WHEN zz IS NOT NULL THEN {gauss_tail('zz')} END AS p FROM h""", "w_plus w_minus w p")
+def _(t):
+    s = G.nearest_signed(signed(t).withColumn("signed_dist", F.round("signed_dist", 6)))
+    m = s.join(t.space, ["section_id", "cell_id"]).groupBy("section_id").agg(
+        F.round(F.avg(F.when(F.col("cell_type") == "T11", F.col("signed_dist"))) - F.avg(F.when(F.col("cell_type") == "T00", F.col("signed_dist"))), 9).alias("d"))
+    return K.signed_rank(m, [], "d", p=True)
+
+
 CTES["lesion_sizes"] = "SELECT DISTINCT section_id, lesion, size FROM fk_cells WHERE size >= 5"
 
 

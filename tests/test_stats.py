@@ -224,3 +224,14 @@ def test_intervals_with_few_units_are_null(spark):
     assert got["few"].observed is None and got["few"].n == 4 and got["few"].ci_lo is None
     assert got["many"].observed == 1 and got["many"].n_reps == 20 and math.isclose(got["many"].ci_lo, 1)
     assert got["flat"].observed is None and got["flat"].n == 6
+
+
+def test_conserved_lists_and_shared_hits(spark):
+    schema = "gene_id long, rho double, q double"
+    a = spark.createDataFrame([(1, 0.5, 0.01), (2, 0.2, 0.2), (3, -0.4, 0.01), (4, 0.3, 0.01), (5, 0.0, 1.0), (6, 0.6, None)], schema)
+    b = spark.createDataFrame([(1, 0.1, 0.04), (2, 0.4, 0.01), (3, -0.1, 0.01), (4, -0.3, 0.01), (5, 0.9, 0.01), (7, 0.9, 0.01)], schema)
+    got = [(r.direction, r.place, r.gene_id) for r in A.conserved_lists(a, b, "gene_id", "rho", 2).collect()]
+    assert sorted(got) == [("down", 1, 3), ("up", 1, 1), ("up", 2, 2)]
+    r = A.agreement(a, b, "gene_id", "rho", "q").first()
+    assert (r.n, r.n_both, r.same_sign) == (5, 3, 0.6)
+    assert "n_both" not in A.agreement(a, b, "gene_id", "rho").columns
