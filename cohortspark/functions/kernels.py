@@ -193,6 +193,38 @@ def enet_cv(blocks, p, k, l1, n_alphas, share):
 
 ROWS = 200                 # training rows up to which a fold is solved in as many unknowns as it has rows
 STEPS = 500                # Newton steps after which a fit counts as failed; three or four are usual
+PAIR_VALUES = 1 << 24      # products of row pairs that are kept for a batch of targets; beyond, they are taken when needed
+SET_VALUES = 1 << 22       # values of the feature sets that are solved side by side
+
+
+class RowMap:
+    """The linear map of :func:`adjusted_products` as what it holds: for each column a line on [1, C] and a scale.
+
+    The square matrix has a row and a column for each feature, which kept features and unions of sets make too many.
+    """
+
+    def __init__(self, line: np.ndarray, scale: np.ndarray):
+        self.line, self.scale = line, scale
+
+    @staticmethod
+    def of(t, p: int) -> RowMap:
+        if isinstance(t, RowMap):
+            return t
+        i = np.arange(t.shape[1] - 1)
+        return RowMap(t[:1 + p], t[1 + p + i, 1 + i])
+
+    def apply(self, rows: np.ndarray) -> np.ndarray:
+        """Rows over [1, C, X, Y] as rows over [1, X~, Y~]."""
+        at = len(self.line)
+        out = rows[:, :at] @ self.line
+        out[:, 1:] += rows[:, at:] * self.scale
+        return out
+
+    def dense(self) -> np.ndarray:
+        return np.concatenate([self.line, np.c_[np.zeros(len(self.scale)), np.diag(self.scale)]])
+
+    def __getitem__(self, at):
+        return self.dense()[at]
 
 
 class Columns:
@@ -203,8 +235,10 @@ class Columns:
         r = x.shape[-2]
         if self.shared:
             self.upper = np.triu_indices(r)
-            # single precision is enough for a step's direction; what is solved for is checked in double precision
-            self.pairs = np.ascontiguousarray((x[self.upper[0]] * x[self.upper[1]]).T, np.float32)
+            self.pairs = None
+            if x.shape[1] * len(self.upper[0]) <= PAIR_VALUES:
+                # single precision is enough for a step's direction; what is solved for is checked in double precision
+                self.pairs = np.ascontiguousarray((x[self.upper[0]] * x[self.upper[1]]).T, np.float32)
         self.eye = np.eye(r)
 
     def cross(self, theta, at):
@@ -218,6 +252,8 @@ class Columns:
         if not self.shared:
             x = self.x[at]
             return np.matmul(x * on[:, None, :], x.transpose(0, 2, 1))
+        if self.pairs is None:
+            return np.stack([own @ own.T for own in (self.x[:, o] for o in on)])
         used = np.flatnonzero(on.any(axis=0))
         flat = on[:, used].astype(np.float32) @ self.pairs[used]
         out = np.empty((len(on), *self.eye.shape))
@@ -291,7 +327,7 @@ def dual_path(cols, y, n, alphas, l1):
         yield w
 
 
-def row_map(parts, p, k, share):
+def row_map(parts, p, k, share) -> RowMap:
     """The map T of :func:`adjusted_products` from the training rows themselves, over [1, C, X, Y]."""
     rows = np.concatenate(parts)
     n, size = rows.shape
@@ -307,20 +343,19 @@ def row_map(parts, p, k, share):
     seen = rows[:, :1 + p] @ z
     m = size - 1 - p if q else k                       # without covariates only the features are centred
     fitted = z @ np.linalg.solve(seen.T @ seen, seen.T @ rows[:, 1 + p:1 + p + m])
-    t = np.zeros((size, size - p))
-    t[0, 0] = 1.0
-    t[1 + p:, 1:] = np.eye(size - 1 - p)
-    t[:1 + p, 1:1 + m] -= fitted
-    x = rows[:, 1 + p:1 + p + k] + rows[:, :1 + p] @ t[:1 + p, 1:1 + k]
+    line = np.zeros((1 + p, size - p))
+    line[0, 0] = 1.0
+    line[:, 1:1 + m] -= fitted
+    x = rows[:, 1 + p:1 + p + k] + rows[:, :1 + p] @ line[:, 1:1 + k]
     sd = np.sqrt(np.maximum((x * x).mean(axis=0), 0))
     sd[sd < 1e-10] = 1.0
-    t[:, 1:1 + k] /= sd
-    return t
+    line[:, 1:1 + k] /= sd
+    return RowMap(line, np.concatenate([1 / sd, np.ones(size - 1 - p - k)]))
 
 
 def by_rows(t, part, p, k):
     """(features, targets) of rows over [1, C, X, Y] under a map of :func:`row_map`."""
-    m = part[:, 1 + p:] * t[1 + p + np.arange(t.shape[0] - 1 - p), 1 + np.arange(t.shape[0] - 1 - p)] + part[:, :1 + p] @ t[:1 + p, 1:]
+    m = t.apply(part)[:, 1:]
     return m[:, :k], m[:, k:]
 
 
@@ -380,11 +415,14 @@ def enet_cv_sets(parts, p, k, sets, l1, n_alphas, share):
     t = row_map(parts, p, k, share)
     x, y = by_rows(t, np.concatenate(parts), p, k)
 
-    def columns(rows, centre):
-        own = x[rows][:, sets].transpose(1, 0, 2)
-        mean = own.mean(axis=1) if centre is None else centre
-        return own - mean[:, None, :], mean
-    w, b0, alpha = _choose(columns, np.repeat(y[:, :1], len(sets), axis=1), [len(b) for b in parts], n_alphas, l1)
+    def fits(some):
+        def columns(rows, centre):
+            own = x[rows][:, some].transpose(1, 0, 2)
+            mean = own.mean(axis=1) if centre is None else centre
+            return own - mean[:, None, :], mean
+        return _choose(columns, np.repeat(y[:, :1], len(some), axis=1), [len(b) for b in parts], n_alphas, l1)
+    step = max(1, SET_VALUES // max(1, len(x) * sets.shape[1]))
+    w, b0, alpha = (np.concatenate(v) for v in zip(*[fits(sets[i:i + step]) for i in range(0, len(sets), step)]))
     return t, w, b0, alpha
 
 
@@ -415,9 +453,9 @@ def leading_scores_rows(parts, p, k, share, d):
     _, val, vec = np.linalg.svd(x - mean, full_matrices=False)
     d = min(d, len(val))
     axes = vec[:d].T / np.sqrt(np.maximum(val[:d] ** 2 / len(x), 1e-12))
-    shift = np.zeros((t.shape[0], d))
-    shift[0] = mean @ axes
-    return t[:, 1:1 + k] @ axes - shift
+    out = np.concatenate([t.line[:, 1:1 + k] @ axes, t.scale[:k, None] * axes])
+    out[0] -= mean @ axes
+    return out
 
 
 def logistic(x, y, strength=1.0, rounds=1000):

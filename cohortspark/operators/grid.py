@@ -25,6 +25,11 @@ from cohortspark.functions import kernels as NK
 from cohortspark.session import cut
 
 
+SCREEN_ROWS = 500_000       # rows of one feature set that a screening task reads
+SLAB_VALUES = 1 << 21       # features by units that it holds as a matrix
+FOLD_SLAB = 256             # folds that it takes side by side
+
+
 @dataclass(frozen=True)
 class Settings:
     top: int = 1000             # features kept per fold by training variance
@@ -63,62 +68,33 @@ def _folds(units: DataFrame, full_fit: bool) -> DataFrame:
 def screen(x: DataFrame, units: DataFrame, folds: DataFrame, s: Settings, keep: DataFrame | None) -> DataFrame:
     """(task, fold, feature, pos): the ``top`` features by adjusted training variance; kept ones come first.
 
-    Sums per (task, feature, own fold) are combined map-side from non-zero rows. Training sums of a fold are the
-    total minus its own part, so folds cost one row per (fold, feature), not another pass over the data.
+    Features are dealt into buckets; a bucket meets the units of its feature set, so sums of a feature for all tasks and folds are products
+    of its rows with the design, and training sums are the total minus the fold's own part. A bucket hands on its own ``top`` features of
+    each fold, so neither folds nor tasks multiply the rows that travel.
     """
-    j = x.join(units, ["fset", "unit"])
-    own = (j.groupBy("task", "feature", "fold")
-           .agg(F.sum("value").alias("s1"), F.sum(F.col("value") * F.col("value")).alias("s2"),
-                *_array_sums("c", "sc", "value", _width(units, "c"))))
     p = _width(units, "c")
-    sc = [f"sc{i}" for i in range(p)]
-    tot = own.groupBy("task", "feature").agg(*[F.sum(v).alias(f"t_{v}") for v in ("s1", "s2", *sc)])
-    out = own.where("fold is not null").select("task", "feature", "fold", "s1", "s2", *sc)
-    g = tot.join(folds, "task").join(out, ["task", "feature", "fold"], "left")
-    cc = [(f"cc{a}_{b}", a, b) for a in range(p) for b in range(a, p)]
-    u_sum = units.select("task", "fold", *[F.col("c")[i].alias(f"m{i}") for i in range(p)]) if p else units.select("task", "fold")
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(f"m{i}").alias(f"m{i}") for i in range(p)] \
-        + [F.sum(F.col(f"m{a}") * F.col(f"m{b}")).alias(nm) for nm, a, b in cc]
-    u_own = u_sum.groupBy("task", "fold").agg(*aggs)
-    names = ["n"] + [f"m{i}" for i in range(p)] + [nm for nm, _, _ in cc]
-    u_tot = u_own.groupBy("task").agg(*[F.sum(v).alias(f"t_{v}") for v in names])
-    u_tr = folds.join(u_tot, "task").join(u_own.where("fold is not null"), ["task", "fold"], "left") \
-        .select("task", "fold", *[(F.col(f"t_{v}") - F.coalesce(F.col(v), F.lit(0))).cast("double").alias(f"u_{v}") for v in names])
-    tr = g.join(u_tr, ["task", "fold"]).select(
-        "task", "fold", "feature", *[(F.col(f"t_{v}") - F.coalesce(F.col(v), F.lit(0.0))).alias(v) for v in ("s1", "s2", *sc)],
-        *[f"u_{v}" for v in names])
-    share = s.covariate_share
-
-    def variance(batches):
-        for d in batches:
-            n = d["u_n"].to_numpy(float)
-            s1 = d["s1"].to_numpy(float)
-            v = d["s2"].to_numpy(float) - s1 * s1 / n
-            if p:
-                m = np.stack([d[f"u_m{i}"].to_numpy(float) for i in range(p)], 1)
-                sx = np.stack([d[c].to_numpy(float) for c in sc], 1) - m * (s1 / n)[:, None]
-                codes, first = pd.factorize(d["task"] + "\t" + d["fold"])[0], None
-                for code in np.unique(codes):
-                    rows = np.flatnonzero(codes == code)
-                    first = rows[0]
-                    cov = np.zeros((p, p))
-                    for nm, a, b in cc:
-                        cov[a, b] = cov[b, a] = d[f"u_{nm}"].iloc[first] - m[first, a] * m[first, b] / n[first]
-                    basis = NK.covariate_basis(cov / n[first], share)
-                    inner = basis.T @ cov @ basis
-                    proj = sx[rows] @ basis
-                    v[rows] -= np.einsum("ij,ij->i", proj, np.linalg.solve(inner, proj.T).T) if basis.shape[1] else 0
-            yield pd.DataFrame({"task": d["task"], "fold": d["fold"], "feature": d["feature"], "var": np.maximum(v, 0) / n})
-    if p <= 1:
-        # one covariate or none: the adjusted variance is a column expression
-        raw = F.col("s2") - F.col("s1") * F.col("s1") / F.col("u_n")
-        if p:
-            both = F.col("sc0") - F.col("u_m0") * F.col("s1") / F.col("u_n")
-            own = F.col("u_cc0_0") - F.col("u_m0") * F.col("u_m0") / F.col("u_n")
-            raw = raw - F.when(own > 0, both * both / own).otherwise(0.0)
-        ranked = tr.select("task", "fold", "feature", (F.greatest(raw, F.lit(0.0)) / F.col("u_n")).alias("var"))
+    x = x.where("unit IS NOT NULL").select("fset", "unit", "feature", "value")
+    if keep is not None:
+        x = x.join(keep.select(F.col("feature").cast("string"), F.lit(True).alias("_keep")).distinct(), "feature", "left")
     else:
-        ranked = tr.mapInPandas(variance, "task string, fold string, feature string, var double")
+        x = x.withColumn("_keep", F.lit(None).cast("boolean"))
+    rows = x.groupBy("fset").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    buckets = max(1, -(-rows // SCREEN_ROWS))
+    x = x.select("fset", F.pmod(F.xxhash64("feature"), F.lit(buckets)).cast("int").alias("bucket"), "unit", "feature", "value", F.coalesce("_keep", F.lit(False)).alias("_keep"))
+    # the design of a feature set: its units, and the folds of its tasks as rows without a unit
+    design = units.select("fset", "task", "unit", "fold", "c", F.lit(False).alias("_fold"))
+    design = design.unionByName(units.select("fset", "task").distinct().join(folds, "task").select("fset", "task", "fold", F.lit(True).alias("_fold")), allowMissingColumns=True)
+    design = design.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    share, top = s.covariate_share, s.top
+
+    def variance(key, vals: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(vals) and len(plan):
+            out = list(_adjusted_variances(vals, plan, p, share, top))
+        cols = ["task", "fold", "feature", "var"]
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in cols})
+    keys = ["fset", "bucket"]
+    ranked = _paired(_spread(x, *keys), design, keys).applyInPandas(variance, "task string, fold string, feature string, var double")
     if keep is not None:
         ranked = ranked.join(keep.select(F.col("feature").cast("string"), F.lit(True).alias("_keep")), "feature", "left")
     else:
@@ -131,16 +107,99 @@ def screen(x: DataFrame, units: DataFrame, folds: DataFrame, s: Settings, keep:
     return ranked.withColumn("pos", F.row_number().over(w) - 1).select("task", "fold", "feature", "pos")
 
 
+def _adjusted_variances(vals: pd.DataFrame, plan: pd.DataFrame, p: int, share: float | None, top: int):
+    """Frames (task, fold, feature, var) of the features of one bucket that can be among the ``top`` of a fold, and of the kept ones.
+
+    Rows of a unit that repeats count as often as it does, for features and for units.
+    """
+    own = ~plan["_fold"].to_numpy(bool)
+    index = pd.Index(plan["unit"][own].dropna().unique())
+    at = index.get_indexer(vals["unit"])
+    vals, at = vals[at >= 0], at[at >= 0]
+    code, names = pd.factorize(vals["feature"], use_na_sentinel=False)
+    nameless = np.asarray(pd.isna(names))
+    kept = np.zeros(len(names), bool)
+    kept[code[vals["_keep"].to_numpy(bool)]] = True
+    v = np.nan_to_num(vals["value"].to_numpy(float), nan=0.0) if vals["value"].isna().any() else vals["value"].to_numpy(float)
+    order = np.argsort(code, kind="stable")
+    code, at, v = code[order], at[order], v[order]
+    width = len(index)
+    step = max(1, SLAB_VALUES // max(1, width))
+    tasks = []
+    for task, d in plan[own].groupby("task", sort=False):
+        c = np.array([np.zeros(p) if e is None else e for e in d["c"]], float).reshape(len(d), p)
+        f = plan["fold"][(plan["task"] == task).to_numpy() & ~own].drop_duplicates().tolist()
+        place = {k: i for i, k in enumerate(f)}
+        tasks.append((task, f, np.array([place.get(k, -1) for k in d["fold"]], int), index.get_indexer(d["unit"]), np.nan_to_num(c)))
+    for lo in range(0, len(names), step):
+        hi = min(lo + step, len(names))
+        a, b = np.searchsorted(code, [lo, hi])
+        flat = (code[a:b] - lo) * width + at[a:b]
+        cells = lambda w: np.bincount(flat, w, (hi - lo) * width).reshape(hi - lo, width)
+        m1, m2, seen = cells(v[a:b]), cells(v[a:b] ** 2), cells(None)
+        for task, f, fold, unit, c in tasks:
+            known = unit >= 0
+            columns = np.concatenate([np.ones((len(unit), 1)), c], axis=1)
+
+            def sums(which, groups):
+                """Per feature and group of units: sums of x, x^2 and x c."""
+                w = np.zeros((1 + p, width, groups.max(initial=0) + 1))
+                np.add.at(w, (slice(None), unit[which], groups), columns[which].T)
+                return np.stack([m1 @ w[0], m2 @ w[0], *[m1 @ w[1 + i] for i in range(p)]])
+            whole = sums(known, np.zeros(known.sum(), int))
+            alive = (seen[:, np.unique(unit[known])] > 0).any(axis=1)
+            u_all = columns.T @ columns
+            for first in range(0, len(f), FOLD_SLAB):
+                some = f[first:first + FOLD_SLAB]
+                inside = (fold >= first) & (fold < first + len(some))
+                held = np.zeros((2 + p, hi - lo, len(some)))
+                if (inside & known).any():
+                    part = sums(inside & known, fold[inside & known] - first)
+                    held[:, :, :part.shape[2]] = part
+                held[:, nameless[lo:hi]] = 0.0
+                train = whole - held
+                for j, name in enumerate(some):
+                    mine = columns[fold == first + j]
+                    u = u_all - mine.T @ mine
+                    n = u[0, 0]
+                    if n <= 0:
+                        continue
+                    s1, var = train[0, :, j], train[1, :, j] - train[0, :, j] ** 2 / n
+                    if p:
+                        cov = u[1:, 1:] - np.outer(u[0, 1:], u[0, 1:]) / n
+                        sx = train[2:, :, j].T - np.outer(s1 / n, u[0, 1:])
+                        if p == 1:
+                            var = var - sx[:, 0] ** 2 / cov[0, 0] if cov[0, 0] > 0 else var
+                        else:
+                            basis = NK.covariate_basis(cov / n, share)
+                            if basis.shape[1]:
+                                proj = sx @ basis
+                                var = var - np.einsum("ij,ij->i", proj, np.linalg.solve(basis.T @ cov @ basis, proj.T).T)
+                    var = np.maximum(var, 0) / n
+                    pick = np.flatnonzero(alive & (_leading(var, names[lo:hi], top) | kept[lo:hi]))
+                    yield pd.DataFrame({"task": task, "fold": name, "feature": names[lo:hi][pick], "var": var[pick]})
+
+
+def _leading(var: np.ndarray, names, top: int) -> np.ndarray:
+    """Which features can be among the ``top`` by variance rounded to 12 digits, ties by name."""
+    able = ~(var <= 1e-12)
+    if able.sum() <= top:
+        return able
+    v = np.where(np.isnan(var), np.inf, var)
+    least = np.partition(v, len(v) - top)[len(v) - top]
+    sure, near = v > least + 2e-12, np.flatnonzero(np.abs(v - least) <= 2e-12) if np.isfinite(least) else np.flatnonzero(v == least)
+    if len(near) and (v[near] == v[near[0]]).all() and not pd.isna(names[near]).any():
+        near = near[np.argsort(np.asarray(names[near], object), kind="stable")][:max(0, top - int(sure.sum()))]
+    sure[near] = True
+    return sure & able
+
+
 def _width(units: DataFrame, col: str) -> int:
     """Length of an array column: one number from one row."""
     r = units.select(F.size(col)).first()
     return int(r[0]) if r else 0
 
 
-def _array_sums(col, tag, value, width):
-    return [F.sum(F.col(col)[i] * F.col(value)).alias(f"{tag}{i}") for i in range(width)]
-
-
 def _blocks(units: DataFrame, folds: DataFrame, s: Settings) -> DataFrame:
     """(task, fold, unit, block, chunk): contiguous inner CV blocks of the training units, -1 for held-out ones."""
     r = (units.withColumnRenamed("fold", "_own").join(folds, "task")
@@ -168,7 +227,8 @@ def cross_products(x: DataFrame, blocks: DataFrame, sel: DataFrame) -> DataFrame
     Rows of one (task, fold, chunk of units) meet in a task: at most ``chunk`` units by ``top`` features.
     """
     width = sel.groupBy("task", "fold").agg((F.max("pos") + 1).alias("k"))
-    rows = (x.join(sel, "feature").join(blocks.select("task", "fset", "fold", "unit", "chunk"), ["task", "fold", "fset", "unit"])
+    own = sel.join(blocks.select("task", "fset").distinct(), "task")
+    rows = (x.join(own, ["fset", "feature"]).join(blocks.select("task", "fset", "fold", "unit", "chunk"), ["task", "fold", "fset", "unit"])
             .select("task", "fold", "chunk", "unit", "pos", "value"))
     base = (blocks.join(width, ["task", "fold"], "left").withColumn("k", F.coalesce("k", F.lit(0)))
             .select("task", "fold", "chunk", "unit", "block", "k", "y", "c"))
@@ -264,17 +324,18 @@ def _fit_grid(x: DataFrame, units: DataFrame, s: Settings, keep: DataFrame | Non
         rows = rows[:, cols]
         solve = NK.enet_cv_rows if by_rows else NK.enet_cv
         t, w, b0, alpha = solve(blk, p, k, s.l1, s.alphas, s.covariate_share)
-        adj = rows @ t
+        t = NK.RowMap.of(t, p)
+        adj = t.apply(rows)
         pred = adj[:, 1:1 + k] @ w + b0
         # the map is linear in [1, C, X]: the model on the scale of the data is a weight for each feature and one line
-        inverse = t[1 + p + np.arange(k), 1 + np.arange(k)]
-        line = t[:1 + p, 1:1 + k] @ w
+        inverse = t.scale[:k]
+        line = t.line[:, 1:1 + k] @ w
         line[0] += b0
         full = lambda j, v: v.tolist() if s.keep_coef is None or lo + j < s.keep_coef else []
         return pd.DataFrame([{
             "task": task, "fold": fold, "target": int(lo + j), "pred": pred[:, j].tolist(), "observed": adj[:, 1 + k + j].tolist(),
             "coef": full(j, w[:, j]), "n_nonzero": int((w[:, j] != 0).sum()), "alpha": float(alpha[j]), "weight": full(j, w[:, j] * inverse),
-            "sd": full(j, 1 / inverse), "line": line[:, j].tolist(), "target_line": (-t[:1 + p, 1 + k + j]).tolist()} for j in range(hi - lo)])
+            "sd": full(j, 1 / inverse), "line": line[:, j].tolist(), "target_line": (-t.line[:, 1 + k + j]).tolist()} for j in range(hi - lo)])
     fitted = cut(_spread(prod, "task", "fold", "batch").groupBy("task", "fold", "batch").applyInPandas(
         fit, "task string, fold string, target int, pred array<double>, observed array<double>, coef array<double>, "
              "n_nonzero int, alpha double, weight array<double>, sd array<double>, line array<double>, target_line array<double>"))
@@ -343,8 +404,8 @@ def leave_out_sets(x: DataFrame, units: DataFrame, sets: DataFrame, s: Settings
                 pos = np.stack([at[i] for i in of_size])
                 if by_rows:
                     t, w, b0, alpha = NK.enet_cv_sets(blk, p, k, pos, s.l1, s.alphas, s.covariate_share)
-                    adj = rows @ t
-                    pred = np.einsum("usm,sm->su", adj[:, 1:1 + k][:, pos], w) + b0[:, None]
+                    adj = t.apply(rows)
+                    pred = np.stack([adj[:, 1 + one] @ v for one, v in zip(pos, w)]) + b0[:, None]
                     observed = [adj[:, 1 + k]] * len(pos)
                 else:
                     fits = []
@@ -428,7 +489,8 @@ def component_scores(x: DataFrame, units: DataFrame, components: int, s: Setting
                             columns=["task", "fold", "k", "d", "axes"])
     proj = cut(cross_products(x, blocks, sel).groupBy("task", "fold")
                .applyInPandas(axes, "task string, fold string, k int, d int, axes binary"))
-    rows = (x.join(sel, "feature").join(blocks.select("task", "fset", "fold", "unit", "chunk"), ["task", "fold", "fset", "unit"])
+    own = sel.join(blocks.select("task", "fset").distinct(), "task")
+    rows = (x.join(own, ["fset", "feature"]).join(blocks.select("task", "fset", "fold", "unit", "chunk"), ["task", "fold", "fset", "unit"])
             .select("task", "fold", "chunk", "unit", "pos", "value"))
     base = blocks.join(proj, ["task", "fold"]).select("task", "fold", "chunk", "unit", "block", "y", "c", "k", "d", "axes")
     unit_type = units.schema["unit"].dataType.simpleString()

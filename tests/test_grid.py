@@ -226,3 +226,58 @@ def test_in_fold_axis_does_not_see_the_held_out_unit(spark):
         want = z @ vec / (z[tr] @ vec).std()
         want *= np.sign(np.cov(want[tr], x[tr, 0])[0, 1])
         assert np.allclose([base[str(f), i][0] for i in range(N)], want, atol=1e-8)
+
+
+def test_map_of_many_features_stays_thin():
+    """The map of a fold holds a line and a scale for each feature, not a square matrix (4,000 features: 128 MB); both ways of products agree."""
+    import tracemalloc
+    parts = problem(n=12, k=4000, targets=1)
+    tracemalloc.start()
+    t, w, b0, _ = NK.enet_cv_rows(parts, 2, 4000, 0.5, 5, None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    rows = np.concatenate(parts)
+    assert np.allclose(t.apply(rows)[:, 1:4001].std(0), 1.0) and np.isfinite(w).all()
+    lead = NK.leading_scores_rows(parts, 2, 4000, None, 3)
+    assert np.allclose((rows[:, :4003] @ lead).mean(0), 0, atol=1e-8)
+
+
+def test_products_of_rows_on_demand_give_the_same_fit(monkeypatch):
+    parts = problem()
+    _, w, b0, alpha = NK.enet_cv_rows(parts, 2, 60, 0.5, 10, None)
+    sets = np.arange(60).reshape(6, 10)
+    _, ws, _, _ = NK.enet_cv_sets(parts, 2, 60, sets, 0.5, 10, None)
+    monkeypatch.setattr(NK, "PAIR_VALUES", 0)
+    monkeypatch.setattr(NK, "SET_VALUES", 1)
+    _, w1, b1, a1 = NK.enet_cv_rows(parts, 2, 60, 0.5, 10, None)
+    assert np.allclose(w, w1, atol=1e-7) and np.allclose(b0, b1, atol=1e-7) and np.allclose(alpha, a1)
+    assert np.allclose(ws, NK.enet_cv_sets(parts, 2, 60, sets, 0.5, 10, None)[1], atol=1e-7)
+
+
+def test_screening_hands_on_few_rows_whatever_the_tasks():
+    """A bucket gives at most ``top`` features of a fold besides kept ones, equal variances by name; slabs do not change them."""
+    import pandas as pd
+    rng = np.random.default_rng(5)
+    x = rng.gamma(2.0, 1.0, (300, 9))
+    x[50:200] = x[50]                                        # half of the features vary alike
+    vals = pd.DataFrame([(u, f"g{j:03d}", x[j, u], j == 299) for j in range(300) for u in range(9)], columns=["unit", "feature", "value", "_keep"])
+    plan = pd.DataFrame([(t, u, str(u), [float(u % 4)], False) for t in ("a", "b") for u in range(9) if t == "a" or u != 3], columns=["task", "unit", "fold", "c", "_fold"])
+    plan = pd.concat([plan, plan.assign(unit=None, c=None, _fold=True)])
+
+    def variance(j, tr):
+        c = np.c_[np.ones(len(tr)), np.array(tr) % 4]
+        return (x[j, tr] - c @ np.linalg.lstsq(c, x[j, tr], rcond=None)[0]).var()
+    whole = pd.concat(M._adjusted_variances(vals, plan, 1, None, 20))
+    for (task, fold), g in whole.groupby(["task", "fold"]):
+        tr = [u for u in range(9) if u != int(fold) and (task == "a" or u != 3)]
+        want = sorted(range(300), key=lambda j: (-round(variance(j, tr), 9), j))[:20]
+        assert {f"g{j:03d}" for j in want} | {"g299"} == set(g["feature"]) and len(g) <= 21
+    old = M.SLAB_VALUES, M.FOLD_SLAB
+    try:
+        M.SLAB_VALUES, M.FOLD_SLAB = 9 * 40, 2
+        small = pd.concat(M._adjusted_variances(vals, plan, 1, None, 20))
+    finally:
+        M.SLAB_VALUES, M.FOLD_SLAB = old
+    both = whole.merge(small, on=["task", "fold", "feature"], how="left")
+    assert np.allclose(both["var_x"], both["var_y"])
