@@ -73,7 +73,8 @@ def screen(x: DataFrame, units: DataFrame, folds: DataFrame, s: Settings, keep:
     each fold, so neither folds nor tasks multiply the rows that travel.
     """
     p = _width(units, "c")
-    x = x.where("unit IS NOT NULL").select("fset", "unit", "feature", "value")
+    # a null adds nothing to a sum; what is not a number does
+    x = x.where("unit IS NOT NULL AND fset IS NOT NULL").select("fset", "unit", "feature", F.coalesce("value", F.lit(0.0)).alias("value"))
     if keep is not None:
         x = x.join(keep.select(F.col("feature").cast("string"), F.lit(True).alias("_keep")).distinct(), "feature", "left")
     else:
@@ -82,7 +83,8 @@ def screen(x: DataFrame, units: DataFrame, folds: DataFrame, s: Settings, keep:
     buckets = max(1, -(-rows // SCREEN_ROWS))
     x = x.select("fset", F.pmod(F.xxhash64("feature"), F.lit(buckets)).cast("int").alias("bucket"), "unit", "feature", "value", F.coalesce("_keep", F.lit(False)).alias("_keep"))
     # the design of a feature set: its units, and the folds of its tasks as rows without a unit
-    design = units.select("fset", "task", "unit", "fold", "c", F.lit(False).alias("_fold"))
+    units = units.where("fset IS NOT NULL AND task IS NOT NULL")
+    design = units.select("fset", "task", "unit", "fold", F.transform("c", lambda e: F.coalesce(e, F.lit(0.0))).alias("c"), F.lit(False).alias("_fold"))
     design = design.unionByName(units.select("fset", "task").distinct().join(folds, "task").select("fset", "task", "fold", F.lit(True).alias("_fold")), allowMissingColumns=True)
     design = design.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
     share, top = s.covariate_share, s.top
@@ -92,7 +94,7 @@ def screen(x: DataFrame, units: DataFrame, folds: DataFrame, s: Settings, keep:
         if len(vals) and len(plan):
             out = list(_adjusted_variances(vals, plan, p, share, top))
         cols = ["task", "fold", "feature", "var"]
-        return pd.concat(out) if out else pd.DataFrame({c: [] for c in cols})
+        return pd.concat(out).astype({c: object for c in cols[:3]}) if out else pd.DataFrame({c: [] for c in cols})
     keys = ["fset", "bucket"]
     ranked = _paired(_spread(x, *keys), design, keys).applyInPandas(variance, "task string, fold string, feature string, var double")
     if keep is not None:
@@ -116,13 +118,15 @@ def _adjusted_variances(vals: pd.DataFrame, plan: pd.DataFrame, p: int, share: f
     index = pd.Index(plan["unit"][own].dropna().unique())
     at = index.get_indexer(vals["unit"])
     vals, at = vals[at >= 0], at[at >= 0]
-    code, names = pd.factorize(vals["feature"], use_na_sentinel=False)
+    code, names = pd.factorize(vals["feature"].astype(object), use_na_sentinel=False)
     nameless = np.asarray(pd.isna(names))
     kept = np.zeros(len(names), bool)
     kept[code[vals["_keep"].to_numpy(bool)]] = True
-    v = np.nan_to_num(vals["value"].to_numpy(float), nan=0.0) if vals["value"].isna().any() else vals["value"].to_numpy(float)
+    v = vals["value"].to_numpy(float)
     order = np.argsort(code, kind="stable")
     code, at, v = code[order], at[order], v[order]
+    odd = ~np.isfinite(v)
+    v[odd] = 0.0
     width = len(index)
     step = max(1, SLAB_VALUES // max(1, width))
     tasks = []
@@ -130,13 +134,13 @@ def _adjusted_variances(vals: pd.DataFrame, plan: pd.DataFrame, p: int, share: f
         c = np.array([np.zeros(p) if e is None else e for e in d["c"]], float).reshape(len(d), p)
         f = plan["fold"][(plan["task"] == task).to_numpy() & ~own].drop_duplicates().tolist()
         place = {k: i for i, k in enumerate(f)}
-        tasks.append((task, f, np.array([place.get(k, -1) for k in d["fold"]], int), index.get_indexer(d["unit"]), np.nan_to_num(c)))
+        tasks.append((task, f, np.array([place.get(k, -1) for k in d["fold"]], int), index.get_indexer(d["unit"]), c))
     for lo in range(0, len(names), step):
         hi = min(lo + step, len(names))
         a, b = np.searchsorted(code, [lo, hi])
         flat = (code[a:b] - lo) * width + at[a:b]
         cells = lambda w: np.bincount(flat, w, (hi - lo) * width).reshape(hi - lo, width)
-        m1, m2, seen = cells(v[a:b]), cells(v[a:b] ** 2), cells(None)
+        m1, m2, seen, wild = cells(v[a:b]), cells(v[a:b] ** 2), cells(None), cells(odd[a:b])
         for task, f, fold, unit, c in tasks:
             known = unit >= 0
             columns = np.concatenate([np.ones((len(unit), 1)), c], axis=1)
@@ -148,6 +152,7 @@ def _adjusted_variances(vals: pd.DataFrame, plan: pd.DataFrame, p: int, share: f
                 return np.stack([m1 @ w[0], m2 @ w[0], *[m1 @ w[1 + i] for i in range(p)]])
             whole = sums(known, np.zeros(known.sum(), int))
             alive = (seen[:, np.unique(unit[known])] > 0).any(axis=1)
+            whole[:, (wild[:, np.unique(unit[known])] > 0).any(axis=1)] = np.nan
             u_all = columns.T @ columns
             for first in range(0, len(f), FOLD_SLAB):
                 some = f[first:first + FOLD_SLAB]
@@ -169,14 +174,14 @@ def _adjusted_variances(vals: pd.DataFrame, plan: pd.DataFrame, p: int, share: f
                         cov = u[1:, 1:] - np.outer(u[0, 1:], u[0, 1:]) / n
                         sx = train[2:, :, j].T - np.outer(s1 / n, u[0, 1:])
                         if p == 1:
-                            var = var - sx[:, 0] ** 2 / cov[0, 0] if cov[0, 0] > 0 else var
+                            var = var if cov[0, 0] <= 0 else var - sx[:, 0] ** 2 / cov[0, 0]
                         else:
                             basis = NK.covariate_basis(cov / n, share)
                             if basis.shape[1]:
                                 proj = sx @ basis
                                 var = var - np.einsum("ij,ij->i", proj, np.linalg.solve(basis.T @ cov @ basis, proj.T).T)
                     var = np.maximum(var, 0) / n
-                    pick = np.flatnonzero(alive & (_leading(var, names[lo:hi], top) | kept[lo:hi]))
+                    pick = np.flatnonzero(alive & (_leading(np.where(kept[lo:hi], 0.0, var), names[lo:hi], top) | kept[lo:hi]))
                     yield pd.DataFrame({"task": task, "fold": name, "feature": names[lo:hi][pick], "var": var[pick]})
 
 
@@ -326,6 +331,7 @@ def _fit_grid(x: DataFrame, units: DataFrame, s: Settings, keep: DataFrame | Non
         t, w, b0, alpha = solve(blk, p, k, s.l1, s.alphas, s.covariate_share)
         t = NK.RowMap.of(t, p)
         adj = t.apply(rows)
+        adj[~np.isfinite(rows).all(axis=1)] = np.nan         # such a unit has no adjusted value at all
         pred = adj[:, 1:1 + k] @ w + b0
         # the map is linear in [1, C, X]: the model on the scale of the data is a weight for each feature and one line
         inverse = t.scale[:k]
@@ -405,6 +411,7 @@ def leave_out_sets(x: DataFrame, units: DataFrame, sets: DataFrame, s: Settings
                 if by_rows:
                     t, w, b0, alpha = NK.enet_cv_sets(blk, p, k, pos, s.l1, s.alphas, s.covariate_share)
                     adj = t.apply(rows)
+                    adj[~np.isfinite(rows).all(axis=1)] = np.nan
                     pred = np.stack([adj[:, 1 + one] @ v for one, v in zip(pos, w)]) + b0[:, None]
                     observed = [adj[:, 1 + k]] * len(pos)
                 else:

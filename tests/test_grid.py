@@ -271,8 +271,8 @@ def test_screening_hands_on_few_rows_whatever_the_tasks():
     whole = pd.concat(M._adjusted_variances(vals, plan, 1, None, 20))
     for (task, fold), g in whole.groupby(["task", "fold"]):
         tr = [u for u in range(9) if u != int(fold) and (task == "a" or u != 3)]
-        want = sorted(range(300), key=lambda j: (-round(variance(j, tr), 9), j))[:20]
-        assert {f"g{j:03d}" for j in want} | {"g299"} == set(g["feature"]) and len(g) <= 21
+        want = sorted(range(299), key=lambda j: (-round(variance(j, tr), 9), j))[:20]
+        assert {f"g{j:03d}" for j in want} | {"g299"} == set(g["feature"]) and len(g) == 21
     old = M.SLAB_VALUES, M.FOLD_SLAB
     try:
         M.SLAB_VALUES, M.FOLD_SLAB = 9 * 40, 2
@@ -281,3 +281,18 @@ def test_screening_hands_on_few_rows_whatever_the_tasks():
         M.SLAB_VALUES, M.FOLD_SLAB = old
     both = whole.merge(small, on=["task", "fold", "feature"], how="left")
     assert np.allclose(both["var_x"], both["var_y"])
+
+
+def test_screening_keeps_nulls_apart_from_what_is_no_number():
+    """Values that are no number make a feature's variance no number in the tasks that hold their unit, and nowhere else."""
+    import pandas as pd
+    rng = np.random.default_rng(6)
+    x = rng.gamma(2.0, 1.0, (30, 8))
+    x[4, 7] = np.nan
+    vals = pd.DataFrame([(u, f"g{j:02d}" if j != 9 else None, x[j, u], False) for j in range(30) for u in range(8)], columns=["unit", "feature", "value", "_keep"])
+    plan = pd.DataFrame([(t, u, str(u), [], False) for t in ("a", "b") for u in range(8) if t == "a" or u != 7], columns=["task", "unit", "fold", "c", "_fold"])
+    got = pd.concat(M._adjusted_variances(vals, pd.concat([plan, plan.assign(unit=None, c=None, _fold=True)]), 0, None, 40))
+    odd = got[got["var"].isna()]
+    assert set(odd["task"]) == {"a"} and set(odd["feature"]) == {"g04"} and len(odd) == 8
+    plain = got[(got["task"] == "b") & (got["fold"] == "2") & (got["feature"] == "g03")]["var"].iloc[0]
+    assert plain == pytest.approx(x[3, [0, 1, 3, 4, 5, 6]].var())
