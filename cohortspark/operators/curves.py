@@ -11,9 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.functions.ordering import large_midrank, midrank, rank_codes
+from cohortspark.functions.ordering import large_midrank, midrank
 from cohortspark.functions.scalars import hash_u32, ratio, sign_label
-from cohortspark.operators.association import partial_r, pearson, weighted_rank_corr
+from cohortspark.operators.association import partial_r, pearson
+from cohortspark.operators.resample import resampled_ranks
 from cohortspark.session import cut
 
 UNIT = "animal_id"
@@ -292,21 +293,20 @@ def shape_contrast(profile: DataFrame, kind: str = "raw", long_from: int = 7, sh
         .withColumn("contrast", F.col("long_mean") - F.col("short_mean"))
 
 
-def memory_timescale(history: DataFrame, units: DataFrame, program: str, weights: DataFrame | None = None) -> DataFrame:
+def memory_timescale(history: DataFrame, units: DataFrame, program: str, reps: int | None = None, seed: int = 0) -> DataFrame:
     """Time constant with the strongest rank correlation to a program (T31), smallest on ties.
 
-    ``weights`` (rep, unit, _w) of resampled units give one row for each replicate: values are coded once for each time constant, and a
-    replicate only ranks codes by weight.
+    With ``reps`` the units are drawn with replacement that many times, the same for all time constants, and each replicate gives a row.
     """
     d = history.join(units.select(UNIT, program), UNIT).where(F.col(program).isNotNull() & F.col("ewi").isNotNull())
-    if weights is None:
+    if reps is None:
         part = []
         r = large_midrank(large_midrank(d.select("tau", "ewi", program), "ewi", ["tau"], "_x"), program, ["tau"], "_y")
         g = r.groupBy("tau").agg(F.count(F.lit(1)).alias("n"), pearson("_x", "_y").alias("rho"))
     else:
         part = ["rep"]
-        d = rank_codes(rank_codes(d, "ewi", ["tau"], "_code_ewi"), program, ["tau"], "_code_program").select(UNIT, "tau", "_code_ewi", "_code_program")
-        g = weighted_rank_corr(cut(d).join(weights.select(UNIT, "rep", "_w"), UNIT), "_code_ewi", "_code_program", ["rep", "tau"], "_w")
+        g = resampled_ranks(cut(d), UNIT, [("ewi", program)], reps, seed, part=["tau"], units=units)[0]
+        g = g.where("rep >= 0").withColumnRenamed("r_0_1", "rho")
     best = F.struct(F.round("rho", 9), -F.col("tau"))
     return (g.where("rho is not null").groupBy(*part)
             .agg(F.max_by("tau", best).alias("tau_star"), F.max("rho").alias("rho_at_tau"), F.max("tau").alias("_last"),

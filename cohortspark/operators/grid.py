@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.functions import kernels as NK
-from cohortspark.session import cut
+from cohortspark.session import cut, spread as _spread
 
 
 SCREEN_ROWS = 500_000       # rows of one feature set that a screening task reads
@@ -270,13 +270,6 @@ def _paired(left: DataFrame, right: DataFrame, keys: Sequence[str]):
     return left.groupBy(*keys).cogroup(r.groupBy(*[f"{k}_r" for k in keys]))
 
 
-def _spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition small but compute-heavy groups over all cores; AQE would merge them by their size in bytes."""
-    spark = df.sparkSession
-    n = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(n, *keys)
-
-
 def _unpack(pdf: pd.DataFrame, l1: float = 1.0):
     """(inner blocks, rows of held-out units, features, whether the blocks are rows).
 

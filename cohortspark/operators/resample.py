@@ -7,15 +7,21 @@ so replicates spread over the cluster like any other group.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
+from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cohortspark.functions.ordering import midrank, range_index, rank_codes, weighted_midrank
+from cohortspark.functions.ordering import midrank, ordered_counts, range_index, weighted_midrank
 from cohortspark.functions.scalars import c, fisher_z, hash_key, hash_sign, hash_u32, ratio
 from cohortspark.operators.association import partial_r, pearson, weighted_rank_corr, weighted_rank_matrix
-from cohortspark.session import cut
+from cohortspark.session import cut, spread
 
 
 def _reps(n: int) -> Column:
@@ -87,10 +93,14 @@ def block_permuted_labels(rows: DataFrame, unit: str, member: str, label: str, r
 
 def coded(rows: DataFrame, stat, by: Sequence[str] = ()) -> DataFrame:
     """The rows with a rank code for each value that the statistic ranks."""
+    return _with_codes(rows, getattr(stat, "ranked", ()), by)
+
+
+def _with_codes(rows: DataFrame, names: Sequence[str], by: Sequence[str]) -> DataFrame:
     base = rows
-    for x in getattr(stat, "ranked", ()):
-        codes = rank_codes(base, x, by, f"_code_{x}").select(*by, x, f"_code_{x}").distinct()
-        rows = rows.join(codes, [*by, x], "left")
+    for x in names:   # merged by sort: a table of codes is as long as the rows, which no driver should hold for a broadcast
+        codes = ordered_counts(base, x, by).select(*by, x, F.col("_below").alias(f"_code_{x}"))
+        rows = rows.join(codes.hint("merge"), [*by, x], "left")
     return rows
 
 
@@ -119,24 +129,26 @@ def rank_corr(x: str, y: str) -> Callable[..., DataFrame]:
         r = d.select(*part, midrank(x, part).alias("_x"), midrank(y, part).alias("_y"))
         return r.groupBy(*part).agg(pearson("_x", "_y").alias("stat"))
     stat.ranked = (x, y)
+    stat.of_ranks = F.col("r_0_1")
     return stat
 
 
 def partial_rank_corr(x: str, y: str, given: Sequence[str]) -> Callable[..., DataFrame]:
     """Rank correlation of two values at equal ranks of one or two others."""
     names = [x, y, *given]
+    of_ranks = partial_r("r_0_1", "r_0_2", "r_1_2")
+    if len(names) == 4:
+        of_ranks = partial_r(of_ranks, partial_r("r_0_3", "r_0_2", "r_2_3"), partial_r("r_1_3", "r_1_2", "r_2_3"))
 
     def stat(d: DataFrame, part: Sequence[str], weight: str | None = None) -> DataFrame:
         if weight is None:
             d, weight = coded(d, stat, part).withColumn("_w", F.lit(1)), "_w"
         r = weighted_rank_matrix(d, [f"_code_{v}" for v in names], part, weight)
-        out = partial_r("r_0_1", "r_0_2", "r_1_2")
-        if len(names) == 4:
-            out = partial_r(out, partial_r("r_0_3", "r_0_2", "r_2_3"), partial_r("r_1_3", "r_1_2", "r_2_3"))
-        return r.select(*part, out.alias("stat"))
+        return r.select(*part, of_ranks.alias("stat"))
     if len(names) not in (3, 4):
         raise ValueError("one or two covariates")
     stat.ranked = tuple(names)
+    stat.of_ranks = of_ranks
     return stat
 
 
@@ -169,11 +181,147 @@ def auc_stat(positive: str, score: str) -> Callable[..., DataFrame]:
     return stat
 
 
+# ------------------------------------------------------------------ rank matrices of all replicates
+
+REP_BLOCK = 64              # replicates that a task takes at a time
+DRAWS = 1 << 16             # draws of one row
+GROUP_ROWS = 1 << 22        # rows of a group that a task ranks; longer groups go row by row through weighted_rank_matrix
+BLOCK_ROWS = 1 << 24        # rows of all groups on the same draws that a task reads
+
+
+def _drawn_weights(idx: DataFrame, by: Sequence[str], reps: int, seed: int) -> DataFrame:
+    """The draws of :func:`bootstrap_weights`, packed: (by, _block, rep, _n, _w), where _w holds a whole number for each unit in their order."""
+    size = idx.select(*by, "_n").distinct().select(*by, "_n", _reps(reps))
+    runs = spread(size, *by, "rep").select("*", F.explode(F.sequence(F.lit(0), ((F.col("_n") - 1) / DRAWS).cast("int"))).alias("_run"))
+    first = F.col("_run").cast("bigint") * DRAWS
+    picks = F.transform(F.sequence(first, F.least(first + DRAWS, F.col("_n")) - 1),
+                        lambda slot: (hash_u32(*by, "rep", slot, F.lit(seed)) % F.col("_n")).cast("int"))
+    d = runs.select(*by, "rep", F.floor(F.col("rep") / REP_BLOCK).cast("int").alias("_block"), F.col("_n").cast("int").alias("_n"), "_run", picks.alias("_picks"))
+    kept = (*by, "_block", "rep", "_n")
+    schema = T.StructType([*[d.schema[x] for x in kept], T.StructField("_w", T.BinaryType())])
+
+    def count(batches):   # the runs of a replicate follow each other
+        w = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                n = row["_n"][0].as_py()
+                if row["_run"][0].as_py() == 0:
+                    w = np.zeros(n, np.int64)
+                w += np.bincount(row["_picks"].flatten().to_numpy(), minlength=n)
+                if (row["_run"][0].as_py() + 1) * DRAWS >= n:
+                    held = w.astype(np.uint8 if w.max() < 256 else np.uint32).tobytes()
+                    yield pa.RecordBatch.from_arrays([*[row[x] for x in kept], pa.array([held], pa.binary())], names=schema.names)
+    return d.mapInArrow(count, schema)
+
+
+def _weights_at(held: pa.Scalar, n: int, at: np.ndarray) -> np.ndarray:
+    """Weights of the rows of units ``at``; a row without a unit has none."""
+    raw = held.as_buffer()
+    w = np.append(np.frombuffer(raw, np.uint8 if raw.size == n else np.uint32), 0)
+    return w[at].astype(float)
+
+
+def _rank_products(sets: Sequence[Sequence[int]], codes: Sequence[np.ndarray], full: Sequence[np.ndarray | None], w: np.ndarray) -> list[float | None]:
+    """For each set of code arrays the summed weight and the correlations of their weighted midranks, pair by pair; rows without a code count in none."""
+    out, seen = [], {}
+    for names, ok in zip(sets, full):
+        v = w if ok is None else w * ok
+        total = v.sum()
+        dev = []
+        for i in names:
+            if (i, id(ok)) not in seen:
+                count = np.bincount(codes[i], weights=v)
+                seen[i, id(ok)] = (2 * np.cumsum(count) - count - total)[codes[i]]   # twice the distance from the mean rank
+            dev.append(seen[i, id(ok)])
+        s = [[float(np.dot(v * a, b)) for b in dev] for a in dev]
+        out.append(float(total))
+        for i, j in combinations(range(len(names)), 2):
+            down = math.sqrt(s[i][i]) * math.sqrt(s[j][j])
+            out.append(s[i][j] / down if down else None)
+    return out
+
+
+def resampled_ranks(rows: DataFrame, unit: str, sets: Sequence[Sequence[str]], reps: int, seed: int = 0, by: Sequence[str] = (),
+                    part: Sequence[str] | None = None, units: DataFrame | None = None) -> list[DataFrame]:
+    """For each set of values their weighted rank matrix in every resample: (part, rep, n, r_i_j), replicate -1 being the rows as they are.
+
+    Units are drawn as in :func:`bootstrap_weights`, from ``units`` or the rows, inside groups ``by``; ranks are taken inside groups ``part``
+    (``by`` and more, if given). Values are coded once. Codes of a group and weights of a replicate are packed to a few bytes a row, and a
+    task takes a block of replicates: each is a count by code and a running sum, so no replicate is shuffled or sorted row by row. Groups of
+    more than GROUP_ROWS rows are ranked by :func:`weighted_rank_matrix`, in which no task holds a group.
+    """
+    by, part = list(by), list(by if part is None else part)
+    names = sorted({x for s in sets for x in s})
+    idx = index_units(rows if units is None else units, unit, by)
+    d = rows.select(*dict.fromkeys([*part, unit, *names]))
+    d = cut(_with_codes(d, names, part).join(idx.select(*by, unit, F.col("_idx").cast("int").alias("_at")).hint("merge"), [*by, unit], "left")
+            .select(*part, unit, "_at", *[f"_code_{x}" for x in names]))
+    for x in part:
+        d = d.where(F.col(x).isNotNull())
+    sizes = d.groupBy(*part).agg(F.count(F.lit(1)).alias("_k"))
+    sizes = sizes.groupBy(*by).agg(F.max("_k").alias("_k"), F.sum("_k").alias("_all")).agg(F.max("_k"), F.max("_all")).first()
+    if (sizes[0] or 0) > GROUP_ROWS or (sizes[1] or 0) > BLOCK_ROWS:
+        once = d.withColumn("_w", F.lit(1).cast("bigint")).withColumn("rep", F.lit(-1))
+        w = bootstrap_weights(rows if units is None else units, unit, reps, seed, by)
+        both = once.unionByName(w.join(d, [*by, unit]).select(*once.columns))
+        return [cut(weighted_rank_matrix(both, [f"_code_{x}" for x in s], [*part, "rep"], "_w")) for s in sets]
+    code = [f"_code_{x}" for x in names]
+    keys = d.select(*part).schema.fields
+    packed = T.StructType([*keys, T.StructField("_at", T.BinaryType()), *[T.StructField(x, T.BinaryType()) for x in code]])
+
+    def pack(table: pa.Table) -> pa.Table:
+        head = [table[x].slice(0, 1) for x in part]
+        return pa.table([*head, *[pa.array([pc.fill_null(table[x], -1).to_numpy().astype(np.int32).tobytes()], pa.binary()) for x in ("_at", *code)]],
+                        names=packed.names)
+
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // REP_BLOCK))).alias("_block")
+    groups = d.withColumn("_g", F.lit(0)).groupBy("_g", *part).applyInArrow(pack, packed).select("*", blocks)
+    on = [*by, "_block"]
+    right = groups.select(*[F.col(x).alias(f"{x}_r") for x in on], *[x for x in groups.columns if x not in on or x in part])
+    where = [[names.index(x) for x in s] for s in sets]
+    values = [f"_s{k}_{v}" for k, s in enumerate(sets) for v in ("n", *[f"r_{i}_{j}" for i, j in combinations(range(len(s)), 2)])]
+    schema = T.StructType([*keys, T.StructField("rep", T.IntegerType()), *[T.StructField(x, T.DoubleType()) for x in values]])
+
+    def ranked(drawn: pa.Table, held: pa.Table) -> pa.Table:
+        found, at_rows = [], []
+        for g in range(held.num_rows):
+            at = np.frombuffer(held["_at"][g].as_py(), np.int32)
+            codes = [np.frombuffer(held[x][g].as_py(), np.int32) for x in code]
+            full = [None if all((codes[i] >= 0).all() for i in s) else np.logical_and.reduce([codes[i] >= 0 for i in s]) for s in where]
+            codes = [np.maximum(x, 0) for x in codes]
+            jobs = [(drawn["rep"][r].as_py(), r) for r in range(drawn.num_rows)]
+            if held["_block_r"][g].as_py() == 0:
+                jobs.append((-1, None))
+            for rep, r in jobs:
+                w = np.ones(len(at)) if r is None else _weights_at(drawn["_w"][r], drawn["_n"][r].as_py(), at)
+                found.append(_rank_products(where, codes, full, w))
+                at_rows.append((g, rep))
+        take = pa.array([g for g, _ in at_rows], pa.int64())
+        return pa.table([*[held[x].take(take) for x in part], pa.array([r for _, r in at_rows], pa.int32()),
+                         *[pa.array([f[k] for f in found], pa.float64()) for k in range(len(values))]], names=schema.names)
+
+    left = spread(_drawn_weights(idx, by, reps, seed), *on)
+    got = cut(left.groupBy(*on).cogroup(spread(right, *[f"{x}_r" for x in on]).groupBy(*[f"{x}_r" for x in on])).applyInArrow(ranked, schema))
+    return [got.where(F.col(f"_s{k}_n") > 0).select(*part, "rep", F.col(f"_s{k}_n").cast("bigint").alias("n"),
+                                                    *[F.col(f"_s{k}_r_{i}_{j}").alias(f"r_{i}_{j}") for i, j in combinations(range(len(s)), 2)])
+            for k, s in enumerate(sets)]
+
+
 def _resampled(rows: DataFrame, unit: str, stats: Sequence, reps: int, seed: int, by: Sequence[str]) -> list[tuple[DataFrame, DataFrame]]:
     """For each statistic its observed value and its values on the same resamples of units."""
-    weights = bootstrap_weights(rows, unit, reps, seed, by)
+    by = list(by)
+    ranks = [s for s in stats if hasattr(s, "of_ranks")]
+    sets = list(dict.fromkeys(s.ranked for s in ranks))
+    matrix = dict(zip(sets, resampled_ranks(rows, unit, sets, reps, seed, by))) if sets else {}
+    weights = bootstrap_weights(rows, unit, reps, seed, by) if len(ranks) < len(stats) else None
     out = []
     for stat in stats:
+        if hasattr(stat, "of_ranks"):
+            r = matrix[stat.ranked].select(*by, "rep", stat.of_ranks.alias("stat"))
+            seen = r.where("rep < 0").select(*by, "stat")
+            out.append((seen if by else seen.agg(F.max("stat").alias("stat")), r.where("rep >= 0")))   # one row without groups
+            continue
         d = coded(rows, stat, by)
         d = cut(d) if getattr(stat, "ranked", ()) else d
         out.append((stat(d.withColumn("_w", F.lit(1)), by, "_w"), stat(weights.join(d, [*by, unit]), [*by, "rep"], "_w")))
@@ -187,7 +335,7 @@ def bootstrap_ci(rows: DataFrame, unit: str, stat, reps: int, by: Sequence[str]
     Units are drawn with replacement and enter as weights, so a resample costs one short row for each unit it holds and copies no row of it.
     """
     by = list(by)
-    obs, boot = _resampled(rows, unit, [stat], reps, seed, by)[0]
+    obs, boot = _resampled(cut(rows), unit, [stat], reps, seed, by)[0]
     lo, hi = (1 - level) / 2, (1 + level) / 2
     ci = boot.where("stat is not null").groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_reps"), F.percentile("stat", F.lit(lo)).alias("ci_lo"),
@@ -204,7 +352,7 @@ def intervals(rows: DataFrame, unit: str, stats: dict[str, Callable[..., DataFra
 
     ``n`` counts the units that contribute to a group; with fewer than ``floor`` of them observed value and interval are null.
     """
-    by = list(by)
+    by, rows = list(by), cut(rows)
     lo, hi = F.lit((1 - level) / 2), F.lit((1 + level) / 2)
     out = None
     for name, (obs, boot) in zip(stats, _resampled(rows, unit, list(stats.values()), reps, seed, by)):
@@ -221,7 +369,7 @@ def intervals(rows: DataFrame, unit: str, stats: dict[str, Callable[..., DataFra
 def paired_bootstrap(rows: DataFrame, unit: str, stat_a, stat_b, reps: int, seed: int = 0, level: float = 0.95
                      ) -> DataFrame:
     """Difference of two statistics on the same resamples."""
-    (obs_a, boot_a), (obs_b, boot_b) = _resampled(rows, unit, [stat_a, stat_b], reps, seed, [])
+    (obs_a, boot_a), (obs_b, boot_b) = _resampled(cut(rows), unit, [stat_a, stat_b], reps, seed, [])
     both = (boot_a.withColumnRenamed("stat", "_a").join(boot_b.withColumnRenamed("stat", "_b"), "rep")
             .withColumn("_d", F.col("_a") - F.col("_b")).where("_d is not null"))
     g = both.agg(F.count(F.lit(1)).alias("n_reps"), F.avg("_d").alias("diff_mean"),

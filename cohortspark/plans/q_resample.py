@@ -214,8 +214,7 @@ g AS (SELECT rep, tau, count(*) AS n, corr(x, y) AS rho FROM r GROUP BY 1, 2)
 SELECT rep, arg_max(tau, (round(rho, 9), -tau)) AS tau_star, max(rho) AS rho_at_tau, max(n) AS n, arg_max(tau, (round(rho, 9), -tau)) = max(tau) AS at_scan_limit FROM g GROUP BY 1""",
        "rho_at_tau")
 def _(t):
-    w = R.bootstrap_weights(t.curve_units.select("animal_id"), "animal_id", 2000)
-    return V.memory_timescale(V.weighted_history(t.curves, t.curve_ends, range(1, 31)), t.curve_units, "program", w)
+    return V.memory_timescale(V.weighted_history(t.curves, t.curve_ends, range(1, 31)), t.curve_units, "program", 2000)
 
 
 @query("g11_beyond_severity", f"""
