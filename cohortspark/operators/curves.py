@@ -15,9 +15,11 @@ from cohortspark.functions.ordering import large_midrank, midrank
 from cohortspark.functions.scalars import hash_u32, ratio, sign_label
 from cohortspark.operators.association import partial_r, pearson
 from cohortspark.operators.resample import resampled_ranks
-from cohortspark.session import cut
+from cohortspark.session import cut, spread
 
 UNIT = "animal_id"
+SHARES = 32                 # tasks that one crowded point or curve is dealt over at most
+SHARE_ROWS = 1 << 20        # rows of the result that one share of a curve gives
 
 
 # ------------------------------------------------------------------ sources
@@ -85,29 +87,43 @@ def identical_curves(probe: DataFrame, curves: DataFrame, min_days: int, unit: s
 
     Equal curves are merged first. Two curves sharing ``min_days`` equal (day, score) points must share one of their
     ``length - min_days + 1`` rarest points, so candidates are found on those only and verified on the short arrays.
+    The result has a row for each pair of equal sections, however few the rows that are joined, so its rows are dealt by
+    their number, not by the bytes that go in: both growing joins are merged, as a broadcast would put the shares together again.
     """
-    per = _curve_key(curves, [unit, section]).where(F.size("curve") >= min_days)
-    kinds = per.select("curve").distinct()
-    points = kinds.select("curve", F.explode("curve").alias("_pt"))
+    per = cut(_curve_key(curves, [unit, section]).where(F.size("curve") >= min_days))
+    probe = probe.select(section).distinct()
+    kinds = cut(per.groupBy("curve").agg(F.count(F.lit(1)).alias("_m")).withColumn("_k", F.monotonically_increasing_id()))
+    own = per.join(kinds.select("curve", "_k"), "curve").select(unit, section, "_k")
+    src = cut(own.join(probe, section, "left_semi"))
+    points = kinds.select("_k", F.size("curve").alias("_size"), F.explode("curve").alias("_pt"))
     freq = points.groupBy("_pt").agg(F.count(F.lit(1)).alias("_f"))
-    w = Window.partitionBy("curve").orderBy("_f", "_pt")
-    prefix = (points.join(freq, "_pt").withColumn("_rn", F.row_number().over(w))
-              .where(F.col("_rn") <= F.size("curve") - (min_days - 1)).select("curve", "_pt"))
-    wanted = per.join(probe.select(section).distinct(), section, "left_semi").select("curve").distinct()
-    a = prefix.join(wanted, "curve", "left_semi").withColumnRenamed("curve", "c1")
-    b = prefix.withColumnRenamed("curve", "c2")
-    pairs = a.join(b, "_pt").select("c1", "c2").distinct()
+    w = Window.partitionBy("_k").orderBy("_f", "_pt")
+    prefix = cut(points.join(freq, "_pt").withColumn("_rn", F.row_number().over(w))
+                 .where(F.col("_rn") <= F.col("_size") - (min_days - 1)).select("_k", "_pt"))
+    wanted = cut(src.groupBy("_k").agg(F.count(F.lit(1)).alias("_m")))
+    # a common point meets all curves that have it: the wanted ones are dealt over tasks, the others go to each share of them
+    a = prefix.join(wanted.select("_k"), "_k", "left_semi").select(F.col("_k").alias("k1"), "_pt", F.pmod(F.xxhash64("_k"), F.lit(SHARES)).alias("_s"))
+    b = prefix.select(F.col("_k").alias("k2"), "_pt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SHARES - 1).cast("bigint"))).alias("_s"))
+    pairs = spread(a, "_pt", "_s").join(b.hint("merge"), ["_pt", "_s"]).select("k1", "k2").distinct()
+    pairs = spread(pairs, "k1", "k2").join(kinds.select(F.col("_k").alias("k1"), F.col("curve").alias("c1")), "k1") \
+        .join(kinds.select(F.col("_k").alias("k2"), F.col("curve").alias("c2")), "k2")
     other = F.map_from_entries("c2")
     shared = F.filter(F.transform("c1", lambda p: F.when(F.map_contains_key(other, p["day"]),
                                                          p["score"] == F.try_element_at(other, p["day"]))),
                       lambda e: e.isNotNull())
-    ok = (pairs.withColumn("_s", shared).withColumn("n_shared", F.size("_s"))
-          .where((F.col("n_shared") >= min_days) & F.forall("_s", lambda e: e)).select("c1", "c2", "n_shared"))
-    src = per.join(probe.select(section).distinct(), section, "left_semi") \
-        .select(F.col(unit).alias("unit"), F.col(section).alias("section"), F.col("curve").alias("c1"))
-    dst = per.select(F.col(unit).alias("other_unit"), F.col(section).alias("other_section"), F.col("curve").alias("c2"))
-    return (src.join(ok, "c1").join(dst, "c2").where(F.col("unit") != F.col("other_unit"))
-            .select("unit", "section", "other_unit", "other_section", "n_shared"))
+    ok = cut(pairs.withColumn("_s", shared).withColumn("n_shared", F.size("_s"))
+             .where((F.col("n_shared") >= min_days) & F.forall("_s", lambda e: e)).select("k1", "k2", "n_shared"))
+    # a curve that takes part in many rows is dealt by shares of the sections on the probe's side
+    rows = ok.join(wanted.withColumnRenamed("_k", "k1"), "k1").groupBy("k2").agg(F.sum("_m").alias("_a"))
+    share = rows.join(kinds.select(F.col("_k").alias("k2"), F.col("_m").alias("_b")), "k2") \
+        .select("k2", F.least(F.lit(SHARES), F.ceil(F.col("_a") * F.col("_b") / SHARE_ROWS)).cast("bigint").alias("_n"))
+    ok, share = cut(ok.join(share, "k2")), cut(share)
+    left = src.select(F.col(unit).alias("unit"), F.col(section).alias("section"), F.col("_k").alias("k1")).join(spread(ok, "k1", "k2"), "k1")
+    left = left.withColumn("_s", F.pmod(F.xxhash64("unit", "section"), "_n")).drop("k1", "_n")
+    right = own.withColumnRenamed("_k", "k2").join(share, "k2").select(
+        F.col(unit).alias("other_unit"), F.col(section).alias("other_section"), "k2", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias("_s"))
+    out = spread(left, "k2", "_s").join(right.hint("merge"), ["k2", "_s"]).where(F.col("unit") != F.col("other_unit"))
+    return out.select("unit", "section", "other_unit", "other_section", "n_shared")
 
 
 # ------------------------------------------------------------------ curve and its features
