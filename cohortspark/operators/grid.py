@@ -695,14 +695,18 @@ def score_frozen(x: DataFrame, model: DataFrame, units: DataFrame, keys: Sequenc
 def thin_counts(expr: DataFrame, keys: Sequence[str], seed: int = 0, count: str = "cnt") -> DataFrame:
     """Binomial halves of every count (M7): the bits set among the first ``cnt`` bits of a hashed stream.
 
-    Two columns, ``half_a`` and ``half_b``, adding up to the count. One 32-bit word covers 32 counts.
+    Two columns, ``half_a`` and ``half_b``, adding up to the count. One 32-bit word covers 32 counts. A row is thinned by
+    itself, so nothing is kept but the row; rows with the same keys and count thin alike.
     """
     from cohortspark.functions.scalars import hash_u32
-    d = expr.withColumn("_w", F.explode(F.sequence(F.lit(0), F.floor((F.col(count) - 1) / 32).cast("int"))))
-    bits = F.least(F.lit(32), F.col(count) - F.col("_w") * 32).cast("int")
-    mask = (F.pow(F.lit(2.0), bits) - 1).cast("bigint")
-    ones = F.bit_count(hash_u32(*keys, "_w", F.lit(seed)).bitwiseAND(mask))
-    return (d.groupBy(*keys, count).agg(F.sum(ones).cast("bigint").alias("half_a"))
+    words = F.sequence(F.lit(0), F.floor((F.col(count) - 1) / 32).cast("int"))
+
+    def ones(w):
+        bits = F.least(F.lit(32), F.col(count) - w * 32).cast("int")
+        mask = (F.pow(F.lit(2.0), bits) - 1).cast("bigint")
+        return F.bit_count(hash_u32(*keys, w, F.lit(seed)).bitwiseAND(mask)).cast("bigint")
+    half = F.aggregate(words, F.lit(0).cast("bigint"), lambda s, w: s + ones(w))
+    return (expr.where(F.col(count).isNotNull()).select(*keys, count, half.alias("half_a"))
             .withColumn("half_b", F.col(count) - F.col("half_a")))
 
 

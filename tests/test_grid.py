@@ -103,6 +103,20 @@ def test_thinning_adds_up(spark):
     assert abs(sum(r.half_a for r in t) / sum(r.cnt for r in t) - 0.5) < 0.05
 
 
+def test_thinning_keeps_rows_apart(spark):
+    """Every row is thinned by itself, bit by bit as the hashed words say; a row that comes twice comes twice."""
+    import hashlib
+    counts = [(None, 7), (1, 1), (1, 32), (1, 33), (2, 100), (2, 100), (3, None)]
+    d = M.thin_counts(spark.createDataFrame(counts, "k int, cnt long"), ["k"])
+    want = []
+    for k, n in counts[:-1]:
+        text = [("" if k is None else f"{k}|") + f"{w}|0" for w in range((n - 1) // 32 + 1)]
+        bits = [int(hashlib.md5(v.encode()).hexdigest()[:8], 16) & ((1 << min(32, n - 32 * w)) - 1) for w, v in enumerate(text)]
+        half = sum(b.bit_count() for b in bits)
+        want.append((str(k), n, half, n - half))
+    assert sorted((str(r.k), r.cnt, r.half_a, r.half_b) for r in d.collect()) == sorted(want)
+
+
 def test_clock_table_gives_the_held_out_predictions(spark):
     """Scoring the held-out units from the written fit equals the predictions made inside the fit, on both scales."""
     import numpy as np
