@@ -13,6 +13,7 @@ from cohortspark.operators import resample as R
 from cohortspark.plans.q_association import pb
 from cohortspark.plans.registry import query
 from cohortspark.plans.twin_ctes import CTES
+from cohortspark.session import cut
 
 S = M.Settings()                       # 1000 features, 50 penalties
 NULL = M.Settings(keep_coef=1)         # the same for permuted targets
@@ -520,10 +521,10 @@ def _(t):
 @query("m23_covariate_variants")
 def _(t):
     """The clock without adjustment, adjusted for the terminal score, and for a cumulative burden."""
-    out = None
+    out, x = None, cut(xs(t))   # the rows are the same in all variants
     for name, cov in (("none", ()), ("terminal", ("score",)), ("cumulative", ("score", "n_cells"))):
         u = us(t, cov=cov)
-        preds, _c = M.leave_out_regression(xs(t), u, S)
+        preds, _c = M.leave_out_regression(x, u, S)
         s = M.fold_scores(preds, u, bool(cov)).withColumn("variant", F.lit(name)).drop("task", "target")
         out = s if out is None else out.unionByName(s)
     return out

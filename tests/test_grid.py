@@ -117,6 +117,23 @@ def test_thinning_keeps_rows_apart(spark):
     assert sorted((str(r.k), r.cnt, r.half_a, r.half_b) for r in d.collect()) == sorted(want)
 
 
+def test_covariate_variants_share_their_rows(spark, monkeypatch):
+    """The three variants read one written table of feature rows; their pseudobulk is not computed anew."""
+    from cohortspark.plans import q_models as Q
+    from cohortspark.plans.registry import REGISTRY
+    made, read = [], []
+    rows = spark.createDataFrame([("all", 1, "g", 1.0)], "fset string, unit long, feature string, value double")
+    scores = spark.createDataFrame([("all", 0, 0.5)], "task string, target int, rho double")
+    monkeypatch.setattr(Q, "xs", lambda t: made.append(t) or rows)
+    monkeypatch.setattr(Q, "us", lambda t, cov: cov)
+    monkeypatch.setattr(Q.M, "leave_out_regression", lambda x, u, s: read.append((x, u)) or (None, None))
+    monkeypatch.setattr(Q.M, "fold_scores", lambda p, u, c: scores)
+    out = REGISTRY["m23_covariate_variants"].run(None).collect()
+    assert len(made) == 1 and {r.variant for r in out} == {"none", "terminal", "cumulative"}
+    assert [u for _, u in read] == [(), ("score",), ("score", "n_cells")]
+    assert len({x._cut_path for x, _ in read}) == 1 and read[0][0].collect() == rows.collect()
+
+
 def test_clock_table_gives_the_held_out_predictions(spark):
     """Scoring the held-out units from the written fit equals the predictions made inside the fit, on both scales."""
     import numpy as np
