@@ -250,15 +250,20 @@ def weight_features(curves: DataFrame, ends: DataFrame, weight: str = "weight")
 
 
 def animal_features(curves: DataFrame, ends: DataFrame) -> DataFrame:
-    """All curve features of each animal in one row."""
-    curve = build_curve(curves, ends)
-    on = onset(curve)
-    f = summary_features(curve).join(on, UNIT, "left")
+    """All curve features of each animal in one row.
+
+    Each feature table is written once by a job of its own, so a task sorts the curves for one of them at a time; what is
+    joined has a row for each animal.
+    """
+    curves, ends = cut(curves), cut(ends)
+    curve = cut(build_curve(curves, ends))
+    on = cut(onset(curve))
+    f = cut(summary_features(curve)).join(on, UNIT, "left")
     for part in (trapezoid(curve, out="cumulative_score"),
                  trapezoid(curve, on.where("onset_day is not null").select(UNIT, "onset_day"), "cumulative_since_onset"),
                  relapses(curve), relapses_sustained(curve), last_peak(curve), slope_at_end(curve),
                  weight_features(curves, ends), ends.select(UNIT, "end_day")):
-        f = f.join(part, UNIT, "left")
+        f = f.join(cut(part), UNIT, "left")
     return (f.withColumn("disease_duration", F.col("end_day") - F.col("onset_day"))
             .withColumn("days_since_last_peak", F.col("end_day") - F.col("last_peak_day")).drop("last_peak_day"))
 

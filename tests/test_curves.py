@@ -81,3 +81,23 @@ def test_identical_curves_of_a_crowd_are_dealt_by_pairs(spark, monkeypatch):
     assert len(found) == len(want) and {tuple(r)[:5] for r in found} == want
     parts = [r["part"] for r in found]
     assert max(map(parts.count, set(parts))) < len(parts) / 3
+
+
+def test_animal_features_join_written_tables(spark):
+    """The join of all features sorts no curve: each feature comes from a table of its own, a row for each animal."""
+    series = {"a": [0, 1, 2, 1, 0, 1, 2], "b": [0, 0, 0, 0, 0, 0, 0], "c": [2, 0, 2, 0, 2, 0, 2]}
+    curves = spark.createDataFrame([(n, d, float(s), 20.0 - d) for n, y in series.items() for d, s in enumerate(y)],
+                                   "animal_id string, day int, score double, weight double")
+    ends = spark.createDataFrame([("a", 6, 1.5), ("b", 7, 0.5), ("c", 6, 1.5), ("none", 3, None)], "animal_id string, end_day int, end_score double")
+    f = V.animal_features(curves, ends)
+    plan = f._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan
+    got = {r["animal_id"]: r for r in f.collect()}
+    assert set(got) == {"a", "b", "c"}
+    curve = V.build_curve(curves, ends)
+    on = V.onset(curve)
+    for part in (V.summary_features(curve), on, V.relapses(curve), V.relapses_sustained(curve), V.slope_at_end(curve),
+                 V.trapezoid(curve, out="cumulative_score"), V.weight_features(curves, ends)):
+        for r in part.where("animal_id <> 'none'").collect():
+            assert all(got[r["animal_id"]][k] == r[k] for k in part.columns)
+    assert got["b"]["end_imputed"] and got["b"]["disease_duration"] == 0 and got["b"]["cumulative_since_onset"] == 0
