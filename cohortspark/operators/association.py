@@ -18,7 +18,7 @@ from cohortspark.functions import kernels as NK
 from cohortspark.functions.ordering import bh_adjust, large_midrank, midrank, top_k, weighted_midrank
 from cohortspark.functions.scalars import c, clip, ratio
 from cohortspark.functions.special import p_student
-from cohortspark.session import cut
+from cohortspark.session import cut, spread
 
 
 def unit_frame(units: DataFrame, unit: str, covs: Sequence[str], by: Sequence[str] = (), ranked: bool = True
@@ -50,6 +50,7 @@ def sparse_moments(x: DataFrame, units: DataFrame, feature: str | Sequence[str],
     u = unit_frame(units, unit, covs, by, ranked)
     j = x.select(*feats, unit, F.col(value).cast("double").alias("_x")).join(u, unit)
     if ranked:
+        j = spread(j, *part)       # the sorts take more memory than the bytes that AQE merges tasks by
         nz = F.count(F.lit(1)).over(Window.partitionBy(*part))
         j = j.withColumn("_v", midrank("_x", part) + F.col("n") - nz)
     else:
@@ -112,21 +113,29 @@ def spearman_trend(x: DataFrame, units: DataFrame, feature: str, unit: str, targ
 def partial_trend(x: DataFrame, units: DataFrame, feature: str, unit: str, target: str, given: str,
                   by: Sequence[str] = (), value: str = "value", ranked: bool = True, fdr: bool = True) -> DataFrame:
     """Partial Spearman (T2) or partial Pearson (T4, ``ranked=False``) with one covariate, t with n - 3."""
-    m = sparse_moments(x, units, feature, unit, [target, given], by, value, ranked).where("sxx > 1e-12")
-    out = m.select(*by, feature, "n", r_x(target).alias("r_raw"), r_x(given).alias("r_given"),
-                   r_cov(target, given).alias("r_target_given"))
-    out = out.withColumn("partial", partial_r("r_raw", "r_given", "r_target_given"))
+    out = _partial_one(sparse_moments(x, units, feature, unit, [target, given], by, value, ranked), feature, target, given, by)
     if not fdr:
         return out
     return _with_fdr(out.withColumn("p", p_student(t_of_r("partial", F.col("n") - 3), F.col("n") - 3)), by)
 
 
+def _partial_one(m: DataFrame, feature: str, target: str, given: str, by: Sequence[str] = ()) -> DataFrame:
+    """Partial correlation given one covariate, from moments of both."""
+    out = m.where("sxx > 1e-12").select(*by, feature, "n", r_x(target).alias("r_raw"), r_x(given).alias("r_given"),
+                                        r_cov(target, given).alias("r_target_given"))
+    return out.withColumn("partial", partial_r("r_raw", "r_given", "r_target_given"))
+
+
 def partial_trend_two(x: DataFrame, units: DataFrame, feature: str, unit: str, target: str,
                       given: tuple[str, str], by: Sequence[str] = (), value: str = "value") -> DataFrame:
     """Partial rank correlation given two covariates (T3): recursion of the one-covariate formula."""
+    return _partial_two(sparse_moments(x, units, feature, unit, [target, *given], by, value), feature, target, given, by)
+
+
+def _partial_two(m: DataFrame, feature: str, target: str, given: tuple[str, str], by: Sequence[str] = ()) -> DataFrame:
+    """Partial correlation given two covariates, from moments of all three."""
     a, b = given
-    m = sparse_moments(x, units, feature, unit, [target, a, b], by, value).where("sxx > 0")
-    m = m.select(*by, feature, "n", r_x(target).alias("xy"), r_x(a).alias("xa"), r_x(b).alias("xb"),
+    m = m.where("sxx > 0").select(*by, feature, "n", r_x(target).alias("xy"), r_x(a).alias("xa"), r_x(b).alias("xb"),
                  r_cov(target, a).alias("ya"), r_cov(target, b).alias("yb"), r_cov(a, b).alias("ab"))
     return (m.withColumn("xy_a", partial_r("xy", "xa", "ya")).withColumn("xb_a", partial_r("xb", "xa", "ab"))
             .withColumn("yb_a", partial_r("yb", "ya", "ab"))
@@ -136,11 +145,13 @@ def partial_trend_two(x: DataFrame, units: DataFrame, feature: str, unit: str, t
 
 def trend_with_gate(x: DataFrame, units: DataFrame, feature: str, unit: str, target: str, given: str, depth: str,
                     value: str = "value", limit: float = 0.4) -> DataFrame:
-    """Technical gate (T26): where depth itself trends with the target, depth joins the covariates."""
-    one = partial_trend(x, units, feature, unit, target, given, (), value, fdr=False) \
-        .select(feature, "n", F.col("partial").alias("partial_one"))
-    two = partial_trend_two(x, units, feature, unit, target, (given, depth), (), value) \
-        .select(feature, F.col("partial").alias("partial_two"))
+    """Technical gate (T26): where depth itself trends with the target, depth joins the covariates.
+
+    Both partial correlations come from one table of moments, a row for each feature, which is written once.
+    """
+    m = cut(sparse_moments(x, units, feature, unit, [target, given, depth], (), value))
+    one = _partial_one(m, feature, target, given).select(feature, "n", F.col("partial").alias("partial_one"))
+    two = _partial_two(m, feature, target, (given, depth)).select(feature, F.col("partial").alias("partial_two"))
     r = midrank
     ranks = units.select(r(target).alias("_t"), r(depth).alias("_d"))
     gate = ranks.agg(F.corr("_t", "_d")).scalar()

@@ -286,3 +286,31 @@ def test_conserved_lists_and_shared_hits(spark):
     r = A.agreement(a, b, "gene_id", "rho", "q").first()
     assert (r.n, r.n_both, r.same_sign) == (5, 3, 0.6)
     assert "n_both" not in A.agreement(a, b, "gene_id", "rho").columns
+
+
+def test_gate_takes_moments_once(spark, monkeypatch):
+    """Both partial correlations of the depth gate come from one table of moments and equal the single ones."""
+    rng = np.random.default_rng(5)
+    units = spark.createDataFrame([(i, float(rng.normal()), float(rng.integers(0, 4)), float(rng.normal())) for i in range(12)],
+                                  "animal_id int, day double, score double, n_cells double")
+    rows = [(f"g{j}", i, float(rng.integers(1, 6))) for j in range(20) for i in range(12) if rng.random() < 0.7]
+    rows += [("flat", i, 2.0) for i in range(12)] + [(None, i, float(i + 1)) for i in range(12)] + [("g0", 3, 9.0), ("g1", None, 1.0)]
+    x = spark.createDataFrame(rows, "gene_id string, animal_id int, value double")
+    one = {r.gene_id: (r.n, r.partial) for r in A.partial_trend(x, units, "gene_id", "animal_id", "day", "score", fdr=False).collect()}
+    two = {r.gene_id: r.partial for r in A.partial_trend_two(x, units, "gene_id", "animal_id", "day", ("score", "n_cells")).collect()}
+    calls, plain = [], A.sparse_moments
+    monkeypatch.setattr(A, "sparse_moments", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    got = {r.gene_id: r for r in A.trend_with_gate(x, units, "gene_id", "animal_id", "day", "score", "n_cells", limit=0.0).collect()}
+    assert len(calls) == 1
+    assert set(got) == (set(one) & set(two)) - {None} and "flat" not in got
+    for g, r in got.items():
+        assert r.n == one[g][0] and math.isclose(r.partial_one, one[g][1], abs_tol=1e-9)
+        assert math.isclose(r.partial_two, two[g], abs_tol=1e-9) and r.partial_used == r.partial_two
+
+
+def test_ranks_are_dealt_over_tasks(spark):
+    """The sorts behind ranked moments keep their number of tasks; few bytes do not merge them into one."""
+    units = spark.createDataFrame([(i, float(i)) for i in range(10)], "animal_id int, day double")
+    x = spark.createDataFrame([(f"g{j}", i, float(i + j)) for j in range(200) for i in range(10)], "gene_id string, animal_id int, value double")
+    m = A.sparse_moments(x, units, "gene_id", "animal_id", ["day"])
+    assert m.select(F.spark_partition_id().alias("p")).distinct().count() > 8 and m.count() == 200
