@@ -532,12 +532,14 @@ def in_fold_axis(family: DataFrame, units: DataFrame, anchor: str, s: Settings =
 
     ``family`` has the rows of the family's genes (:func:`feature_rows`), ``units`` the grid without covariates. The sign is that of the
     covariance with the ``anchor`` gene over the training units (positive where there is none), so axes of folds point the same way.
+    The family is written once; the anchor is read off that table, and so are the axes off theirs, whoever joins them.
     """
+    family = cut(family)
     sc = cut(component_scores(family, units, 1, s).select("task", "fold", "unit", (F.col("block") < 0).alias("held"), F.coalesce(F.get("score", F.lit(0)), F.lit(0.0)).alias("_s")))
     a = family.where(F.col("feature") == anchor).select("unit", F.col("value").alias("_a"))
     d = sc.join(a, "unit", "left").withColumn("_a", F.coalesce("_a", F.lit(0.0)))
     sign = d.where("NOT held").groupBy("task", "fold").agg(F.when(F.covar_pop("_s", "_a") < 0, -1.0).otherwise(1.0).alias("_d"))
-    return d.join(sign, ["task", "fold"]).select("task", "fold", "unit", "held", (F.col("_s") * F.col("_d")).alias("axis"))
+    return cut(d.join(sign, ["task", "fold"]).select("task", "fold", "unit", "held", (F.col("_s") * F.col("_d")).alias("axis")))
 
 
 def with_in_fold_covariate(units: DataFrame, axis: DataFrame) -> DataFrame:

@@ -73,11 +73,12 @@ def _(t):
 @query("m4_position_inside_the_fold")
 def _(t):
     """The clock adjusted for severity and for a position that each fold reads off one gene family on its training animals."""
-    family = pb(t).join(t.genes.where(F.col("program") == "Brand#13").select("gene_id"), "gene_id", "left_semi")
+    v = cut(pb(t).select("animal_id", "gene_id", "value"))     # read by the family, its anchor and the clock
+    family = v.join(t.genes.where(F.col("program") == "Brand#13").select("gene_id"), "gene_id", "left_semi")
     rows = M.feature_rows(family, "animal_id", "gene_id", "value")
     anchor = t.genes.where(F.col("program") == "Brand#13").agg(F.min("gene_id").cast("string")).first()[0]
     axis = M.in_fold_axis(rows, us(t, cov=()), anchor, S)
-    preds, _c = M.leave_out_regression(xs(t), M.with_in_fold_covariate(us(t), axis), S)
+    preds, _c = M.leave_out_regression(M.feature_rows(v, "animal_id", "gene_id", "value"), M.with_in_fold_covariate(us(t), axis), S)
     return named(preds).drop("task", "target")
 
 

@@ -259,6 +259,17 @@ def test_in_fold_axis_does_not_see_the_held_out_unit(spark):
         assert np.allclose([base[str(f), i][0] for i in range(N)], want, atol=1e-8)
 
 
+def test_in_fold_axis_is_a_written_table(spark):
+    """Who joins the axis reads its rows; the family, its anchor and the components are not computed again."""
+    x, y, sev = data(6)
+    _, u = frames(spark, x, y, sev)
+    u = u.withColumn("c", __import__("pyspark.sql.functions", fromlist=["x"]).expr("cast(array() as array<double>)"))
+    d = spark.createDataFrame([(i, f"f{j}", float(x[i, j])) for i in range(N) for j in range(5) if x[i, j]], "u int, f string, v double")
+    a = M.in_fold_axis(M.feature_rows(d, "u", "f", "v"), u, "f0", S)
+    plan = a._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and a.count() == N * N
+
+
 def test_map_of_many_features_stays_thin():
     """The map of a fold holds a line and a scale for each feature, not a square matrix (4,000 features: 128 MB); both ways of products agree."""
     import tracemalloc
