@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.functions import kernels as NK
-from cohortspark.operators.grid import _paired
+from cohortspark.operators.grid import _no_rows, _paired
 from cohortspark.session import cut, discard
 
 CHUNK = 4096               # rows that one task turns into sums
@@ -106,7 +106,7 @@ def held_out_probabilities(scores: DataFrame, fits: DataFrame, n_targets: int) -
 
     def apply(key, pdf: pd.DataFrame, fit: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf) or not len(fit):
-            return pd.DataFrame({c: [] for c in ("task", "fold", "target", "unit", "prob", "truth")})
+            return _no_rows("task", "fold", "target", "unit", "prob", "truth")
         z = np.array(pdf["score"].tolist(), float).reshape(len(pdf), -1)
         w = np.frombuffer(fit["base"].iloc[0]).reshape(n_targets, -1)
         prob = 1 / (1 + np.exp(-np.clip(np.c_[np.ones(len(z)), z] @ w.T, -500, 500)))

@@ -94,7 +94,7 @@ def screen(x: DataFrame, units: DataFrame, folds: DataFrame, s: Settings, keep:
         if len(vals) and len(plan):
             out = list(_adjusted_variances(vals, plan, p, share, top))
         cols = ["task", "fold", "feature", "var"]
-        return pd.concat(out).astype({c: object for c in cols[:3]}) if out else pd.DataFrame({c: [] for c in cols})
+        return pd.concat(out).astype({c: object for c in cols[:3]}) if out else _no_rows(*cols)
     keys = ["fset", "bucket"]
     ranked = _paired(_spread(x, *keys), design, keys).applyInPandas(variance, "task string, fold string, feature string, var double")
     if keep is not None:
@@ -240,7 +240,7 @@ def cross_products(x: DataFrame, blocks: DataFrame, sel: DataFrame) -> DataFrame
 
     def build(key, vals: pd.DataFrame, us: pd.DataFrame) -> pd.DataFrame:
         if not len(us):
-            return pd.DataFrame({c: [] for c in ("task", "fold", "block", "k", "size", "data")})
+            return _no_rows("task", "fold", "block", "k", "size", "data")
         us = us.sort_values("unit").reset_index(drop=True)
         k = int(us["k"].iloc[0])
         c = np.array(us["c"].tolist(), float).reshape(len(us), -1)
@@ -261,6 +261,11 @@ def cross_products(x: DataFrame, blocks: DataFrame, sel: DataFrame) -> DataFrame
     return _paired(rows, base, keys).applyInPandas(build, PRODUCTS)
 
 
+def _no_rows(*cols: str) -> pd.DataFrame:
+    """No row, ready for any result type: columns of float64, as empty lists give them, cannot become text or arrays in Arrow."""
+    return pd.DataFrame({c: [] for c in cols}, dtype=object)
+
+
 def _paired(left: DataFrame, right: DataFrame, keys: Sequence[str]):
     """Cogroup of two frames derived from the same tables; the right keys are renamed so that they are told apart."""
     r = right
@@ -498,7 +503,7 @@ def component_scores(x: DataFrame, units: DataFrame, components: int, s: Setting
     def score(key, vals: pd.DataFrame, us: pd.DataFrame) -> pd.DataFrame:
         us = us.sort_values("unit").reset_index(drop=True)
         if not len(us):
-            return pd.DataFrame({c: [] for c in ("task", "fold", "unit", "block", "y", "score")})
+            return _no_rows("task", "fold", "unit", "block", "y", "score")
         k, d = int(us["k"].iloc[0]), int(us["d"].iloc[0])
         t = np.frombuffer(us["axes"].iloc[0]).reshape(-1, d)
         c = np.array(us["c"].tolist(), float).reshape(len(us), -1)

@@ -338,3 +338,15 @@ def test_screening_keeps_nulls_apart_from_what_is_no_number():
     assert set(odd["task"]) == {"a"} and set(odd["feature"]) == {"g04"} and len(odd) == 8
     plain = got[(got["task"] == "b") & (got["fold"] == "2") & (got["feature"] == "g03")]["var"].iloc[0]
     assert plain == pytest.approx(x[3, [0, 1, 3, 4, 5, 6]].var())
+
+
+def test_small_feature_set_beside_a_large_one(spark, monkeypatch):
+    """Buckets are made for the largest feature set; those that a small set leaves empty (its units meet no feature) give no rows and no error."""
+    x, y, sev = data(3)
+    xd, u = frames(spark, x, y, sev)
+    both = xd.unionByName(xd.where("feature = 'f00'").selectExpr("'one' AS fset", "unit", "feature", "value"))
+    units = u.unionByName(u.selectExpr("'one' AS task", "'one' AS fset", "unit", "fold", "y", "c"))
+    chosen = lambda: {tuple(r) for r in M.screen(both, units, M._folds(units, False), S, None).collect()}
+    whole = chosen()
+    monkeypatch.setattr(M, "SCREEN_ROWS", 20)
+    assert chosen() == whole and sum(r[0] == "one" for r in whole) == N
