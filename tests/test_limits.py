@@ -150,3 +150,22 @@ def test_short_bins_are_filled_up(spark):
     focus = spark.createDataFrame([(i,) for i in range(20, 30)], "gene_id long")
     sets = M.matched_sets(means, focus, 4, n_bins=3).toPandas()
     assert (sets.groupby("set_no").size() == 10).all() and sets.groupby("set_no")["gene_id"].nunique().eq(10).all()
+
+
+def test_panel_text_writes_runs_of_zeros(spark):
+    """The text of a dense vector equals its entries joined one by one; a panel of a million genes costs a key its hits, not its entries."""
+    from pyspark.sql import functions as F
+
+    from cohortspark.operators import counts as C
+    rows = [("a", 0, 1.5), ("a", 3, 2.0), ("a", 4, 0.0), ("b", 6, 0.25), ("c", 2, None), (None, 1, 1.0), ("d", 99, 1.0), ("e", 7, 3.0)]
+    pb = spark.createDataFrame(rows, "k string, gene_id int, value double")
+    panel = spark.createDataFrame([(g, g) for g in range(7)] + [(7, 7)], "gene_id int, pos long")
+    text = lambda x: F.round(x * 1000).cast("bigint").cast("string")
+    dense = C.panel_vectors(pb, panel, ["k"], 8).select(
+        "k", F.size(F.filter("vector", lambda x: x > 0)), F.array_join(F.transform("vector", text), ",")).collect()
+    got = C.panel_vectors(pb, panel, ["k"], 8, text=text).collect()
+    assert {tuple(r) for r in got} == {tuple(r) for r in dense} and len(got) == len(dense) == 5
+    wide = C.panel_vectors(pb.where("k = 'a'").crossJoin(spark.range(300)), panel, ["k", "id"], 1_000_000, text=text)
+    assert "sequence" not in wide._jdf.queryExecution().analyzed().toString()
+    sizes = wide.select(F.length("vector"), "n_present").distinct().collect()
+    assert [tuple(r) for r in sizes] == [(2 * 1_000_000 - 1 + 3 + 3, 2)]
