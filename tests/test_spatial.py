@@ -133,3 +133,26 @@ def test_enrichment_moments_match_relabelling(spark):
         j = np.array([sum(d[s] == a and d[t] == b for s, t in e) for d in draws[:8000]])
         assert abs(j.mean() - r.expected) < 0.06
         assert abs((r.observed - r.expected) / r.z - j.std()) < 0.06 if r.z else True
+
+
+def test_position_axis_of_a_large_family(spark, monkeypatch):
+    """A family beyond one matrix gets the same axis from products with vectors, with repeated, null and missing rows; no table of gene pairs is made."""
+    from cohortspark.operators import signaling as L
+    rng = np.random.default_rng(4)
+    level = rng.normal(size=90)
+    rows = [(s, g, float(abs(rng.normal(1, 0.3) + (0.8 * level[s] if g < 12 else 0)))) for s in range(90) for g in range(40) if rng.random() < 0.6]
+    rows += [rows[0], rows[7], (5, 3, None), (None, 2, 1.0), (4, None, 1.0), (4, 99, 1.0)]
+    x = spark.createDataFrame(rows, "section_id int, gene_id long, value double")
+    fam = spark.createDataFrame([(g,) for g in range(41)], "gene_id long")
+    sections = spark.createDataFrame([(s, float(level[s])) for s in range(95) if s < 90] + [(200, 0.0)], "section_id int, n_cells double")
+
+    def position():
+        return {r.section_id: r.position for r in L.position_axis(x, fam, sections, "n_cells").collect()}
+    want = position()
+    monkeypatch.setattr(L, "DENSE_GENES", 10)
+    monkeypatch.setattr(L, "AXIS_ROWS", 300)
+    monkeypatch.setattr(L, "AXIS_BASIS", 6)
+    monkeypatch.setattr(L, "_dense_loadings", None)
+    got = position()
+    assert want.keys() == got.keys() and len(got) == 91
+    assert max(abs(want[s] - got[s]) for s in want) < 1e-6
