@@ -350,3 +350,42 @@ def test_small_feature_set_beside_a_large_one(spark, monkeypatch):
     whole = chosen()
     monkeypatch.setattr(M, "SCREEN_ROWS", 20)
     assert chosen() == whole and sum(r[0] == "one" for r in whole) == N
+
+
+def test_sets_meet_leading_features_only(monkeypatch):
+    """A set's fit takes the features that can be active, and goes on with those it missed; either way it is the fit over all of its features."""
+    parts = problem()
+    sets = np.stack([np.random.default_rng(i).permutation(60)[:40] for i in range(5)])
+    _, w, b0, alpha = NK.enet_cv_sets(parts, 2, 60, sets, 0.5, 10, None)
+    whole, met, fit = NK.dual_fit, [], NK.dual_fit
+    monkeypatch.setattr(NK, "dual_fit", lambda cols, *rest: met.append(cols.k) or fit(cols, *rest))
+    seen = []
+    for near in (0.98, 50.0):                                # 50: nothing looks near, so the features are found by what was missed
+        monkeypatch.setattr(NK, "NEAR", near)
+        met.clear()
+        _, w1, b1, a1 = NK.enet_cv_sets(parts, 2, 60, sets, 0.5, 10, None)
+        assert np.allclose(w, w1, atol=1e-8) and np.allclose(b0, b1, atol=1e-8) and np.allclose(alpha, a1)
+        seen.append((len(met), min(met), sum(met) / len(met)))
+    assert seen[0][2] < 30 and seen[1][1] == 1 and seen[1][0] > seen[0][0]
+    monkeypatch.setattr(NK, "dual_fit", whole)
+    monkeypatch.setattr(NK, "_leading_fit", lambda cols, y, pen, ridge, start, z, least: (
+        lambda t, c: (t, c, cols.cross(t, np.arange(len(y)))))(*whole(cols, y, pen, ridge, start)))
+    _, w2, b2, a2 = NK.enet_cv_sets(parts, 2, 60, sets, 0.5, 10, None)
+    assert np.allclose(w, w2, atol=1e-8) and np.allclose(b0, b2, atol=1e-8) and np.allclose(alpha, a2)
+
+
+def test_draws_above_a_hash_cut_are_not_sorted(spark):
+    """A large bin sorts few of its hashes, a draw is the first by hash all the same; copies of one gene, which stand or fall together, are drawn whole."""
+    import hashlib
+    focus = spark.createDataFrame([(g,) for g in range(4)], "gene_id int")
+    genes = spark.createDataFrame([(g, g % 2) for g in range(900)], "gene_id int, bin int")
+    got = {}
+    for r in M.matched_sets(genes, focus, 6).collect():
+        got.setdefault(r.set_no, set()).add(r.gene_id)
+    for k in range(1, 7):
+        order = sorted(range(4, 900), key=lambda g: hashlib.md5(f"{g}|{k}|0".encode()).hexdigest())
+        assert got[k] == {g for b in (0, 1) for g in [g for g in order if g % 2 == b][:2]}
+    # five genes, each 400 times: a cut may leave a set none of them, so all are sorted
+    copies = spark.createDataFrame([(g, 0) for g in range(4)] + [(10 + g, 0) for g in range(5) for _ in range(400)], "gene_id int, bin int")
+    sets = M.matched_sets(copies, focus, 30).groupBy("set_no").count().collect()
+    assert len(sets) == 31 and {r["count"] for r in sets} == {4}
